@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, near_dups, token_counts
+from sparkloom.llm import chat_format, contamination, linear, near_dups, nearest, quality, sanitise, token_counts, toxicity
 from sparkloom.llm.common import shared_dir, table
 
 
@@ -66,15 +66,76 @@ FROM f GROUP BY conv_id)
 SELECT *, state = 'answered' AS valid FROM g
 """
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", linear.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.report(contamination.find_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + least(len(w), 10) - 1) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)
+), n AS (SELECT DISTINCT len(win) AS k FROM bw
+), dw AS (
+  SELECT doc_id, i, k, list_slice(w, i, i + k - 1) AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, n WHERE len(w) >= k)
+), m AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (win)
+), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS s
+  FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""".replace("\\\\", "\\")
+
+
+def op6_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitise.sanitise(table(spark, sf_dir, "documents"))
+    base = {k: k for k in sanitise.KINDS}
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in sanitise.KINDS]
+    return out.select("doc_id", *counts, F.sha2(sanitise.joined_spans(base), 256).alias("base_sha256"), sanitise.joined_spans(base | {"term": "terms"}).alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", linear.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=3)
 
 
+def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
+    "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_sanitisation": op6_sanitisation,
+    "op8_quality": op8_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_vantage_point_search": op10_vantage_point_search,
 }
 SQL = {
     "op2_chat_format": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
 }

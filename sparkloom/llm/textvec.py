@@ -102,8 +102,8 @@ def blocks(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, size: int =
 
 def words(
     buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: word hashes, the texts' numbers, starts, ends (in ``part``), and ``part``."""
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """Per block: word hashes, the texts' numbers, starts and ends in ``part``, ``part``, and its prefix sums."""
     for at, end in blocks(buf, offsets, inside if not lower else inside[LOWER]):
         part = LOWER[buf[at:end]] if lower else buf[at:end]
         is_in = inside[part]
@@ -118,7 +118,7 @@ def words(
         if not len(start):
             continue
         sums, inverse = prefix_sums(part)
-        yield range_hash(sums, inverse, start, stop), np.searchsorted(offsets, start + at, side="right") - 1, start, stop, part
+        yield range_hash(sums, inverse, start, stop), np.searchsorted(offsets, start + at, side="right") - 1, start, stop, part, (sums, inverse)
 
 
 def all_words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
