@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, contamination, linear, near_dups, nearest, quality, sanitise, token_counts, toxicity
+from sparkloom.llm import chat_format, contamination, line_dedup, linear, near_dups, nearest, packing, quality, sanitise, token_counts, toxicity
 from sparkloom.llm.common import shared_dir, table
 
 
@@ -66,6 +66,15 @@ FROM f GROUP BY conv_id)
 SELECT *, state = 'answered' AS valid FROM g
 """
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.duplicate_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return docs.select("doc_id").join(gone, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join("lines", ","), F.lit("")).alias("dropped_lines"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -110,6 +119,10 @@ def op6_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(sanitise.joined_spans(base), 256).alias("base_sha256"), sanitise.joined_spans(base | {"term": "terms"}).alias("spans"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.packable(table(spark, sf_dir, "documents")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.score_quality(docs, table(spark, sf_dir, "labels"))
@@ -128,9 +141,11 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_sanitisation": op6_sanitisation,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality": op8_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_vantage_point_search": op10_vantage_point_search,
