@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import contamination, line_dedup, near_dups, packing, quality
-from sparkloom.llm.common import table, written
+from sparkloom.llm.common import marked, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     gone = written(near_dups.near_duplicates(docs).where("not kept").select("doc_id"), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    asked = marked(docs, "doc_id", gone)
+    return asked.where("not may").union(asked.where("may").join(gone, "doc_id", "left_anti").select(asked.columns)).select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

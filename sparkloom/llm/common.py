@@ -49,6 +49,24 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marked(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """``df`` with ``may``: whether its key may be among ``keys`` (one column).
+
+    A bitmap of fixed size over the keys' hashes; at most ``bits / 64`` rows of
+    16 bytes, whatever the number of keys, so it is broadcast. False is certain,
+    so only rows with true need the join that decides, and the others' texts
+    are never shuffled. Null keys are false.
+    """
+    place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits))
+    cells = keys.where(F.col(keys.columns[0]).isNotNull()).select(place.alias("h"))
+    cells = cells.groupBy((F.col("h") / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bitmap"))
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
+    asked = df.withColumn("cell", (h / 64).cast("int")).withColumn("place", (h % 64).cast("int"))
+    found = asked.join(F.broadcast(written(cells, "bitmap")), "cell", "left")
+    bit = F.expr("shiftrightunsigned(bitmap, place) & 1L") == 1
+    return found.select(*df.columns, (F.col(key).isNotNull() & F.coalesce(bit, F.lit(False))).alias("may"))
+
+
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows ``(node, component)``.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import components, written
+from sparkloom.llm.common import components, marked, written
 
 TAU, MIN_BYTES = 2, 20
 #: A key with more comparisons than this is dealt into blocks of BLOCK lines.
@@ -229,7 +229,8 @@ def _line_texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, least: int)
                     raw = [part[a[i] : b[i]].tobytes() for i in keep]
                     yield pa.RecordBatch.from_arrays([pa.array(d1[keep].view(np.int64)), pa.array(raw, pa.binary())], names=["node", "line"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").join(by_doc, "doc_id").select("text", "wanted").mapInArrow(read, "node long, line binary").distinct()
+    some = marked(docs.select("doc_id", "text"), "doc_id", by_doc.select("doc_id")).where("may")
+    return some.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(read, "node long, line binary").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
@@ -310,7 +311,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> Data
     names = docs.columns
     at = names.index("text")
     gone = duplicate_lines(docs, tau, least).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*[docs[c] for c in names], "gone_lines")
+    gone = written(gone, "gone-lines")
+    asked = marked(docs, "doc_id", gone.select("gone_id"))
+    joined = asked.where("may").join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*names, "gone_lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +326,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> Data
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(cut, docs.schema)
+    return asked.where("not may").select(*names).union(joined.mapInArrow(cut, docs.schema))
 
 
 def without_lines(text: str, gone: set[int]) -> str:
