@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import components, forget, written
+from sparkloom.llm.common import components, marked, written
 
 TREES, DEPTH, SHALLOW = 16, 8, 4
 BINS = TREES * DEPTH
-#: A region up to this size gives all its pairs.
-REGION = 64
+#: A region up to this size gives all its pairs; a larger one is cut at STARS.
+REGION, STARS = 16, (SHALLOW, 6, DEPTH)
+#: Rows of a large region outside its largest component, and of all its rows, that meet in one task.
+STRAY_BLOCK, ROW_BLOCK = 256, 1024
 #: Rows of one region that are cut further at once.
 REGION_CHUNK = 4096
 #: Share of equal signature values under which a pair is not checked: 4.7
@@ -122,27 +124,28 @@ def _pairs_of(nodes: np.ndarray) -> np.ndarray:
     return np.stack([nodes[i], nodes[j]], axis=1)
 
 
-def region_pairs(node: np.ndarray, prefix: np.ndarray, rest: np.ndarray, depth: int = SHALLOW) -> list[np.ndarray]:
-    """Candidate pairs of one sorted region: all if it is small, else those of its
-    parts with a longer common prefix, and of each part's least node with the region's."""
+def region_pairs(node: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+    """Candidate pairs of one region: all if it is small. A larger one gives the
+    neighbours in its sorted order and, at the depths in STARS, the pairs of each
+    part's rows with its least node."""
     if len(node) <= REGION:
         return [_pairs_of(node)]
-    least = node.min()
-    out = [np.stack([np.full(len(node), least), node], axis=1)[node != least]]
     order = np.argsort(rest, kind="stable")
-    following = np.stack([node[order][:-1], node[order][1:]], axis=1)
-    out.append(np.sort(following[following[:, 0] != following[:, 1]], axis=1))
-    if depth < DEPTH:
-        key = rest[order] >> np.uint64(16 * (DEPTH - 1 - depth))
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        for part in np.split(order, cuts):
-            if 1 < len(part):
-                out += region_pairs(node[part], prefix[part], rest[part], depth + 1)
+    node, rest = node[order], rest[order]
+    following = np.sort(np.stack([node[:-1], node[1:]], axis=1), axis=1)
+    out = [following[following[:, 0] != following[:, 1]]]
+    for depth in STARS:
+        key = rest >> np.uint64(16 * (DEPTH - depth)) if depth > SHALLOW else np.zeros(len(rest), np.uint64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        least = np.repeat(np.minimum.reduceat(node, cuts), np.diff(np.append(cuts, len(node))))
+        star = np.stack([least, node], axis=1)
+        out.append(star[least != node])
     return out
 
 
 def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, of ``sets(node, sig)`` that neighbour in some tree."""
+    """``a, b, region``: pairs a < b of ``sets(node, sig)`` that neighbour in some
+    tree, with a null region; and the rows of large regions, as ``a`` and ``region``."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,17 +184,86 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
 
     def emit(cols: list[np.ndarray], cuts) -> Iterator[pa.RecordBatch]:
         cuts = np.asarray(cuts)
-        found = []
+        found, large, region = [], [], []
         for k in np.flatnonzero(np.diff(cuts) > 1):
             a, b = cuts[k], cuts[k + 1]
-            found += region_pairs(cols[3][a:b], cols[1][a:b], cols[2][a:b])
+            found += region_pairs(cols[3][a:b], cols[2][a:b])
+            if b - a > REGION:
+                large.append(cols[3][a:b])
+                region.append(np.full(b - a, tv.mix(cols[1][a : a + 1].view(np.uint64) * _C[0] + cols[0][a : a + 1].astype(np.uint64)).view(np.int64)[0]))
         if found:
             pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "region"])
+        if large:
+            nodes = np.concatenate(large)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(np.concatenate(region))], names=["a", "b", "region"])
 
     rows = sets.select("node", "sig").mapInArrow(explode, "tree int, prefix long, rest long, node long")
     ordered = rows.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "rest", "node")
-    return ordered.mapInArrow(neighbours, "a long, b long").distinct()
+    return ordered.mapInArrow(neighbours, "a long, b long, region long")
+
+
+def stray_links(hot: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links in large regions that a look at neighbours alone has missed.
+
+    ``hot(region, node)`` holds the large regions and ``labels(node, component)``
+    what is linked so far. A region of one component needs nothing more. The
+    others are united by their largest component; there each row of another
+    component meets all rows, in blocks of bounded size. Pairs with similar
+    signatures are checked on full sets, the most similar first, and a link
+    comes out only where it joins components not yet joined in that task.
+    """
+    named = hot.distinct().join(labels, "node", "left").select("region", "node", F.coalesce("component", "node").alias("label"))
+    main = named.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")
+    ).where("labels > 1")
+    rows = written(named.join(main, "region").select("main", "node", "label").distinct(), "strays")
+    sizes = rows.groupBy("main").agg(
+        F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("row_blocks"), F.ceil(F.count_if(F.col("label") != F.col("main")) / STRAY_BLOCK).cast("int").alias("stray_blocks")
+    )
+    some = marked(texts, "node", rows.select("node")).where("may").drop("may")
+    rows = written(rows.join(sizes, "main").join(classes.select("node", "sig", "n"), "node").join(some, "node"), "stray-texts")
+    h = F.xxhash64("node", F.lit(3))
+    held = ["node", "label", "n", "sig", "text"]
+    strays = rows.where("label <> main").select(
+        "main", F.pmod(h, "stray_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("j"), F.lit(True).alias("stray"), *held
+    )
+    others = rows.select(
+        "main", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("i"), F.pmod(h, "row_blocks").cast("int").alias("j"), F.lit(False).alias("stray"), *held
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        stray = table["stray"].to_numpy()
+        node, label, n = (table[c].to_numpy() for c in ("node", "label", "n"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, BINS)
+        column, sets, root = table["text"].combine_chunks(), {}, {}
+        rest = np.flatnonzero(~stray)
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets(*tv.column_bytes(column.slice(i, 1)), words)[0]
+            return sets[i]
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for x in np.flatnonzero(stray):
+            alike = (sig[rest] == sig[x]).mean(axis=1)
+            fits = (alike >= percent / 100 - SKETCH_MARGIN) & (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+            close = rest[fits][np.argsort(-alike[fits], kind="stable")]
+            for y in close:
+                p, q = top(int(label[x])), top(int(label[y]))
+                if p != q:
+                    both = len(np.intersect1d(full(int(x)), full(int(y)), assume_unique=True))
+                    if 100 * both >= percent * (n[x] + n[y] - both):
+                        root[max(p, q)] = min(p, q)
+                        a.append(node[x]), b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return strays.union(others).groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -225,8 +297,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
                     ok.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = written(texts.join(needed, "node", "left_semi"), "texts")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    some = written(marked(texts, "node", needed).where("may").drop("may").join(needed, "node", "left_semi"), "texts")
     left, right = some.toDF("a", "text_a"), some.toDF("b", "text_b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
@@ -246,10 +318,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3) -> DataF
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     x, y = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    near = candidate_pairs(classes).join(x, "a").join(y, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    named_texts = texts.where("doc_id is not null").toDF("node", "text")
+    found = written(candidate_pairs(classes), "found")
+    near = found.where("region is null").select("a", "b").distinct().join(x, "a").join(y, "b").where(fits)
     near = written(_similar(near, percent / 100 - SKETCH_MARGIN), "near")
-    links = confirm(near, texts.where("doc_id is not null").toDF("node", "text"), percent, words)
-    grouped = components(links, "links").withColumnRenamed("component", "least")
+    grouped = components(confirm(near, named_texts, percent, words), "links")
+    hot = found.where("region is not null").select("region", F.col("a").alias("node"))
+    if not hot.isEmpty():
+        links = stray_links(hot, grouped, classes, named_texts, percent, words)
+        grouped = components(links.union(grouped.toDF("a", "b")), "more-links")
+    grouped = grouped.withColumnRenamed("component", "least")
     named = classes.select("d1", "d2", "node").join(grouped, "node", "left").select("d1", "d2", F.coalesce("least", "node").alias("least"))
     rows = sets.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("d1")).alias("d1"), "d2")
     return rows.join(named, ["d1", "d2"], "left").select(
