@@ -210,16 +210,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.column(len(names) + 1)
-            if pa.compute.any(pa.compute.greater(pa.compute.list_value_length(where), 0)).as_py():
-                texts = batch.column(at).to_pylist()
-                for i, hit in enumerate(where.to_pylist()):
-                    if hit:
-                        texts[i] = without_words(texts[i], hit)
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, batch.schema.field(at).type)
-                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-            yield batch.select(names)
+            for a, b in tv.slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                hits = part.column(len(names) + 1).to_pylist()
+                if any(hits):
+                    texts = [without_words(t.as_py(), hit) if hit else t.as_py() for t, hit in zip(part.column(at), hits, strict=True)]
+                    columns = list(part.columns)
+                    columns[at] = pa.array(texts, part.schema.field(at).type)
+                    part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                yield part.select(names)
 
     return found.mapInArrow(cut, docs.schema)
 

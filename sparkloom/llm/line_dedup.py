@@ -317,14 +317,16 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for i, lines in enumerate(batch.column(len(names)).to_pylist()):
-                if lines:
-                    texts[i] = without_lines(texts[i], set(lines))
-                keep.append(not lines or bool(texts[i].strip()))
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+            for a, b in tv.slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                texts, keep = part.column(at).to_pylist(), []
+                for i, lines in enumerate(part.column(len(names)).to_pylist()):
+                    if lines:
+                        texts[i] = without_lines(texts[i], set(lines))
+                    keep.append(not lines or bool(texts[i].strip()))
+                columns = list(part.columns[: len(names)])
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     return asked.where("not may").select(*names).union(joined.mapInArrow(cut, docs.schema))
 

@@ -67,6 +67,14 @@ def training_rows(docs: DataFrame, sample: DataFrame, features: Features, bits:
     return joined.mapInArrow(parse, "doc_id long, label int, shard int, features array<int>")
 
 
+def examples(part: pa.Table) -> list[tuple[np.ndarray, int]]:
+    """A shard's rows ``(features, label)`` in the order of their doc_id."""
+    part = part.sort_by("doc_id").combine_chunks()
+    lists = part["features"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    return list(zip(np.split(flat, ends[:-1]), part["label"].to_pylist(), strict=True))
+
+
 def scored(docs: DataFrame, weights: np.ndarray, features: Features, link: Callable[[np.ndarray], np.ndarray], column: str = "score") -> DataFrame:
     """``docs`` with ``link(sum of the weights of a text's distinct features)``.
 

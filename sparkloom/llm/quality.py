@@ -9,8 +9,9 @@ scaling turns margins into scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,25 +105,26 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, shards: int = 4,
         r[counts["feature"].to_numpy()] = np.log((p / p.sum()) / (q / q.sum()))
     ratios = spark.sparkContext.broadcast(r)
 
-    def train(part: pd.DataFrame) -> pd.DataFrame:
+    def train(part: pa.Table) -> pa.Table:
         r = ratios.value
-        part = part.sort_values("doc_id")
-        w = dual_descent([x[r[x] != 0] for x in part["features"]], np.where(part["label"] > 0, 1.0, -1.0), r, int(part["shard"].iloc[0]))
+        rows = linear.examples(part)
+        w = dual_descent([x[r[x] != 0] for x, _ in rows], np.array([1.0 if label > 0 else -1.0 for _, label in rows]), r, part["shard"][0].as_py())
         at = np.flatnonzero(w)
-        return pd.DataFrame({"feature": at, "w": w[at]})
+        return pa.table({"feature": at, "w": w[at]})
 
-    fitted = rows.groupBy("shard").applyInPandas(train, "feature long, w double")
+    fitted = rows.groupBy("shard").applyInArrow(train, "feature long, w double")
     w = np.zeros((1 << BITS) + 1)
     mean = fitted.groupBy("feature").agg((F.sum("w") / shards).alias("w")).toPandas()
     w[mean["feature"].to_numpy(dtype=np.int64)] = mean["w"].to_numpy()
     bias, w = w[-1], w[:-1] * r
     sent = spark.sparkContext.broadcast(w)
 
-    @F.pandas_udf("double")
-    def margin(features: pd.Series) -> pd.Series:
-        return features.map(lambda x: float(sent.value[x].sum()))
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = [float(sent.value[x.values.to_numpy()].sum()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.float64()), batch.column(1)], names=["m", "label"])
 
-    seen = rows.select(margin("features").alias("m"), "label").toPandas()
+    seen = rows.select("features", "label").mapInArrow(margins, "m double, label int").toPandas()
     a, b = platt(seen["m"].to_numpy() + bias, seen["label"].to_numpy()) if len(seen) else (1.0, 0.0)
     return w, float(bias), a, b
 

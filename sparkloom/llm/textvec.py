@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -133,7 +133,7 @@ def all_words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: b
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), begin
 
 
-def slices(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column of about ``size`` bytes each."""
     _, offsets = column_bytes(column)
     at, n = 0, len(column)

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -65,15 +64,14 @@ def learn(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> n
     return np.flatnonzero(touched)
 
 
-def _trainer(state: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _trainer(state: Broadcast) -> Callable[[pa.Table], pa.Table]:
     """One shard's pass from the common state: what it changed, by bucket."""
 
-    def train(part: pd.DataFrame) -> pd.DataFrame:
+    def train(part: pa.Table) -> pa.Table:
         z, n = (x.copy() for x in state.value)
-        part = part.sort_values("doc_id")
-        at = learn(z, n, list(zip(part["features"], part["label"], strict=True)))
+        at = learn(z, n, linear.examples(part))
         old_z, old_n = state.value
-        return pd.DataFrame({"bucket": at, "z": z[at] - old_z[at], "n": n[at] - old_n[at]})
+        return pa.table({"bucket": at, "z": z[at] - old_z[at], "n": n[at] - old_n[at]})
 
     return train
 
@@ -87,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, shards: int = 4,
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        moved = rows.groupBy("shard").applyInPandas(_trainer(state), "bucket long, z double, n double")
+        moved = rows.groupBy("shard").applyInArrow(_trainer(state), "bucket long, z double, n double")
         # a bucket's change is averaged over the shards that saw it
         mean = moved.groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         at = mean["bucket"].to_numpy(dtype=np.int64)
