@@ -1,4 +1,227 @@
-"""All queries by name, each ``(spark, sf_dir) -> DataFrame``, and their SQL."""
+"""All queries by name, each ``(spark, sf_dir) -> DataFrame``; their SQL is in :mod:`sparkloom.plans.sql`."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sparkloom.functions import text as T
+from sparkloom.operators import chunking, curation, dashboard, jobs, planning
+from sparkloom.plans.sql import SQL  # noqa: F401
+from sparkloom.sources import tables
+from sparkloom.sources.tables import table
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("tokens"))
+
+
+def normalize_text(spark, d):
+    return _docs(spark, d).select("doc_id", F.sha1(T.normalize_text(F.col("text"))).alias("text_hash"), F.length(T.normalize_text(F.col("text"))).cast("long").alias("n_chars"))
+
+
+def doc_token_counts(spark, d):
+    return _tokens(spark, d)
+
+
+def doc_ids(spark, d):
+    stem = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    path = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), stem, F.lit(".pdf"))
+    return _docs(spark, d).select("doc_id", F.concat(F.replace(F.lower(stem), F.lit(" "), F.lit("-")), F.lit("-"), F.substring(F.sha1(path), 1, 10)).alias("document"))
+
+
+def page_assets(spark, d):
+    text = F.col("page_text")
+    visual = T.has_any(text, T.FORMULA_MARKERS)
+    return tables.pages(_docs(spark, d)).select("doc_id", "page_no", F.length(text).cast("long").alias("text_chars"), visual.alias("visual"), (visual | (F.length(text) < 80)).alias("requires_multimodal"))
+
+
+def parser_guard(spark, d):
+    pages = tables.paged_documents(_docs(spark, d)).select("doc_id", F.size("pages").cast("long").alias("page_count"))
+    ram = 4096 - F.col("doc_id") % 3000
+    return pages.withColumn("skip_reason", F.when(F.col("page_count") > 3, "max_pages").when(ram < 3072, "max_ram_mb"))
+
+
+def heading_lines(spark, d):
+    line = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
+    heading = (line != "") & (T.word_count(line) <= 8) & (T.is_title(line) | T.is_upper(line) | F.startswith(line, F.lit("#")))
+    return tables.lines(_docs(spark, d)).where(heading).select("doc_id", F.col("pos").cast("long").alias("line_no"), line.alias("heading"))
+
+
+def word_window_chunks(spark, d):
+    return chunking.word_windows(_docs(spark, d), 128, 16)
+
+
+def _chunks(spark, d):
+    return chunking.chunk_ids(chunking.page_windows(tables.paged_documents(_docs(spark, d))))
+
+
+def page_limit_chunks(spark, d):
+    return _chunks(spark, d).select("doc_id", "chunk_id", "chunk_ord", F.col("page_start").cast("long"), F.col("page_end").cast("long"), F.sha1("text").alias("text_hash"))
+
+
+def chunk_coverage(spark, d):
+    return chunking.coverage(_chunks(spark, d), tables.paged_documents(_docs(spark, d)))
+
+
+def chunk_neighbors(spark, d):
+    order = Window.partitionBy("doc_id").orderBy("chunk_ord")
+    near = F.filter(F.array(F.lag("chunk_id").over(order), F.lead("chunk_id").over(order)), lambda x: x.isNotNull())
+    return _chunks(spark, d).select("doc_id", "chunk_id", "chunk_ord").withColumn("neighbors", F.array_join(near, ",")).select("chunk_id", "neighbors")
+
+
+def split_manifest(spark, d):
+    return planning.split_manifest(_tokens(spark, d))
+
+
+def kind_quota(spark, d):
+    return planning.kind_quota(spark.range(0, 201).withColumnRenamed("id", "total"))
+
+
+def _scored(spark, d):
+    order = Window.partitionBy("doc_id")
+    chunks = _chunks(spark, d).withColumn("tokens", T.word_count(F.col("text")))
+    scored = planning.chunk_scores(chunks.withColumn("n_neighbors", F.lit(0)))
+    narrow = scored.select("doc_id", F.col("source").alias("batch"), "chunk_id", "chunk_ord", "tokens", *planning.PLAN_ORDER)
+    most = F.max("chunk_ord").over(order)
+    around = (F.col("chunk_ord") > 0).cast("long") + (F.col("chunk_ord") < most).cast("long")
+    return narrow.withColumn("multi_chunk", F.col("multi_chunk") + around).withColumn("chunk_seq", F.col("doc_id") * 10000 + F.col("chunk_ord"))
+
+
+def chunk_scores(spark, d):
+    return _scored(spark, d).select("chunk_id", "tokens", *planning.PLAN_ORDER)
+
+
+def target_plan(spark, d):
+    return planning.target_plan(_scored(spark, d))
+
+
+def _targets(spark, d):
+    ex = tables.examples(table(spark, d, "conversations"))
+    return ex.select(F.col("example_ord").alias("ord"), F.get("chunk_ids", F.lit(0)).alias("chunk_id"), F.col("requested_kind").alias("kind"), "doc_id", "question_type", "chunk_ids")
+
+
+def pending_targets(spark, d):
+    t = _targets(spark, d)
+    done = t.where("doc_id % 4 = 0 and ord < 1000000").select("chunk_id", "kind")
+    return planning.pending_targets(t.select("ord", "chunk_id", "kind"), done)
+
+
+def pending_chunks(spark, d):
+    t = _targets(spark, d)
+    return t.select("chunk_id").distinct().join(t.where("doc_id % 4 = 0").select("chunk_id"), "chunk_id", "left_anti")
+
+
+def _examples(spark, d):
+    ex = curation.example_id(tables.examples(table(spark, d, "conversations")))
+    return ex.join(split_manifest(spark, d).select("doc_id", "split"), "doc_id")
+
+
+def question_types(spark, d):
+    return _examples(spark, d).groupBy("question_type", T.question_type(F.col("question_type")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def example_ids(spark, d):
+    return _examples(spark, d).select("example_ord", "example_id")
+
+
+def evidence_resolution(spark, d):
+    given = F.filter("evidence", lambda e: (F.trim(e) != "") & ~F.upper(F.trim(e)).startswith("FRAGMENTO"))
+    resolved = F.when(F.col("is_answerable"), F.array_distinct(F.concat(given, F.col("chunk_ids")))).otherwise(given)
+    return _examples(spark, d).select("example_ord", F.size(resolved).cast("long").alias("n_evidence"), F.sha1(F.array_join(resolved, "|")).alias("evidence_hash"))
+
+
+def _curated(spark, d):
+    return curation.curate(_examples(spark, d))
+
+
+def curation_reasons(spark, d):
+    return _curated(spark, d).select("example_ord", "reason")
+
+
+def curation_summary(spark, d):
+    return curation.summary(_curated(spark, d), "split")
+
+
+def training_records(spark, d):
+    records = curation.training_records(_curated(spark, d).where("reason is null"))
+    joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return records.select("example_ord", F.sha1(joined).alias("messages_hash"), "example_id", "doc_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), "question_type", "is_answerable", "quality_score", "split")
+
+
+def review_sample(spark, d):
+    return curation.review_sample(_curated(spark, d).where("reason is null"))
+
+
+def report_counts(spark, d):
+    c = _curated(spark, d)
+    return c.groupBy("split").agg(F.count("*").alias("generated"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.count_distinct("doc_id").alias("documents"))
+
+
+def examples_filtered_page(spark, d):
+    rows = dashboard.filtered(_curated(spark, d), split="train", accepted=True, kind="extractive", min_score=0.75)
+    return dashboard.page(rows, limit=25, offset=2).select("example_ord", "example_id", "overall")
+
+
+def examples_search(spark, d):
+    return dashboard.filtered(_curated(spark, d), search="The").select("example_ord", "question_type")
+
+
+def type_distribution(spark, d):
+    return dashboard.type_distribution(dashboard.filtered(_curated(spark, d), min_score=0.5))
+
+
+def per_job_counts(spark, d):
+    return curation.edges_by_job(_curated(spark, d))
+
+
+def score_histogram(spark, d):
+    return dashboard.histogram(_curated(spark, d).where("reason is null"))
+
+
+def editor_accept(spark, d):
+    c = _curated(spark, d)
+    return curation.accept(c, c.where("doc_id % 5 = 0").select("example_id")).select("example_ord", "reason", "overall")
+
+
+def editor_reject(spark, d):
+    c = _curated(spark, d)
+    return curation.reject(c, c.where("doc_id % 3 = 0").select("example_id")).select("example_ord", "reason")
+
+
+def _events(spark, d):
+    return tables.job_events(table(spark, d, "events"))
+
+
+def job_latest_state(spark, d):
+    return jobs.latest_state(_events(spark, d))
+
+
+def active_job(spark, d):
+    return jobs.active_job(_events(spark, d))
+
+
+def event_tail(spark, d):
+    e = _events(spark, d)
+    return jobs.tail(e, 500).select("event_id", "job_id", "status")
+
+
+def retry_backoff(spark, d):
+    return jobs.backoff(spark.range(1, 13).withColumnRenamed("id", "attempt"))
+
+
+def breaker_failure_rate(spark, d):
+    return jobs.failure_rate(_events(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (
+    normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, heading_lines, word_window_chunks, page_limit_chunks, chunk_coverage,
+    chunk_neighbors, split_manifest, kind_quota, chunk_scores, target_plan, pending_targets, pending_chunks, question_types, example_ids,
+    evidence_resolution, curation_reasons, curation_summary, training_records, review_sample, report_counts, examples_filtered_page, examples_search,
+    type_distribution, per_job_counts, score_histogram, editor_accept, editor_reject, job_latest_state, active_job, event_tail, retry_backoff, breaker_failure_rate,
+)}
