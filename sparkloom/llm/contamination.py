@@ -204,9 +204,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     character of each; a document of which more than ``max_coverage`` of the
     words are hit goes. Others are returned as they were.
     """
-    found = find_contamination(docs, benchmark, window).where(F.size("hit_words") <= F.col("n_words") * max_coverage)
-    names = docs.columns
-    at = names.index("text")
+    given = docs.columns
+    at = given.index("text")
+    # other names, so that none clashes with the columns added
+    names = [c if i == at else f"column_{i}" for i, c in enumerate(given)]
+    plain = docs.toDF(*names)
+    found = find_contamination(plain, benchmark, window).where(F.size("hit_words") <= F.col("n_words") * max_coverage)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
                     part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
                 yield part.select(names)
 
-    return found.mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut, plain.schema).toDF(*given)
 
 
 def without_words(text: str, hit: list[int]) -> str:
