@@ -21,7 +21,7 @@ from sparkloom.llm import linear
 from sparkloom.llm import textvec as tv
 from sparkloom.llm.common import written
 
-BITS = 20
+BITS = 18
 #: Bytes of the word beginnings that stand for a word's stem.
 STEMS = (4, 5, 6)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 0.1
@@ -64,28 +64,36 @@ def learn(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> n
     return np.flatnonzero(touched)
 
 
-def _trainer(state: Broadcast) -> Callable[[pa.Table], pa.Table]:
+def _trainer(state: Broadcast, known: Broadcast) -> Callable[[pa.Table], pa.Table]:
     """One shard's pass from the common state: what it changed, by bucket."""
 
     def train(part: pa.Table) -> pa.Table:
         z, n = (x.copy() for x in state.value)
-        at = learn(z, n, linear.examples(part))
+        at = learn(z, n, [(x[known.value[x]], label) for x, label in linear.examples(part)])
         old_z, old_n = state.value
         return pa.table({"bucket": at, "z": z[at] - old_z[at], "n": n[at] - old_n[at]})
 
     return train
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, shards: int = 4, rounds: int = 4) -> np.ndarray:
-    """Weights (``2**BITS`` features, then the bias) from at most ``bound`` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, shards: int = 4, rounds: int = 4, min_docs: int = 4) -> np.ndarray:
+    """Weights (``2**BITS`` features, then the bias) from at most ``bound`` labelled rows.
+
+    Features in fewer than ``min_docs`` sampled documents have no weight and
+    never reach the driver.
+    """
     spark = docs.sparkSession
     sample = linear.labelled_sample(labels, "toxic", bound)
     rows = written(linear.training_rows(docs, sample, word_features, BITS, shards), "toxic-rows")
+    counts = rows.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    kept = np.zeros(1 << BITS, bool)
+    kept[counts.where(F.col("n") >= min_docs).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)] = True
+    known = spark.sparkContext.broadcast(kept)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        moved = rows.groupBy("shard").applyInArrow(_trainer(state), "bucket long, z double, n double")
+        moved = rows.groupBy("shard").applyInArrow(_trainer(state, known), "bucket long, z double, n double")
         # a bucket's change is averaged over the shards that saw it
         mean = moved.groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         at = mean["bucket"].to_numpy(dtype=np.int64)
