@@ -48,7 +48,9 @@ def paged_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, source, pages``: the page texts as an array, without a shuffle."""
     numbered = documents.select("doc_id", "source", F.split("text", "\n").alias("lines"))
     starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_PER_PAGE).cast("int"))
-    return numbered.select("doc_id", "source", F.transform(starts, lambda k: T.squeeze(F.array_join(F.slice("lines", k * LINES_PER_PAGE + 1, LINES_PER_PAGE), " "))).alias("pages"))
+    texts = F.transform(starts, lambda k: T.squeeze(F.array_join(F.slice("lines", k * LINES_PER_PAGE + 1, LINES_PER_PAGE), " ")))
+    # through a generator, so that each use of the pages does not work them out anew
+    return numbered.select("doc_id", "source", F.explode(F.array(texts)).alias("pages"))
 
 
 def examples(conversations: DataFrame) -> DataFrame:
