@@ -21,6 +21,15 @@ FORMULA_MARKERS = ("=", "≈", "≤", "≥", "±", "√", "∑", "∫", "^", "->
 COMPARISONS = ("diferencia", "compar", "mayor", "menor", "respecto", "supera", "debajo")
 GAPS = ("no informa", "no menciona", "falta", "no detalla")
 LISTS = ("1.", "2.", "3.")
+LANGUAGES = {
+    "es": "Spanish", "en": "English", "pt": "Portuguese", "fr": "French", "de": "German", "it": "Italian", "ca": "Catalan", "nl": "Dutch", "pl": "Polish",
+    "ru": "Russian", "ja": "Japanese", "ko": "Korean", "zh-cn": "Simplified Chinese", "zh-tw": "Traditional Chinese", "ar": "Arabic", "hi": "Hindi", "tr": "Turkish",
+}
+
+FUNCTION_WORDS = {
+    "en": ("the", "and", "of", "to", "is", "with", "that", "for"), "es": ("el", "los", "las", "y", "que", "una", "con", "por"),
+    "de": ("der", "die", "und", "das", "nicht", "mit", "ist", "ein"), "fr": ("le", "les", "et", "des", "une", "est", "dans", "pour"),
+}
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -40,10 +49,56 @@ def squeeze(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def title_case(text: Column) -> Column:
+    """Each run of cased letters with a capital first and lower case after it."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
+def token_set(text: Column) -> Column:
+    """Distinct words of over 2 characters, in lower case."""
+    return F.array_distinct(F.transform(F.filter(words(text), lambda w: F.length(w) > 2), F.lower))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """At most ``most`` characters, the last an ellipsis where text was cut."""
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most - 1), SPACE + "+$", ""), F.lit("…"))).otherwise(text)
+
+
+def image_tokens(width: Column, height: Column) -> Column:
+    """85, and 170 for each tile of 512 pixels; 0 without an area."""
+    return F.when((width > 0) & (height > 0), 85 + 170 * F.ceil(width / 512) * F.ceil(height / 512)).otherwise(0).cast("long")
+
+
+def language_name(code: Column) -> Column:
+    """The English name; unknown codes stay, none is the source language."""
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.lower(F.coalesce(code, F.lit("")))), F.when(code != "", code), F.lit("the source language"))
+
+
+def language(text: Column, default: str = "en", least: int = 40) -> Column:
+    """The language with most of its function words among the first 4000 characters; a tie goes to the first named.
+
+    Texts of under ``least`` characters, and those without such words, get ``default``.
+    """
+    head = F.substring(strip(text), 1, 4000)
+    found = F.transform(words(F.lower(head)), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+
+    def hits(k: int, name: str) -> Column:
+        return F.struct(F.size(F.filter(found, lambda w: w.isin(*FUNCTION_WORDS[name]))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name"))
+
+    best = F.array_max(F.array(*[hits(k, name) for k, name in enumerate(FUNCTION_WORDS)]))
+    return F.when((F.length(strip(text)) >= least) & (best["n"] > 0), best["name"]).otherwise(default)
+
+
 def normalize_text(text: Column, repeated: Column | None = None) -> Column:
     """Join words hyphenated over a line end, drop empty and repeated lines, squeeze white space."""
     joined = F.regexp_replace(text, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
-    lines = F.transform(F.split(joined, LINE_END), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
+    lines = F.transform(F.split(joined, LINE_END), strip)
     lines = F.filter(lines, lambda x: x != "")
     if repeated is not None:
         lines = F.filter(lines, lambda x: ~F.array_contains(repeated, x))

@@ -3,22 +3,8 @@
 from __future__ import annotations
 
 from sparkloom.functions import text as T
-
-_WORDS = r"regexp_extract_all({0}, '[^ \t\r\n]+')"
-_SQUEEZE = f"array_to_string({_WORDS}, ' ')"
-
-
-def w(x: str) -> str:
-    return _WORDS.format(x)
-
-
-def sq(x: str) -> str:
-    return _SQUEEZE.format(x)
-
-
-def any_of(x: str, parts: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({x}, '{p}')" for p in parts) + ")"
-
+from sparkloom.plans import semantic_sql
+from sparkloom.plans.base_sql import TITLE, UPPER, any_of, sq, w
 
 TOKENS = f"tok AS (SELECT doc_id, len({w('text')})::BIGINT AS tokens FROM documents)"
 PAGED = f"""
@@ -75,9 +61,6 @@ cu AS (SELECT *, CASE WHEN example_ord > min(example_ord) FILTER (own IS NULL) O
 EVENTS = """ev AS (SELECT event_id, 'job-' || user_id AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running'
   WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE event_type END AS status, least(value / 500.0, 1.0)::DOUBLE AS percent, props AS message FROM events)"""
 
-_U = r"\p{Lu}\p{Ll}\p{Lt}"
-_TITLE = rf"(regexp_matches(h, '[{_U}]') AND NOT regexp_matches(h, '(^|[^{_U}])\p{{Ll}}') AND NOT regexp_matches(h, '[{_U}]\p{{Lu}}'))"
-_UPPER = r"(regexp_matches(h, '\p{Lu}') AND NOT regexp_matches(h, '[\p{Ll}\p{Lt}]'))"
 _NORMAL = sq(r"regexp_replace(text, '([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)', '\1\2', 'g')")
 
 SQL = {
@@ -86,7 +69,7 @@ SQL = {
     "doc_ids": "SELECT doc_id, 'doc-' || doc_id || '-' || substr(sha1('/corpus/' || source || '/Doc ' || doc_id || '.pdf'), 1, 10) AS document FROM documents",
     "page_assets": f"WITH {PAGED} SELECT doc_id, page_no, length(page_text)::BIGINT AS text_chars, {any_of('page_text', T.FORMULA_MARKERS)} AS visual, {any_of('page_text', T.FORMULA_MARKERS)} OR length(page_text) < 80 AS requires_multimodal FROM pg",
     "parser_guard": f"WITH {PAGED} SELECT doc_id, page_count, CASE WHEN page_count > 3 THEN 'max_pages' WHEN 4096 - doc_id % 3000 < 3072 THEN 'max_ram_mb' END AS skip_reason FROM np",
-    "heading_lines": rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents), t AS (SELECT doc_id, line_no, regexp_replace(raw, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS h FROM l) SELECT doc_id, line_no, h AS heading FROM t WHERE h <> '' AND len({w('h')}) <= 8 AND ({_TITLE} OR {_UPPER} OR h LIKE '#%')",
+    "heading_lines": rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents), t AS (SELECT doc_id, line_no, regexp_replace(raw, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS h FROM l) SELECT doc_id, line_no, h AS heading FROM t WHERE h <> '' AND len({w('h')}) <= 8 AND ({TITLE} OR {UPPER} OR h LIKE '#%')",
     "word_window_chunks": f"WITH t AS (SELECT doc_id, {w('text')} AS ws FROM documents), c AS (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) <= 128 THEN 1 ELSE 1 + ceil((len(ws) - 128) / 112.0)::BIGINT END)) AS k FROM t WHERE len(ws) > 0) SELECT doc_id, k AS chunk_ord, len(list_slice(ws, k * 112 + 1, k * 112 + 128))::BIGINT AS n_words, sha1(array_to_string(list_slice(ws, k * 112 + 1, k * 112 + 128), ' ')) AS text_hash FROM c",
     "page_limit_chunks": f"WITH {CHUNKS} SELECT doc_id, chunk_id, chunk_ord, page_start, page_end, sha1(text) AS text_hash FROM ch",
     "chunk_coverage": f"WITH {CHUNKS}, cc AS (SELECT doc_id, count(*) AS chunk_count, sum(page_end - page_start + 1)::BIGINT AS pages_covered FROM ch GROUP BY doc_id) SELECT doc_id, page_count, coalesce(pages_covered, 0) AS pages_covered, round_even(coalesce(pages_covered, 0) / page_count, 4)::DOUBLE AS coverage_ratio, coalesce(chunk_count, 0) AS chunk_count, CASE WHEN page_count <= 1 THEN 1 ELSE greatest(2, ceil(page_count / 20.0)) END::BIGINT AS expected_min_chunks FROM np LEFT JOIN cc USING (doc_id)",
@@ -118,3 +101,4 @@ SQL = {
     "retry_backoff": "SELECT attempt, least(0.25 * pow(2.0, attempt - 1), 30.0)::DOUBLE AS wait_s FROM (SELECT unnest(range(1, 13)) AS attempt)",
     "breaker_failure_rate": f"WITH {EVENTS}, o AS (SELECT *, (status = 'failed')::INT AS failed FROM ev WHERE status IN ('completed', 'failed')) SELECT event_id, job_id, round_even(avg(failed) OVER r, 3)::DOUBLE AS failure_rate, count(*) OVER r >= 5 AND avg(failed) OVER r >= 0.5 AS tripped FROM o WINDOW r AS (PARTITION BY job_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
 }
+SQL |= semantic_sql.SQL

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions import headings, maths
 from sparkloom.functions import text as T
-from sparkloom.operators import chunking, curation, dashboard, jobs, planning
+from sparkloom.operators import chunking, curation, dashboard, jobs, planning, semantic
 from sparkloom.plans.sql import SQL  # noqa: F401
 from sparkloom.sources import tables
 from sparkloom.sources.tables import table
@@ -49,8 +50,39 @@ def parser_guard(spark, d):
 
 def heading_lines(spark, d):
     line = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
-    heading = (line != "") & (T.word_count(line) <= 8) & (T.is_title(line) | T.is_upper(line) | F.startswith(line, F.lit("#")))
-    return tables.lines(_docs(spark, d)).where(heading).select("doc_id", F.col("pos").cast("long").alias("line_no"), line.alias("heading"))
+    return tables.lines(_docs(spark, d)).where(headings.is_heading(line)).select("doc_id", F.col("pos").cast("long").alias("line_no"), line.alias("heading"))
+
+
+def math_marks(spark, d):
+    lines = semantic.once(_docs(spark, d).select("doc_id", "text").where("text is not null"), lines=maths.marked_lines(F.col("text")))
+    return lines.select("doc_id", maths.formulas(F.col("lines")).alias("expressions"), F.sha1(maths.mark(F.col("lines"))).alias("text_hash"))
+
+
+def heading_levels(spark, d):
+    found = tables.lines(_docs(spark, d)).withColumn("line", T.strip(F.col("line"))).withColumn("level", headings.level(F.col("line")))
+    return found.where("level > 0").select("doc_id", F.col("pos").cast("long").alias("line_no"), F.col("level").cast("long").alias("level"), headings.title(F.col("line")).alias("title"))
+
+
+def document_sections(spark, d):
+    return semantic.sections(_docs(spark, d)).withColumn("text_hash", F.sha1("text")).drop("text")
+
+
+def _long(df, *names):
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def section_tree(spark, d):
+    rows = semantic.tree(_docs(spark, d)).select("doc_id", F.posexplode("nodes").alias("node_ord", "x")).select("doc_id", "node_ord", "x.*")
+    return _long(rows.withColumn("text_hash", F.sha1("text")).drop("text"), "node_ord", "level", "page_start", "page_end")
+
+
+def merged_sections(spark, d):
+    rows = semantic.merged_sections(semantic.tree(_docs(spark, d)), 128).select("doc_id", F.posexplode("merged").alias("section_ord", "x")).select("doc_id", "section_ord", "x.*")
+    return _long(rows.withColumn("text_hash", F.sha1("text")).drop("text"), "section_ord", "page_start", "page_end")
+
+
+def semantic_chunks(spark, d):
+    return semantic.semantic_chunks(_docs(spark, d), 256, 32).withColumn("text_hash", F.sha1("text")).drop("text", "source")
 
 
 def word_window_chunks(spark, d):
@@ -220,7 +252,7 @@ def breaker_failure_rate(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, heading_lines, word_window_chunks, page_limit_chunks, chunk_coverage,
+    normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, heading_lines, math_marks, heading_levels, document_sections, section_tree, merged_sections, semantic_chunks, word_window_chunks, page_limit_chunks, chunk_coverage,
     chunk_neighbors, split_manifest, kind_quota, chunk_scores, target_plan, pending_targets, pending_chunks, question_types, example_ids,
     evidence_resolution, curation_reasons, curation_summary, training_records, review_sample, report_counts, examples_filtered_page, examples_search,
     type_distribution, per_job_counts, score_histogram, editor_accept, editor_reject, job_latest_state, active_job, event_tail, retry_backoff, breaker_failure_rate,
