@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
 
@@ -52,3 +53,62 @@ def coverage(chunks: DataFrame, paged: DataFrame, density: int = 20) -> DataFram
         "doc_id", "page_count", pages_covered.alias("pages_covered"), F.bround(pages_covered / F.greatest(F.col("page_count"), F.lit(1)), 4).alias("coverage_ratio"),
         F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), expected.alias("expected_min_chunks"),
     )
+
+
+def lexical_neighbors(chunks: DataFrame, most: int = 2) -> DataFrame:
+    """``chunk_id, neighbors``: the chunks before and after; the first and the last of a document get the earliest others that share a word, up to ``most``.
+
+    One shuffle, by document; only the end chunks' words meet those of the rest.
+    """
+    order = Window.partitionBy("doc_id").orderBy("chunk_ord")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = chunks.select("doc_id", "chunk_id", "chunk_ord", F.explode(F.array(T.token_set(F.col("text")))).alias("words"))
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(whole))
+    rows = rows.withColumns({"head": F.first("words").over(whole), "tail": F.last("words").over(whole), "before": F.lag("chunk_id").over(order), "after": F.lead("chunk_id").over(order)})
+    hit = lambda end, far: F.when(far & F.arrays_overlap("words", end), F.struct("place", "chunk_id"))
+    rows = rows.withColumn("to_head", hit("head", F.col("place") > 2)).withColumn("to_tail", hit("tail", F.col("place") < F.col("n") - 1))
+    rows = rows.withColumns({"for_head": F.min("to_head").over(whole), "for_tail": F.min("to_tail").over(whole)})
+    extra = F.when(F.col("place") == 1, F.col("for_head.chunk_id")).when(F.col("place") == F.col("n"), F.col("for_tail.chunk_id"))
+    return rows.select("chunk_id", F.slice(F.filter(F.array("before", "after", extra), lambda x: x.isNotNull()), 1, min(most, 2)).alias("neighbors"))
+
+
+def page_batches(chunks: DataFrame, budget: int = 100) -> DataFrame:
+    """``doc_id, chunk_id, batch_no``: in order, chunks of a document while their distinct pages keep to ``budget``; a larger one stands alone.
+
+    A batch never crosses documents, so no task needs more than one document's
+    page ranges. Ranges start no earlier than those before them.
+    """
+    per = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "chunk_id", F.col("page_start").cast("long").alias("a"), F.col("page_end").cast("long").alias("b")))).alias("c"))
+    none = F.lit(0).cast("long")
+    start = F.struct(F.array().cast("array<long>").alias("nos"), none.alias("no"), none.alias("pages"), none.alias("last"))
+
+    def step(s, c):
+        more = F.greatest(c["b"] - F.greatest(c["a"] - 1, s["last"]), none)
+        new = (s["pages"] > 0) & (s["pages"] + more > budget)
+        no = F.when(new, s["no"] + 1).otherwise(s["no"])
+        return F.struct(F.concat(s["nos"], F.array(no)).alias("nos"), no.alias("no"), F.when(new, c["b"] - c["a"] + 1).otherwise(s["pages"] + more).alias("pages"), F.greatest(c["b"], F.when(new, none).otherwise(s["last"])).alias("last"))
+
+    folded = per.select("doc_id", F.inline(F.arrays_zip(F.transform("c", lambda x: x["chunk_id"]).alias("chunk_id"), F.aggregate("c", start, step)["nos"].alias("batch_no"))))
+    return folded.toDF("doc_id", "chunk_id", "batch_no")
+
+
+def needs_fallback(chunks: DataFrame, paged: DataFrame, target: int, overlap: int) -> DataFrame:
+    """``doc_id, fallback`` for documents without sections of their own: are headings' chunks too few for their words or pages?"""
+    per = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("page_end").alias("last"))
+    rows = paged.select("doc_id", F.size("pages").alias("page_count"), F.aggregate("pages", F.lit(0).cast("long"), lambda n, p: n + T.word_count(p)).alias("tokens")).join(per, "doc_id", "left")
+    expected = 1 + F.ceil((F.col("tokens") - target) / max(1, target - overlap))
+    few = F.when(F.col("n").isNull(), True).when(F.col("page_count") <= 1, False).when(F.col("last") < F.col("page_count"), True).when(F.col("tokens") > target, (F.col("n") == 1) | (F.col("n") < expected)).otherwise(False)
+    return rows.select("doc_id", few.alias("fallback"))
+
+
+def dense_windows(paged: DataFrame, density: int = 20) -> DataFrame:
+    """``doc_id, chunk_ord, page_start, page_end, text``: page windows short enough for the least number of chunks expected."""
+    n = F.size("pages")
+    least = F.when(n <= 1, 1).otherwise(F.greatest(F.lit(2), F.ceil(n / density))).cast("int")
+    width = F.greatest(F.lit(1), F.floor(n / least)).cast("int")
+    cut = paged.where(n > 0).select("doc_id", "pages", width.alias("width"))
+    starts = F.sequence(F.lit(1), F.size("pages"), F.col("width"))
+    cut = cut.select("doc_id", F.posexplode(F.filter(F.transform(starts, lambda s: F.struct(
+        s.alias("page_start"), F.least(s + F.col("width") - 1, F.size("pages")).alias("page_end"), F.array_join(F.filter(F.slice("pages", s, F.col("width")), lambda p: p != ""), "\n\n").alias("text"),
+    )), lambda c: c["text"] != "")).alias("chunk_ord", "c"))
+    return cut.select("doc_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "c.*")

@@ -80,3 +80,18 @@ def edges_by_job(curated: DataFrame) -> DataFrame:
     return curated.groupBy("job_id", "split").agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
 
 
+PATCHABLE = ("question", "answer", "evidence", "question_type", "difficulty", "reasoning", "is_answerable")
+
+
+def patch(curated: DataFrame, patches: DataFrame) -> DataFrame:
+    """``curated`` with the fields that ``patches`` (one row an example_id; null: unchanged) gives; scores and verdicts stay."""
+    given = [c for c in patches.columns if c in PATCHABLE and c in curated.columns]
+    new = patches.select("example_id", *[F.col(c).alias(f"new_{c}") for c in given])
+    joined = curated.join(new, "example_id", "left")
+    return joined.withColumns({c: F.coalesce(f"new_{c}", c) for c in given}).select(*curated.columns)
+
+
+def delete(curated: DataFrame, ids: DataFrame) -> DataFrame:
+    """Without the rows of these ids in the bucket they are found in: the accepted, if any of the id is, else the rejected."""
+    found = curated.join(ids.select("example_id").distinct(), "example_id", "left_semi").groupBy("example_id").agg(F.max(F.col("reason").isNull()).alias("from_accepted"))
+    return curated.join(found, "example_id", "left").where(F.col("from_accepted").isNull() | (F.col("from_accepted") != F.col("reason").isNull())).drop("from_accepted")

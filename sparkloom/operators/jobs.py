@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import deque
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,3 +38,65 @@ def failure_rate(events: DataFrame, window: int = 20, least: int = 5, threshold:
     recent = Window.partitionBy("job_id").orderBy("event_id").rowsBetween(-(window - 1), 0)
     rate = F.bround(F.avg("failed").over(recent), 3)
     return outcome.select("event_id", "job_id", rate.alias("failure_rate"), ((F.count("*").over(recent) >= least) & (F.avg("failed").over(recent) >= threshold)).alias("tripped"))
+
+
+def error_class(status: Column, message: Column) -> Column:
+    """``ok``, ``retryable``, ``permanent`` or, for a reply that is no JSON, ``malformed`` (asked again as well)."""
+    return (
+        F.when(status.isin(401, 403), "permanent").when(status == 400, "permanent").when(status.isNull() | (status == 408) | (status == 429) | (status >= 300), "retryable")
+        .when(F.try_parse_json(message).isNull(), "malformed").otherwise("ok")
+    )
+
+
+def breaker_states(calls: DataFrame, window: int = 20, threshold: float = 0.5, least: int = 5, cooldown: float = 30.0, successes: int = 2) -> DataFrame:
+    """``name, seq, state, refused``: each call's effect on its breaker, for ``calls(name, seq, at seconds, failed)``.
+
+    A true state machine, so a breaker's calls are read in order; they are
+    sorted by Spark, stream through in batches and leave only ``window``
+    outcomes in memory.
+    """
+    def run(frames):
+        name, state, recent, opened, good = None, "closed", deque(maxlen=window), 0.0, 0
+        for frame in frames:
+            states, refused = [], []
+            for who, at, failed in zip(frame["name"], frame["at"], frame["failed"], strict=True):
+                if who != name:
+                    name, state, recent, good = who, "closed", deque(maxlen=window), 0
+                refuse = state == "open" and at - opened < cooldown
+                if state == "open" and not refuse:
+                    state, good = "half_open", 0
+                if not refuse:
+                    recent.append(failed)
+                    good += not failed
+                    if failed and (state == "half_open" or (len(recent) >= least and sum(recent) / len(recent) >= threshold)):
+                        state, opened = "open", at
+                    elif state == "half_open" and good >= successes:
+                        state = "closed"
+                        recent.clear()
+                states.append(state)
+                refused.append(refuse)
+            yield frame[["name", "seq"]].assign(state=states, refused=refused)
+
+    ordered = calls.select("name", "seq", F.col("at").cast("double").alias("at"), F.col("failed").cast("boolean").alias("failed")).repartition("name").sortWithinPartitions("name", "seq")
+    return ordered.mapInPandas(run, "name string, seq long, state string, refused boolean")
+
+
+# Fixed values.
+PHASES = ("ingest", "split", "generate_train", "judge_train", "generate_eval", "judge_eval", "export", "report")
+
+
+def first_phase(name: str | None, only_eval: bool = False) -> str | None:
+    """A phase by its name; ``generate`` and ``judge`` stand for that of train, or of eval."""
+    name = f"{name}_{'eval' if only_eval else 'train'}" if name in ("generate", "judge") else name
+    if name is not None and name not in PHASES:
+        raise ValueError(f"unknown phase: {name}")
+    return name
+
+
+def phase_plan(runs: DataFrame) -> DataFrame:
+    """``run_id, phase, ord, runs`` for ``runs(run_id, completed array, resume, from_phase)``: from the phase named on, or what a resumed run has not done."""
+    names = F.array(*map(F.lit, PHASES))
+    rows = runs.select("*", F.posexplode(names).alias("ord", "phase"))
+    start = F.array_position(names, F.col("from_phase")) - 1
+    todo = F.when(F.col("from_phase").isNotNull(), F.col("ord") >= start).otherwise(~(F.col("resume") & F.array_contains("completed", F.col("phase"))))
+    return rows.select("run_id", "phase", F.col("ord").cast("long").alias("ord"), todo.alias("runs"))

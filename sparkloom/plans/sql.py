@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from sparkloom.functions import text as T
-from sparkloom.plans import semantic_sql
 from sparkloom.plans.base_sql import TITLE, UPPER, any_of, sq, w
 
 TOKENS = f"tok AS (SELECT doc_id, len({w('text')})::BIGINT AS tokens FROM documents)"
@@ -101,4 +100,3 @@ SQL = {
     "retry_backoff": "SELECT attempt, least(0.25 * pow(2.0, attempt - 1), 30.0)::DOUBLE AS wait_s FROM (SELECT unnest(range(1, 13)) AS attempt)",
     "breaker_failure_rate": f"WITH {EVENTS}, o AS (SELECT *, (status = 'failed')::INT AS failed FROM ev WHERE status IN ('completed', 'failed')) SELECT event_id, job_id, round_even(avg(failed) OVER r, 3)::DOUBLE AS failure_rate, count(*) OVER r >= 5 AND avg(failed) OVER r >= 0.5 AS tripped FROM o WINDOW r AS (PARTITION BY job_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
 }
-SQL |= semantic_sql.SQL

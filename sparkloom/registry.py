@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions import headings, maths
 from sparkloom.functions import text as T
-from sparkloom.operators import chunking, curation, dashboard, jobs, planning, semantic
-from sparkloom.plans.sql import SQL  # noqa: F401
+from sparkloom.operators import chunking, curation, dashboard, generation, jobs, planning, reporting, semantic
+from sparkloom.plans.build_sql import SQL  # noqa: F401
 from sparkloom.sources import tables
 from sparkloom.sources.tables import table
 
@@ -251,9 +251,123 @@ def breaker_failure_rate(spark, d):
     return jobs.failure_rate(_events(spark, d))
 
 
+def lexical_neighbors(spark, d):
+    return chunking.lexical_neighbors(_chunks(spark, d)).select("chunk_id", F.array_join("neighbors", ",").alias("neighbors"))
+
+
+def page_batches(spark, d):
+    return chunking.page_batches(_chunks(spark, d), 10)
+
+
+def coverage_fallback(spark, d):
+    return chunking.needs_fallback(semantic.semantic_chunks(_docs(spark, d), 256, 32), tables.paged_documents(_docs(spark, d)), 256, 32)
+
+
+def dense_windows(spark, d):
+    return _long(chunking.dense_windows(tables.paged_documents(_docs(spark, d)), 2).withColumn("text_hash", F.sha1("text")).drop("text"), "page_start", "page_end")
+
+
+def _described(spark, d):
+    return _chunks(spark, d).withColumn("chunk_seq", F.col("doc_id") * 10000 + F.col("chunk_ord")).withColumnRenamed("source", "batch").withColumn("heading", F.lit(""))
+
+
+def chunk_summaries(spark, d):
+    return generation.summaries(_described(spark, d)).select("batch", "summary", F.sha1("context").alias("context_hash"))
+
+
+def _contexts(spark, d):
+    chunks = _described(spark, d).join(chunking.lexical_neighbors(_chunks(spark, d)), "chunk_id")
+    return generation.contexts(target_plan(spark, d), chunks)
+
+
+def _prompts(spark, d):
+    return generation.prompts(_contexts(spark, d), generation.summaries(_described(spark, d)))
+
+
+def generation_prompts(spark, d):
+    return _prompts(spark, d).select("batch", "kind", "pick", "chunk_id", "asked", F.sha1("system").alias("system_hash"), F.sha1("user").alias("user_hash"))
+
+
+def generated_examples(spark, d):
+    prompted = _prompts(spark, d)
+    rows = generation.judge_prompts(generation.examples_of(generation.generate(prompted, generation.EchoTeacher()), prompted))
+    return rows.select(
+        "batch", "kind", "pick", "chunk_id", "example_id", "question_type", "is_answerable", "matches", "attempts", F.sha1("answer").alias("answer_hash"), F.size("evidence").cast("long").alias("n_evidence"),
+        F.sha1(F.array_join("evidence", "|")).alias("evidence_hash"), F.sha1(F.concat("judge_system", "judge_user")).alias("judge_hash"), F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"),
+    )
+
+
+def judge_scores(spark, d):
+    x = F.concat(F.lit("0."), (50 + F.col("example_ord") % 50).cast("string"))
+    quote = F.when(F.col("example_ord") % 7 == 2, '"').otherwise("")
+    body = F.concat(F.lit('{"relevance": 0.5, "groundedness": '), quote, x, quote, F.lit(', "format": 1, "difficulty": 0.25, "overall": '), x, F.lit(', "rationale": "ok"}'))
+    raw = F.when(F.col("example_ord") % 7 == 0, "no JSON").when(F.col("example_ord") % 7 == 1, F.replace(body, F.lit('"overall"'), F.lit('"total"'))).otherwise(body)
+    return generation.judge_scores(_examples(spark, d).select("example_ord", raw.alias("response"))).drop("response")
+
+
+def score_reuse(spark, d):
+    ex = _examples(spark, d)
+    scored = ex.where("doc_id % 2 = 0").select("example_id", F.col("example_ord").alias("seq"), "overall", "groundedness")
+    return generation.adopt_scores(ex, scored).select("example_ord", "overall", "groundedness")
+
+
+def dataset_mode(spark, d):
+    return reporting.dataset_mode(split_manifest(spark, d))
+
+
+def export_guard(spark, d):
+    return reporting.export_guard(_curated(spark, d), dataset_mode(spark, d))
+
+
+def review_fill(spark, d):
+    return reporting.review_fill(_curated(spark, d).where("reason is null"), 200)
+
+
+def report_lines(spark, d):
+    return reporting.report(_curated(spark, d), dataset_mode(spark, d), _docs(spark, d), _chunks(spark, d))
+
+
+def editor_patch(spark, d):
+    c = _curated(spark, d)
+    patches = c.where("doc_id % 9 = 0").groupBy("example_id").agg(F.lit("edited").alias("question"))
+    return curation.patch(c, patches).select("example_ord", "example_id", F.sha1("question").alias("question_hash"), "reason")
+
+
+def editor_delete(spark, d):
+    c = _curated(spark, d)
+    return curation.delete(c, c.where("doc_id % 4 = 1").select("example_id")).select("example_ord", "reason")
+
+
+def call_errors(spark, d):
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_id") % 9 == 8, None).otherwise(F.element_at(F.array(*map(F.lit, (200, 200, 400, 401, 403, 408, 429, 503))), (F.col("event_id") % 9 + 1).cast("int")))
+    message = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("<html>")
+    return e.groupBy(jobs.error_class(status, message).alias("error_class")).agg(F.count("*").alias("n"))
+
+
+def breaker_states(spark, d):
+    e = table(spark, d, "events")
+    calls = e.select(F.concat(F.lit("job-"), (F.col("user_id") % 20).cast("string")).alias("name"), F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.hash("event_id") % 3 != 0).alias("failed"))
+    return jobs.breaker_states(calls)
+
+
+def phase_plan(spark, d):
+    k = F.col("id")
+    names = F.array(*map(F.lit, jobs.PHASES))
+    runs = spark.range(0, 24).select(k.alias("run_id"), F.slice(names, 1, (k % 8).cast("int")).alias("completed"), (k < 16).alias("resume"), F.when(k % 5 == 4, F.element_at(names, (k % 8 + 1).cast("int"))).alias("from_phase"))
+    return jobs.phase_plan(runs)
+
+
+def text_measures(spark, d):
+    w, h = F.col("n_chars") % 3000, F.col("doc_id") % 2000
+    return _docs(spark, d).select("doc_id", T.image_tokens(w, h).alias("image_tokens"), T.language_name(F.col("lang")).alias("language"), T.truncated(F.col("text"), 40).alias("shown"), F.size(T.token_set(F.col("text"))).cast("long").alias("n_distinct"), T.language(F.col("text")).alias("detected"))
+
+
 QUERIES = {f.__name__: f for f in (
     normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, heading_lines, math_marks, heading_levels, document_sections, section_tree, merged_sections, semantic_chunks, word_window_chunks, page_limit_chunks, chunk_coverage,
     chunk_neighbors, split_manifest, kind_quota, chunk_scores, target_plan, pending_targets, pending_chunks, question_types, example_ids,
     evidence_resolution, curation_reasons, curation_summary, training_records, review_sample, report_counts, examples_filtered_page, examples_search,
     type_distribution, per_job_counts, score_histogram, editor_accept, editor_reject, job_latest_state, active_job, event_tail, retry_backoff, breaker_failure_rate,
+    lexical_neighbors, page_batches, coverage_fallback, dense_windows, chunk_summaries, generation_prompts, generated_examples, judge_scores, score_reuse, dataset_mode,
+    export_guard, review_fill, report_lines, editor_patch, editor_delete, call_errors, breaker_states, phase_plan, text_measures,
 )}
