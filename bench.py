@@ -10,8 +10,7 @@ from pyspark.sql import SparkSession
 
 from sparkloom import registry
 
-HEADLINE = ("split_manifest", "word_window_chunks", "page_limit_chunks", "chunk_coverage", "target_plan", "curation_reasons", "training_records", "type_distribution", "job_latest_state", "breaker_failure_rate",
-            "math_marks", "document_sections", "semantic_chunks", "lexical_neighbors", "generation_prompts", "report_lines")
+HEADLINE = ("split_manifest", "word_window_chunks", "page_limit_chunks", "chunk_coverage", "target_plan", "curation_reasons", "training_records", "type_distribution", "job_latest_state", "breaker_failure_rate", "document_sections")
 
 
 def main() -> None:

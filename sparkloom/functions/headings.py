@@ -23,7 +23,7 @@ ANY_NUMBERED = "|".join(f"(?:{p})" for p in NUMBERED).replace("(.+)", ".+")
 
 def is_heading(line: Column) -> Column:
     """Up to 8 words in title or upper case, or a line that starts with ``#``; ``line`` is stripped."""
-    return (line != "") & (T.word_count(line) <= 8) & (T.is_title(line) | T.is_upper(line) | F.startswith(line, F.lit("#")))
+    return (line != "") & (F.startswith(line, F.lit("#")) | T.is_title(line) | T.is_upper(line)) & (T.word_count(line) <= 8)
 
 
 def level(line: Column) -> Column:

@@ -30,7 +30,7 @@ def is_formula(line: Column) -> Column:
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     short = F.length(line) < LONGEST
     operator = F.length(F.translate(line, OPERATORS, "")) < F.length(line)
-    return (symbols >= 2) | (short & (((symbols >= 1) & operator) | line.rlike(EQUATION)))
+    return (short & (line.rlike(EQUATION) | (operator & (symbols >= 1)))) | (symbols >= 2)
 
 
 def marked_lines(text: Column) -> Column:
@@ -40,9 +40,9 @@ def marked_lines(text: Column) -> Column:
     """
     spans = F.transform(F.regexp_extract_all(text, F.lit(SPAN), F.lit(0)), lambda s: F.concat(F.lit(TOUCHED), F.translate(s, ENDS, HELD)))
     woven = F.zip_with(F.split(text, SPAN, -1), spans, lambda part, s: F.concat(F.coalesce(part, F.lit("")), F.coalesce(s, F.lit(""))))
-    return F.transform(F.split(F.array_join(woven, ""), T.LINE_END), lambda x: F.struct(
-        x.alias("line"), F.contains(x, F.lit(TOUCHED)).alias("touched"), (~F.contains(x, F.lit(TOUCHED)) & is_formula(T.strip(x))).alias("formula"),
-    ))
+    # the stripped line first: a lambda's repeated terms are worked out each time
+    rows = F.transform(F.split(F.array_join(woven, ""), T.LINE_END), lambda x: F.struct(x.alias("line"), T.strip(x).alias("bare"), F.contains(x, F.lit(TOUCHED)).alias("touched")))
+    return F.transform(rows, lambda r: F.struct(r["line"].alias("line"), r["touched"].alias("touched"), (~r["touched"] & is_formula(r["bare"])).alias("formula")))
 
 
 def mark(lines: Column) -> Column:

@@ -45,12 +45,16 @@ def review_fill(accepted: DataFrame, size: int = 100) -> DataFrame:
 def report(curated: DataFrame, mode: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """``part, ord, line``: the Markdown report in order of both; built from aggregates only."""
     text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
-    c, top = F.col, lambda k, line: (F.lit(0).alias("part"), F.lit(k).alias("ord"), line.alias("line"))
+    c, row = F.col, lambda part, ord_, line: F.struct((ord_ if part else F.lit(ord_)).alias("ord"), line.alias("line"), F.lit(part).alias("part"))
+    shown = lambda df, *rows: df.select(F.explode(F.array(*rows)).alias("r")).select("r.part", "r.ord", "r.line")
     clean = text("- Eval limpio por doc_id: ", F.when(c("clean_eval"), "si").otherwise("no"))
-    head = mode.select(*top("0", text("- Modo: ", c("label")))).union(mode.select(*top("3", clean))).union(mode.select(*top("4", text("- Aptitud: ", c("aptitude")))))
-    sizes = documents.agg(F.count("*").alias("n")).select(*top("1", text("- Documentos: ", c("n")))).union(chunks.agg(F.count("*").alias("n")).select(*top("2", text("- Chunks: ", c("n")))))
-    per = curated.groupBy("split").agg(F.count("*").alias("n"), F.count_if(c("reason").isNull()).alias("ok"))
-    made = per.select(F.lit(1), "split", text("- ", c("split"), ": ", c("n")))
-    kept = per.select(F.lit(2), "split", text("- ", c("split"), ": accepted=", c("ok"), " rejected=", c("n") - c("ok"), " total=", c("n")))
-    why = curated.where("reason is not null").groupBy("split", "reason").agg(F.count("*").alias("n")).select(F.lit(2), F.concat_ws("/", "split", "reason"), text("  - ", c("reason"), ": ", c("n")))
-    return head.union(sizes).union(made).union(kept).union(why)
+    head = shown(mode, row(0, "0", text("- Modo: ", c("label"))), row(0, "3", clean), row(0, "4", text("- Aptitud: ", c("aptitude"))))
+    for k, name, df in (("1", "Documentos", documents), ("2", "Chunks", chunks)):
+        head = head.union(shown(df.agg(F.count("*").alias("n")), row(0, k, text(f"- {name}: ", c("n")))))
+    # a handful of reasons in each split
+    counts = curated.groupBy("split", "reason").agg(F.count("*").alias("n"))
+    per = counts.groupBy("split").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(c("reason").isNull(), c("n"))), F.lit(0)).alias("ok"), F.collect_list(F.when(c("reason").isNotNull(), F.struct("reason", "n"))).alias("why"))
+    why = F.transform("why", lambda r: row(2, F.concat_ws("/", c("split"), r["reason"]), text("  - ", r["reason"], ": ", r["n"])))
+    kept = text("- ", c("split"), ": accepted=", c("ok"), " rejected=", c("n") - c("ok"), " total=", c("n"))
+    lines = F.concat(F.array(row(1, c("split"), text("- ", c("split"), ": ", c("n"))), row(2, c("split"), kept)), why)
+    return head.union(per.select(F.explode(lines).alias("r")).select("r.part", "r.ord", "r.line"))
