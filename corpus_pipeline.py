@@ -24,8 +24,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    gone = written(near_dups.near_duplicates(docs).where("not kept").select("doc_id"), "copies")
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    gone = written(near_dups.near_duplicates(docs, percent=80, words=5).where("not kept").select("doc_id"), "copies")
     asked = marked(docs, "doc_id", gone)
     return asked.where("not may").union(asked.where("may").join(gone, "doc_id", "left_anti").select(asked.columns)).select(docs.columns)
 

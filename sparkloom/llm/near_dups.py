@@ -2,7 +2,9 @@
 
 A document is its set of distinct word shingles. Equal sets are folded first.
 Each remaining set gets a MinHash signature of ``TREES * DEPTH`` values; tree t
-orders the sets by its own ``DEPTH`` values. Neighbours with a long common
+orders the sets by its own ``DEPTH`` values, and tree ``TREES + t`` by those of
+tree t with the last first, so their prefixes share no value. Lower similarities
+take more trees. Neighbours with a long common
 prefix are candidates: a region of equal prefixes of length ``SHALLOW`` whose
 size is small gives all its pairs, a larger one is cut at ever longer prefixes.
 Candidates are checked on full sets before they count as links.
@@ -10,6 +12,7 @@ Candidates are checked on full sets before they count as links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +31,28 @@ REGION, STARS = 16, (SHALLOW, 6, DEPTH)
 STRAY_BLOCK, ROW_BLOCK = 256, 1024
 #: Rows of one region that are cut further at once.
 REGION_CHUNK = 4096
-#: Share of equal signature values under which a pair is not checked: 4.7
-#: standard deviations below a similarity of 0.85.
-SKETCH_MARGIN = 0.15
+#: Chance that no tree has a pair of the least similarity with equal prefixes.
+MISSED = 1e-5
+#: A pair is not checked when its share of equal signature values is so many
+#: standard deviations below the least similarity.
+SKETCH_DEVIATIONS = 4.75
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+def trees_for(percent: int) -> int:
+    """Trees that keep MISSED at this similarity: 16 at 85, 22 at 80. No more than
+    ``2 * TREES``, which holds down to 75; lower ones are missed more often."""
+    alike = (percent / 100) ** SHALLOW
+    return min(2 * TREES, math.ceil(math.log(MISSED) / math.log(1 - alike))) if alike < 1 else 1
+
+
+def sketch_floor(percent: int) -> float:
+    """Share of equal signature values under which a pair is not checked."""
+    s = percent / 100
+    return s - SKETCH_DEVIATIONS * math.sqrt(s * (1 - s) / BINS)
+
+
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, and where each text's begin."""
     h, begin = tv.all_words(buf, offsets, tv.NOT_SPACE)
@@ -143,22 +161,23 @@ def region_pairs(node: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
+def candidate_pairs(sets: DataFrame, trees: int = TREES) -> DataFrame:
     """``a, b, region``: pairs a < b of ``sets(node, sig)`` that neighbour in some
-    tree, with a null region; and the rows of large regions, as ``a`` and ``region``."""
+    of the first ``trees`` trees, with a null region; and the rows of large regions, as ``a`` and ``region``."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH).astype(np.uint64)
+            sig = np.concatenate([sig, sig[:, :, ::-1]], axis=1)[:, :trees]
             prefix, rest = sig[:, :, 0], np.zeros(sig.shape[:2], np.uint64)
             for k in range(1, SHALLOW):
                 prefix = prefix << np.uint64(16) | sig[:, :, k]
             for k in range(SHALLOW, DEPTH):
                 rest = rest << np.uint64(16) | sig[:, :, k]
-            tree = np.tile(np.arange(TREES, dtype=np.int32), len(sig))
-            node = np.repeat(batch.column(0).to_numpy(), TREES)
+            tree = np.tile(np.arange(trees, dtype=np.int32), len(sig))
+            node = np.repeat(batch.column(0).to_numpy(), trees)
             yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(prefix.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)), pa.array(node)], names=["tree", "prefix", "rest", "node"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +271,7 @@ def stray_links(hot: DataFrame, labels: DataFrame, classes: DataFrame, texts: Da
         a, b = [], []
         for x in np.flatnonzero(stray):
             alike = (sig[rest] == sig[x]).mean(axis=1)
-            fits = (alike >= percent / 100 - SKETCH_MARGIN) & (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+            fits = (alike >= sketch_floor(percent)) & (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
             close = rest[fits][np.argsort(-alike[fits], kind="stable")]
             for y in close:
                 p, q = top(int(label[x])), top(int(label[y]))
@@ -320,9 +339,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3) -> DataF
     x, y = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     named_texts = texts.where("doc_id is not null").toDF("node", "text")
-    found = written(candidate_pairs(classes), "found")
+    found = written(candidate_pairs(classes, trees_for(percent)), "found")
     near = found.where("region is null").select("a", "b").distinct().join(x, "a").join(y, "b").where(fits)
-    near = written(_similar(near, percent / 100 - SKETCH_MARGIN), "near")
+    near = written(_similar(near, sketch_floor(percent)), "near")
     grouped = components(confirm(near, named_texts, percent, words), "links")
     hot = found.where("region is not null").select("region", F.col("a").alias("node"))
     if not hot.isEmpty():

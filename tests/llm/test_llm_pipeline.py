@@ -32,3 +32,38 @@ def test_stages(spark, tmp_path):
     assert 201 in after and leak not in after[201] and set(range(60)) <= set(after)
     assert ids[5] == set(after)
     assert cp.run(spark, str(tmp_path)).count() == kept[5].count()
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for size, added in ((100, 20), (45, 0), (100, 30), (90, 15), (60, 0)):  # copies with a block added, or with one word changed
+        base = [word() for _ in range(size)]
+        other = base + [word() for _ in range(added)]
+        if not added:
+            other[size // 2] = word()
+        texts += [base, other]
+    family = [word() for _ in range(120)]
+    for _ in range(60):  # a large region, on either side of the limit
+        w = list(family)
+        for _ in range(rnd.randint(0, 4)):
+            w[rnd.randrange(len(w))] = word()
+        texts.append(w + [word() for _ in range(rnd.randint(0, 15))])
+
+    def linked(i, j, n, percent):
+        a, b = ({tuple(t[k : k + n]) for k in range(len(t) - n + 1)} for t in (texts[i], texts[j]))
+        return 100 * len(a & b) >= percent * len(a | b)
+
+    def tops(n, percent):
+        top = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if top[i] != top[j] and linked(i, j, n, percent):
+                    top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+        return {i for i in range(len(texts)) if top[i] == i}
+
+    want = tops(5, 80)
+    assert want != tops(3, 85)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_copies(spark, docs, "").collect()} == want
