@@ -161,6 +161,53 @@ def region_pairs(node: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def region_rows(batches: Iterator[pa.RecordBatch], chunk: int = REGION_CHUNK) -> Iterator[pa.RecordBatch]:
+    """``a, b, region`` of :func:`candidate_pairs` from rows ``tree, prefix, rest, node`` in order.
+
+    A region of over ``chunk`` rows that goes on in the next batch is cut; all
+    its rows come out as those of a large region, however few follow.
+    """
+    held: list[np.ndarray] = []
+    cut = False  # whether the rows held are of a region that came out in part
+    for batch in batches:
+        tree, prefix, rest, node = (batch.column(k).to_numpy() for k in range(4))
+        now = [tree.astype(np.int64), prefix, rest.view(np.uint64), node]
+        if held:
+            now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(now[0]) | np.diff(now[1])) + 1, [len(now[0])]])
+        last = cuts[-2]
+        yield from _emit(now, cuts[:-1], cut)
+        cut = cut and last == 0
+        if len(now[0]) - last > chunk:
+            # a very large region: this part of its sorted order is cut further, and its last row goes on as a neighbour
+            yield from _emit(now, [last, len(now[0])], cut)
+            held, cut = [x[-1:] for x in now], True
+        else:
+            held = [x[last:] for x in now]
+    if held:
+        yield from _emit(held, [0, len(held[0])], cut)
+
+
+def _emit(cols: list[np.ndarray], cuts, first_large: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of the regions between ``cuts``, and the rows of the large ones; the first is large if so told."""
+    cuts = np.asarray(cuts)
+    found, large, region = [], [], []
+    for k in np.flatnonzero(np.diff(cuts) > 1):
+        a, b = cuts[k], cuts[k + 1]
+        found += region_pairs(cols[3][a:b], cols[2][a:b])
+        if b - a > REGION or (first_large and k == 0):
+            large.append(cols[3][a:b])
+            region.append(np.full(b - a, tv.mix(cols[1][a : a + 1].view(np.uint64) * _C[0] + cols[0][a : a + 1].astype(np.uint64)).view(np.int64)[0]))
+    if found:
+        pairs = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "region"])
+    if large:
+        nodes = np.concatenate(large)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(np.concatenate(region))], names=["a", "b", "region"])
+
+
 def candidate_pairs(sets: DataFrame, trees: int = TREES) -> DataFrame:
     """``a, b, region``: pairs a < b of ``sets(node, sig)`` that neighbour in some
     of the first ``trees`` trees, with a null region; and the rows of large regions, as ``a`` and ``region``."""
@@ -180,46 +227,9 @@ def candidate_pairs(sets: DataFrame, trees: int = TREES) -> DataFrame:
             node = np.repeat(batch.column(0).to_numpy(), trees)
             yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(prefix.ravel().view(np.int64)), pa.array(rest.ravel().view(np.int64)), pa.array(node)], names=["tree", "prefix", "rest", "node"])
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            tree, prefix, rest, node = (batch.column(k).to_numpy() for k in range(4))
-            now = [tree.astype(np.int64), prefix, rest.view(np.uint64), node]
-            if held:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(now[0]) | np.diff(now[1])) + 1, [len(now[0])]])
-            last = cuts[-2]
-            if len(now[0]) - last > REGION_CHUNK:
-                # a very large region: this part of its sorted order is cut further, and its last row goes on as a neighbour
-                yield from emit(now, [last, len(now[0])])
-                held = [x[-1:] for x in now]
-            else:
-                held = [x[last:] for x in now]
-            yield from emit(now, cuts[:-1])
-        if held:
-            yield from emit(held, [0, len(held[0])])
-
-    def emit(cols: list[np.ndarray], cuts) -> Iterator[pa.RecordBatch]:
-        cuts = np.asarray(cuts)
-        found, large, region = [], [], []
-        for k in np.flatnonzero(np.diff(cuts) > 1):
-            a, b = cuts[k], cuts[k + 1]
-            found += region_pairs(cols[3][a:b], cols[2][a:b])
-            if b - a > REGION:
-                large.append(cols[3][a:b])
-                region.append(np.full(b - a, tv.mix(cols[1][a : a + 1].view(np.uint64) * _C[0] + cols[0][a : a + 1].astype(np.uint64)).view(np.int64)[0]))
-        if found:
-            pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "region"])
-        if large:
-            nodes = np.concatenate(large)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(np.concatenate(region))], names=["a", "b", "region"])
-
     rows = sets.select("node", "sig").mapInArrow(explode, "tree int, prefix long, rest long, node long")
     ordered = rows.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "rest", "node")
-    return ordered.mapInArrow(neighbours, "a long, b long, region long")
+    return ordered.mapInArrow(region_rows, "a long, b long, region long")
 
 
 def stray_links(hot: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,20 @@ def test_near_duplicates(spark):
     assert near_dups.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_after_the_cut_of_a_large_region_stay_region_rows():
+    def rows(prefix, nodes):
+        n = len(nodes)
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(prefix, pa.int64()), pa.array(nodes, pa.int64()), pa.array(nodes, pa.int64())], names=["tree", "prefix", "rest", "node"])
+
+    parts = [rows([5] * 40, range(40)), rows([5] * 3, range(40, 43)), rows([5] * 4 + [6] * 3, range(43, 50)), rows([6], [50])]
+    out = [r for batch in near_dups.region_rows(iter(parts), chunk=30) for r in batch.to_pylist()]
+    hot = {r["a"] for r in out if r["region"] is not None}
+    assert hot == set(range(47)) and len({r["region"] for r in out if r["region"] is not None}) == 1
+    pairs = {(r["a"], r["b"]) for r in out if r["region"] is None}
+    assert {(k, k + 1) for k in range(46)} <= pairs and {(a, b) for a in range(47, 51) for b in range(a + 1, 51)} <= pairs
+    assert not any(a < 47 <= b for a, b in pairs)
+
+
 def test_edit_distance_within():
     rnd = random.Random(1)
     for _ in range(2000):
