@@ -24,10 +24,17 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8.
+
+    Of rows with the same doc_id and text one stays, the least by its other
+    columns. Rows with a null doc_id take no part.
+    """
     gone = written(near_dups.near_duplicates(docs, percent=80, words=5).where("not kept").select("doc_id"), "copies")
-    asked = marked(docs, "doc_id", gone)
-    return asked.where("not may").union(asked.where("may").join(gone, "doc_id", "left_anti").select(asked.columns)).select(docs.columns)
+    again = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    asked = marked(docs, "doc_id", written(gone.union(again), "in-question"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = asked.where("may").join(gone, "doc_id", "left_anti").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("row"))
+    return asked.where("not may").select(docs.columns).union(rest.select("doc_id", "text", "row.*").select(docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

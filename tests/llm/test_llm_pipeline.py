@@ -67,3 +67,11 @@ def test_near_copies_at_five_words_and_four_fifths(spark):
     assert want != tops(3, 85)
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in cp.near_copies(spark, docs, "").collect()} == want
+
+
+def test_near_copies_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "en", "t", 1), (1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, "a B c d e f g", "en", "s", 1)]
+    rows += [(3, None, "en", None, None)] * 2 + [(None, "k l m", "en", "s", 1)] * 2 + [(4, "", None, None, 0), (5, "p q r s t u", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, cp.near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows[1], rows[4], rows[6], rows[7], rows[8], rows[9]], key=str)
