@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation with DataFrame functions only.
 
 Patterns find the protected entities (mail and IP addresses, card and phone
-numbers). Corpus co-occurrence then estimates how strongly a word near an
-entity reveals it: with N distinct texts, n_c holding the entity, n_t the word
-and n_ct both near each other, the word's pointwise mutual information with the
+numbers). Corpus co-occurrence then estimates how strongly a word in a text with
+an entity reveals it: with N distinct texts, n_c holding the entity, n_t the word
+outside of entities and n_ct both, the word's pointwise mutual information with the
 entity, log(n_ct N / (n_c n_t)), is compared with the entity's information
 content, log(N / n_c) (Sanchez and Batet, 2016). A share of 1 means that the
 word gives the entity away.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import marked, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns. Those of mail addresses, IP addresses and cards start
@@ -30,8 +30,6 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": None}
-#: Characters on either side of an entity that count as near it.
-NEAR = 100
 MIN_SUPPORT, THRESHOLD = 3, 0.8
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -118,30 +116,53 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
 
+def _outside() -> Column:
+    """The text of a row with a space for each of its base spans."""
+    spans = F.array_sort(F.flatten(F.array(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.lit(" ")).alias("out"))
+
+    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+
+
+def _single(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``digest, text`` of each distinct text; only those whose digest may be among ``repeated`` are shuffled."""
+    asked = marked(texts, "digest", repeated)
+    return asked.where("not may").select("digest", "text").union(asked.where("may").groupBy("digest").agg(F.first("text").alias("text")))
+
+
 def disclosing_terms(docs: DataFrame, held: DataFrame, min_support: int, threshold: float) -> DataFrame:
     """``kind, value, term, share``: words that reveal an entity by at least ``threshold``.
 
-    ``held`` has the rows of ``docs`` with base spans. Copies of a text count
-    once. A word must be near the entity in ``min_support`` distinct texts.
-    Pairs of an entity with the words near it are bounded by the entity's
-    occurrences; all other counts are sums that combine before a shuffle.
+    ``held`` has the rows of ``docs`` with base spans. All counts are of
+    distinct texts, and of the distinct words of each whole text outside of its
+    base spans. A word must be with the entity in ``min_support`` texts, so
+    entities in fewer are left out before their words are counted. Counts
+    combine before a shuffle; no join has words of texts on both sides.
     """
-    seen = held.select(F.xxhash64("text").alias("digest"), "text", F.explode(_entities()).alias("e"))
-    around = F.concat_ws(
-        " ",
-        F.regexp_replace(F.substring_index(F.expr(f"substring(text, greatest(e.start - {NEAR}, 0) + 1, least(e.start, {NEAR}))"), "\n", -1), r"^\p{L}+", ""),
-        F.regexp_replace(F.substring_index(F.expr(f"substring(text, e.end + 1, {NEAR})"), "\n", 1), r"\p{L}+$", ""),
-    )
-    near = seen.select("digest", "e.kind", "e.value", around.alias("around"))
-    pairs = near.select("digest", "kind", "value", F.explode(_words(F.col("around"))).alias("term")).distinct()
-    pairs = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_support)
+    digests = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    times = written(digests.groupBy("digest").agg(F.count("*").alias("times")), "digests")
+    n, repeated = times.count(), times.where("times > 1").select("digest")
+    held = held.withColumn("digest", F.xxhash64("text"))
+    seen = written(held.select("digest", F.explode(_entities()).alias("e")).select("digest", "e.kind", "e.value").distinct(), "seen")
+    n_c = seen.groupBy("kind", "value").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_support)
+    n_c = written(n_c, "entities")
+    about = seen.join(n_c, ["kind", "value"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "value")).alias("about"))
+    about = written(about, "about")
+    asked = marked(held, "digest", about.select("digest")).where("may")
+    texts = asked.select("digest", _outside().alias("outside")).groupBy("digest").agg(F.first("outside").alias("outside")).join(about, "digest")
+    pairs = texts.select("about", F.explode(_words(F.col("outside"))).alias("term")).select(F.explode("about").alias("e"), "term")
+    pairs = pairs.groupBy("e.kind", "e.value", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= min_support)
     pairs = written(pairs, "pairs")
-    n_c = near.select("digest", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_c"))
-    candidates = pairs.select("term").distinct()
-    corpus = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
-    n_t = corpus.join(candidates, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")).distinct().agg(F.count("*").alias("n"))
-    n = total.first()["n"]
+    whole = _single(digests, repeated).select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    # words that a text has in its base spans only
+    inside = held.select("digest", F.explode(F.array_except(_words(F.col("text")), _words(_outside()))).alias("term")).distinct()
+    inside = inside.groupBy("term").agg(F.count("*").alias("n_inside"))
+    terms = pairs.select("term").distinct()
+    n_t = terms.join(whole, "term").join(inside, "term", "left").select("term", (F.col("n") - F.coalesce("n_inside", F.lit(0))).alias("n_t"))
     share = F.log(F.col("n_ct") * F.lit(float(n)) / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_c"))
     scored = pairs.join(n_c, ["kind", "value"]).join(n_t, "term").withColumn("share", F.when(F.col("n_c") < n, share).otherwise(F.lit(0.0)))
     return scored.where(F.col("share") >= threshold).select("kind", "value", "term", "share")
@@ -160,8 +181,8 @@ def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float =
     """
     whole = docs.select("doc_id", "text")
     any_base = F.size(F.flatten(F.array(*[F.col(k) for k in KINDS]))) > 0
-    marked = base_spans(whole).withColumn("has", any_base)
-    base = written(marked.withColumn("text", F.when(F.col("has"), F.col("text"))), "base")
+    spans = base_spans(whole).withColumn("has", any_base)
+    base = written(spans.withColumn("text", F.when(F.col("has"), F.col("text"))), "base")
     held = base.where("has")
     terms = written(disclosing_terms(whole, held, min_support, threshold), "terms")
     by_doc = (

@@ -1,6 +1,8 @@
 """Tokens, chats, personal data, benchmark passages: exact results on small and odd inputs."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -94,6 +96,43 @@ def test_terms_that_give_an_entity_away(spark):
     assert sanitise.sanitise(docs.limit(0)).count() == 0
 
 
+def test_terms_on_other_lines_and_far_away_count(spark):
+    far = " ".join(["the writer said nothing"] * 10)
+    rows = [(i, f"Zorblax\nmail {i}: boss@firm.com\nand {far} Quuxley {i} boss@firm.com") for i in range(5)]
+    rows += [(10 + i, f"and {far} mail {i}") for i in range(20)] + [(40, rows[0][1]), (50, "firm boss")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = sanitise.base_spans(docs).where("size(email) > 0")
+    got = {(r.kind, r.value, r.term): round(r.share, 9) for r in sanitise.disclosing_terms(docs, held, 3, 0.8).collect()}
+    assert got == {("email", "boss@firm.com", "zorblax"): 1.0, ("email", "boss@firm.com", "quuxley"): 1.0}
+    out = {r.doc_id: r for r in sanitise.sanitise(docs).collect()}
+    assert [t.value for t in out[0].terms] == ["Zorblax", "Quuxley"] == [t.value for t in out[40].terms] and out[50].terms == []
+
+
+def test_shares_are_those_of_whole_texts(spark):
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("abcdef") for _ in range(4)) for _ in range(30)]
+    texts = []
+    for _ in range(80):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randint(1, 40))]
+        for mail in ("abcd@fade.com", "x@y.org"):
+            if rnd.random() < 0.2:
+                w.insert(rnd.randrange(len(w) + 1), mail)
+        texts.append("\n".join(w))
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:9], None])), "doc_id long, text string")
+    held = sanitise.base_spans(docs).where("size(email) > 0")
+    got = {(r.value, r.term): r.share for r in sanitise.disclosing_terms(docs, held, 3, 0.05).collect()}
+    bags = [(set(re.findall(PLAIN["email"][0].replace("(", "(?:"), t)), set(re.sub(PLAIN["email"][0], " ", t).split())) for t in {*texts, ""}]
+    want = {}
+    for mail in ("abcd@fade.com", "x@y.org"):
+        n_c = sum(mail in m for m, _ in bags)
+        for term in {x for _, w in bags for x in w}:
+            n_ct, n_t = sum(mail in m and term in w for m, w in bags), sum(term in w for _, w in bags)
+            share = math.log(n_ct * len(bags) / (n_c * n_t)) / math.log(len(bags) / n_c) if n_ct else 0
+            if n_ct >= 3 and share >= 0.05:
+                want[mail, term] = share
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_contamination(spark):
     words = [f"w{i}" for i in range(30)]
     items = [(1, " ".join(words[:15])), (2, "Short ITEM here"), (3, None), (4, ""), (5, " ".join(words[5:20]))]
