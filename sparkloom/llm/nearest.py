@@ -46,7 +46,10 @@ class VantagePointTree:
         return vantage, (dist[near[0]], dist[near[-1]]), (dist[far[0]], dist[far[-1]]), self._build(rows[near]), self._build(rows[far])
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
-        """Row numbers (queries x k), largest inner product first; -1 where rows are fewer."""
+        """Row numbers (queries x k), largest inner product first; -1 where rows are fewer.
+
+        Of rows tied at the edge the smaller numbers stay.
+        """
         q = np.ascontiguousarray(queries, dtype=np.float64)
         self._q = np.hstack([q, np.zeros((len(q), 1))])
         self._norm = np.einsum("ij,ij->i", q, q)
@@ -69,6 +72,9 @@ class VantagePointTree:
                 best = np.hstack([self._best[which], got])
                 rows = np.hstack([self._rows[which], np.broadcast_to(node, got.shape)])
                 top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                edge = np.take_along_axis(best, top, axis=1).min(axis=1)
+                tied = np.flatnonzero((best >= edge[:, None]).sum(axis=1) > k)
+                top[tied] = np.lexsort((rows[tied], -best[tied]))[:, :k]
                 self._best[which] = np.take_along_axis(best, top, axis=1)
                 self._rows[which] = np.take_along_axis(rows, top, axis=1)
             return
@@ -93,7 +99,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.6, shard_rows: int = 8192, query_rows: int = 4096
+    vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, query_rows: int = 4096
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` vectors of largest inner product.
 
@@ -126,6 +132,9 @@ def nearest_neighbours(
     def search(shard: pa.Table, block: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if shard.num_rows and block.num_rows:
+            # numbered by their least ids, which decide ties
+            least = np.array([i[0] for i in shard["ids"].to_pylist()])
+            shard = shard.take(pa.array(np.argsort(least, kind="stable")))
             x, q = matrix(shard["embedding"]), matrix(block["embedding"])
             names = block["vec_id"].to_numpy()
             rows = VantagePointTree(x).search(q, min(keep, len(x)), factor)

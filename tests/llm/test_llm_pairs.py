@@ -1,5 +1,6 @@
 """Near-duplicates, lines, packing, vectors and classifiers against brute force."""
 
+import inspect
 import random
 
 import numpy as np
@@ -173,6 +174,25 @@ def test_nearest(spark):
     assert nearest.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_trees_of_several_levels_prune_and_keep_ties():
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(40, 3)) * 5)[rng.integers(40, size=2000)] + rng.normal(size=(2000, 3)) * 0.05
+    q = x[::40]
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :10]
+    recall = {}
+    for factor in (1.0, 0.6):
+        got = nearest.VantagePointTree(x, leaf=8).search(q, 10, factor)
+        recall[factor] = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, want, strict=True)])
+    assert recall[1.0] == 1.0 and recall[0.6] < 0.5  # 0.218 as measured: the smaller factor loses neighbours here
+    tied = np.array([[1.0, y] for y in rng.permutation(2000)])
+    for leaf in (8, 4096):
+        assert set(nearest.VantagePointTree(tied, leaf=leaf).search(np.array([[1.0, 0.0]]), 10)[0]) == set(range(10))
+
+
+def test_nearest_is_exact_by_default():
+    assert inspect.signature(nearest.nearest_neighbours).parameters["factor"].default == 1.0
+
+
 def test_classifiers(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 8)))
