@@ -23,9 +23,13 @@ def _own_folder() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (tests on one machine) a temporary folder serves.
+    Where that is unset, a temporary folder serves a local master (tests on one
+    machine); on a cluster it is an error.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or _own_folder()).rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -49,22 +53,30 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def marked(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """``df`` with ``may``: whether its key may be among ``keys`` (one column).
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or with a number, so that it is none of ``columns`` (in any case)."""
+    taken, k = {c.lower() for c in columns}, 0
+    while (found := name if not k else f"{name}_{k}").lower() in taken:
+        k += 1
+    return found
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame, flag: str = "may", bits: int = 1 << 22) -> DataFrame:
+    """``df`` with ``flag``: whether its key may be among ``keys`` (one column).
 
     A bitmap of fixed size over the keys' hashes; at most ``bits / 64`` rows of
     16 bytes, whatever the number of keys, so it is broadcast. False is certain,
     so only rows with true need the join that decides, and the others' texts
-    are never shuffled. Null keys are false.
+    are never shuffled. Null keys are false. ``flag`` must be no column of ``df``.
     """
+    cell_at, bitmap = unused("sparkloom_cell", df.columns), unused("sparkloom_bitmap", df.columns)
     place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits))
     cells = keys.where(F.col(keys.columns[0]).isNotNull()).select(place.alias("h"))
-    cells = cells.groupBy((F.col("h") / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bitmap"))
+    cells = cells.groupBy((F.col("h") / 64).cast("int").alias(cell_at)).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias(bitmap))
     h = F.pmod(F.xxhash64(key), F.lit(bits))
-    asked = df.withColumn("cell", (h / 64).cast("int")).withColumn("place", (h % 64).cast("int"))
-    found = asked.join(F.broadcast(written(cells, "bitmap")), "cell", "left")
-    bit = F.expr("shiftrightunsigned(bitmap, place) & 1L") == 1
-    return found.select(*df.columns, (F.col(key).isNotNull() & F.coalesce(bit, F.lit(False))).alias("may"))
+    found = df.withColumn(cell_at, (h / 64).cast("int")).join(F.broadcast(written(cells, "bitmap")), cell_at, "left")
+    bit = F.call_function("shiftrightunsigned", F.col(bitmap), (h % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return found.select(*df.columns, (F.col(key).isNotNull() & F.coalesce(bit, F.lit(False))).alias(flag))
 
 
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:

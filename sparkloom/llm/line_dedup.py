@@ -6,11 +6,19 @@ by its segments and probes, for each length it can match, the few substrings
 that can hold a segment; equal keys are candidates, and a banded bit-parallel
 edit distance decides. Lines that reach one another form a class, of which the
 first occurrence stays.
+
+A key that few lines share gives their pairs. One that many share gives a star,
+a pair of each line with the key's least; when that leaves the lines in several
+classes they are cut finer, into ``tau + 2`` segments of which two must be
+equal, and what many lines then still share is compared in blocks, the lines
+outside the key's largest class with all others. So no key gives all its pairs,
+and none is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import components, marked, written
+from sparkloom.llm.common import components, forget, marked, written
 
+#: Edits, and the least length in bytes of a line that is matched by edits; shorter ones match when equal.
 TAU, MIN_BYTES = 2, 20
-#: A key with more comparisons than this is dealt into blocks of BLOCK lines.
-MANY, BLOCK = 1 << 13, 512
+#: A key gives the pairs of up to FEW lines. Lines that meet in one task at most: strays and others.
+FEW, STRAY_BLOCK, ROW_BLOCK = 8, 256, 1024
+#: Byte kinds that are counted to rule out pairs.
+KINDS = 32
 
 _IN_LINE = np.ones(256, bool)
 _IN_LINE[10] = False
@@ -89,7 +100,7 @@ class Lines:
         buf, offsets = tv.column_bytes(column)
         self.parts = []
         counted = np.zeros(len(offsets), np.int64)
-        for _, doc, start, end, part, (sums, inverse) in tv.words(buf, offsets, _IN_LINE):
+        for _, doc, start, end, part in tv.words(buf, offsets, _IN_LINE):
             number = np.arange(len(doc)) - np.searchsorted(doc, doc) + counted[doc]
             counted += np.bincount(doc, minlength=len(counted))
             solid = np.append(np.flatnonzero(tv.NOT_SPACE[part]), len(part))
@@ -98,122 +109,150 @@ class Lines:
             full = (last >= first) & (first < len(solid) - 1)
             first, last = solid[np.minimum(first, len(solid) - 1)], solid[np.maximum(last, 0)] + 1
             full &= last - first >= least
-            self.parts.append((doc[full], number[full], first[full], last[full], part, sums, inverse))
+            self.parts.append((doc[full], number[full], first[full], last[full], part))
 
     def digests(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """``doc, number, d1, d2`` of the lines."""
-        for doc, number, a, b, _, sums, inverse in self.parts:
-            half = (a + b) // 2
-            d1 = tv.range_hash(sums, inverse, a, b)
-            d2 = tv.mix(tv.range_hash(sums, inverse, a, half) * _C[0] + tv.range_hash(sums, inverse, half, b) * _C[1])
-            yield doc, number, d1, d2
+        for doc, number, a, b, part in self.parts:
+            yield doc, number, tv.byte_hash(part, a, b), tv.byte_hash(part, a, b, 1)
 
 
-def line_table(docs: DataFrame, least: int) -> DataFrame:
+def line_table(docs: DataFrame) -> DataFrame:
     """``doc_id, line, d1, d2``: an occurrence of a line, and its 128-bit digest."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in tv.slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-                for doc, number, d1, d2 in Lines(batch.column(1).slice(a, b - a), least).digests():
+                for doc, number, d1, d2 in Lines(batch.column(1).slice(a, b - a), 1).digests():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(number.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "line", "d1", "d2"])
 
     return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, line int, d1 long, d2 long")
 
 
-def segment_keys(docs: DataFrame, tau: int, least: int) -> DataFrame:
-    """``key, node, probe`` of each line: its segments and, with probe, its substrings.
+def _moves(chosen: tuple[int, ...], gap: int, tau: int, segments: int) -> list[tuple[int, ...]]:
+    """How far the chosen segments can lie from their places in a line that is
+    ``gap`` longer: between them, and to the ends, each step costs an edit."""
+    if segments == tau + 1:
+        # with one segment more than edits, those before and after it have one each at most
+        i = chosen[0]
+        return [(m,) for m in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1)]
+    found: list[tuple[tuple[int, ...], int]] = [((), 0)]
+    for _ in chosen:
+        found = [((*f, m), cost + abs(m - (f[-1] if f else 0))) for f, cost in found for m in range(-tau, tau + 1) if cost + abs(m - (f[-1] if f else 0)) <= tau]
+    return [f for f, cost in found if cost + abs(gap - f[-1]) <= tau]
+
+
+KEY_SCHEMA = "key long, node long, probe boolean"
+
+
+def line_keys(part: np.ndarray, node: np.ndarray, a: np.ndarray, size: np.ndarray, tau: int, segments: int, least: int) -> pa.RecordBatch:
+    """``key, node, probe`` of lines: each choice of ``segments - tau`` of their
+    segments and, with probe, of the substrings where a longer line can hold them."""
+    sums, inverse = tv.prefix_sums(part)
+    keys, nodes, probes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for gap in range(tau + 1):
+        length = size - gap
+        step, longer = length // segments, segments - length % segments
+        begin = [i * step + np.maximum(i - longer, 0) for i in range(segments)]
+        width = [step + (i >= longer) for i in range(segments)]
+        for number, chosen in enumerate(combinations(range(segments), segments - tau)):
+            for moves in _moves(chosen, gap, tau, segments):
+                fits = length >= least
+                for i, move in zip(chosen, moves, strict=True):
+                    fits = fits & (begin[i] + move >= 0) & (begin[i] + move + width[i] <= size)
+                ok = np.flatnonzero(fits)
+                key = length[ok].astype(np.uint64) * _C[1] + np.uint64(number)
+                for i, move in zip(chosen, moves, strict=True):
+                    at = (a + begin[i])[ok] + move
+                    key = tv.mix(key + tv.range_hash(sums, inverse, at, at + width[i][ok]) * _C[0])
+                keys.append(key), nodes.append(node[ok]), probes.append(np.full(len(ok), bool(gap or any(moves))))
+    key, own, probe = (np.concatenate(c) for c in (keys, nodes, probes))
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(probe)], names=["key", "node", "probe"])
 
-    ``node`` is the line's d1. A probe equal to the line's own segment is left out.
-    """
+
+def segment_keys(docs: DataFrame, tau: int, least: int) -> DataFrame:
+    """``key, node, probe`` of each line, cut into ``tau + 1`` segments; ``node`` is the line's d1."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = tau + 1
         for batch in batches:
             for x, y in tv.slices(batch.column(0)):
-                for _, _, a, b, _, sums, inverse in Lines(batch.column(0).slice(x, y - x), least).parts:
-                    node, once = np.unique(tv.range_hash(sums, inverse, a, b), return_index=True)
-                    a, size = a[once], (b - a)[once]
-                    out = []
-                    for gap in range(tau + 1):
-                        length = size - gap
-                        step, longer = length // n, n - length % n
-                        for i in range(n):
-                            begin = i * step + np.maximum(i - longer, 0)
-                            width = step + (i >= longer)
-                            for move in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1):
-                                at = begin + move
-                                ok = np.flatnonzero((at >= 0) & (at + width <= size) & (length >= least))
-                                hashed = tv.range_hash(sums, inverse, (a + at)[ok], (a + at + width)[ok])
-                                key = tv.mix(hashed * _C[0] + length[ok].astype(np.uint64) * _C[1] + np.uint64(i))
-                                out.append((key, node[ok], np.full(len(ok), bool(gap or move))))
-                    key, own, probe = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(probe)], names=["key", "node", "probe"])
-
-    return docs.select("text").mapInArrow(keys, "key long, node long, probe boolean")
-
-
-def _key_groups(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: pairs of the lines that share one; or, of keys that hold
-    many, the rows themselves (with the key), to be dealt into blocks."""
-    held: list[np.ndarray] = []
-    hot = None
-    for batch in batches:
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
-        if held:
-            now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-        if not len(now[0]):
-            continue
-        last = int(np.searchsorted(now[0], now[0][-1]))
-        if hot is not None:
-            end = int(np.searchsorted(now[0], hot, side="right"))
-            if end:
-                yield _hot_rows([x[:end] for x in now])
-                now, last = [x[end:] for x in now], last - end
-                if not len(now[0]):
-                    held = []
-                    continue
-            hot = None
-        if len(now[0]) - last > many:
-            # a key too large to wait for: its rows go on as they come
-            hot = now[0][-1]
-            yield _hot_rows([x[last:] for x in now])
-            held = []
-        else:
-            held = [x[last:] for x in now]
-        yield from _pairs([x[:last] for x in now], many)
-    if held:
-        yield from _pairs(held, many)
+                for _, _, a, b, part in Lines(batch.column(0).slice(x, y - x), least).parts:
+                    node, once = np.unique(tv.byte_hash(part, a, b), return_index=True)
+                    yield line_keys(part, node, a[once], (b - a)[once], tau, tau + 1, least)
+
+    return docs.select("text").mapInArrow(keys, KEY_SCHEMA)
 
 
-def _hot_rows(rows: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2].astype(np.int64)), pa.array(rows[0])], names=["a", "b", "key"])
+def finer_keys(texts: DataFrame, tau: int, least: int) -> DataFrame:
+    """``key, node, probe`` of lines ``(node, line)``, cut into ``tau + 2`` segments."""
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in tv.slices(batch.column(1), 1 << 18):
+                column = batch.column(1).slice(x, y - x).cast(pa.large_binary())
+                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+                part = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                node = batch.column(0).slice(x, y - x).to_numpy().view(np.uint64)
+                yield line_keys(part, node, offsets[:-1] - offsets[0], np.diff(offsets), tau, tau + 2, least)
 
-def _pairs(rows: list[np.ndarray], many: int) -> Iterator[pa.RecordBatch]:
-    key, node, probe = rows
-    if len(key) < 2:
+    return texts.select("node", "line").mapInArrow(keys, KEY_SCHEMA)
+
+
+def candidates(keys: DataFrame, few: int, label: str) -> DataFrame:
+    """``a, b, key``: pairs of lines that share a key, with a null key; and the
+    lines of keys that more than ``few`` share, as ``a``, with ``b`` 1 for a probe."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)], None
+        for batch in batches:
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
+            now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+            last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            yield from _of_keys([x[:last] for x in now], few, many)
+            if last and many != now[0][-1]:
+                many = None
+            held = [x[last:] for x in now]
+            if len(held[0]) > 1 << 16:
+                # a key too large to wait for: its rows go on as they come
+                many = held[0][0]
+                yield from _of_keys(held, few, many)
+                held = [x[:0] for x in held]
+        yield from _of_keys(held, few, many)
+
+    return written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "a long, b long, key long"), label)
+
+
+def _of_keys(rows: list[np.ndarray], few: int, many: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs or lines of whole keys; ``many`` names one of which a part came before."""
+    # each line once in a key, as no probe if it is both
+    order = np.lexsort((rows[2], rows[1], rows[0]))
+    key, node, probe = (x[order] for x in rows)
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, probe = key[first], node[first], probe[first]
+    if not len(key):
         return
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-    several = (np.minimum.reduceat(node, cuts) != np.maximum.reduceat(node, cuts)) & ~np.logical_and.reduceat(probe, cuts)
-    ends = np.append(cuts[1:], len(key))
-    found = []
-    for k in np.flatnonzero(several):
-        part, asks = node[cuts[k] : ends[k]], probe[cuts[k] : ends[k]]
-        index, ask = np.unique(part[~asks]), np.unique(part[asks])
-        if len(index) * (len(index) + len(ask)) > many:
-            yield _hot_rows([x[cuts[k] : ends[k]] for x in rows])
-            continue
-        every = np.union1d(index, ask)
-        x, y = np.repeat(index, len(every)), np.tile(every, len(index))
-        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y])
-    if found:
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    sizes = np.diff(np.append(cuts, len(key)))
+    named = key[cuts] == many if many is not None else np.zeros(len(cuts), bool)
+    open_ = (sizes > 1) & ~np.logical_and.reduceat(probe, cuts) | named
+    small = open_ & (sizes <= few) & ~named
+    pairs = []
+    for n in np.unique(sizes[small]):
+        at = cuts[small & (sizes == n)]
+        for i, j in combinations(range(n), 2):
+            x, y = at + i, at + j
+            good = ~(probe[x] & probe[y])
+            pairs.append(np.stack([np.minimum(node[x], node[y])[good], np.maximum(node[x], node[y])[good]]))
+    if pairs:
+        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "key"])
+    large = np.repeat(open_ & ~small, sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.array(probe[large].astype(np.int64)), pa.array(key[large])], names=["a", "b", "key"])
 
 
-def _line_texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+def _line_texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, line`` (bytes) of these lines, each read at its first occurrence."""
     first = lines.groupBy(F.col("d1").alias("node"), "d2").agg(F.min(F.struct("doc_id", "line")).alias("at"))
     places = nodes.join(first, "node").select("at.doc_id", "at.line")
@@ -223,79 +262,121 @@ def _line_texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, least: int)
         for batch in batches:
             for x, y in tv.slices(batch.column(0)):
                 wanted = [set(w) for w in batch.column(1).slice(x, y - x).to_pylist()]
-                found = Lines(batch.column(0).slice(x, y - x), least)
-                for (doc, number, d1, _), (*_, a, b, part, _, _) in zip(found.digests(), found.parts, strict=True):
+                found = Lines(batch.column(0).slice(x, y - x), 1)
+                for (doc, number, d1, _), (*_, a, b, part) in zip(found.digests(), found.parts, strict=True):
                     keep = [i for i in range(len(doc)) if number[i] in wanted[doc[i]]]
                     raw = [part[a[i] : b[i]].tobytes() for i in keep]
                     yield pa.RecordBatch.from_arrays([pa.array(d1[keep].view(np.int64)), pa.array(raw, pa.binary())], names=["node", "line"])
 
     some = marked(docs.select("doc_id", "text"), "doc_id", by_doc.select("doc_id")).where("may")
-    return some.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(read, "node long, line binary").distinct()
+    texts = written(some.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(read, "node long, line binary").distinct(), "line-texts")
+    forget(by_doc)
+    return texts
+
 
+def _checked(found: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """Links ``a, b`` among the pairs of :func:`candidates` and the stars of its large keys."""
 
-def _links(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [within(x.as_py(), y.as_py(), tau) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    large = found.where("key is not null")
+    least = large.where("b = 0").groupBy("key").agg(F.min("a").alias("least"))
+    stars = large.join(least, "key").where("a <> least").select(F.least("a", "least"), F.greatest("a", "least"))
+    pairs = found.where("key is null").select("a", "b").union(stars).distinct()
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
     return both.select("a", "b", "line_a", "line_b").mapInArrow(check, "a long, b long")
 
 
-def _block_links(hot: DataFrame, texts: DataFrame, tau: int, size: int) -> DataFrame:
-    """Links within keys that hold many lines: lines are dealt into blocks, each
-    pair of blocks is compared in a task of bounded size, and only the links that
-    join lines not yet joined in that task come out."""
+def _unsettled(found: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """``key, node, probe, class, main`` of large keys whose lines are in several classes; main is the largest."""
+    named = found.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("probe")).join(classes, "node", "left")
+    named = named.select("key", "node", "probe", F.coalesce("component", "node").alias("class"))
+    sizes = named.groupBy("key", "class").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    return written(named.join(main.drop("classes"), "key"), label)
+
+
+def _block_links(rows: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """Links in keys that hold many lines: those outside the key's largest class
+    meet all its lines, in blocks of bounded size. Byte counts rule most pairs
+    out, and only links that join classes not yet joined in a task come out."""
+    sizes = rows.groupBy("key").agg(
+        F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("row_blocks"), F.ceil(F.count_if(F.col("class") != F.col("main")) / STRAY_BLOCK).cast("int").alias("stray_blocks"),
+    )
+    h, held = F.xxhash64("node", F.lit(5)), ["node", "probe", "class", "line"]
+    dealt = rows.join(sizes, "key").join(texts, "node")
+    strays = dealt.where("class <> main").select(
+        "key", F.pmod(h, "stray_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("j"), F.lit(True).alias("stray"), *held,
+    )
+    others = dealt.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("i"), F.pmod(h, "row_blocks").cast("int").alias("j"), F.lit(False).alias("stray"), *held,
+    )
 
     def compare(table: pa.Table) -> pa.Table:
-        node, lines = table["node"].to_pylist(), table["line"].to_pylist()
-        probe, block = table["probe"].to_pylist(), table["block"].to_pylist()
-        one = table["i"][0].as_py() == table["j"][0].as_py()
-        root = list(range(len(node)))
+        stray, node, probe, label = (table[c].to_numpy() for c in ("stray", "node", "probe", "class"))
+        lines, root = table["line"].to_pylist(), {}
+        size = np.array([len(x) for x in lines])
+        kinds = np.stack([np.bincount(np.frombuffer(x, np.uint8) % KINDS, minlength=KINDS) for x in lines]).astype(np.int32)
+        rest = np.flatnonzero(~stray)
 
         def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
+            while root.get(x, x) != x:
                 x = root[x]
             return x
 
-        out = []
-        for x in range(len(node)):
-            for y in range(x):
-                if (one or block[x] != block[y]) and not (probe[x] and probe[y]) and (p := top(x)) != (q := top(y)) and within(lines[x], lines[y], tau):
-                    root[p] = q
-                    out.append((node[x], node[y]))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
-
-    rows = hot.groupBy("key", F.col("a").alias("node")).agg(F.min("b").alias("probe"))
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", F.col("probe") == 1)
-    dealt = dealt.toDF("key", "i", "j", "block", "node", "probe").join(texts, "node")
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES, many: int = MANY, block: int = BLOCK) -> DataFrame:
+        a, b = [], []
+        for x in np.flatnonzero(stray):
+            near = (np.abs(size[rest] - size[x]) <= tau) & (label[rest] != label[x]) & (probe[rest] + probe[x] < 2)
+            near = rest[near]
+            # an edit changes the counts of two kinds by one at most
+            for y in near[np.abs(kinds[near] - kinds[x]).sum(axis=1) <= 2 * tau]:
+                p, q = top(int(label[x])), top(int(label[y]))
+                if p != q and within(lines[x], lines[y], tau):
+                    root[max(p, q)] = min(p, q)
+                    a.append(node[x]), b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return strays.union(others).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def line_classes(docs: DataFrame, lines: DataFrame, tau: int, least: int, few: int) -> DataFrame:
+    """``node, component`` of the lines that are linked with another; see the module's docstring."""
+    found = candidates(segment_keys(docs, tau, least), few, "line-candidates")
+    texts = _line_texts(docs, lines, found.select(F.explode(F.when(F.col("key").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("node")).distinct())
+    classes = components(_checked(found, texts, tau), "line-links")
+    open_ = _unsettled(found, classes, "line-unsettled")
+    forget(found)
+    if not open_.isEmpty():
+        some = texts.join(open_.select("node").distinct(), "node", "left_semi")
+        finer = candidates(finer_keys(some, tau, least), few, "line-finer")
+        classes = components(_checked(finer, texts, tau).union(classes.toDF("a", "b")), "line-finer-links")
+        still = _unsettled(finer, classes, "line-still-unsettled")
+        forget(finer)
+        if not still.isEmpty():
+            classes = components(_block_links(still, texts, tau).union(classes.toDF("a", "b")), "line-block-links")
+        forget(still)
+    forget(open_)
+    forget(texts)
+    return classes
+
+
+def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES, few: int = FEW) -> DataFrame:
     """``doc_id, line``: the lines that are not the first occurrence of their class.
 
-    Lines are compared as UTF-8 bytes, A-Z lower-cased and trimmed; those of
-    fewer than ``least`` bytes are left alone. ``line`` counts a text's
-    non-empty lines from 0. Occurrences are ordered by doc_id and line. Rows
-    with a null doc_id or text have no lines; rows that repeat a doc_id are one
-    document. Extra columns are not read.
+    Lines are compared as UTF-8 bytes, A-Z lower-cased and trimmed, by edits
+    from ``least`` bytes on; shorter ones are of one class when equal. ``line``
+    counts a text's non-empty lines from 0; lines of white space only are none.
+    Occurrences are ordered by doc_id and line. Rows with a null doc_id or text
+    have no lines; rows that repeat a doc_id are one document; an empty table
+    gives an empty result. A very long text is read in blocks, a very long line
+    whole. Other columns are not read, so their names don't matter.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = written(line_table(docs, least), "lines")
-    keys = segment_keys(docs, tau, least)
-    found = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _key_groups(batches, many), "a long, b long, key long"), "line-pairs")
-    pairs = written(found.where("key is null").select("a", "b").distinct(), "line-candidates")
-    hot = found.where("key is not null")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("a")).distinct()
-    texts = written(_line_texts(docs, lines, nodes, least), "line-texts")
-    links = _links(pairs, texts, tau).union(_block_links(hot, texts, tau, block))
-    classes = components(links, "line-links")
+    lines = written(line_table(docs), "lines")
+    classes = line_classes(docs, lines, tau, least, few)
     named = lines.join(classes, F.col("d1") == F.col("node"), "left")
     named = named.select("doc_id", "line", F.coalesce("component", "d1").alias("class"), F.when(F.col("component").isNull(), F.col("d2")).otherwise(0).alias("rest"))
     first = named.groupBy("class", "rest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -306,13 +387,18 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> Data
     """``docs`` without the lines that :func:`duplicate_lines` names.
 
     A document of which nothing but white space is left goes, unless it had
-    nothing else before. Rows without such lines come back as they were.
+    nothing else before. Rows without such lines, with a null doc_id or a null
+    text come back as they were; repeated rows come back once each, cut alike.
+    All columns are kept, whatever their names; an empty table stays empty.
     """
-    names = docs.columns
-    at = names.index("text")
-    gone = duplicate_lines(docs, tau, least).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
+    given = docs.columns
+    at = given.index("text")
+    # other names, so that none clashes with the columns added
+    names = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(given)]
+    plain = docs.toDF(*names)
+    gone = duplicate_lines(plain, tau, least).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
     gone = written(gone, "gone-lines")
-    asked = marked(docs, "doc_id", gone.select("gone_id"))
+    asked = marked(plain, "doc_id", gone.select("gone_id"))
     joined = asked.where("may").join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*names, "gone_lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +414,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> Data
                 columns[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return asked.where("not may").select(*names).union(joined.mapInArrow(cut, docs.schema))
+    return asked.where("not may").select(*names).union(joined.mapInArrow(cut, plain.schema)).toDF(*given)
 
 
 def without_lines(text: str, gone: set[int]) -> str:

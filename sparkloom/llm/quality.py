@@ -38,7 +38,7 @@ def shape_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     buf, offsets = tv.column_bytes(texts)
     hs, docs, shapes = [], [], []
-    for h, doc, start, end, part, _ in tv.words(buf, offsets, tv.NOT_SPACE, lower=False):
+    for h, doc, start, end, part in tv.words(buf, offsets, tv.NOT_SPACE, lower=False):
         kinds = np.bitwise_or.reduceat(_KIND[part], start)
         kinds |= ((part[start] >= 65) & (part[start] <= 90)).astype(np.uint16) << 6
         kinds |= (np.minimum(end - start, 15) >> 2).astype(np.uint16) << 7

@@ -6,6 +6,7 @@ blocks of bounded size, so that no Python object is made per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,10 @@ import pyarrow as pa
 BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: Ranges of more bytes are hashed one by one.
+LONG = 512
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _S33 = np.uint64(33)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -75,7 +80,31 @@ def prefix_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
+def byte_hash(part: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, by which they are told apart.
+
+    Eight bytes at a time enter a state that is mixed after each, so there is
+    no arithmetic between the bytes of a range that structured texts could
+    cancel; ranges of over LONG bytes take BLAKE2.
+    """
+    size = end - start
+    eight = np.ndarray(len(part) + 1, dtype="<u8", buffer=np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(np.uint64) * _BASE + np.uint64(seed))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    done = 0
+    while len(live):
+        block = eight[start[live] + done] & _FIRST[np.minimum(size[live] - done, 8)]
+        h[live] = mix((h[live] ^ block) * _BASE + np.uint64(seed))
+        done += 8
+        live = live[size[live] > done]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(part[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return h
+
+
 def range_hash(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of any ranges from prefix sums; texts can be made that collide, so equal ones are only candidates."""
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
@@ -102,8 +131,8 @@ def blocks(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, size: int =
 
 def words(
     buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
-    """Per block: word hashes, the texts' numbers, starts and ends in ``part``, ``part``, and its prefix sums."""
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per block: word hashes, the texts' numbers, starts and ends in ``part``, and ``part``."""
     for at, end in blocks(buf, offsets, inside if not lower else inside[LOWER]):
         part = LOWER[buf[at:end]] if lower else buf[at:end]
         is_in = inside[part]
@@ -117,8 +146,7 @@ def words(
         start, stop = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         if not len(start):
             continue
-        sums, inverse = prefix_sums(part)
-        yield range_hash(sums, inverse, start, stop), np.searchsorted(offsets, start + at, side="right") - 1, start, stop, part, (sums, inverse)
+        yield byte_hash(part, start, stop), np.searchsorted(offsets, start + at, side="right") - 1, start, stop, part
 
 
 def all_words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

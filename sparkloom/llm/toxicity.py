@@ -31,9 +31,9 @@ def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words, neighbouring pairs, pairs one word apart, and word stems of STEMS bytes."""
     buf, offsets = tv.column_bytes(texts)
     hs, docs, stems = [], [], []
-    for h, doc, start, end, _, (sums, inverse) in tv.words(buf, offsets, tv.ALNUM):
+    for h, doc, start, end, part in tv.words(buf, offsets, tv.ALNUM):
         hs.append(h), docs.append(doc)
-        stems.append([tv.range_hash(sums, inverse, start, np.minimum(end, start + n)) for n in STEMS])
+        stems.append([tv.byte_hash(part, start, np.minimum(end, start + n)) for n in STEMS])
     if not hs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, doc = np.concatenate(hs), np.concatenate(docs)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common, line_dedup, linear, near_dups, nearest, packing, quality, toxicity
+from sparkloom.llm import common, contamination, line_dedup, linear, near_dups, nearest, packing, quality, toxicity
 
 
 def distance(a, b):
@@ -97,8 +97,19 @@ def test_edit_distance_within():
             assert line_dedup.within(a, b, k) == (distance(a, b) <= k)
 
 
-@pytest.mark.parametrize(("many", "block"), [(1 << 13, 512), (8, 4)])
-def test_duplicate_lines(spark, many, block):
+def line_sets(docs):
+    """``doc_id, number, line`` of the lines, and the numbers of those that are no first ones."""
+    found = []
+    for d, t in sorted(((d, t) for d, t in docs if d is not None), key=lambda d: d[0]):
+        full = [x for x in (t or "").split("\n") if x]
+        found += [(d, k, x.lower().strip().encode()) for k, x in enumerate(full) if x.strip()]
+    top = groups(len(found), lambda i, j: found[i][2] == found[j][2] or min(len(found[i][2]), len(found[j][2])) >= 20 and distance(found[i][2], found[j][2]) <= 2)
+    return sorted(found[i][:2] for i in range(len(found)) if top[i] != i)
+
+
+@pytest.mark.parametrize("few", [8, 2, 1])
+def test_duplicate_lines(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "STRAY_BLOCK", 3), monkeypatch.setattr(line_dedup, "ROW_BLOCK", 4)
     rnd = random.Random(2)
     base = ["".join(rnd.choice("abcdefghij klmn") for _ in range(rnd.randint(19, 40))) for _ in range(40)]
     docs = [(900, None), (901, ""), (902, "\n\n"), (None, base[0])]
@@ -114,19 +125,59 @@ def test_duplicate_lines(spark, many, block):
                     del x[k]
             lines += [x.decode().upper() if rnd.random() < 0.2 else x.decode()] + [""] * (rnd.random() < 0.2)
         docs.append((d, "\n".join(lines)))
-    found = []
-    for d, t in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
-        full = [x for x in (t or "").split("\n") if x]
-        found += [(d, k, x.lower().strip().encode()) for k, x in enumerate(full) if len(x.lower().strip().encode()) >= 20]
-    top = groups(len(found), lambda i, j: distance(found[i][2], found[j][2]) <= 2)
-    want = sorted(found[i][:2] for i in range(len(found)) if top[i] != i)
+    docs += [(1000 + k, f"{k % 9} short\n{k % 7}") for k in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", F.lit("clash"))
-    assert sorted(map(tuple, line_dedup.duplicate_lines(df, many=many, block=block).collect())) == want
+    assert sorted(map(tuple, line_dedup.duplicate_lines(df, few=few).collect())) == line_sets(docs)
     kept = {r.doc_id for r in line_dedup.dedup_lines(df).collect()}
     assert {900, 901, 902, None} <= kept
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_share_parts_are_compared_in_full(spark, monkeypatch):
+    """Many lines share a third or a half and are unlike; some of them are alike."""
+    monkeypatch.setattr(line_dedup, "STRAY_BLOCK", 5), monkeypatch.setattr(line_dedup, "ROW_BLOCK", 7)
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    begin, end, lines = word(20), word(20), []
+    for _ in range(25):
+        lines += [begin + word(40), word(40) + end, begin[:15] + word(15) + end, word(4) + begin + word(20)]
+    for x in rnd.sample(lines, 30):
+        k = rnd.randrange(len(x))
+        lines.append(rnd.choice([x[:k] + x[k + 1 :], x[:k] + "q" + x[k:], x[:k] + "zz" + x[k:], x[:k] + "q" + x[k + 1 :]]))
+    docs = list(enumerate(lines))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = line_sets(docs)
+    assert want
+    for few in (8, 2):
+        assert sorted(map(tuple, line_dedup.duplicate_lines(df, few=few).collect())) == want
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_texts_that_break_polynomial_hashes_stay_apart(spark):
+    for n in (512, 1024, 2048):
+        x, y = thue_morse(n)
+        df = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+        assert [tuple(r) for r in line_dedup.duplicate_lines(df).collect()] == [(3, 0)]
+        assert sorted(r.component_id for r in near_dups.near_duplicates(df).collect()) == [1, 1, 2]
+        bench = spark.createDataFrame([(7, x)], "item_id long, text string")
+        assert sorted((r.doc_id, r.contaminated) for r in contamination.report(contamination.find_contamination(df, bench)).collect()) == [(1, True), (2, False), (3, True)]
+
+
+def test_names_that_clash_and_long_texts_in_line_dedup(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, "one line that is long enough\nanother", 5, 6, 7, 8, "x"), (2, "ONE line that is long enough \nrest of it", 5, 6, 7, 8, "y"), (3, long, 1, 2, 3, 4, "z"), (4, long + "!", 1, 2, 3, 4, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cell int, place int, may int, gone_id int, gone_lines string")
+    out = {r.doc_id: tuple(r) for r in line_dedup.dedup_lines(df).collect()}
+    assert line_dedup.dedup_lines(df).columns == df.columns
+    assert out == {1: rows[0], 2: (2, "rest of it", 5, 6, 7, 8, "y"), 3: rows[2]}
+
+
 def plain_pack(items, capacity):
     bins, out = [], {}
     for i, (size, source, cluster) in items:
