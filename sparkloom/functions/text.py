@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +56,39 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def token_count(text: Column, counter: Callable[[str], int] | None = None) -> Column:
+    """Tokens by ``counter``, in Arrow batches; without one, words. None for a null or empty text."""
+    if counter is None:
+        return word_count(text)
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: counter(t) if t else 0)
+
+    return count(text)
+
+
+def percent(share: Column) -> Column:
+    """A share in whole per cent; 0% for none."""
+    return F.when(share.isNull() | F.isnan(share), "0%").otherwise(F.concat(F.floor(share * 100 + 0.5).cast("long").cast("string"), F.lit("%")))
+
+
+def eta(seconds: Column) -> Column:
+    """Hours and minutes, minutes and seconds, or seconds; a dash for none left."""
+    total = F.floor(seconds + 0.5).cast("long")
+    h, m, s = (x.cast("string") for x in (F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60))
+    said = F.when(total >= 3600, F.concat(h, F.lit("h "), m, F.lit("m"))).when(total >= 60, F.concat(m, F.lit("m "), s, F.lit("s"))).otherwise(F.concat(s, F.lit("s")))
+    return F.when(seconds.isNull() | F.isnan(seconds) | (seconds <= 0), "—").otherwise(said)
+
+
+def relative(seconds: Column) -> Column:
+    """How long ago, in the words of the dashboard."""
+    sec = F.floor(seconds + 0.5)
+    minutes, hours, days = F.floor(sec / 60 + 0.5), F.floor(F.floor(sec / 60 + 0.5) / 60 + 0.5), F.floor(F.floor(F.floor(sec / 60 + 0.5) / 60 + 0.5) / 24 + 0.5)
+    ago = lambda n, unit: F.concat(F.lit("hace "), n.cast("long").cast("string"), F.lit(f" {unit}"))
+    return F.when(sec < 60, "hace instantes").when(minutes < 60, ago(minutes, "min")).when(hours < 24, ago(hours, "h")).otherwise(ago(days, "d"))
+
+
 def title_case(text: Column) -> Column:
     """Each run of cased letters with a capital first and lower case after it."""
     runs = F.regexp_extract_all(text, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
@@ -80,12 +116,19 @@ def language_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.lower(F.coalesce(code, F.lit("")))), F.when(code != "", code), F.lit("the source language"))
 
 
-def language(text: Column, default: str = "en", least: int = 40) -> Column:
-    """The language with most of its function words among the first 4000 characters; a tie goes to the first named.
+def language(text: Column, default: str = "es", least: int = 40, detector: Callable[[str], str] | None = None) -> Column:
+    """The language by ``detector``, in Arrow batches, or else that with most of its function words among the first 4000 characters; a tie goes to the first named.
 
     Texts of under ``least`` characters, and those without such words, get ``default``.
     """
     head = F.substring(strip(text), 1, 4000)
+    if detector is not None:
+
+        @F.pandas_udf("string")
+        def detect(texts: pd.Series) -> pd.Series:
+            return texts.map(detector, na_action="ignore")
+
+        return F.when(F.length(strip(text)) >= least, F.coalesce(detect(head), F.lit(default))).otherwise(default)
     found = F.transform(words(F.lower(head)), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
 
     def hits(k: int, name: str) -> Column:
@@ -118,7 +161,7 @@ def is_title(text: Column) -> Column:
 
 def question_type(raw: Column) -> Column:
     """The kind that a type stands for; unknown types stay as they are, in lower case."""
-    plain = F.regexp_replace(F.lower(F.trim(raw)), "[- ]", "_")
+    plain = F.regexp_replace(F.lower(strip(raw)), "[- ]", "_")
     aliases = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
     return F.coalesce(F.try_element_at(aliases, plain), plain)
 

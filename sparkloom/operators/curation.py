@@ -24,12 +24,11 @@ def curate(examples: DataFrame, preset: str = "balanced", groundedness: float |
     """
     level = PRESETS.get(preset, PRESETS["balanced"])
     g, o = level if groundedness is None else groundedness, level if overall is None else overall
-    print_ = F.xxhash64(F.concat_ws("|", F.col("doc_id").cast("string"), F.lower(F.trim("question")), F.lower(F.trim("answer"))))
-    print_ = F.struct(print_, F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), F.lower(F.trim("question")), F.lower(F.trim("answer")))))
+    print_ = F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), F.lower(T.strip(F.col("question"))), F.lower(T.strip(F.col("answer")))))
     own = (
         F.when(F.col("is_answerable") & (F.size("evidence") == 0), "missing_evidence")
         .when((F.col("requested_kind") != "") & (T.question_type(F.col("question_type")) != F.col("requested_kind")), "question_type_mismatch")
-        .when(~F.col("is_answerable") & (F.trim("answer") != T.REFUSAL), "invalid_refusal")
+        .when(~F.col("is_answerable") & (T.strip(F.col("answer")) != T.REFUSAL), "invalid_refusal")
         .when(F.col("overall").isNull(), "missing_judge_score")
         .when(F.col("groundedness") < g, "low_groundedness")
         .when(F.col("overall") < o, "low_overall")
@@ -41,17 +40,35 @@ def curate(examples: DataFrame, preset: str = "balanced", groundedness: float |
 
 
 def summary(curated: DataFrame, *by: str) -> DataFrame:
-    """Rows per reason (``accepted`` for none)."""
+    """Rows per reason (``accepted`` for none); also after edits, as it counts what is there."""
     return curated.groupBy(*by, F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def training_records(accepted: DataFrame) -> DataFrame:
-    """Chat records: ``messages`` and the metadata columns."""
+def totals(curated: DataFrame, *by: str) -> DataFrame:
+    """``total_input, accepted, rejected, rejected_by_reason`` of each group, the last as a map."""
+    counts = curated.groupBy(*by, "reason").agg(F.count("*").alias("n"))
+    accepted = F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0))
+    why = F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))
+    return counts.groupBy(*by).agg(F.sum("n").alias("total_input"), accepted.alias("accepted"), (F.sum("n") - accepted).alias("rejected"), F.map_from_entries(why).alias("rejected_by_reason"))
+
+
+#: What a record says of its example, in this order; a column that is not there is null.
+METADATA = {
+    "example_id": "string", "source_doc": "string", "doc_id": "string", "chunk_ids": "array<string>", "page_range": "array<bigint>", "question_type": "string", "difficulty": "string",
+    "is_answerable": "boolean", "teacher_model": "string", "judge_model": "string", "quality_score": "double", "split": "string", "prompt_version": "string", "language": "string",
+}
+
+
+def training_records(accepted: DataFrame, system_prompt: str = T.SYSTEM_PROMPT) -> DataFrame:
+    """Chat records: ``example_ord, messages, metadata``; the judge's model is the teacher's, a missing score 0."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return accepted.select(
-        "example_ord", F.array(message("system", F.lit(T.SYSTEM_PROMPT)), message("user", F.col("question")), message("assistant", F.col("answer"))).alias("messages"),
-        "example_id", "doc_id", "chunk_ids", T.question_type(F.col("question_type")).alias("question_type"), "is_answerable", F.coalesce("overall", F.lit(0.0)).alias("quality_score"), "split",
-    )
+    there = {c: F.col(c) for c in accepted.columns}
+    there |= {"question_type": T.question_type(F.col("question_type")), "quality_score": F.coalesce("overall", F.lit(0.0)), "judge_model": there.get("teacher_model", F.lit(None))}
+    if "page_start" in accepted.columns:
+        there["page_range"] = F.array("page_start", "page_end")
+    metadata = F.struct(*[there.get(n, F.lit(None)).cast(t).alias(n) for n, t in METADATA.items()])
+    messages = F.array(message("system", F.lit(system_prompt)), message("user", F.col("question")), message("assistant", F.col("answer")))
+    return accepted.select("example_ord", messages.alias("messages"), metadata.alias("metadata"))
 
 
 def review_sample(accepted: DataFrame, size: int = 100) -> DataFrame:
@@ -61,18 +78,54 @@ def review_sample(accepted: DataFrame, size: int = 100) -> DataFrame:
     )
 
 
+#: The scores of an example that a person accepts without a judge's.
+MANUAL = {"relevance": 0.8, "groundedness": 0.8, "format": 0.8, "difficulty": 0.5, "overall": 0.8}
+
+
+def find(curated: DataFrame, ids: DataFrame) -> DataFrame:
+    """``example_id, bucket`` of these ids in each split: ``accepted`` if any row of the id is, else ``rejected``; null where there is none."""
+    seen = curated.groupBy("example_id", "split").agg(F.when(F.max(F.col("reason").isNull()), "accepted").otherwise("rejected").alias("bucket"))
+    return ids.select("example_id").distinct().join(seen, "example_id", "left")
+
+
+def _chosen(curated: DataFrame, ids: DataFrame) -> DataFrame:
+    """``curated`` with ``chosen`` and, for those, the ``bucket`` that their id is found in."""
+    named = curated.join(ids.select("example_id", F.lit(True).alias("chosen")).distinct(), "example_id", "left")
+    found = curated.join(ids.select("example_id"), "example_id", "left_semi").groupBy("example_id", "split").agg(F.max(F.col("reason").isNull()).alias("has_accepted"), F.max("example_ord").alias("last_ord"))
+    return named.join(found, ["example_id", "split"], "left")
+
+
 def accept(curated: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose example_id is among ``ids`` are accepted; without a judge score they get the manual one."""
-    chosen = curated.join(ids.select("example_id", F.lit(True).alias("chosen")).distinct(), "example_id", "left")
-    now = F.col("chosen") & F.col("reason").isNotNull()
-    return chosen.withColumn("overall", F.when(now & F.col("overall").isNull(), 0.8).otherwise(F.col("overall"))).withColumn(
-        "groundedness", F.when(now & F.col("groundedness").isNull(), 0.8).otherwise(F.col("groundedness"))
-    ).withColumn("reason", F.when(F.col("chosen"), None).otherwise(F.col("reason"))).drop("chosen")
+    """The rejected rows of these ids are accepted, unless the id is accepted already; of several rows of an id the last, and the others go.
+
+    Without a judge's score the row gets the manual one, with a rationale where there is such a column.
+    """
+    rows = _chosen(curated, ids)
+    now = F.coalesce(F.col("chosen") & ~F.col("has_accepted"), F.lit(False))
+    unscored = now & F.col("overall").isNull()
+    scores = {c: F.when(unscored, F.lit(v)).otherwise(F.col(c)) for c, v in MANUAL.items() if c in curated.columns}
+    if "rationale" in curated.columns:
+        scores["rationale"] = F.when(unscored, "manual override").otherwise(F.col("rationale"))
+    kept = rows.where(~now | (F.col("example_ord") == F.col("last_ord")))
+    return kept.withColumns(scores | {"reason": F.when(now, None).otherwise(F.col("reason"))}).select(*curated.columns)
 
 
 def reject(curated: DataFrame, ids: DataFrame, reason: str = "manual_rejection") -> DataFrame:
-    chosen = curated.join(ids.select("example_id", F.lit(True).alias("chosen")).distinct(), "example_id", "left")
-    return chosen.withColumn("reason", F.when(F.col("chosen") & F.col("reason").isNull(), reason).otherwise(F.col("reason"))).drop("chosen")
+    """The accepted rows of these ids are rejected; of several accepted rows of an id the last, and the others go. An id with rejected rows only stays as it is."""
+    rows = _chosen(curated, ids)
+    accepted = curated.where("reason is null").groupBy("example_id", "split").agg(F.max("example_ord").alias("last_accepted"))
+    rows = rows.join(accepted, ["example_id", "split"], "left")
+    now = F.coalesce(F.col("chosen"), F.lit(False)) & F.col("reason").isNull()
+    kept = rows.where(~now | (F.col("example_ord") == F.col("last_accepted")))
+    return kept.withColumn("reason", F.when(now, reason).otherwise(F.col("reason"))).select(*curated.columns)
+
+
+def bulk_edit(curated: DataFrame, selection: DataFrame, action: str, reason: str = "manual_rejection") -> DataFrame:
+    """``accept``, ``reject`` or ``delete`` all examples of a selection at once; those already in that state stay."""
+    edits = {"accept": lambda: accept(curated, selection), "reject": lambda: reject(curated, selection, reason), "delete": lambda: delete(curated, selection)}
+    if action not in edits:
+        raise ValueError(f"unknown action: {action}")
+    return edits[action]()
 
 
 def edges_by_job(curated: DataFrame) -> DataFrame:
@@ -92,6 +145,7 @@ def patch(curated: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def delete(curated: DataFrame, ids: DataFrame) -> DataFrame:
-    """Without the rows of these ids in the bucket they are found in: the accepted, if any of the id is, else the rejected."""
-    found = curated.join(ids.select("example_id").distinct(), "example_id", "left_semi").groupBy("example_id").agg(F.max(F.col("reason").isNull()).alias("from_accepted"))
-    return curated.join(found, "example_id", "left").where(F.col("from_accepted").isNull() | (F.col("from_accepted") != F.col("reason").isNull())).drop("from_accepted")
+    """Without the rows of these ids in the bucket they are found in: the accepted, if any of the id is in that split, else the rejected."""
+    rows = _chosen(curated, ids)
+    gone = F.coalesce(F.col("chosen") & (F.col("has_accepted") == F.col("reason").isNull()), F.lit(False))
+    return rows.where(~gone).select(*curated.columns)

@@ -8,8 +8,22 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 
 
+TRUE, FALSE = ("1", "true", "yes"), ("0", "false", "no")
+
+
+def tagged(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Accepted and rejected examples as one table, with ``accepted`` and a ``reason``, which is null for the former."""
+    return accepted.drop("reason").withColumns({"accepted": F.lit(True), "reason": F.lit(None).cast("string")}).unionByName(rejected.withColumn("accepted", F.lit(False)), allowMissingColumns=True)
+
+
+def accepted_flag(value: str | None) -> bool | None:
+    """What a request's filter says: yes, no, or (anything else) both."""
+    plain = (value or "").strip().lower()
+    return True if plain in TRUE else False if plain in FALSE else None
+
+
 def filtered(rows: DataFrame, split: str | None = None, accepted: bool | None = None, kind: str | None = None, min_score: float | None = None, search: str | None = None) -> DataFrame:
-    """Rows that meet all the filters given; a missing score counts as 0."""
+    """Rows that meet all the filters given; a missing score counts as 0. The search looks into question, answer and source_doc."""
     if split:
         rows = rows.where(F.col("split") == split)
     if accepted is not None:
@@ -19,16 +33,61 @@ def filtered(rows: DataFrame, split: str | None = None, accepted: bool | None =
     if min_score is not None:
         rows = rows.where(F.coalesce("overall", F.lit(0.0)) >= min_score)
     if search:
-        needle = F.lit(search.lower())
-        rows = rows.where(F.contains(F.lower("question"), needle) | F.contains(F.lower("answer"), needle))
+        needle, found = F.lit(search.lower()), F.lit(False)
+        for c in ("question", "answer", "source_doc"):
+            if c in rows.columns:
+                found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), needle)
+        rows = rows.where(found)
     return rows
 
 
-def page(rows: DataFrame, limit: int = 50, offset: int = 0, most: int = 500) -> DataFrame:
+#: The most rows of a page: of one job's examples, and of all jobs'.
+JOB_PAGE, ALL_PAGE = 200, 500
+
+
+def page(rows: DataFrame, limit: int = 50, offset: int = 0, most: int = ALL_PAGE) -> DataFrame:
     """One page in the order of example_ord."""
     return rows.orderBy("example_ord").offset(max(0, offset)).limit(min(max(1, limit), most))
 
 
+def page_with_total(rows: DataFrame, limit: int = 50, offset: int = 0, most: int = ALL_PAGE) -> DataFrame:
+    """One page, each of its rows with ``total``, the number of rows on all pages; the rows are counted apart from the top-k."""
+    return page(rows, limit, offset, most).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def of_latest_jobs(rows: DataFrame, jobs: DataFrame, most: int = 100) -> DataFrame:
+    """Rows of the ``most`` jobs that were made last; ``jobs(job_id, created_at, ord)``."""
+    latest = jobs.orderBy(F.desc("created_at"), F.desc("ord")).limit(most).select("job_id")
+    return rows.join(F.broadcast(latest), "job_id", "left_semi")
+
+
+def ordered(rows: DataFrame, by: str = "score") -> DataFrame:
+    """Rows by falling ``score``, by ``job`` or by ``type``; equal ones by example_ord."""
+    keys = {"score": F.desc(F.coalesce("overall", F.lit(0.0))), "job": F.asc("job_id"), "type": F.asc("question_type")}
+    return rows.orderBy(keys[by], "example_ord")
+
+
+def selected_rows(rows: DataFrame, selection: DataFrame) -> DataFrame:
+    """The rows of ``selection(job_id, example_id, split)`` with the fields of a download."""
+    fields = ("job_id", "split", "example_id", "source_doc", "question", "answer", "evidence", "question_type", "difficulty", "is_answerable", "overall", "accepted", "reason")
+    return rows.join(selection.distinct(), ["job_id", "example_id", "split"], "left_semi").select(*[c for c in fields if c in rows.columns])
+
+
+def job_metrics(rows: DataFrame) -> DataFrame:
+    """``job_id, split, question_type, accepted, rejected`` and, of the accepted with a score, the five-figure summary of ``overall`` and ``groundedness``.
+
+    The figures stand for the lists of scores, which grow with the data.
+    """
+    ok = F.col("reason").isNull()
+    figures = [F.percentile_approx(F.when(ok, F.col(c)), [0.0, 0.25, 0.5, 0.75, 1.0], 10_000).alias(f"{c}_figures") for c in ("overall", "groundedness")]
+    return rows.groupBy("job_id", "split", "question_type").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), *figures)
+
+
+def stat_sums(per: DataFrame) -> DataFrame:
+    """``job_id, accepted, rejected``: the sums over a job's splits."""
+    return per.groupBy("job_id").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+
 def type_distribution(rows: DataFrame) -> DataFrame:
     """Per type: rows, and the mean score of those that have one."""
     return rows.groupBy(T.question_type(F.col("question_type")).alias("question_type")).agg(F.count("*").alias("n"), F.coalesce(F.bround(F.avg("overall"), 3), F.lit(0.0)).alias("avg_overall"))

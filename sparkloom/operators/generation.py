@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
-from sparkloom.operators.semantic import once
+from sparkloom.functions.frames import once
 
 # Fixed values.
 TEACHER = "You are an expert dataset curator for fine-tuning large language models. Generate exactly one training example per request, strictly grounded in the provided document fragments. Output must be valid JSON matching the provided schema. Never invent facts outside the document."
@@ -39,16 +39,16 @@ def _string(x) -> Column:
 def summaries(chunks: DataFrame, by: str = "batch") -> DataFrame:
     """``by, summary, context``: what the chunks of a group are about, and its first 8000 characters.
 
-    Needs ``chunk_seq, doc_id, heading, page_start, page_end, text``. Only the
+    Needs ``doc_id, chunk_ord, heading, page_start, page_end, text``. Only the
     first chunks of a group, as many as can matter, are gathered; the limit is
     applied before the shuffle.
     """
-    order = Window.partitionBy(by).orderBy("chunk_seq")
+    order = Window.partitionBy(by).orderBy("doc_id", "chunk_ord")
     label = F.when(F.coalesce("heading", F.lit("")) != "", F.col("heading")).otherwise(F.concat(F.lit("Pages "), _string("page_start"), F.lit("-"), _string("page_end")))
-    named = chunks.select(by, label.alias("label"), "chunk_seq").groupBy(by, "label").agg(F.min("chunk_seq").alias("chunk_seq"))
+    named = chunks.select(by, label.alias("label"), F.struct("doc_id", "chunk_ord").alias("at")).groupBy(by, "label").agg(F.min("at").alias("at")).select(by, "label", "at.*")
     named = named.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HEADINGS).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("nth", "label"))).alias("labels"))
     part, words = F.substring("text", 1, CONTEXT_CHARS), F.array_join(F.slice(T.words(F.col("text")), 1, PREVIEW_WORDS), " ")
-    first = chunks.select(by, "chunk_seq", "doc_id", part.alias("part"), words.alias("words")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= CONTEXT_CHARS // 3 + 1)
+    first = chunks.select(by, "chunk_ord", "doc_id", part.alias("part"), words.alias("words")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= CONTEXT_CHARS // 3 + 1)
     first = first.withColumn("before", F.coalesce(F.sum(F.length("part") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     kept = first.where((F.col("nth") <= PREVIEW_WORDS) | (F.col("before") < CONTEXT_CHARS))
     heads = once(kept.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("nth", "words", "part", "doc_id"))).alias("c")), context=F.array_join(F.transform("c", lambda x: x["part"]), "\n\n"))
@@ -136,6 +136,19 @@ def generate(prompted: DataFrame, backend: Backend, attempts: int = 3) -> DataFr
     return narrow.mapInPandas(ask, narrow.select(*keys).schema.add("response", "string").add("attempts", "long"))
 
 
+def resolved_evidence(given: Column, texts: Column, answerable: Column) -> Column:
+    """A refusal's evidence is what was given, less blanks; else what was given, less blanks and placeholders, and then the fragments' texts, each once."""
+    full = F.filter(F.coalesce(given, F.array().cast("array<string>")), lambda e: T.strip(e) != "")
+    real = F.filter(F.transform(full, T.strip), lambda e: ~F.lower(e).startswith("fragmento ") & ~F.lower(e).isin("fragmento", "evidence", "evidencia"))
+    sources = F.filter(F.transform(texts, T.strip), lambda t: t != "")
+    return F.when(answerable, F.array_distinct(F.concat(real, sources))).otherwise(full)
+
+
+def image_parts(fragments: Column, most: int) -> Column:
+    """Paths of page images to attach: those of the fragments' ``page_image_paths`` in order, each once, ``most`` (at least one) of them."""
+    return F.slice(F.array_distinct(F.flatten(F.transform(fragments, lambda f: f["page_image_paths"]))), 1, max(1, most))
+
+
 def examples_of(answers: DataFrame, context: DataFrame) -> DataFrame:
     """Examples of :func:`generate`'s answers: refusals, evidence, ids and whether the kind is the one asked for."""
     schema = "question string, answer string, evidence array<string>, question_type string, is_answerable boolean"
@@ -143,19 +156,16 @@ def examples_of(answers: DataFrame, context: DataFrame) -> DataFrame:
     rows = once(rows, r=F.from_json("response", schema))
     refuses = F.col("asked") == "unanswerable"
     can = ~refuses & F.coalesce("r.is_answerable", F.lit(True))
-    answer = F.trim(F.coalesce("r.answer", F.lit("")))
+    answer = T.strip(F.coalesce("r.answer", F.lit("")))
     rows = rows.withColumns({"is_answerable": can, "answer": F.when(refuses | (~can & (answer == "")), T.REFUSAL).otherwise(answer)})
-    given = F.filter(F.transform(F.coalesce("r.evidence", F.array().cast("array<string>")), lambda e: F.trim(e)), lambda e: e != "")
-    real = F.filter(given, lambda e: ~F.lower(e).startswith("fragmento ") & ~F.lower(e).isin("fragmento", "evidence", "evidencia"))
-    texts = F.filter(F.transform("fragments", lambda f: F.trim(f["text"])), lambda t: t != "")
     ids = F.transform("fragments", lambda f: f["chunk_id"])
     question = F.coalesce("r.question", F.lit(""))
     kind = T.question_type(F.coalesce("r.question_type", F.col("asked")))
     matches = (kind == F.col("kind")) & F.when(F.col("kind") == "unanswerable", ~F.col("is_answerable") & (F.col("answer") == T.REFUSAL)).when(F.col("kind") == "multi_chunk", F.size(ids) > 1).otherwise(True)
     return rows.select(
         "batch", "kind", "pick", "chunk_id", F.col("fragments")[0]["doc_id"].alias("doc_id"), ids.alias("chunk_ids"), F.col("fragments")[0]["page_start"].alias("page_start"), F.element_at("fragments", -1)["page_end"].alias("page_end"),
-        F.substring(F.sha1(F.concat(F.array_join(ids, "|"), F.lit("|"), question)), 1, 12).alias("example_id"), kind.alias("question_type"), "is_answerable", F.trim(question).alias("question"), "answer",
-        F.when(F.col("is_answerable"), F.array_distinct(F.concat(real, texts))).otherwise(given).alias("evidence"), matches.alias("matches"), "attempts",
+        F.substring(F.sha1(F.concat(F.array_join(ids, "|"), F.lit("|"), question)), 1, 12).alias("example_id"), kind.alias("question_type"), "is_answerable", T.strip(question).alias("question"), "answer",
+        resolved_evidence(F.col("r.evidence"), F.transform("fragments", lambda f: f["text"]), F.col("is_answerable")).alias("evidence"), matches.alias("matches"), "attempts",
     )
 
 
@@ -177,6 +187,35 @@ def judge_scores(responses: DataFrame, raw: str = "response") -> DataFrame:
     return rows.withColumns(out | {"rationale": F.when(fine, F.col("j.rationale")).otherwise(NO_SCORE)}).drop("j")
 
 
+class EchoJudge:
+    """A judge without a model: scores an item by the share of the answer's words that its evidence holds."""
+
+    def answer(self, system: str, user: str, session: str) -> dict:
+        said = user.partition("\n\nANSWER:\n")[2].partition("\n\nEVIDENCE:\n")
+        words, evidence = said[0].split(), said[2]
+        share = round(sum(w in evidence for w in words) / len(words), 3) if words else 0.0
+        return {"relevance": 0.8, "groundedness": share, "format": 1.0, "difficulty": 0.5, "overall": share, "rationale": "words in the evidence"}
+
+
+def judged(examples: DataFrame, earlier: DataFrame, backend: Backend, language: str = "en") -> DataFrame:
+    """``examples`` with their scores: the last written of ``earlier(example_id, seq, scores...)``, or the judge's for ids that have none.
+
+    Rows with the same id share one score; only the ids without one are asked about, each once.
+    """
+    named = [*SCORES, "rationale"]
+    last = earlier.groupBy("example_id").agg(F.max_by(F.struct(*named), "seq").alias("s")).select("example_id", "s.*")
+    first = examples.join(last, "example_id", "left_anti").groupBy("example_id").agg(F.min_by(F.struct("question", "answer", "evidence"), "example_ord").alias("e")).select("example_id", "e.*")
+    asked = judge_prompts(first, language).select("example_id", "judge_system", "judge_user")
+
+    def ask(frames: Iterator) -> Iterator:
+        for frame in frames:
+            said = [json.dumps(backend.answer(s, u, i), ensure_ascii=False) for i, s, u in zip(frame["example_id"], frame["judge_system"], frame["judge_user"], strict=True)]
+            yield frame[["example_id"]].assign(response=said)
+
+    new = judge_scores(asked.mapInPandas(ask, "example_id string, response string")).select("example_id", *named)
+    return examples.drop(*named).join(last.union(new), "example_id", "left")
+
+
 def adopt_scores(generated: DataFrame, scored: DataFrame) -> DataFrame:
     """``generated`` with the last score written for its example_id, null where none is: those are still to be judged. ``scored(example_id, seq, overall, groundedness)``."""
     last = scored.groupBy("example_id").agg(F.max_by(F.struct("overall", "groundedness"), "seq").alias("s")).select("example_id", "s.*")

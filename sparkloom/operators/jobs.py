@@ -11,10 +11,27 @@ from pyspark.sql.window import Window
 ACTIVE = ("queued", "running", "pausing", "paused", "resuming")
 
 
+def created(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New jobs in the queue, and the first event of each, to be appended to the two tables."""
+    queued = {"status": F.lit("queued"), "stage": F.lit("queued"), "percent": F.lit(0.0)}
+    rows = jobs.withColumns(queued | {"stats": F.lit("{}")})
+    return rows, jobs.select("job_id").withColumns(queued | {"message": F.lit("Job created")})
+
+
 def latest_state(events: DataFrame) -> DataFrame:
-    """Per job: status, percent and message of its last event, and the number of events."""
-    last = events.groupBy("job_id").agg(F.max_by(F.struct("status", "percent", "message"), "event_id").alias("last"), F.max("event_id").alias("event_id"), F.count("*").alias("n_events"))
-    return last.select("job_id", "event_id", "last.status", "last.percent", "last.message", "n_events")
+    """Per job: its last event's status, percent and message (null if that has none), and the number of events.
+
+    With a column ``stats``, the last that was given: events without keep what was there.
+    """
+    stats = [F.max_by("stats", F.when(F.col("stats").isNotNull(), F.col("event_id"))).alias("stats")] if "stats" in events.columns else []
+    last = events.groupBy("job_id").agg(F.max_by(F.struct("status", "percent", "message"), "event_id").alias("last"), F.max("event_id").alias("event_id"), F.count("*").alias("n_events"), *stats)
+    return last.select("job_id", "event_id", "last.status", "last.percent", "last.message", "n_events", *(["stats"] if stats else []))
+
+
+def job_list(events: DataFrame, limit: int = 20) -> DataFrame:
+    """The jobs made last, newest first: ``job_id, first_event, status``; a top-k."""
+    first = events.groupBy("job_id").agg(F.min("event_id").alias("first_event"), F.max_by("status", "event_id").alias("status"))
+    return first.orderBy(F.desc("first_event")).limit(limit)
 
 
 def active_job(events: DataFrame) -> DataFrame:
@@ -27,9 +44,62 @@ def tail(events: DataFrame, after: int) -> DataFrame:
     return events.where(F.col("event_id") > after)
 
 
-def backoff(attempts: DataFrame, first: float = 0.25, most: float = 30.0) -> DataFrame:
-    """Seconds to wait after each attempt."""
-    return attempts.select("attempt", F.least(F.lit(first) * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(most)).alias("wait_s"))
+def backoff(attempts: DataFrame, first: float = 0.25, factor: float = 2.0, most: float = 30.0) -> DataFrame:
+    """``attempt, wait_s``: seconds to wait after each attempt; a ``retry_after`` that the server named goes before."""
+    own = F.least(F.lit(first) * F.pow(F.lit(factor), F.col("attempt") - 1), F.lit(most))
+    return attempts.select("attempt", F.coalesce(F.col("retry_after").cast("double"), own).alias("wait_s") if "retry_after" in attempts.columns else own.alias("wait_s"))
+
+
+def structured_calls(replies: DataFrame, attempts: int = 6, first: float = 0.25, factor: float = 2.0, most: float = 30.0) -> DataFrame:
+    """How each request ends, from the replies it would get: ``name, outcome, calls, waited_s, strict``.
+
+    ``replies(name, attempt, error_class, message, retry_after)``, in order. A
+    retryable or malformed reply is asked again, at most ``attempts`` times in
+    all; a permanent one ends it, but for a first one about the response
+    format, after which the request goes on without the strict schema.
+    """
+    per = replies.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("attempt", "error_class", F.lower(F.coalesce("message", F.lit(""))).alias("message"), F.col("retry_after").cast("double").alias("retry_after")))).alias("r"))
+    start = F.struct(F.lit("open").alias("outcome"), F.lit(0).alias("calls"), F.lit(0.0).alias("waited"), F.lit(True).alias("strict"))
+
+    def step(s: Column, r: Column) -> Column:
+        going = (s["outcome"] == "open") & (s["calls"] < attempts)
+        again, calls = r["error_class"].isin("retryable", "malformed"), s["calls"] + 1
+        format_ = (r["error_class"] == "permanent") & s["strict"] & r["message"].rlike("response_format|strict|schema")
+        outcome = F.when(r["error_class"] == "ok", "ok").when(format_ & (calls < attempts), "open").when(again & (calls < attempts), "open").otherwise(F.when(again, "exhausted").otherwise("permanent"))
+        wait = F.coalesce(r["retry_after"], F.least(F.lit(first) * F.pow(F.lit(factor), s["calls"].cast("double")), F.lit(most)))
+        new = F.struct(outcome.alias("outcome"), calls.alias("calls"), F.when(again & (calls < attempts), s["waited"] + wait).otherwise(s["waited"]).alias("waited"), (s["strict"] & ~format_).alias("strict"))
+        return F.when(going, new).otherwise(s)
+
+    done = per.select("name", F.aggregate("r", start, step).alias("s"))
+    return done.select("name", "s.outcome", F.col("s.calls").cast("long").alias("calls"), F.col("s.waited").alias("waited_s"), "s.strict")
+
+
+# Fixed values.
+MILESTONES = {"scan_folder": 0.02, "ingest": 0.18, "split": 0.28, "generate_train": 0.62, "judge_train": 0.70, "generate_eval": 0.86, "judge_eval": 0.88, "judge": 0.90, "export": 0.95, "done": 1.0}
+BATCHED = {"generate_train": (0.32, 0.62), "generate_eval": (0.74, 0.86)}
+
+
+def milestone(stage: Column, batch: Column, batches: Column) -> Column:
+    """How much of a job is done at a stage; within a generation, in proportion to its batches."""
+    at = F.lit(None).cast("double")
+    for name, share in MILESTONES.items():
+        own = F.lit(share)
+        if name in BATCHED:
+            low, high = BATCHED[name]
+            own = F.when(batches > 0, low + (F.lit(high) - low) * batch / batches).otherwise(own)
+        at = F.when(stage == name, own).otherwise(at)
+    return at
+
+
+def progress(batches: DataFrame) -> DataFrame:
+    """``split, batch, total_batches, pages_processed, eta_seconds``: after each batch of ``batches(split, batch, pages, seconds)``, in order.
+
+    The time to come is the mean of the batches so far for each that is left.
+    """
+    so_far = Window.partitionBy("split").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.count("*").over(Window.partitionBy("split"))
+    done = F.count("*").over(so_far)
+    return batches.select("split", "batch", total.alias("total_batches"), F.sum("pages").over(so_far).alias("pages_processed"), F.bround(F.sum("seconds").over(so_far) / done * (total - done), 2).alias("eta_seconds"))
 
 
 def failure_rate(events: DataFrame, window: int = 20, least: int = 5, threshold: float = 0.5) -> DataFrame:
@@ -70,7 +140,7 @@ def breaker_states(calls: DataFrame, window: int = 20, threshold: float = 0.5, l
                     good += not failed
                     if failed and (state == "half_open" or (len(recent) >= least and sum(recent) / len(recent) >= threshold)):
                         state, opened = "open", at
-                    elif state == "half_open" and good >= successes:
+                    elif state == "half_open" and not failed and good >= successes:
                         state = "closed"
                         recent.clear()
                 states.append(state)

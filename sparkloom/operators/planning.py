@@ -12,26 +12,51 @@ from sparkloom.functions import text as T
 PLAN_ORDER = ("multi_chunk", "inferential", "unanswerable", "format_specific", "extractive")
 
 
+def placed(rows: DataFrame, by: list[str], key: str, order: list[Column], name: str, descending: bool = False, buckets: int = 4096) -> DataFrame:
+    """``rows`` with ``name``: their number, from 0, in ``order`` within ``by``, whatever a group's size.
+
+    ``order`` begins with the whole number ``key``. A group's range of keys is
+    cut into buckets, whose sizes are summed up first; so only the rows of a
+    bucket meet in a task, and no window holds a group.
+    """
+    ends = rows.groupBy(*by).agg(F.min(key).alias("low_"), F.max(key).alias("high_"))
+    width = F.greatest(F.lit(1.0), (F.col("high_").cast("double") - F.col("low_") + 1) / buckets)
+    bucket = F.floor((F.col(key).cast("double") - F.col("low_")) / width)
+    dealt = rows.join(ends, by).withColumn("bucket_", -bucket if descending else bucket)
+    before = Window.partitionBy(*by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, "bucket_").agg(F.count("*").alias("n_")).select(*by, "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    inside = Window.partitionBy(*by, "bucket_").orderBy(*order)
+    found = dealt.join(sizes, [*by, "bucket_"]).withColumn(name, F.col("before_") + F.row_number().over(inside) - 1)
+    return found.select(*rows.columns, name)
+
+
 def split_manifest(tokens: DataFrame, eval_ratio: float = 0.15) -> DataFrame:
     """``doc_id, tokens, split`` of ``tokens(doc_id, tokens)``: the largest documents, to ``eval_ratio`` of all, are eval.
 
-    The running sum is taken over the distinct sizes, a small table, and within
-    a size by row number; no window holds all documents. At least one document
-    is train; a single one is.
+    The running sum is taken over the distinct sizes, a small table; only the
+    documents of the one size that crosses the limit are put in order. At least
+    one document is train; a single one is.
     """
+    # dealt once, so that the sizes and the rows come from one reading of the texts
+    tokens = tokens.repartition("doc_id")
     size = F.greatest(F.col("tokens"), F.lit(1)).cast("long")
     sizes = tokens.groupBy("tokens").agg(F.count("*").alias("n"), (F.count("*") * size).alias("mass"), F.min("doc_id").alias("least"))
     larger = Window.orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     sizes = sizes.select(
-        "tokens", F.coalesce(F.sum("mass").over(larger), F.lit(0)).alias("before"), F.sum("mass").over(every).alias("total"), F.sum("n").over(every).alias("documents"),
+        "tokens", F.coalesce(F.sum("mass").over(larger), F.lit(0)).alias("before"), "mass", F.sum("mass").over(every).alias("total"), F.sum("n").over(every).alias("documents"),
         F.min("tokens").over(every).alias("smallest"), "least",
     )
-    rows = tokens.join(sizes, "tokens").withColumn("place", F.row_number().over(Window.partitionBy("tokens").orderBy(F.desc("doc_id"))))
     target = F.greatest(F.lit(1), (F.col("total") * F.lit(eval_ratio)).cast("long"))
-    last = (F.col("tokens") == F.col("smallest")) & (F.col("doc_id") == F.col("least"))
-    is_eval = (F.col("before") + (F.col("place") - 1) * size < target) & ~last & (F.col("documents") > 1)
-    return rows.select("doc_id", "tokens", F.when(is_eval, "eval").otherwise("train").alias("split"))
+    # how many documents of a size are eval: all, none or, of one size, some
+    taken = F.when(F.col("documents") == 1, 0).otherwise(F.least(F.col("mass") / size, F.greatest(F.lit(0), F.ceil((target - F.col("before")) / size))))
+    sizes = sizes.select("tokens", taken.cast("long").alias("taken"), (F.col("mass") / size).cast("long").alias("n"), F.when(F.col("tokens") == F.col("smallest"), F.col("least")).alias("last"))
+    rows = tokens.join(sizes, "tokens")
+    last = F.coalesce(F.col("doc_id") == F.col("last"), F.lit(False))
+    named = lambda df, is_eval: df.select("doc_id", "tokens", F.when(is_eval & ~last, "eval").otherwise("train").alias("split"))
+    some = (F.col("taken") > 0) & (F.col("taken") < F.col("n"))
+    cut = placed(rows.where(some), ["tokens"], "doc_id", [F.desc("doc_id")], "place", descending=True)
+    return named(rows.where(~some), F.col("taken") > 0).union(named(cut, F.col("place") < F.col("taken")))
 
 
 def kind_quota(totals: DataFrame, mix: dict[str, float] | None = None) -> DataFrame:
@@ -49,34 +74,61 @@ def kind_quota(totals: DataFrame, mix: dict[str, float] | None = None) -> DataFr
 
 
 def chunk_scores(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with a score for each kind; needs ``text, tokens, n_neighbors``."""
+    """``chunks`` with a score for each kind; needs ``text, tokens, n_neighbors, requires_multimodal``."""
     low = F.lower("text")
     numbers = F.size(F.filter(T.words(low), lambda w: w.rlike("[0-9]")))
     size = F.least(F.floor(F.col("tokens") / 1000), F.lit(5)).cast("int")
+    images = F.coalesce(F.col("requires_multimodal"), F.lit(False)).cast("int")
 
     def mark(parts: tuple[str, ...]) -> Column:
         return T.has_any(low, parts).cast("int")
 
     return chunks.withColumns({
-        "extractive": (1 + numbers + size).cast("long"), "inferential": (numbers + 2 * mark(T.COMPARISONS) + size).cast("long"),
-        "unanswerable": (2 * mark(T.GAPS) + 2 * size).cast("long"), "multi_chunk": (F.col("n_neighbors") + size).cast("long"),
+        "extractive": (1 + numbers + images + size).cast("long"), "inferential": (numbers + 2 * mark(T.COMPARISONS) + images + size).cast("long"),
+        "unanswerable": (2 * mark(T.GAPS) + images + 2 * size).cast("long"), "multi_chunk": (F.col("n_neighbors") + size).cast("long"),
         "format_specific": (2 * mark(T.LISTS) + numbers + size).cast("long"),
     })
 
 
-def target_plan(scored: DataFrame, per_chunk: int = 1) -> DataFrame:
+def target_plan(scored: DataFrame, per_chunk: int = 1, mix: dict[str, float] | None = None) -> DataFrame:
     """``batch, kind, pick, chunk_id``: the k-th pick of a kind is the chunk of rank ``k mod n`` in its batch.
 
-    Needs ``batch, chunk_id, chunk_seq, tokens`` and the kinds' scores; only these narrow columns are shuffled.
+    Needs ``batch, chunk_id, doc_id, chunk_ord, tokens`` and the kinds' scores.
+    A chunk's rank is the number of chunks in the cells (score, tokens) before
+    its own, a small table, and its place in its cell; so no batch is sorted in
+    one task. Only narrow columns are shuffled.
     """
-    long = scored.select("batch", "chunk_id", "chunk_seq", "tokens", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in PLAN_ORDER])).alias("s")).select("batch", "chunk_id", "chunk_seq", "tokens", "s.kind", "s.score")
-    best = Window.partitionBy("batch", "kind").orderBy(F.desc("score"), F.desc("tokens"), "chunk_seq")
-    ranked = long.withColumn("rank", F.row_number().over(best) - 1)
+    key = ["batch", "chunk_id", "doc_id", "chunk_ord", "tokens"]
+    long = scored.select(*key, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in PLAN_ORDER])).alias("s")).select(*key, "s.kind", "s.score")
+    cell = ["batch", "kind", "score", "tokens"]
+    cells = long.groupBy(*cell).agg(F.count("*").alias("size"))
+    better = Window.partitionBy("batch", "kind").orderBy(F.desc("score"), F.desc("tokens"))
+    cells = cells.select(*cell, F.coalesce(F.sum("size").over(better.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = placed(long.join(cells, cell), cell, "doc_id", [F.col("doc_id"), F.col("chunk_ord")], "place").withColumn("rank", F.col("before") + F.col("place"))
     sizes = scored.groupBy("batch").agg(F.count("*").alias("n"))
-    totals = sizes.select(F.greatest(F.lit(1), F.col("n") * per_chunk).alias("total")).distinct()
-    quota = sizes.withColumn("total", F.greatest(F.lit(1), F.col("n") * per_chunk)).join(kind_quota(totals), "total").where("quota > 0")
-    picks = quota.select("batch", "kind", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("pick")).withColumn("rank", (F.col("pick") % F.col("n")).cast("int"))
-    return picks.join(ranked, ["batch", "kind", "rank"]).select("batch", "kind", "pick", "chunk_id")
+    total = F.greatest(F.lit(1), F.col("n") * per_chunk)
+    quota = sizes.withColumn("total", total).join(kind_quota(sizes.select(total.alias("total")).distinct(), mix), "total").where("quota > 0")
+    picks = quota.select("batch", "kind", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("pick")).withColumn("rank", F.col("pick") % F.col("n"))
+    return picks.join(ranked.select("batch", "kind", "rank", "chunk_id"), ["batch", "kind", "rank"]).select("batch", "kind", "pick", "chunk_id")
+
+
+def existing_targets(examples: DataFrame) -> DataFrame:
+    """``chunk_id, kind`` of examples that exist: the first chunk, and the kind asked for or else the type."""
+    asked = F.coalesce(F.when(F.col("requested_kind") != "", F.col("requested_kind")), T.question_type(F.col("question_type")))
+    return examples.where(F.size("chunk_ids") > 0).select(F.get("chunk_ids", F.lit(0)).alias("chunk_id"), asked.alias("kind"))
+
+
+def selected_chunks(chunks: DataFrame, manifest: DataFrame, split: str, doc_ids: DataFrame | None = None, chunk_ids: DataFrame | None = None) -> DataFrame:
+    """``chunks`` of the documents of a split, of these documents and these chunks only where given."""
+    rows = chunks.join(manifest.where(F.col("split") == split).select("doc_id"), "doc_id", "left_semi")
+    rows = rows if doc_ids is None else rows.join(doc_ids, "doc_id", "left_semi")
+    return rows if chunk_ids is None else rows.join(chunk_ids, "chunk_id", "left_semi")
+
+
+def kind_cycle(indexes: DataFrame, mix: dict[str, float] | None = None) -> DataFrame:
+    """``index, kind``: kinds in turn, each as often as its weight has hundredths, once at least."""
+    slots = [k for k, w in (mix or T.MIX).items() for _ in range(max(1, round(w * 100)))] or ["extractive"]
+    return indexes.select("index", F.element_at(F.array(*map(F.lit, slots)), (F.col("index") % len(slots) + 1).cast("int")).alias("kind"))
 
 
 def pending_targets(targets: DataFrame, existing: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import curation
+from sparkloom.sources import files
 
 # Fixed values.
 MODES = {
@@ -24,6 +26,64 @@ def dataset_mode(manifest: DataFrame) -> DataFrame:
     return one.select(F.when(single, "single_document").otherwise("multi_document").alias("mode"), *named, "documents", (~single & F.col("has_eval")).alias("clean_eval"))
 
 
+# Fixed values.
+NO_SOURCES = "No se encontraron PDFs elegibles en la carpeta indicada."
+
+
+def source_mode(files: DataFrame) -> DataFrame:
+    """One row about the files to read: ``ok, pdf_count, mode, label, note``; or why there is nothing to do."""
+    n = files.agg(F.count("*").alias("pdf_count"))
+    single, some = F.col("pdf_count") == 1, F.col("pdf_count") > 0
+    said = lambda k: F.when(single, MODES["single_document"][k]).when(some, MODES["multi_document"][k])
+    return n.select(
+        some.alias("ok"), "pdf_count", F.when(single, "single_document").when(some, "multi_document").alias("mode"), said(0).alias("label"), F.coalesce(said(1), F.lit(NO_SOURCES)).alias("note"))
+
+
+def export(curated: DataFrame, mode: DataFrame, folder: str, review_size: int = 100, require_eval: bool = True, allow_partial: bool = False) -> dict[str, int]:
+    """Writes ``train``, with a clean eval ``eval`` (else an old one goes), and the review sample as JSON lines and CSV; returns the counts.
+
+    Raises what :func:`export_guard` finds.
+    """
+    error = export_guard(curated, mode, require_eval, allow_partial).first()["error"]
+    if error:
+        raise RuntimeError(error)
+    kept, clean = curated.where("reason is null"), mode.first()["clean_eval"]
+    counts = {}
+    for split in ("train", "eval"):
+        rows, path = kept.where(F.col("split") == split), f"{folder}/{split}.jsonl"
+        if split == "train" or clean:
+            files.write_jsonl(curation.training_records(rows).drop("example_ord"), path)
+            counts[split] = rows.count()
+        else:
+            files.remove(curated.sparkSession, path)
+            counts[split] = 0
+    sample = review_fill(kept if clean else kept.where("split = 'train'"), review_size)
+    files.write_jsonl(sample, f"{folder}/review_sample.jsonl")
+    files.write_csv(sample, f"{folder}/review_sample.csv")
+    return counts | {"review": sample.count()}
+
+
+def reexport(curated: DataFrame, folder: str, review_size: int = 100) -> dict[str, int]:
+    """The files of :func:`export` after edits: both splits, files of empty ones go, and the review sample is train's only."""
+    counts, spark = {}, curated.sparkSession
+    kept = curated.where("reason is null")
+    for split in ("train", "eval"):
+        rows = kept.where(F.col("split") == split)
+        counts[split] = rows.count()
+        if counts[split]:
+            files.write_jsonl(curation.training_records(rows).drop("example_ord"), f"{folder}/{split}.jsonl")
+        else:
+            files.remove(spark, f"{folder}/{split}.jsonl")
+    sample = review_fill(kept.where("split = 'train'"), review_size)
+    counts["review"] = sample.count()
+    for name, write in (("review_sample.jsonl", files.write_jsonl), ("review_sample.csv", files.write_csv)):
+        if counts["review"]:
+            write(sample, f"{folder}/{name}")
+        else:
+            files.remove(spark, f"{folder}/{name}")
+    return counts
+
+
 def export_guard(curated: DataFrame, mode: DataFrame, require_eval: bool = True, allow_partial: bool = False) -> DataFrame:
     """One row, ``error``: why the data set may not be exported, or null."""
     counts = curated.where("reason is null").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "eval").alias("eval"))

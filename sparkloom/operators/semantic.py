@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import headings as H
 from sparkloom.functions import text as T
+from sparkloom.functions.frames import once
 from sparkloom.sources.tables import LINES_PER_PAGE
 
 # Fixed values.
@@ -19,13 +20,6 @@ WHOLE, IMPLIED_CHAPTER, IMPLIED_SECTION = "Documento", "Contenido", "Sección"
 CONTINUED, RULE = "[Continuación del tema anterior]\n", "\n\n---\n\n"
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns, each worked out once however often it is used."""
-    for name, column in columns.items():
-        df = df.withColumn(name, F.explode(F.array(column)))
-    return df
-
-
 def _page(pos: Column) -> Column:
     return F.floor(pos / LINES_PER_PAGE).cast("int") + 1
 
@@ -34,58 +28,111 @@ def _pages() -> Column:
     return _page(F.size("lines") - 1)
 
 
-def sections(documents: DataFrame) -> DataFrame:
-    """``doc_id, section_ord, heading, page_start, page_end, text``: what is between heading lines.
+def section_arrays(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``sections``: what is between heading lines, as an array of ``heading, page_start, page_end, text``, with ``section_ord``.
 
     A section ends on the page of the next heading; those without text are
-    left out. Null and empty texts have none.
+    left out. Null and empty texts have none. Only slices of a document's own
+    lines are copied, not the lines for each section.
     """
-    docs = once(documents.select("doc_id", "text"), lines=F.transform(F.split("text", "\n"), T.strip))
+    docs = once(documents, lines=F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.strip))
     heads = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda h: H.is_heading(h["line"]))
     first = F.struct(F.lit(-1).alias("pos"), F.lit(WHOLE).alias("line"))
     docs = once(docs, heads=F.concat(F.array(first), heads))
-    cut = F.transform("heads", lambda h, i: F.struct(h.alias("h"), F.try_element_at("heads", i + 2)["pos"].alias("next")))
-    cut = docs.select("doc_id", "lines", F.posexplode(cut).alias("section_ord", "s")).select("doc_id", "section_ord", "lines", "s.*")
-    body = F.slice("lines", F.col("h.pos") + 2, F.coalesce("next", F.size("lines")) - F.col("h.pos") - 1)
-    cut = once(cut, body=T.normalize_text(F.array_join(F.filter(body, lambda x: x != ""), "\n")))
-    heading = F.when(F.col("section_ord") == 0, WHOLE).otherwise(T.strip(F.regexp_replace("h.line", "^[# ]+", "")))
-    return cut.where("body <> ''").select(
-        "doc_id", F.col("section_ord").cast("long").alias("section_ord"), heading.alias("heading"), _page(F.greatest("h.pos", F.lit(0))).cast("long").alias("page_start"),
-        F.coalesce(_page(F.col("next")), _pages()).cast("long").alias("page_end"), F.col("body").alias("text"),
-    )
+
+    def cut(h: Column, i: Column) -> Column:
+        next_ = F.try_element_at("heads", i + 2)["pos"]
+        body = F.slice("lines", h["pos"] + 2, F.coalesce(next_, F.size("lines")) - h["pos"] - 1)
+        return F.struct(
+            i.cast("long").alias("section_ord"), F.when(i == 0, WHOLE).otherwise(T.strip(F.regexp_replace(h["line"], "^[# ]+", ""))).alias("heading"),
+            _page(F.greatest(h["pos"], F.lit(0))).cast("long").alias("page_start"), F.coalesce(_page(next_), _pages()).cast("long").alias("page_end"),
+            T.normalize_text(F.array_join(F.filter(body, lambda x: x != ""), "\n")).alias("text"),
+        )
+
+    docs = once(docs, sections=F.transform("heads", cut))
+    return docs.withColumn("sections", F.filter("sections", lambda s: s["text"] != "")).drop("lines", "heads")
+
+
+def sections(documents: DataFrame) -> DataFrame:
+    """``doc_id, section_ord, heading, page_start, page_end, text``: the rows of :func:`section_arrays`."""
+    return section_arrays(documents.select("doc_id", "text")).select("doc_id", F.inline("sections"))
 
 
 def tree(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, nodes``: chapters and sections in order, as an array.
-
-    A node has ``level`` (1 or 2), ``heading``, ``page_start``, ``page_end``,
-    ``text`` and ``tokens``. Level-1 headings open a chapter, level-2 ones a
-    section in it, under an implied chapter if there is none. Level-3 ones
-    open an implied section if there is none and are otherwise only dropped
-    from the text, which stays in the section. Lines before the first heading
-    are lost if there is one; else they are the only node. White space is
-    squeezed.
+    """``doc_id, source, nodes``: chapters, sections and subsections in order, as an array.
+
+    A node has ``level`` (1 to 3; 0 for a whole document without headings),
+    ``heading``, ``page_start``, ``page_end``, ``text`` and ``tokens``. Level-1
+    headings open a chapter, level-2 ones a section in it, level-3 ones a
+    subsection in that; a missing chapter or section is implied. Subsections
+    have no text: what follows one belongs to its section. A chapter with
+    sections ends where the last of them ends, and a section with subsections
+    where the last of those begins. Lines before the first heading are lost if
+    there is one. White space is squeezed.
     """
     docs = once(documents.select("doc_id", "source", "text").where("text is not null"), lines=F.transform(F.split("text", "\n"), T.strip))
     docs = once(docs, levels=F.transform("lines", H.level))
-    heads = F.filter(F.transform("levels", lambda level, i: F.struct(i.alias("pos"), level.alias("level"))), lambda h: h["level"] > 0)
-    docs = once(docs, heads=heads)
-    opens = F.filter("heads", lambda h, i: (h["level"] < 3) | (i == 0) | (F.try_element_at("heads", i)["level"] == 1))
-    docs = once(docs, opens=F.when(F.size("heads") == 0, F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("level")))).otherwise(opens))
-
-    def node(h: Column, i: Column) -> Column:
-        stop = F.coalesce(F.try_element_at("opens", i + 2)["pos"], F.size("lines"))
-        own = F.zip_with(F.slice("lines", h["pos"] + 2, stop - h["pos"] - 1), F.slice("levels", h["pos"] + 2, stop - h["pos"] - 1), lambda x, level: F.when(level == 0, x))
-        start = _page(F.greatest(h["pos"], F.lit(0)))
-        heading = F.when(h["level"] == 0, WHOLE).when(h["level"] == 3, IMPLIED_SECTION).otherwise(H.title(F.try_element_at("lines", h["pos"] + 1)))
+    docs = once(docs, heads=F.filter(F.transform("levels", lambda level, i: F.struct(i.alias("pos"), level.alias("level"))), lambda h: h["level"] > 0))
+    item = lambda pos, level, implied, own: F.struct(pos.alias("pos"), F.lit(level).alias("level"), F.lit(implied).alias("implied"), F.lit(own).alias("own"))
+
+    def opened(h: Column, i: Column) -> Column:
+        first, level = i == 0, h["level"]
+        chapter, section = item(h["pos"], 1, True, False), item(h["pos"], 2, True, True)
+        no_section = first | (F.try_element_at("heads", i)["level"] == 1)
+        none = F.array().cast("array<struct<pos:int,level:int,implied:boolean,own:boolean>>")
+        return F.concat(
+            F.when(first & (level > 1), F.array(chapter)).otherwise(none), F.when(no_section & (level == 3), F.array(section)).otherwise(none),
+            F.array(F.struct(h["pos"].alias("pos"), level.alias("level"), F.lit(False).alias("implied"), (level < 3).alias("own"))),
+        )
+
+    whole = F.array(item(F.lit(-1), 0, False, True))
+    docs = once(docs, opens=F.when(F.size("heads") == 0, whole).otherwise(F.flatten(F.transform("heads", opened))))
+    # where text of another node begins, for each node
+    docs = once(docs, owners=F.transform(F.filter("opens", lambda o: o["own"]), lambda o: o["pos"]))
+
+    def node(o: Column, i: Column) -> Column:
+        stop = F.coalesce(F.array_min(F.filter("owners", lambda p: p > o["pos"])), F.size("lines"))
+        part = lambda name: F.slice(name, o["pos"] + 2, F.when(o["own"], stop - o["pos"] - 1).otherwise(0))
+        own = F.zip_with(part("lines"), part("levels"), lambda x, level: F.when(level == 0, x))
+        start = _page(F.greatest(o["pos"], F.lit(0)))
+        heading = (
+            F.when(o["level"] == 0, WHOLE).when(o["implied"], F.when(o["level"] == 1, IMPLIED_CHAPTER).otherwise(IMPLIED_SECTION))
+            .otherwise(H.title(F.try_element_at("lines", o["pos"] + 1)))
+        )
+        # a node's pages go on while it is the one that text goes to, or its chapter, at a page's end
         ended = F.when(stop == F.size("lines"), _pages()).otherwise(_page(stop) - 1)
+        # an implied node has no first page of its own until a page ends in it
+        reach = F.when(ended >= start, ended).when(o["implied"], 1).otherwise(start)
         return F.struct(
-            F.least(F.greatest(h["level"], F.lit(1)), F.lit(2)).alias("level"), heading.alias("heading"), start.alias("page_start"), F.greatest(start, ended).alias("page_end"),
+            o["level"].alias("level"), heading.alias("heading"), start.alias("page_start"), F.when(o["level"] == 3, start).otherwise(reach).alias("reach"),
             T.squeeze(F.array_join(F.filter(own, lambda x: x.isNotNull()), " ")).alias("text"),
         )
 
-    docs = once(docs.select("doc_id", "source", "lines", "levels", "opens"), nodes=F.transform("opens", node))
-    return once(docs, nodes_=F.transform("nodes", lambda x: x.withField("tokens", T.word_count(x["text"])))).select("doc_id", "source", F.col("nodes_").alias("nodes"))
+    docs = once(docs.select("doc_id", "source", "lines", "levels", "opens", "owners"), nodes=F.transform("opens", node))
+    docs = once(docs.select("doc_id", "source", "nodes"), spans=_spans())
+    ended = F.zip_with("nodes", "spans", lambda x, last: F.struct(
+        x["level"].alias("level"), x["heading"].alias("heading"), x["page_start"].alias("page_start"), last.alias("page_end"), x["text"].alias("text"), T.word_count(x["text"]).alias("tokens")))
+    return once(docs, nodes_=ended).select("doc_id", "source", F.col("nodes_").alias("nodes"))
+
+
+def _spans() -> Column:
+    """The last page of each node, from its own and its children's: a fold from the last node to the first.
+
+    Nodes come in order, so the children of a chapter or section are those up to the next of its kind.
+    """
+    none = F.lit(None).cast("int")
+    start = F.struct(F.array().cast("array<int>").alias("out"), none.alias("sections"), none.alias("parts"))
+
+    def step(s: Column, x: Column) -> Column:
+        section, chapter = x["level"] == 2, x["level"] <= 1
+        last = F.when(section, F.coalesce(s["parts"], x["reach"])).when(chapter, F.coalesce(s["sections"], x["reach"])).otherwise(x["reach"])
+        return F.struct(
+            F.concat(F.array(last), s["out"]).alias("out"),
+            F.when(chapter, none).when(section, F.greatest(s["sections"], x["reach"])).otherwise(s["sections"]).alias("sections"),
+            F.when(x["level"] == 3, F.greatest(s["parts"], x["reach"])).alias("parts"),
+        )
+
+    return F.aggregate(F.reverse("nodes"), start, step, lambda s: s["out"])
 
 
 def greedy_starts(sizes: Column, opens) -> Column:
@@ -107,26 +154,28 @@ def _group(items: str, starts: str, make) -> Column:
     return F.transform(starts, lambda a, k: make(F.slice(items, a + 1, F.coalesce(F.try_element_at(starts, k + 2), F.size(items)) - a), k, a, F.try_element_at(starts, k + 2)))
 
 
-def merged_sections(trees: DataFrame, least: int) -> DataFrame:
-    """``trees`` with ``merged``: chapters, in order, each joined by the next ones until it has ``least`` words.
+def chapters(trees: DataFrame) -> DataFrame:
+    """``trees`` with ``chapters``: ``heading, page_start, page_end, text, tokens``; a chapter's text is its own and its sections', parted by an empty line."""
+    docs = once(trees, heads=F.filter(F.transform("nodes", lambda x, i: F.when(x["level"] < 2, i)), lambda i: i.isNotNull()))
+    return once(docs, chapters=_group("nodes", "heads", lambda own, k, a, b: F.struct(
+        own[0]["heading"].alias("heading"), own[0]["page_start"].alias("page_start"), own[0]["page_end"].alias("page_end"),
+        F.array_join(F.filter(F.transform(own, lambda x: x["text"]), lambda t: t != ""), "\n\n").alias("text"),
+        F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x["tokens"]).alias("tokens"),
+    ))).drop("heads")
+
+
+def merged_sections(docs: DataFrame, least: int) -> DataFrame:
+    """``docs`` with ``merged``: its ``chapters``, in order, each joined by the next ones until it has ``least`` words.
 
-    A last one that is still too short goes to the one before it. A chapter's
-    text is its own and its sections', parted by an empty line.
+    A last one that is still too short goes to the one before it.
     """
-    heads = F.filter(F.transform("nodes", lambda x, i: F.when((i == 0) | (x["level"] == 1), i)), lambda i: i.isNotNull())
-    docs = once(trees, heads=heads)
-    docs = once(docs, chapters=_group("nodes", "heads", lambda own, k, a, b: F.struct(
-        F.when(own[0]["level"] == 1, own[0]["heading"]).otherwise(IMPLIED_CHAPTER).alias("heading"), own[0]["page_start"].alias("page_start"),
-        F.element_at(own, -1)["page_end"].alias("page_end"), F.array_join(F.filter(F.transform(own, lambda x: x["text"]), lambda t: t != ""), "\n\n").alias("text"),
-        F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x["tokens"]).alias("tokens"),
-    )))
     docs = once(docs, fold=greedy_starts(F.transform("chapters", lambda c: c["tokens"]), lambda mass, size: mass >= least))
     trim = (F.col("fold.mass") < least) & (F.size("fold.starts") > 1)
     docs = once(docs, starts=F.when(trim, F.slice("fold.starts", 1, F.size("fold.starts") - 1)).otherwise(F.col("fold.starts")))
     return once(docs, merged=_group("chapters", "starts", lambda own, k, a, b: F.struct(
         F.array_join(F.transform(own, lambda c: c["heading"]), " / ").alias("heading"), own[0]["page_start"].alias("page_start"), F.element_at(own, -1)["page_end"].alias("page_end"),
         F.array_join(F.transform(own, lambda c: c["text"]), "\n\n").alias("text"), F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["tokens"]).alias("tokens"),
-    )))
+    ))).drop("fold", "starts")
 
 
 def units(text: Column, most: int) -> Column:
@@ -161,7 +210,7 @@ def semantic_chunks(documents: DataFrame, target: int = 8192, overlap: int = 200
     but a document's first chunk start with the last ``overlap`` words of the
     one before. The only shuffle is the one of the neighbours, by document.
     """
-    parts = split_sections(merged_sections(tree(documents), target // 2), target)
+    parts = split_sections(merged_sections(chapters(tree(documents)), target // 2), target)
     return overlapped(parts, overlap)
 
 

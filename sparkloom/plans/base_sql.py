@@ -21,3 +21,7 @@ def any_of(x: str, parts: tuple[str, ...]) -> str:
 CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 TITLE = rf"(regexp_matches(h, '[{CASED}]') AND NOT regexp_matches(h, '(^|[^{CASED}])\p{{Ll}}') AND NOT regexp_matches(h, '[{CASED}]\p{{Lu}}'))"
 UPPER = r"(regexp_matches(h, '\p{Lu}') AND NOT regexp_matches(h, '[\p{Ll}\p{Lt}]'))"
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[ \t\r\n\v\f]+|[ \t\r\n\v\f]+$', '', 'g')"

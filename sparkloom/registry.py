@@ -8,18 +8,20 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions import headings, maths
 from sparkloom.functions import text as T
-from sparkloom.operators import chunking, curation, dashboard, generation, jobs, planning, reporting, semantic
+from sparkloom.functions.frames import long_columns as _long
+from sparkloom.operators import chunking, curation, dashboard, generation, ingest, jobs, planning, reporting, semantic
 from sparkloom.plans.build_sql import SQL  # noqa: F401
-from sparkloom.sources import tables
+from sparkloom.sources import files, tables
+from sparkloom.sources.staging import staged
 from sparkloom.sources.tables import table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return tables.documents(spark, d)
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("tokens"))
+    return _docs(spark, d).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
 def normalize_text(spark, d):
@@ -33,7 +35,7 @@ def doc_token_counts(spark, d):
 def doc_ids(spark, d):
     stem = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
     path = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), stem, F.lit(".pdf"))
-    return _docs(spark, d).select("doc_id", F.concat(F.replace(F.lower(stem), F.lit(" "), F.lit("-")), F.lit("-"), F.substring(F.sha1(path), 1, 10)).alias("document"))
+    return _docs(spark, d).select("doc_id", files.document_name(path).alias("document"))
 
 
 def page_assets(spark, d):
@@ -45,7 +47,20 @@ def page_assets(spark, d):
 def parser_guard(spark, d):
     pages = tables.paged_documents(_docs(spark, d)).select("doc_id", F.size("pages").cast("long").alias("page_count"))
     ram = 4096 - F.col("doc_id") % 3000
-    return pages.withColumn("skip_reason", F.when(F.col("page_count") > 3, "max_pages").when(ram < 3072, "max_ram_mb"))
+    return pages.withColumn("skip_reason", ingest.skip_reason(F.col("page_count"), ram, 3, 3072))
+
+
+def ocr_pages(spark, d):
+    """Each second page stands for one that only OCR can read."""
+    pages = tables.pages(_docs(spark, d)).withColumn("ocr_text", F.when((F.col("doc_id") + F.col("page_no")) % 2 == 0, F.col("page_text")))
+    raw = pages.withColumn("raw_text", F.when(F.col("ocr_text").isNotNull(), F.substring("page_text", 1, 30)).otherwise(F.col("page_text"))).withColumn("has_images", F.col("page_no") % 3 == 0)
+    rows = ingest.read_pages(raw.drop("page_text"))
+    return rows.select("doc_id", "page_no", F.sha1("page_text").alias("text_hash"), F.length("page_text").cast("long").alias("text_chars"), "ocr_used", "visual", "requires_multimodal")
+
+
+def page_formulas(spark, d):
+    pages = ingest.marked_pages(tables.pages(_docs(spark, d)))
+    return pages.where("expressions > 0").select("doc_id", "page_no", "expressions", F.sha1("page_text").alias("text_hash"))
 
 
 def heading_lines(spark, d):
@@ -54,7 +69,7 @@ def heading_lines(spark, d):
 
 
 def math_marks(spark, d):
-    lines = semantic.once(_docs(spark, d).select("doc_id", "text").where("text is not null"), lines=maths.marked_lines(F.col("text")))
+    lines = maths.with_lines(_docs(spark, d).select("doc_id", "text").where("text is not null"), "text")
     return lines.select("doc_id", maths.formulas(F.col("lines")).alias("expressions"), F.sha1(maths.mark(F.col("lines"))).alias("text_hash"))
 
 
@@ -67,17 +82,13 @@ def document_sections(spark, d):
     return semantic.sections(_docs(spark, d)).withColumn("text_hash", F.sha1("text")).drop("text")
 
 
-def _long(df, *names):
-    return df.withColumns({n: F.col(n).cast("long") for n in names})
-
-
 def section_tree(spark, d):
     rows = semantic.tree(_docs(spark, d)).select("doc_id", F.posexplode("nodes").alias("node_ord", "x")).select("doc_id", "node_ord", "x.*")
     return _long(rows.withColumn("text_hash", F.sha1("text")).drop("text"), "node_ord", "level", "page_start", "page_end")
 
 
 def merged_sections(spark, d):
-    rows = semantic.merged_sections(semantic.tree(_docs(spark, d)), 128).select("doc_id", F.posexplode("merged").alias("section_ord", "x")).select("doc_id", "section_ord", "x.*")
+    rows = semantic.merged_sections(semantic.chapters(semantic.tree(_docs(spark, d))), 128).select("doc_id", F.posexplode("merged").alias("section_ord", "x")).select("doc_id", "section_ord", "x.*")
     return _long(rows.withColumn("text_hash", F.sha1("text")).drop("text"), "section_ord", "page_start", "page_end")
 
 
@@ -98,7 +109,19 @@ def page_limit_chunks(spark, d):
 
 
 def chunk_coverage(spark, d):
-    return chunking.coverage(_chunks(spark, d), tables.paged_documents(_docs(spark, d)))
+    return chunking.coverage(tables.paged_documents(_docs(spark, d)))
+
+
+def _ingested(spark, d):
+    """Documents with their pages, sections and page assets; each third stands for one without sections."""
+    docs = _docs(spark, d)
+    rows = ingest.ingested(docs, tables.paged_documents(docs))
+    return rows.withColumn("sections", F.when(F.col("doc_id") % 3 == 0, F.slice("sections", 1, 0)).otherwise(F.col("sections")))
+
+
+def document_chunks(spark, d):
+    rows = chunking.document_chunks(staged(_ingested(spark, d), "ingested"), 256, 32, max_pages=4, density=2)
+    return rows.withColumn("text_hash", F.sha1("text")).withColumn("neighbors", F.array_join("neighbors", ",")).withColumn("page_image_paths", F.array_join("page_image_paths", ",")).drop("text", "source")
 
 
 def chunk_neighbors(spark, d):
@@ -115,22 +138,43 @@ def kind_quota(spark, d):
     return planning.kind_quota(spark.range(0, 201).withColumnRenamed("id", "total"))
 
 
-def _scored(spark, d):
+def _scored(chunks):
     order = Window.partitionBy("doc_id")
-    chunks = _chunks(spark, d).withColumn("tokens", T.word_count(F.col("text")))
+    chunks = chunks.withColumn("tokens", T.word_count(F.col("text"))).withColumn("requires_multimodal", T.has_any(F.col("text"), T.FORMULA_MARKERS))
     scored = planning.chunk_scores(chunks.withColumn("n_neighbors", F.lit(0)))
     narrow = scored.select("doc_id", F.col("source").alias("batch"), "chunk_id", "chunk_ord", "tokens", *planning.PLAN_ORDER)
     most = F.max("chunk_ord").over(order)
     around = (F.col("chunk_ord") > 0).cast("long") + (F.col("chunk_ord") < most).cast("long")
-    return narrow.withColumn("multi_chunk", F.col("multi_chunk") + around).withColumn("chunk_seq", F.col("doc_id") * 10000 + F.col("chunk_ord"))
+    return narrow.withColumn("multi_chunk", F.col("multi_chunk") + around)
 
 
 def chunk_scores(spark, d):
-    return _scored(spark, d).select("chunk_id", "tokens", *planning.PLAN_ORDER)
+    return _scored(_chunks(spark, d)).select("chunk_id", "tokens", *planning.PLAN_ORDER)
 
 
 def target_plan(spark, d):
-    return planning.target_plan(_scored(spark, d))
+    # written once: its rows, sizes and cells would otherwise each cut all texts into pages again
+    return planning.target_plan(staged(_scored(_chunks(spark, d)), "scored"))
+
+
+def batched_plan(spark, d):
+    """Targets for each batch of pages of a split, with quotas for each."""
+    chunks = staged(_chunks(spark, d).drop("source"), "chunks")
+    split = split_manifest(spark, d).select("doc_id", "split")
+    batches = chunking.page_batches(chunks.join(split, "doc_id"), 50)
+    scored = _scored(chunks.withColumn("source", F.lit(""))).drop("batch").join(batches.select("chunk_id", F.concat_ws("-", "split", "batch_no").alias("batch")), "chunk_id")
+    return planning.target_plan(staged(scored, "batches"))
+
+
+def kind_cycle(spark, d):
+    return planning.kind_cycle(spark.range(0, 250).withColumnRenamed("id", "index"))
+
+
+def selected_chunks(spark, d):
+    manifest = split_manifest(spark, d)
+    chunks = _chunks(spark, d).select("doc_id", "chunk_id", "chunk_ord")
+    some = chunks.where("chunk_ord % 2 = 0").select("chunk_id")
+    return planning.selected_chunks(chunks, manifest, "train", manifest.where("doc_id % 3 <> 0").select("doc_id"), some).select("chunk_id")
 
 
 def _targets(spark, d):
@@ -139,9 +183,10 @@ def _targets(spark, d):
 
 
 def pending_targets(spark, d):
-    t = _targets(spark, d)
-    done = t.where("doc_id % 4 = 0 and ord < 1000000").select("chunk_id", "kind")
-    return planning.pending_targets(t.select("ord", "chunk_id", "kind"), done)
+    ex = tables.examples(table(spark, d, "conversations"))
+    # each second of those that exist doesn't say what was asked for
+    done = ex.where("doc_id % 4 = 0 and example_ord % 2 = 0").withColumn("requested_kind", F.when(F.col("doc_id") % 8 == 0, F.col("requested_kind")))
+    return planning.pending_targets(_targets(spark, d).select("ord", "chunk_id", "kind"), planning.existing_targets(done))
 
 
 def pending_chunks(spark, d):
@@ -163,8 +208,9 @@ def example_ids(spark, d):
 
 
 def evidence_resolution(spark, d):
-    given = F.filter("evidence", lambda e: (F.trim(e) != "") & ~F.upper(F.trim(e)).startswith("FRAGMENTO"))
-    resolved = F.when(F.col("is_answerable"), F.array_distinct(F.concat(given, F.col("chunk_ids")))).otherwise(given)
+    # placeholders and blanks among what was given; the question stands for the fragment's text
+    given = F.concat("evidence", F.array(F.lit(" Fragmento 2"), F.lit("EVIDENCIA"), F.lit("\t \n"), F.lit("fragmentos")))
+    resolved = generation.resolved_evidence(given, F.array("question"), F.col("is_answerable"))
     return _examples(spark, d).select("example_ord", F.size(resolved).cast("long").alias("n_evidence"), F.sha1(F.array_join(resolved, "|")).alias("evidence_hash"))
 
 
@@ -183,7 +229,8 @@ def curation_summary(spark, d):
 def training_records(spark, d):
     records = curation.training_records(_curated(spark, d).where("reason is null"))
     joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
-    return records.select("example_ord", F.sha1(joined).alias("messages_hash"), "example_id", "doc_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), "question_type", "is_answerable", "quality_score", "split")
+    plain = records.select("example_ord", F.sha1(joined).alias("messages_hash"), "metadata.*")
+    return plain.withColumn("chunk_ids", F.array_join("chunk_ids", ",")).withColumn("page_range", F.array_join(F.transform("page_range", lambda x: x.cast("string")), "-"))
 
 
 def review_sample(spark, d):
@@ -201,7 +248,62 @@ def examples_filtered_page(spark, d):
 
 
 def examples_search(spark, d):
-    return dashboard.filtered(_curated(spark, d), search="The").select("example_ord", "question_type")
+    return dashboard.filtered(_curated(spark, d), search="OC-1").select("example_ord", "question_type")
+
+
+def _job_dim(spark, d):
+    return _examples(spark, d).select("job_id").distinct().select("job_id", F.lit("2024-01-01").alias("created_at"), F.substring("job_id", 5, 9).cast("long").alias("ord"))
+
+
+def examples_of_jobs(spark, d):
+    """A page of the three latest jobs' examples, with the total."""
+    rows = dashboard.of_latest_jobs(dashboard.filtered(_curated(spark, d), accepted=dashboard.accepted_flag(" Yes ")), _job_dim(spark, d), 3)
+    return dashboard.page_with_total(rows, limit=40, offset=5).select("example_ord", "example_id", "job_id", "total")
+
+
+def examples_sorted(spark, d):
+    rows = dashboard.ordered(_curated(spark, d), "score").limit(50)
+    return rows.select("example_ord", F.coalesce("overall", F.lit(0.0)).alias("overall"))
+
+
+def selected_rows(spark, d):
+    c = _curated(spark, d).withColumn("accepted", F.col("reason").isNull())
+    return dashboard.selected_rows(c, c.where("doc_id % 6 = 0").select("job_id", "example_id", "split")).withColumn("question", F.sha1("question")).withColumn("answer", F.sha1("answer")).withColumn("evidence", F.size("evidence").cast("long"))
+
+
+def job_metrics(spark, d):
+    rows = dashboard.job_metrics(_curated(spark, d))
+    return rows.select("job_id", "split", "question_type", "accepted", "rejected", F.get("overall_figures", F.lit(0)).alias("least_overall"), F.get("overall_figures", F.lit(4)).alias("most_overall"))
+
+
+def job_stats(spark, d):
+    return dashboard.stat_sums(curation.edges_by_job(_curated(spark, d)))
+
+
+def curation_totals(spark, d):
+    rows = curation.totals(_curated(spark, d), "split")
+    why = F.array_join(F.array_sort(F.transform(F.map_entries("rejected_by_reason"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return rows.withColumn("rejected_by_reason", why)
+
+
+def editor_find(spark, d):
+    c = _curated(spark, d)
+    ids = c.where("doc_id % 5 = 0").select("example_id").union(spark.createDataFrame([("nowhere",)], "example_id string"))
+    return curation.find(c, ids)
+
+
+def editor_bulk(spark, d):
+    c = _curated(spark, d)
+    return curation.bulk_edit(c, c.where("doc_id % 10 = 3").select("example_id"), "reject", "not wanted").select("example_ord", "reason")
+
+
+def source_mode(spark, d):
+    return reporting.source_mode(_docs(spark, d))
+
+
+def link_names(spark, d):
+    names = _docs(spark, d).select(F.col("doc_id").alias("ord"), F.concat(F.lit("/in/"), F.col("source"), F.lit("/report"), (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("-"), (F.col("doc_id") % 4 + 1).cast("string"))).otherwise(""), F.lit(".pdf")).alias("path"))
+    return files.link_names(names.where("ord is not null")).select("ord", "name")
 
 
 def type_distribution(spark, d):
@@ -234,6 +336,35 @@ def job_latest_state(spark, d):
     return jobs.latest_state(_events(spark, d))
 
 
+def job_list(spark, d):
+    return jobs.job_list(_events(spark, d), 20)
+
+
+def job_stats_kept(spark, d):
+    """Events of which each third says how far a job is."""
+    e = _events(spark, d).withColumn("stats", F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")))
+    return jobs.latest_state(e).select("job_id", "stats")
+
+
+def job_progress(spark, d):
+    batches = spark.range(1, 41).select(F.when(F.col("id") % 2 == 0, "train").otherwise("eval").alias("split"), F.floor(F.col("id") / 2).alias("batch"), (F.col("id") % 7 + 1).alias("pages"), (F.col("id") % 5 * 1.5).cast("double").alias("seconds"))
+    rows = jobs.progress(batches)
+    return rows.withColumn("percent", F.round(jobs.milestone(F.concat(F.lit("generate_"), "split"), F.col("batch"), F.col("total_batches")), 6))
+
+
+def structured_calls(spark, d):
+    e = table(spark, d, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("retryable", "ok", "malformed", "retryable", "permanent", "retryable", "malformed"))), ((F.col("event_id") * F.col("event_id") + F.floor(F.col("event_id") / 97)) % 7 + 1).cast("int"))
+    replies = e.select(F.concat(F.lit("call-"), (F.col("event_id") % 97).cast("string")).alias("name"), F.col("event_id").alias("attempt"), kind.alias("error_class"), F.when(F.col("event_id") % 3 == 0, "Unknown Response_Format").otherwise("no").alias("message"), F.when(F.col("event_id") % 11 == 0, F.lit(2.5)).alias("retry_after"))
+    return jobs.structured_calls(replies)
+
+
+def shown_values(spark, d):
+    n = spark.range(0, 3000, 7)
+    seconds = (F.col("id") * F.col("id") / 20.0).cast("double")
+    return n.select(F.col("id").alias("n"), T.eta(seconds).alias("eta"), T.percent(F.col("id") / 3000.0).alias("percent"), T.relative(seconds).alias("ago"))
+
+
 def active_job(spark, d):
     return jobs.active_job(_events(spark, d))
 
@@ -244,7 +375,7 @@ def event_tail(spark, d):
 
 
 def retry_backoff(spark, d):
-    return jobs.backoff(spark.range(1, 13).withColumnRenamed("id", "attempt"))
+    return jobs.backoff(spark.range(1, 13).select(F.col("id").alias("attempt"), F.when(F.col("id") % 5 == 0, F.lit(7)).alias("retry_after")))
 
 
 def breaker_failure_rate(spark, d):
@@ -256,7 +387,7 @@ def lexical_neighbors(spark, d):
 
 
 def page_batches(spark, d):
-    return chunking.page_batches(_chunks(spark, d), 10)
+    return chunking.page_batches(_chunks(spark, d).join(split_manifest(spark, d).select("doc_id", "split"), "doc_id"), 50)
 
 
 def coverage_fallback(spark, d):
@@ -267,21 +398,21 @@ def dense_windows(spark, d):
     return _long(chunking.dense_windows(tables.paged_documents(_docs(spark, d)), 2).withColumn("text_hash", F.sha1("text")).drop("text"), "page_start", "page_end")
 
 
-def _described(spark, d):
-    return _chunks(spark, d).withColumn("chunk_seq", F.col("doc_id") * 10000 + F.col("chunk_ord")).withColumnRenamed("source", "batch").withColumn("heading", F.lit(""))
+def _described(chunks):
+    return chunks.withColumnRenamed("source", "batch").withColumn("heading", F.lit(""))
 
 
 def chunk_summaries(spark, d):
-    return generation.summaries(_described(spark, d)).select("batch", "summary", F.sha1("context").alias("context_hash"))
-
-
-def _contexts(spark, d):
-    chunks = _described(spark, d).join(chunking.lexical_neighbors(_chunks(spark, d)), "chunk_id")
-    return generation.contexts(target_plan(spark, d), chunks)
+    return generation.summaries(_described(_chunks(spark, d))).select("batch", "summary", F.sha1("context").alias("context_hash"))
 
 
 def _prompts(spark, d):
-    return generation.prompts(_contexts(spark, d), generation.summaries(_described(spark, d)))
+    """Chunks are written once; neighbours, targets and summaries read them from there."""
+    chunks = staged(_chunks(spark, d), "chunks")
+    targets = planning.target_plan(staged(_scored(chunks), "scored"))
+    described = _described(chunks)
+    context = generation.contexts(targets, described.join(chunking.lexical_neighbors(chunks), "chunk_id"))
+    return generation.prompts(context, generation.summaries(described))
 
 
 def generation_prompts(spark, d):
@@ -289,7 +420,7 @@ def generation_prompts(spark, d):
 
 
 def generated_examples(spark, d):
-    prompted = _prompts(spark, d)
+    prompted = staged(_prompts(spark, d), "prompts")
     rows = generation.judge_prompts(generation.examples_of(generation.generate(prompted, generation.EchoTeacher()), prompted))
     return rows.select(
         "batch", "kind", "pick", "chunk_id", "example_id", "question_type", "is_answerable", "matches", "attempts", F.sha1("answer").alias("answer_hash"), F.size("evidence").cast("long").alias("n_evidence"),
@@ -297,6 +428,20 @@ def generated_examples(spark, d):
     )
 
 
+def judged_examples(spark, d):
+    ex = _examples(spark, d)
+    earlier = ex.where("doc_id % 2 = 0").select("example_id", F.col("example_ord").alias("seq"), *[F.coalesce("overall", F.lit(0.0)).alias(s) for s in generation.SCORES], F.lit("earlier").alias("rationale"))
+    return generation.judged(ex, earlier, generation.EchoJudge()).select("example_ord", F.round("overall", 6).alias("overall"), "rationale")
+
+
+def image_parts(spark, d):
+    """Images of a document's fragments: the first ten pages of three windows each, which overlap."""
+    docs = ingest.with_assets(tables.paged_documents(_docs(spark, d)))
+    paths = F.filter(F.transform("assets", lambda a: a["image_path"]), lambda p: p.isNotNull())
+    part = lambda a: F.struct(F.slice(paths, a, 10).alias("page_image_paths"))
+    return docs.select("doc_id", F.array_join(generation.image_parts(F.array(part(1), part(6), part(11)), 12), ",").alias("images"))
+
+
 def judge_scores(spark, d):
     x = F.concat(F.lit("0."), (50 + F.col("example_ord") % 50).cast("string"))
     quote = F.when(F.col("example_ord") % 7 == 2, '"').otherwise("")
@@ -347,7 +492,7 @@ def call_errors(spark, d):
 
 def breaker_states(spark, d):
     e = table(spark, d, "events")
-    calls = e.select(F.concat(F.lit("job-"), (F.col("user_id") % 20).cast("string")).alias("name"), F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.hash("event_id") % 3 != 0).alias("failed"))
+    calls = e.select(F.concat(F.lit("job-"), (F.col("user_id") % 20).cast("string")).alias("name"), F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), ((F.col("event_id") * 7 + F.floor(F.col("event_id") / 1300)) % 5 < 2).alias("failed"))
     return jobs.breaker_states(calls)
 
 
@@ -360,14 +505,19 @@ def phase_plan(spark, d):
 
 def text_measures(spark, d):
     w, h = F.col("n_chars") % 3000, F.col("doc_id") % 2000
-    return _docs(spark, d).select("doc_id", T.image_tokens(w, h).alias("image_tokens"), T.language_name(F.col("lang")).alias("language"), T.truncated(F.col("text"), 40).alias("shown"), F.size(T.token_set(F.col("text"))).cast("long").alias("n_distinct"), T.language(F.col("text")).alias("detected"))
+    return _docs(spark, d).select("doc_id", T.image_tokens(w, h).alias("image_tokens"), T.language_name(F.col("lang")).alias("language"), T.truncated(F.col("text"), 40).alias("shown"), F.size(T.token_set(F.col("text"))).cast("long").alias("n_distinct"), T.language(F.col("text"), "en").alias("detected"))
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, heading_lines, math_marks, heading_levels, document_sections, section_tree, merged_sections, semantic_chunks, word_window_chunks, page_limit_chunks, chunk_coverage,
-    chunk_neighbors, split_manifest, kind_quota, chunk_scores, target_plan, pending_targets, pending_chunks, question_types, example_ids,
-    evidence_resolution, curation_reasons, curation_summary, training_records, review_sample, report_counts, examples_filtered_page, examples_search,
-    type_distribution, per_job_counts, score_histogram, editor_accept, editor_reject, job_latest_state, active_job, event_tail, retry_backoff, breaker_failure_rate,
-    lexical_neighbors, page_batches, coverage_fallback, dense_windows, chunk_summaries, generation_prompts, generated_examples, judge_scores, score_reuse, dataset_mode,
-    export_guard, review_fill, report_lines, editor_patch, editor_delete, call_errors, breaker_states, phase_plan, text_measures,
+    normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, ocr_pages, page_formulas, heading_lines,
+    math_marks, heading_levels, document_sections, section_tree, merged_sections, semantic_chunks, word_window_chunks, page_limit_chunks,
+    chunk_coverage, document_chunks, chunk_neighbors, split_manifest, kind_quota, chunk_scores, target_plan, batched_plan,
+    kind_cycle, selected_chunks, pending_targets, pending_chunks, question_types, example_ids, evidence_resolution, curation_reasons,
+    curation_summary, training_records, review_sample, report_counts, examples_filtered_page, examples_search, examples_of_jobs, examples_sorted,
+    selected_rows, job_metrics, job_stats, curation_totals, editor_find, editor_bulk, source_mode, link_names,
+    type_distribution, per_job_counts, score_histogram, editor_accept, editor_reject, job_latest_state, job_list, job_stats_kept,
+    job_progress, structured_calls, shown_values, active_job, event_tail, retry_backoff, breaker_failure_rate, lexical_neighbors,
+    page_batches, coverage_fallback, dense_windows, chunk_summaries, generation_prompts, generated_examples, judged_examples, image_parts,
+    judge_scores, score_reuse, dataset_mode, export_guard, review_fill, report_lines, editor_patch, editor_delete,
+    call_errors, breaker_states, phase_plan, text_measures,
 )}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
+from sparkloom.sources.staging import spread
 
 LINES_PER_PAGE = 5
 
@@ -15,16 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank lines are skipped, a bad row raises, a missing path is empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -32,25 +25,23 @@ def lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def page_texts(text: str = "text") -> Column:
+    """The pages of a text: five lines each, white space squeezed."""
+    lines = F.split(text, "\n")
+    starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / LINES_PER_PAGE).cast("int"))
+    return F.transform(starts, lambda k: T.squeeze(F.array_join(F.slice(lines, k * LINES_PER_PAGE + 1, LINES_PER_PAGE), " ")))
+
+
 def pages(documents: DataFrame) -> DataFrame:
-    """``doc_id, page_no, page_text``: five lines each, white space squeezed.
-
-    Slices of a document's own lines, so no shuffle.
-    """
-    numbered = documents.select("doc_id", F.split("text", "\n").alias("lines"))
-    starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_PER_PAGE).cast("int"))
-    return numbered.select("doc_id", "lines", F.explode(starts).alias("k")).select(
-        "doc_id", (F.col("k") + 1).cast("long").alias("page_no"), T.squeeze(F.array_join(F.slice("lines", F.col("k") * LINES_PER_PAGE + 1, LINES_PER_PAGE), " ")).alias("page_text"),
-    )
+    """``doc_id, page_no, page_text``, from 1; without a shuffle."""
+    cut = documents.where("text is not null").select("doc_id", F.posexplode(page_texts()).alias("k", "page_text"))
+    return cut.select("doc_id", (F.col("k") + 1).cast("long").alias("page_no"), "page_text")
 
 
 def paged_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, source, pages``: the page texts as an array, without a shuffle."""
-    numbered = documents.select("doc_id", "source", F.split("text", "\n").alias("lines"))
-    starts = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES_PER_PAGE).cast("int"))
-    texts = F.transform(starts, lambda k: T.squeeze(F.array_join(F.slice("lines", k * LINES_PER_PAGE + 1, LINES_PER_PAGE), " ")))
     # through a generator, so that each use of the pages does not work them out anew
-    return numbered.select("doc_id", "source", F.explode(F.array(texts)).alias("pages"))
+    return documents.select("doc_id", "source", F.explode(F.array(page_texts())).alias("pages"))
 
 
 def examples(conversations: DataFrame) -> DataFrame:
@@ -62,7 +53,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, T.KINDS)), ((c * 8 + t) % 5 + 1).cast("int"))
     first = F.concat(F.lit("doc-"), c.cast("string"), F.lit("-chunk-"), t.cast("string"))
     rows = pairs.select(
-        (c * 100 + t).alias("example_ord"), c.alias("doc_id"), F.concat(F.lit("job-"), (c % 5).cast("string")).alias("job_id"),
+        (2 * (c * 1_000_000 + t)).alias("example_ord"), c.alias("doc_id"), F.concat(F.lit("job-"), (c % 5).cast("string")).alias("job_id"),
         kind.alias("requested_kind"), F.when((c + t) % 17 == 0, "factoid").otherwise(kind).alias("question_type"),
         F.when(kind == "multi_chunk", F.array(first, F.concat(first, F.lit("b")))).otherwise(F.array(first)).alias("chunk_ids"),
         F.col("text").alias("question"), F.when((kind == "unanswerable") & (c % 3 != 0), T.REFUSAL).otherwise(F.col("reply")).alias("answer"),
@@ -70,7 +61,11 @@ def examples(conversations: DataFrame) -> DataFrame:
         F.when(c % 13 != 0, (50 + (c * 31 + t * 17) % 51) / F.lit(100.0)).alias("overall"),
         F.when(c % 13 != 0, (50 + (c * 13 + t * 29) % 51) / F.lit(100.0)).alias("groundedness"),
     )
-    again = rows.where("doc_id % 7 = 0").withColumn("example_ord", F.col("example_ord") + 1_000_000)
+    rows = rows.withColumns({
+        "source_doc": F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")), "page_start": F.col("doc_id") % 7 + 1, "page_end": F.col("doc_id") % 7 + 2,
+        "difficulty": F.when(F.col("doc_id") % 2 == 0, "medium").otherwise("hard"), "teacher_model": F.lit("echo"), "prompt_version": F.lit("v1"), "language": F.lit("en"),
+    })
+    again = rows.where("doc_id % 7 = 0").withColumn("example_ord", F.col("example_ord") + 1)
     evidence = F.when(F.col("has_evidence"), F.array("answer")).otherwise(F.array().cast("array<string>"))
     return rows.union(again).withColumn("evidence", evidence).drop("has_evidence")
 

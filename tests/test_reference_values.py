@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import chunking, curation, planning
-from sparkloom.sources import tables
+from sparkloom.sources import files
 from sparkloom.streaming import events
 
 
@@ -60,9 +60,9 @@ def test_duplicate_of_a_rejected_row_is_none(spark):
 
 def test_jsonl(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "a long, b string")
-    tables.write_jsonl(df, str(tmp_path / "t"))
-    assert sorted(tables.read_jsonl(spark, str(tmp_path / "t"), "a long, b string").collect()) == sorted(df.collect())
-    assert tables.read_jsonl(spark, str(tmp_path / "none"), "a long").count() == 0
+    files.write_jsonl(df, str(tmp_path / "t"))
+    assert sorted(files.read_jsonl(spark, str(tmp_path / "t"), "a long, b string").collect()) == sorted(df.collect())
+    assert files.read_jsonl(spark, str(tmp_path / "none"), "a long").count() == 0
 
 
 def test_stream_goes_on_where_it_ended(spark, tmp_path):
