@@ -10,7 +10,14 @@ from pyspark.sql import SparkSession
 
 from sparkloom import registry
 
-HEADLINE = ("split_manifest", "word_window_chunks", "page_limit_chunks", "chunk_coverage", "target_plan", "curation_reasons", "training_records", "type_distribution", "job_latest_state", "breaker_failure_rate")
+ROOT = os.path.dirname(os.path.abspath(__file__))
+# the Python workers import the package as well
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+
+HEADLINE = (
+    "split_manifest", "word_window_chunks", "page_limit_chunks", "chunk_coverage", "target_plan", "curation_reasons", "training_records", "type_distribution", "job_latest_state", "breaker_failure_rate",
+    "document_sections", "section_tree", "math_marks", "semantic_chunks", "lexical_neighbors", "generation_prompts", "generated_examples", "report_lines", "document_chunks", "page_batches",
+)
 
 
 def main() -> None:

@@ -40,7 +40,7 @@ SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 
 def words(text: Column) -> Column:
     """Words between white space; none for a null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
 def word_count(text: Column) -> Column:

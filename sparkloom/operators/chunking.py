@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions import text as T
 from sparkloom.functions.frames import once
 from sparkloom.operators import semantic
+from sparkloom.sources.staging import staged
 
 # Fixed values.
 STRATEGIES = ("semantic", "headings_first")
@@ -115,7 +116,8 @@ def document_chunks(documents: DataFrame, target: int = 8192, overlap: int = 200
     heads = narrow.where(several).select("doc_id", "source", given.alias("chapters")).union(semantic.chapters(semantic.tree(narrow.where(~several))).select("doc_id", "source", "chapters"))
     smart = semantic.overlapped(semantic.split_sections(semantic.merged_sections(heads, target // 2), target), overlap)
     none = [F.lit(None).cast(t).alias(n) for n, t in zip(PARTS[-3:], ("string", "string", "long"), strict=True)]
-    smart = smart.select(*PARTS[:-3], *none)
+    # written, as the headings are costly to find and are read twice
+    smart = staged(smart.select(*PARTS[:-3], *none), "semantic-chunks")
     n_pages, words = F.size("pages").cast("long"), F.aggregate("pages", F.lit(0).cast("long"), lambda n, p: n + T.word_count(p))
     facts = documents.select("doc_id", n_pages.alias("page_count"), words.alias("words"), (F.size("sections") > 0).alias("has_sections"))
     seen = smart.groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by("page_end", "chunk_ord").alias("last"))
@@ -126,7 +128,7 @@ def document_chunks(documents: DataFrame, target: int = 8192, overlap: int = 200
     facts = facts.select("doc_id", "page_count", "has_sections", (few if strategy == "semantic" else F.lit(True)).alias("plain"))
     plain = plain_chunks(documents.join(facts.where("plain").select("doc_id"), "doc_id", "left_semi"), target, overlap)
     rows = smart.join(facts.where("not plain").select("doc_id"), "doc_id", "left_semi").select(*PARTS).union(plain.select(*PARTS))
-    rows = limited_pages(rows, documents, max_pages)
+    rows = staged(limited_pages(rows, documents, max_pages), "limited-chunks")
     # documents without sections whose chunks are too few
     n = F.count("*").over(Window.partitionBy("doc_id"))
     rows = rows.join(facts.drop("plain"), "doc_id").withColumn("sparse", ~F.col("has_sections") & (F.col("page_count") > 0) & (n < expected_chunks(F.col("page_count"), density)))
@@ -217,7 +219,7 @@ def lexical_neighbors(chunks: DataFrame, most: int = 2) -> DataFrame:
     return rows.select("chunk_id", F.slice(F.filter(F.array("before", "after", extra), lambda x: x.isNotNull()), 1, min(most, 2)).alias("neighbors"))
 
 
-def page_batches(chunks: DataFrame, budget: int = 100, by: str = "split", blocks: int = 1024) -> DataFrame:
+def page_batches(chunks: DataFrame, budget: int = 100, by: str = "split", blocks: int | None = None) -> DataFrame:
     """``by, doc_id, chunk_id, batch_no``: in order, chunks of a group while their distinct pages keep to ``budget``; a larger one stands alone.
 
     Batches cross documents, but between two documents only the number of pages
@@ -227,6 +229,7 @@ def page_batches(chunks: DataFrame, budget: int = 100, by: str = "split", blocks
     ``doc_id, chunk_id, chunk_ord, page_start, page_end``; a document's ranges
     start no earlier than those before them.
     """
+    blocks = blocks or 4 * chunks.sparkSession.sparkContext.defaultParallelism
     ends = chunks.groupBy(by).agg(F.min("doc_id").alias("low_"), F.max("doc_id").alias("high_"))
     width = F.greatest(F.lit(1.0), (F.col("high_").cast("double") - F.col("low_") + 1) / blocks)
     narrow = chunks.select(by, "doc_id", "chunk_id", "chunk_ord", F.col("page_start").cast("long").alias("a"), F.col("page_end").cast("long").alias("b"))

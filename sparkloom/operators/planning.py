@@ -35,10 +35,9 @@ def split_manifest(tokens: DataFrame, eval_ratio: float = 0.15) -> DataFrame:
 
     The running sum is taken over the distinct sizes, a small table; only the
     documents of the one size that crosses the limit are put in order. At least
-    one document is train; a single one is.
+    one document is train; a single one is. ``tokens`` is read several times,
+    so it should be a written table where it takes work to make.
     """
-    # dealt once, so that the sizes and the rows come from one reading of the texts
-    tokens = tokens.repartition("doc_id")
     size = F.greatest(F.col("tokens"), F.lit(1)).cast("long")
     sizes = tokens.groupBy("tokens").agg(F.count("*").alias("n"), (F.count("*") * size).alias("mass"), F.min("doc_id").alias("least"))
     larger = Window.orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)

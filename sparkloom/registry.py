@@ -131,7 +131,7 @@ def chunk_neighbors(spark, d):
 
 
 def split_manifest(spark, d):
-    return planning.split_manifest(_tokens(spark, d))
+    return planning.split_manifest(staged(_tokens(spark, d), "tokens"))
 
 
 def kind_quota(spark, d):
@@ -387,7 +387,8 @@ def lexical_neighbors(spark, d):
 
 
 def page_batches(spark, d):
-    return chunking.page_batches(_chunks(spark, d).join(split_manifest(spark, d).select("doc_id", "split"), "doc_id"), 50)
+    chunks = staged(_chunks(spark, d).select("doc_id", "chunk_id", "chunk_ord", "page_start", "page_end"), "page-ranges")
+    return chunking.page_batches(chunks.join(split_manifest(spark, d).select("doc_id", "split"), "doc_id"), 50)
 
 
 def coverage_fallback(spark, d):
