@@ -213,13 +213,16 @@ def test_nearest(spark):
     d = x.astype("float64")
     for factor, least in ((1.0, 1.0), (0.6, 0.9)):
         out = nearest.nearest_neighbours(df, df.where("vec_id % 20 = 0"), k=20, factor=factor, shard_rows=150, query_rows=10).collect()
-        got = {}
+        got, scores = {}, {}
         for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
             got.setdefault(r.query_id, []).append(r.vec_id)
+            scores.setdefault(r.query_id, []).append(r.score)
         hits = total = 0
         for q in range(0, 600, 20):
             s = np.einsum("j,ij->i", d[q], d)
             want = [int(i) for i in np.lexsort((np.arange(600), -np.round(s, 9))) if i != q][:20]
+            exact = [float(nearest.inner(d[q][None], d[i][None])[0]) for i in got[q]]
+            assert exact == scores[q] and exact == sorted(exact, reverse=True)
             hits, total = hits + len(set(want) & set(got[q])), total + 20
         assert len(got) == 30 and hits >= least * total
     assert nearest.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
@@ -232,12 +235,46 @@ def test_trees_of_several_levels_prune_and_keep_ties():
     want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :10]
     recall = {}
     for factor in (1.0, 0.6):
-        got = nearest.VantagePointTree(x, leaf=8).search(q, 10, factor)
+        got, _ = nearest.VantagePointTree(x, leaf=8).search(q, 10, factor)
         recall[factor] = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, want, strict=True)])
     assert recall[1.0] == 1.0 and recall[0.6] < 0.5  # 0.218 as measured: the smaller factor loses neighbours here
     tied = np.array([[1.0, y] for y in rng.permutation(2000)])
     for leaf in (8, 4096):
-        assert set(nearest.VantagePointTree(tied, leaf=leaf).search(np.array([[1.0, 0.0]]), 10)[0]) == set(range(10))
+        assert set(nearest.VantagePointTree(tied, leaf=leaf).search(np.array([[1.0, 0.0]]), 10)[0][0]) == set(range(10))
+
+
+def test_ties_go_to_the_smaller_ids(spark):
+    """One-hot vectors: all scores but a vector's own are 0."""
+    ids = [0, *range(937, 1000)]
+    df = spark.createDataFrame([(v, [float(i == k) for i in range(64)]) for k, v in enumerate(ids)], "vec_id long, embedding array<float>")
+    for shard in (8192, 10):
+        got = nearest.nearest_neighbours(df, df.where("vec_id = 0"), k=20, shard_rows=shard).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == list(range(937, 957)) and {r.score for r in got} == {0.0}
+
+
+def test_shards_that_are_out_of_reach_get_no_query(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 3)) * 20
+    x = centres[rng.integers(8, size=1500)] + rng.normal(size=(1500, 3)) * 0.01
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0")
+    got = {}
+    for r in sorted(nearest.nearest_neighbours(df, queries, k=5, shard_rows=200).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 1500, 20):
+        s = nearest.inner(np.broadcast_to(x[q], x.shape), x)
+        assert got[q] == [int(i) for i in np.lexsort((np.arange(1500), -s)) if i != q][:5]
+    top = float((x * x).sum(axis=1).max())
+    tree = nearest.TopTree(x, 8, top)
+    leaf, away = tree.route(nearest.augmented(x, top))
+    bounds = {int(n): (away[leaf == n].min(axis=0), away[leaf == n].max(axis=0)) for n in np.unique(leaf)}
+    aug = np.hstack([x[::20], np.zeros((75, 1))])
+    known, gap = tree.gaps(aug, bounds)
+    d2 = (x[::20] ** 2).sum(axis=1)[:, None] + top - 2 * x[::20] @ x.T
+    for c, n in enumerate(known):
+        assert (gap[:, c] <= np.sqrt(np.maximum(d2[:, leaf == n], 0)).min(axis=1) + 1e-6).all()
+    kth = np.sqrt(np.maximum(np.sort(d2, axis=1)[:, 5], 0))
+    assert (gap > kth[:, None] + 1e-9).mean() > 0.2  # shards that no query has to visit
 
 
 def test_nearest_is_exact_by_default():
