@@ -1,15 +1,16 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The automaton of the normalised benchmark items is built once on the driver
-(its size is bounded: a larger benchmark is cut into parts, applied one after
-the other) and sent to the executors. Training texts are streamed through it;
-the longest matching length at each word tells which benchmark windows end
-there. No text is shuffled.
+The normalised benchmark items are cut into parts of bounded size, and each
+part's automaton is built in a task and kept as flat arrays, which are sent to
+the executors. Training texts are streamed through all of them in one pass; the
+longest matching length at each word tells which benchmark windows end there.
+No text is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec as tv
+from sparkloom.llm.common import written
 
+#: Words of a part, and of all parts that one pass over the texts applies: some 60 bytes each in every Python worker.
+PART_WORDS, PASS_WORDS = 250_000, 4_000_000
 #: The same words that ``tv.ALNUM`` finds in lower-cased bytes.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -85,27 +89,76 @@ class SuffixAutomaton:
         self.link[new] = 0 if p < 0 else self._split(p, self.next[p][c], c)
         return new
 
-    def feed(self, words: list[int]) -> Iterator[tuple[int, int, set]]:
+    def flat(self) -> dict:
+        """All that :class:`Matcher` needs, in arrays."""
+        words = np.array(sorted({c for n in self.next for c in n}), np.uint64)
+        count = np.array([len(n) for n in self.next], np.int64)
+        state = np.repeat(np.arange(len(count)), count)
+        word = np.searchsorted(words, np.array([c for n in self.next for c in n], np.uint64))
+        to = np.array([t for n in self.next for t in n.values()], np.int32)
+        key = state * max(1, len(words)) + word
+        order = np.argsort(key)
+        item_ids = np.array([i for at in self.items for i in sorted(at)], np.int64)
+        return {
+            "window": self.window, "least": self.least, "gram": self.gram, "grams": self.grams, "words": words, "key": key[order], "to": to[order], "link": np.array(self.link, np.int32), "len": np.array(self.len, np.int32),
+            "items": item_ids, "items_at": np.concatenate([[0], np.cumsum([len(at) for at in self.items])]).astype(np.int64), "short": {k: v for k, v in enumerate(self.short) if v},
+        }
+
+
+class Matcher:
+    """Finds benchmark windows in texts by a :class:`SuffixAutomaton`'s arrays. Transitions that were followed once are kept at hand."""
+
+    def __init__(self, flat: dict):
+        self.__dict__.update(flat)
+        self.size = max(1, len(self.words))
+        self.followed: dict[int, int] = {}
+        self.named: dict[int, frozenset] = {}
+        self.flags = np.zeros(1 << 22, bool)
+        self.flags[self.grams & np.uint64(len(self.flags) - 1)] = True
+
+    def _step(self, at: int, word: int) -> int:
+        """The state after a word, or -1."""
+        key = at * self.size + word
+        found = self.followed.get(key)
+        if found is None:
+            i = int(np.searchsorted(self.key, key))
+            found = int(self.to[i]) if i < len(self.key) and self.key[i] == key else -1
+            self.followed[key] = found
+        return found
+
+    def _items(self, state: int) -> frozenset:
+        if state not in self.named:
+            self.named[state] = frozenset(self.items[self.items_at[state] : self.items_at[state + 1]].tolist())
+        return self.named[state]
+
+    def feed(self, hashes: np.ndarray) -> Iterator[tuple[int, int, frozenset]]:
         """``(end, length, items)`` for each benchmark window that ends after word ``end``."""
+        places = np.searchsorted(self.words, hashes)
+        known = self.words[np.minimum(places, len(self.words) - 1)] == hashes if len(self.words) else np.zeros(len(hashes), bool)
         at = length = 0
-        for i, c in enumerate(words):
-            while at and c not in self.next[at]:
-                at = self.link[at]
-                length = self.len[at]
-            if c not in self.next[at]:
+        for i, (word, there) in enumerate(zip(places.tolist(), known.tolist(), strict=True)):
+            if not there:
+                at = length = 0
                 continue
-            at, length = self.next[at][c], length + 1
+            following = self._step(at, word)
+            while at and following < 0:
+                at = int(self.link[at])
+                length = int(self.len[at])
+                following = self._step(at, word)
+            if following < 0:
+                continue
+            at, length = following, length + 1
             if length < self.least:
                 continue
             u, here = at, length
             while u > 0:
-                if here >= self.window > self.len[self.link[u]]:
-                    yield i, self.window, self.items[u]
-                for n, item in self.short[u]:
+                up = int(self.link[u])
+                if here >= self.window > self.len[up]:
+                    yield i, self.window, self._items(u)
+                for n, item in self.short.get(u, ()):
                     if n <= here:
-                        yield i, n, {item}
-                u = self.link[u]
-                here = self.len[u]
+                        yield i, n, frozenset([item])
+                u, here = up, int(self.len[up])
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -122,16 +175,17 @@ def _item_words(text: str | None) -> list[int]:
     return h.tolist()
 
 
-def _matches(automaton: SuffixAutomaton, column: pa.Array, flags: np.ndarray) -> Iterator[tuple[int, dict[int, set], set]]:
+def _matches(matchers: list[Matcher], column: pa.Array) -> Iterator[tuple[int, set, set]]:
     """Each text's number of words, the set of hit words, and the items found."""
-    mask = np.uint64(len(flags) - 1)
     for a, b in tv.slices(column):
         h, begin = tv.all_words(*tv.column_bytes(column.slice(a, b - a)), tv.ALNUM)
-        g, n = grams(h, automaton.gram), automaton.gram
+        doc = np.repeat(np.arange(b - a), np.diff(begin))
         hits: dict[int, tuple[set, set]] = {}
-        if len(g):
-            doc = np.repeat(np.arange(b - a), np.diff(begin))
-            good = flags[g & mask] & (doc[: len(g)] == doc[n - 1 :])
+        for m in matchers:
+            g, n = grams(h, m.gram), m.gram
+            if not len(g):
+                continue
+            good = m.flags[g & np.uint64(len(m.flags) - 1)] & (doc[: len(g)] == doc[n - 1 :])
             # windows lie in runs of grams that the benchmark holds
             edges = np.diff(np.concatenate([[0], good.view(np.int8), [0]]))
             cut = np.zeros(len(good) + 1, bool)
@@ -139,9 +193,9 @@ def _matches(automaton: SuffixAutomaton, column: pa.Array, flags: np.ndarray) ->
             starts = np.flatnonzero((edges == 1) | (cut & np.append(good, False)))
             stops = np.flatnonzero((edges == -1) | (cut & np.append(False, good)))
             for s, e in zip(starts, stops, strict=True):
-                if e - s + n - 1 >= automaton.least:
+                if e - s + n - 1 >= m.least:
                     d = int(doc[s])
-                    for end, length, items in automaton.feed(h[s : e + n - 1].tolist()):
+                    for end, length, items in m.feed(h[s : e + n - 1]):
                         where, which = hits.setdefault(d, (set(), set()))
                         last = s + end - begin[d]
                         where.update(range(int(last) - length + 1, int(last) + 1))
@@ -151,33 +205,55 @@ def _matches(automaton: SuffixAutomaton, column: pa.Array, flags: np.ndarray) ->
             yield int(begin[d + 1] - begin[d]), where, which
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
+def automata(benchmark: DataFrame, window: int, part_words: int) -> DataFrame:
+    """``part, words, flat`` (pickled arrays) of a benchmark cut into parts of about ``part_words`` words, each built in a task."""
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    # a word has a letter and a gap at least, so half the bytes bound the words
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-int(total) // (2 * part_words)))
+
+    def build(part: pa.Table) -> pa.Table:
+        rows = sorted((i, tuple(_item_words(t))) for i, t in zip(part["item_id"].to_pylist(), part["text"].to_pylist(), strict=True))
+        flat = SuffixAutomaton([(i, list(w)) for i, w in rows], window).flat()
+        return pa.table({"part": part["part"][:1], "words": pa.array([sum(len(w) for _, w in rows)], pa.int64()), "flat": pa.array([pickle.dumps(flat)], pa.binary())})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    return written(dealt.groupBy("part").applyInArrow(build, "part int, words long, flat binary"), "automata")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_words: int = PART_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_words`` (word numbers from 0) and ``hit_items``.
 
     A window is ``window`` consecutive words of an item, or a whole item of
     fewer words; words are runs of letters, digits and non-ASCII characters,
     A-Z lower-cased. Null texts have no words; items without words, and null
-    item ids, match nothing. Benchmarks over ``part_bytes`` are cut into parts of about
-    that size, so what is broadcast is bounded. The three names replace columns of ``docs``.
+    item ids, match nothing; repeated items and rows count like one each. A very
+    long text is read in blocks. An empty table stays empty, and an empty
+    benchmark hits nothing. The automata of up to ``pass_words`` words are sent
+    to the executors at once; more take further passes. The three names replace
+    columns of ``docs``.
     """
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // part_bytes))
-    kept = [c for c in docs.columns if c not in ("n_words", "hit_words", "hit_items")]
+    built = automata(benchmark, window, part_words)
+    passes, room = [[]], 0
+    for r in built.select("part", "words").orderBy("part").collect():  # a row for each part
+        if passes[-1] and room + r["words"] > pass_words:
+            passes.append([])
+            room = 0
+        passes[-1].append(r["part"])
+        room += r["words"]
+    kept = [c for c in docs.columns if c.lower() not in ("n_words", "hit_words", "hit_items")]
     out = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"), "hit_items": F.array().cast("array<long>")})
     at = kept.index("text")
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton([(r["item_id"], _item_words(r["text"])) for r in rows], window))
-
-        def apply(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
-            known = automaton.value
-            flags = np.zeros(1 << 22, bool)
-            flags[known.grams & np.uint64(len(flags) - 1)] = True
+    for parts in passes:
+        flats = [bytes(r["flat"]) for r in built.where(F.col("part").isin(parts)).select("flat").collect()]
+        sent = spark.sparkContext.broadcast(flats)
+
+        def apply(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matchers = [Matcher(pickle.loads(f)) for f in sent.value]
             for batch in batches:
                 n, where, which = [], batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist()
-                for i, (words, hit, items) in enumerate(_matches(known, batch.column(at), flags)):
+                for i, (words, hit, items) in enumerate(_matches(matchers, batch.column(at))):
                     n.append(words)
                     if hit:
                         where[i], which[i] = sorted({*where[i], *hit}), sorted({*which[i], *items})
@@ -202,7 +278,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     Spans of hit words are cut from the text, from the first to the last
     character of each; a document of which more than ``max_coverage`` of the
-    words are hit goes. Others are returned as they were.
+    words are hit goes. Others are returned as they were, those with null and
+    empty texts too. Repeated rows are treated alike, all columns are kept
+    whatever their names, an empty table stays empty.
     """
     given = docs.columns
     at = given.index("text")
