@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import marked, written
+
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -79,17 +81,27 @@ def count_tokens(
 
     Normalisation, which must not change a count, is only that null is the empty
     text (0 bytes, 0 tokens). Repeated rows give a row each; other columns are
-    not read. The misses are encoded and appended to ``cache_path`` when the
+    not read; an empty table gives an empty result; a very long text is encoded
+    whole. The misses are encoded and appended to ``cache_path`` when the
     function is called; the counts are joined when the result is read.
+
+    Digests decide what is encoded, before any text moves: a text that occurs
+    once is encoded where it is read, only those that may occur again are
+    brought together, and those in the cache stay where they are.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer, ranks)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    misses = keyed.select("digest", "text")
-    if (known := cached_counts(spark, cache_path, version)) is not None:
-        misses = misses.join(known, "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
+    texts, known = keyed.select("digest", "text"), cached_counts(spark, cache_path, version)
+    times = keyed.groupBy("digest").agg(F.count("*").alias("times"))
+    if known is not None:
+        times = times.join(known, "digest", "left_anti")
+    times = written(times, "missing-digests")
+    if known is not None:
+        texts = marked(texts, "digest", times.select("digest"), "may_miss").where("may_miss").drop("may_miss").join(times.select("digest"), "digest", "left_semi")
+    asked = marked(texts, "digest", times.where("times > 1").select("digest"), "may_repeat")
+    distinct = asked.where("not may_repeat").select("digest", "text").union(asked.where("may_repeat").groupBy("digest").agg(F.first("text").alias("text")))
 
     special = special_tokens(tokenizer) if ranks else ()
 
@@ -99,9 +111,8 @@ def count_tokens(
             counts = [count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    # a count is a small part of its text's size, so the cache gets fewer and larger files
-    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
-    distinct.mapInArrow(encode, CACHE_SCHEMA).repartition(files).write.mode("append").parquet(cache_path)
+    # files of a good size, whatever the number of tasks that encoded
+    distinct.mapInArrow(encode, CACHE_SCHEMA).hint("rebalance").write.mode("append").parquet(cache_path)
     stored = cached_counts(spark, cache_path, version)
     return keyed.drop("text").join(stored, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
