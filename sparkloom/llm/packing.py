@@ -8,6 +8,8 @@ duplicate cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,11 +115,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     return packed.union(none)
 
 
-def packable(docs: DataFrame) -> DataFrame:
-    """What :func:`pack` needs of ``docs(doc_id, text, source, ...)``: words as
-    tokens, and a digest of the text without case and white space as its cluster."""
+def packable(docs: DataFrame, count: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """What :func:`pack` needs of ``docs(doc_id, text, source, ...)``: tokens, and
+    a digest of the text without case and white space as its cluster.
+
+    ``count`` makes a tokenizer's counter in each Python worker; without one,
+    words are the tokens, and a very long text without white space is one. Null
+    texts are empty, with no tokens. Near copies that differ in more than case
+    and white space are clusters of their own. Rows come out one for one; other
+    columns are not read.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", "source", F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")).cast("long").alias("n_tokens"),
-        F.xxhash64(F.regexp_replace(F.lower(text), r"[ \t-\r]+", "")).alias("cluster"),
-    )
+    cluster = F.xxhash64(F.regexp_replace(F.lower(text), r"[ \t-\r]+", ""))
+    if count is None:
+        words = F.size(F.array_remove(F.split(text, r"[ \t-\r]+"), "")).cast("long")
+        return docs.select("doc_id", "source", words.alias("n_tokens"), cluster.alias("cluster"))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = count()
+        for batch in batches:
+            n = pa.array([counter(t.as_py()) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, batch.column(3)], names=["doc_id", "source", "n_tokens", "cluster"])
+
+    rows = docs.select("doc_id", "source", text.alias("text"), cluster.alias("cluster"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(tokens, f"doc_id {kinds['doc_id']}, source {kinds['source']}, n_tokens long, cluster long")

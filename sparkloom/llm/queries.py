@@ -120,7 +120,12 @@ def op6_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.packable(table(spark, sf_dir, "documents")))
+    """Bins of 2048 tokens, counted as op1 does."""
+    import public_tokenizers
+
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    special = token_counts.special_tokens(path)
+    return packing.pack(packing.packable(table(spark, sf_dir, "documents"), lambda: token_counts.counter(path, ranks, special)))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +143,48 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP3_SQL = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, unnest(ls) AS h, unnest(range(0, len(ls))) AS k FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+), l AS (
+  SELECT doc_id, k, regexp_replace({_LOWER.format('h')}, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t FROM raw
+), u AS (
+  SELECT t, row_number() OVER (ORDER BY f) AS i, strlen(t) AS n FROM (SELECT t, min({{'d': doc_id, 'k': k}}) AS f FROM l WHERE t <> '' GROUP BY t)
+), g AS (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM u WHERE n >= 20
+), e AS (SELECT a.i AS x, b.i AS y FROM g a JOIN u b ON a.m = b.n AND a.i <> b.i AND b.n >= 20 WHERE levenshtein(a.t, b.t) <= 2
+), c AS (SELECT i AS v, i AS m FROM u UNION SELECT e.y, c.m FROM c JOIN e ON e.x = c.v
+), s AS (SELECT t, min(m) AS class FROM c JOIN u ON u.i = c.v GROUP BY t
+), o AS (SELECT doc_id, k, row_number() OVER (PARTITION BY class ORDER BY doc_id, k) AS nth FROM l JOIN s USING (t)
+), d AS (SELECT doc_id, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) AS ks FROM o WHERE nth > 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_dropped, coalesce(ks, '') AS dropped_lines FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS s FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), c AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT f.b, c.m FROM c JOIN f ON f.a = c.v
+), r AS (SELECT v AS doc_id, min(m) AS component_id FROM c GROUP BY v)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM r LEFT JOIN n USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), u AS (
+  SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+  FROM u q JOIN u c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -153,4 +200,7 @@ QUERIES = {
 SQL = {
     "op2_chat_format": OP2_SQL,
     "op5_decontamination": OP5_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op9_minhash_near_dedup": OP9_SQL,
+    "op10_vantage_point_search": OP10_SQL,
 }

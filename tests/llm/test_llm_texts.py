@@ -87,7 +87,7 @@ def test_base_spans(spark):
 
 def test_terms_that_give_an_entity_away(spark):
     rows = [(i, f"text {i} by Zorblax the writer boss@firm.com said the end") for i in range(5)]
-    rows += [(10 + i, f"the writer said nothing {i}") for i in range(20)] + [(50, None), (None, "boss@firm.com Zorblax")]
+    rows += [(10 + i, f"the writer said nothing {i}, end of text") for i in range(20)] + [(50, None), (None, "boss@firm.com Zorblax")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in sanitise.sanitise(docs).collect()}
     assert len(got) == len(rows)
@@ -139,7 +139,7 @@ def test_contamination(spark):
     texts = [None, "", " ".join(words), " ".join(["x", *words[2:12], "y"]), " ".join(words[2:11]), "a short item HERE. short item", "w0 " * 50, " ".join(words[4:16] + words[4:16])]
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in contamination.report(contamination.find_contamination(docs, bench, part_bytes=60)).collect()}
+    got = {r.doc_id: r for r in contamination.report(contamination.find_contamination(docs, bench, part_words=12, pass_words=20)).collect()}
     find = lambda t: [w.lower() for w in contamination.WORD.findall(t or "")]
     for i, t in enumerate(texts):
         w, hit, which = find(t), set(), set()
