@@ -51,7 +51,9 @@ def distinct(doc: np.ndarray, feature: np.ndarray, bits: int) -> tuple[np.ndarra
 def training_rows(docs: DataFrame, sample: DataFrame, features: Features, bits: int, shards: int) -> DataFrame:
     """``doc_id, label, shard, features`` of the sampled documents: distinct feature numbers.
 
-    The sample is bounded by its own limit, so it is broadcast; no text is shuffled.
+    The sample is bounded by its own limit, so it is broadcast, and only its
+    texts are shuffled. Of rows with the same doc_id the least text counts, so
+    repeated rows train once.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +64,7 @@ def training_rows(docs: DataFrame, sample: DataFrame, features: Features, bits:
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), lists], names=["doc_id", "label", "shard", "features"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     joined = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "text")
     return joined.mapInArrow(parse, "doc_id long, label int, shard int, features array<int>")
 

@@ -135,7 +135,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = 8192, thresho
     The model is fitted when the function is called, on at most ``bound`` rows
     of ``labels(doc_id, quality)`` outside the held-out fold; without any, every
     score is 0.5. Empty and null texts get the score of no feature. Columns
-    named score or predicted are replaced; repeated rows are scored alike.
+    named score or predicted are replaced; repeated rows are scored alike. A
+    very long text is scored whole, in blocks; an empty table stays empty.
     """
     w, bias, a, b = fit(docs, labels, bound)
     out = linear.scored(docs, w, shape_features, lambda s: linear.sigmoid(a * (s + bias) + b))

@@ -281,6 +281,97 @@ def test_nearest_is_exact_by_default():
     assert inspect.signature(nearest.nearest_neighbours).parameters["factor"].default == 1.0
 
 
+def plain_ftrl(rows, rounds=1):
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= toxicity.L1 else -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(rounds):
+        for features, label in rows:
+            w = {i: weight(i) for i in [*features, "bias"]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in w:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / toxicity.ALPHA * w[i]
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_is_the_plain_algorithm():
+    rnd = random.Random(3)
+    rows = [(sorted(rnd.sample(range(20), rnd.randint(0, 6))), rnd.randint(0, 1)) for _ in range(200)]
+    z, n = np.zeros(21), np.zeros(21)
+    toxicity.learn(z, n, [(np.array(x, np.int64), y) for x, y in rows])
+    got, want = toxicity.weights_of(z, n), plain_ftrl(rows)
+    assert any(want.values()) and all(abs(got[20 if i == "bias" else i] - w) < 1e-9 for i, w in want.items())
+
+
+def plain_descent(rows, y, r, seed):
+    w, bias, alpha, rng = {}, 0.0, [0.0] * len(rows), np.random.default_rng(seed)
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(len(rows)):
+            norm = sum(r[f] ** 2 for f in rows[i]) + 1
+            g = y[i] * (sum(w.get(f, 0.0) * r[f] for f in rows[i]) + bias) - 1
+            new = min(max(alpha[i] - g / norm, 0.0), quality.COST)
+            for f in rows[i]:
+                w[f] = w.get(f, 0.0) + (new - alpha[i]) * y[i] * r[f]
+            bias += (new - alpha[i]) * y[i]
+            alpha[i] = new
+    return w, bias
+
+
+def test_dual_descent_is_the_plain_algorithm():
+    rnd = random.Random(4)
+    rows = [sorted(rnd.sample(range(15), rnd.randint(0, 5))) for _ in range(60)]
+    y, r = [rnd.choice([-1.0, 1.0]) for _ in rows], np.array([rnd.uniform(-2, 2) for _ in range(15)])
+    got = quality.dual_descent([np.array(x, np.int64) for x in rows], np.array(y), r, 5)
+    w, bias = plain_descent(rows, y, r, 5)
+    assert abs(got[-1] - bias) < 1e-9 and all(abs(got[f] - v) < 1e-9 for f, v in w.items())
+
+
+def test_one_shard_fits_as_the_plain_algorithms_do(spark):
+    rnd = random.Random(7)
+    docs = [(i, " ".join(rnd.choice("good fine bad worse plain words here".split()) for _ in range(8))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    again = df.union(df.where("doc_id % 3 = 0"))  # repeated rows train once
+    lb = spark.createDataFrame([(i, int("good" in t), int("worse" in t)) for i, t in docs], "doc_id long, quality int, toxic int")
+
+    def rows(label, features, bits):
+        out = linear.training_rows(df, linear.labelled_sample(lb, label, 8192), features, bits, 1).orderBy("doc_id").collect()
+        return [sorted(r.features) for r in out], [r.label for r in out]
+
+    x, y = rows("quality", quality.shape_features, quality.BITS)
+    n, up = {}, {}
+    for features, label in zip(x, y, strict=True):
+        for f in features:
+            n[f], up[f] = n.get(f, 0) + 1, up.get(f, 0) + label
+    kept = {f for f in n if n[f] >= 5}
+    p, q = sum(1 + up[f] for f in kept), sum(1 + n[f] - up[f] for f in kept)
+    r = {f: np.log((1 + up[f]) / p / ((1 + n[f] - up[f]) / q)) for f in kept}
+    w, bias = plain_descent([[f for f in features if r.get(f)] for features in x], [1.0 if label else -1.0 for label in y], r, 0)
+    got, got_bias, _, _ = quality.fit(again, lb, shards=1)
+    assert abs(got_bias - bias) < 1e-9 and np.count_nonzero(got) == sum(v != 0 for v in w.values()) and all(abs(got[f] - v * r[f]) < 1e-9 for f, v in w.items())
+
+    x, y = rows("toxic", toxicity.word_features, toxicity.BITS)
+    n = {}
+    for features in x:
+        for f in features:
+            n[f] = n.get(f, 0) + 1
+    want = plain_ftrl([([f for f in features if n[f] >= 4], label) for features, label in zip(x, y, strict=True)], rounds=4)
+    got = toxicity.fit(again, lb, shards=1)
+    assert any(want.values()) and all(abs(got[-1 if i == "bias" else i] - v) < 1e-9 for i, v in want.items())
+
+
+def test_classifiers_on_odd_rows(spark):
+    long = " ".join(f"word{k % 977}" for k in range(80_000))
+    docs = [(1, "a b c"), (1, "a b c"), (2, long), (3, None), (4, ""), (None, "a b c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"predicted": F.lit("x"), "label": F.lit("y"), "features": F.lit("z")})
+    lb = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 5)], "doc_id long, quality int, toxic int")
+    for f in (quality.score_quality, toxicity.score_toxicity):
+        out = f(df, lb)
+        rows = out.collect()
+        assert len(rows) == 6 and out.columns == ["doc_id", "text", "label", "features", "score", "predicted"] or set(out.columns) == {"doc_id", "text", "label", "features", "score", "predicted"}
+        assert len({r.score for r in rows if r.text == "a b c"}) == 1 and len({r.score for r in rows if not r.text}) == 1
+
+
 def test_classifiers(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 8)))

@@ -75,3 +75,19 @@ def test_near_copies_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(map(tuple, cp.near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([rows[1], rows[4], rows[6], rows[7], rows[8], rows[9]], key=str)
+
+
+def test_stages_keep_columns_of_any_names_and_empty_tables(spark, tmp_path):
+    names = ["cell", "place", "may", "gone_id", "gone_lines", "score", "predicted", "count", "row", "column_0", "n_words"]
+    texts = ["some words of a text that is long enough\nand a second line of it", "some words of a text that is long enough\nsomething else is said here", None, "", "one two three four five six seven"]
+    rows = [(i, t, "en", "s", 0, *range(len(names))) for i, t in enumerate([*texts, texts[4]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this is anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert tuple(r)[5:] == tuple(range(len(names)))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert cp.packed_bins(spark, docs.limit(0), str(tmp_path)).count() == 0
