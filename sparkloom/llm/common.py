@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.staging import shared_dir, staged
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, read by Spark (any store that Spark reads)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["components", "forget", "marked", "shared_dir", "table", "temporary", "unused", "written"]
 
+_SCOPES: list[list[DataFrame]] = []
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="sparkloom-")
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where that is unset, a temporary folder serves a local master (tests on one
-    machine); on a cluster it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (named or _own_folder()).rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the input tables, read by Spark (any store that Spark reads)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -37,20 +25,45 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage: what was written survives the loss of any executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = staged(df, label)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/sparkloom-" in name}
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made and nobody reads any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/sparkloom-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _folders(df):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that a frame given to what this yields still reads."""
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df))
+        return df
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+    for df in made:
+        if not _folders(df) & kept:
+            forget(df)
+        elif _SCOPES:
+            _SCOPES[-1].append(df)
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import components, forget, marked, written
+from sparkloom.llm.common import components, forget, marked, temporary, written
 
 #: Edits, and the least length in bytes of a line that is matched by edits; shorter ones match when equal.
 TAU, MIN_BYTES = 2, 20
@@ -374,7 +374,11 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES, few
     gives an empty result. A very long text is read in blocks, a very long line
     whole. Other columns are not read, so their names don't matter.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with temporary() as keep:
+        return keep(_duplicate_lines(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tau, least, few))
+
+
+def _duplicate_lines(docs: DataFrame, tau: int, least: int, few: int) -> DataFrame:
     lines = written(line_table(docs), "lines")
     classes = line_classes(docs, lines, tau, least, few)
     named = lines.join(classes, F.col("d1") == F.col("node"), "left")
@@ -396,8 +400,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> Data
     # other names, so that none clashes with the columns added
     names = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(given)]
     plain = docs.toDF(*names)
-    gone = duplicate_lines(plain, tau, least).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
-    gone = written(gone, "gone-lines")
+    with temporary() as keep:
+        gone = duplicate_lines(plain, tau, least).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
+        gone = keep(written(gone, "gone-lines"))
     asked = marked(plain, "doc_id", gone.select("gone_id"))
     joined = asked.where("may").join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*names, "gone_lines")
 

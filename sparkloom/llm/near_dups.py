@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import components, marked, written
+from sparkloom.llm.common import components, marked, temporary, written
 
 TREES, DEPTH, SHALLOW = 16, 8, 4
 BINS = TREES * DEPTH
@@ -342,7 +342,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3) -> DataF
     with nothing. Rows with a null doc_id take no part and come out with a null
     component and kept. Repeated rows give a row each.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with temporary() as keep:
+        return keep(_near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, words))
+
+
+def _near_duplicates(texts: DataFrame, percent: int, words: int) -> DataFrame:
     sets = written(sketch_docs(texts, words), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import temporary, written
 
 LEAF = 256
 #: Vectors that the top tree is built of, and its leaves, at most; a leaf of many vectors is dealt on by hash.
@@ -240,6 +240,11 @@ def nearest_neighbours(
     A factor of 1 is exact: neighbours are chosen, and ties found, by the very
     scores that are returned.
     """
+    with temporary() as keep:
+        return keep(_nearest_neighbours(vectors, queries, k, factor, shard_rows, query_rows))
+
+
+def _nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int, factor: float, shard_rows: int, query_rows: int) -> DataFrame:
     spark, keep = vectors.sparkSession, k + 1
     ids = F.slice(F.array_sort(F.array_distinct(F.collect_list("vec_id"))), 1, keep)
     folded = written(
@@ -250,8 +255,6 @@ def nearest_neighbours(
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     n, top = folded.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0))).first()
     leaves = 1 << max(0, min(TOP_LEAVES, -(-n // shard_rows)) - 1).bit_length()
-    if leaves > TOP_LEAVES:
-        leaves = TOP_LEAVES
     sample = _matrix(folded.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toArrow()["embedding"]) if leaves > 1 else np.zeros((0, 0))
     tree = spark.sparkContext.broadcast(TopTree(sample, leaves, top))
     depth = tree.value.depth

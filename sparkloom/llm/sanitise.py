@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import marked, written
+from sparkloom.llm.common import marked, temporary, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns. Those of mail addresses, IP addresses and cards start
@@ -184,7 +184,8 @@ def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float =
     spans = base_spans(whole).withColumn("has", any_base)
     base = written(spans.withColumn("text", F.when(F.col("has"), F.col("text"))), "base")
     held = base.where("has")
-    terms = written(disclosing_terms(whole, held, min_support, threshold), "terms")
+    with temporary() as keep:
+        terms = keep(written(disclosing_terms(whole, held, min_support, threshold), "terms"))
     by_doc = (
         held.where("doc_id is not null").select("doc_id", F.explode(_entities()).alias("e")).select("doc_id", "e.kind", "e.value").distinct()
         .join(terms, ["kind", "value"]).groupBy("doc_id", "term").agg(F.max("share").alias("share"))
