@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import contamination, line_dedup, near_dups, packing, quality
-from sparkloom.llm.common import marked, table, written
+from sparkloom.llm.common import forget, marked, table, temporary, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,8 +97,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with temporary() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{k}"))
+        if k:
+            forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
