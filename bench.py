@@ -28,9 +28,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
+    registry.QUERIES["doc_token_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # starts the JVM's work
     for name in HEADLINE:
         query = registry.QUERIES[name]
-        query(spark, sf_dir).write.format("noop").mode("overwrite").save()  # compiles and touches memory
         began = time.time()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)

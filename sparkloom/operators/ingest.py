@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import maths
 from sparkloom.functions import text as T
-from sparkloom.operators import semantic
+from sparkloom.functions.frames import once
+from sparkloom.operators import chunking, semantic
+from sparkloom.sources import files
+from sparkloom.sources.staging import staged
+from sparkloom.sources.tables import LINES_PER_PAGE
 
 LEAST_CHARS = 80
 
@@ -101,3 +105,37 @@ def ingested(documents: DataFrame, paged: DataFrame) -> DataFrame:
     """``doc_id, source, text, pages, sections, assets``: what :func:`sparkloom.operators.chunking.document_chunks` reads."""
     rows = semantic.section_arrays(documents.select("doc_id", "source", "text").where("text is not null"))
     return with_assets(rows.join(paged.select("doc_id", "pages"), "doc_id"))
+
+
+def ingest_folder(
+    spark: SparkSession, folder: str, extractors: Sequence[PageExtractor], pattern: str = "*.pdf", limit: int | None = None, target: int = 8192, overlap: int = 200,
+    strategy: str = "semantic", max_pages: int | None = None, language: str = "es", detector: Callable[[str], str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks of the files under a folder, the first ``limit`` by path.
+
+    Documents have ``doc_id, source, source_doc, text, pages, sections, assets,
+    parser, error, language, math_expressions``. A file that no extractor reads
+    is a document without pages. Contents are read by the tasks that extract them.
+    """
+    paths = files.discover(spark, folder, limit=limit, pattern=pattern).select("path")
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    read = staged(extracted(contents.join(paths, "path", "left_semi"), extractors), "extracted")
+    rows = read.select("path", F.posexplode("pages").alias("page_no", "raw_text")).withColumns({"ocr_text": F.lit(None).cast("string"), "has_images": F.lit(False)})
+    marked = marked_pages(read_pages(rows).select("path", "page_no", "page_text", "requires_multimodal", "ocr_used"))
+    asset = F.struct("page_no", "page_text", "expressions", "requires_multimodal", "ocr_used")
+    per = marked.groupBy("path").agg(F.array_sort(F.collect_list(asset)).alias("p"))
+    docs = read.select("path", "parser", "error").join(per, "path", "left")
+    pages = F.coalesce(F.transform("p", lambda x: x["page_text"]), F.array().cast("array<string>"))
+    docs = once(docs, pages=pages).withColumns({"doc_id": files.document_name(F.col("path")), "source_doc": F.element_at(F.split("path", "/"), -1), "source": F.lit(folder)})
+    body = F.array_join(F.filter("pages", lambda x: x != ""), "\n\n")
+    docs = docs.withColumns({
+        "math_expressions": F.coalesce(F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["expressions"]), F.lit(0)), "language": T.language(body, language, detector=detector),
+        "assets": F.coalesce(F.transform("p", lambda x: F.struct((x["page_no"] + 1).cast("long").alias("page_number"), F.lit(None).cast("string").alias("image_path"), x["requires_multimodal"], x["ocr_used"])), F.array().cast("array<struct<page_number:bigint,image_path:string,requires_multimodal:boolean,ocr_used:boolean>>")),
+        # a page is one line here, followed by as many as make up a page
+        "text": F.array_join(F.transform("pages", lambda x: F.concat(x, F.lit("\n" * (LINES_PER_PAGE - 1)))), "\n"),
+    })
+    columns = ["doc_id", "source", "source_doc", "text", "pages", "sections", "assets", "parser", "error", "language", "math_expressions"]
+    documents = staged(semantic.section_arrays(docs).select(*columns), "documents")
+    chunks = chunking.document_chunks(documents.where(F.size("pages") > 0), target, overlap, strategy, max_pages)
+    near = chunking.lexical_neighbors(chunks.select("doc_id", "chunk_id", "chunk_ord", "text"))
+    return documents, chunks.drop("neighbors").join(near, "chunk_id")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Sequence
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.sources import files
+
 ACTIVE = ("queued", "running", "pausing", "paused", "resuming")
 
 
@@ -163,6 +167,19 @@ def first_phase(name: str | None, only_eval: bool = False) -> str | None:
     return name
 
 
+def save_phase(spark: SparkSession, folder: str, phase: str, outputs: Sequence[str] = (), stats: dict | None = None) -> None:
+    """Marks a phase of the run in ``folder`` as done: a small JSON file with what it wrote."""
+    if phase not in PHASES:
+        raise ValueError(f"unknown phase: {phase}")
+    said = {"phase": phase, "completed_at": datetime.now(UTC).isoformat(), "output_files": list(outputs), "stats": stats or {}}
+    files.write_json(spark, said, f"{folder}/checkpoints/{phase}.json")
+
+
+def completed_phases(spark: SparkSession, folder: str) -> list[str]:
+    """The phases done, in their order; some between may be missing."""
+    return [p for p in PHASES if files.read_json(spark, f"{folder}/checkpoints/{p}.json").get("phase") == p]
+
+
 def phase_plan(runs: DataFrame) -> DataFrame:
     """``run_id, phase, ord, runs`` for ``runs(run_id, completed array, resume, from_phase)``: from the phase named on, or what a resumed run has not done."""
     names = F.array(*map(F.lit, PHASES))

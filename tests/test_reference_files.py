@@ -232,3 +232,25 @@ def test_tables_of_nothing(spark):
         up = planning.placed(some, ["tokens"], "doc_id", [F.col("doc_id")], "place", buckets=buckets)
         down = planning.placed(some, ["tokens"], "doc_id", [F.desc("doc_id")], "place", True, buckets)
         assert all(r.place == r.doc_id for r in up.collect()) and all(r.place == 49 - r.doc_id for r in down.collect())
+
+
+def test_ingest_folder(spark, tmp_path):
+    (tmp_path / "One Two.txt").write_bytes("Intro Uno\f∑ x = 1\festo es el cuerpo, con palabras de la pagina tres.\f".encode())
+    (tmp_path / "bad.txt").write_bytes(b"\xff")
+    (tmp_path / "z.txt").write_bytes(b"nothing")
+    docs, chunks = ingest.ingest_folder(spark, str(tmp_path), [ingest.PlainText()], "*.txt", limit=2)
+    got = {r.source_doc: r for r in docs.collect()}
+    assert set(got) == {"One Two.txt", "bad.txt"} and got["bad.txt"].error and got["bad.txt"].pages == []
+    one_ = got["One Two.txt"]
+    assert one_.doc_id.startswith("one-two-") and one_.math_expressions == 1 and one_.pages[1] == "$$ ∑ x = 1 $$" and len(one_.pages) == 4
+    assert [(s.heading, s.page_start) for s in one_.sections] == [("Intro Uno", 1)] and one_.language == "es"
+    rows = chunks.collect()
+    assert len(rows) == 1 and rows[0].page_end == 4 and rows[0].page_count == 4 and rows[0].requires_multimodal and rows[0].neighbors == []
+
+
+def test_phases_are_marked(spark, tmp_path):
+    for phase in ("split", "ingest", "report"):
+        jobs.save_phase(spark, str(tmp_path), phase, ["x"], {"n": 1})
+    assert jobs.completed_phases(spark, str(tmp_path)) == ["ingest", "split", "report"]
+    with pytest.raises(ValueError):
+        jobs.save_phase(spark, str(tmp_path), "nothing")
