@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import written
+
 CAPACITY, SHARD_ROWS = 2048, 8192
 _STEP = 64
 
@@ -99,6 +101,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     rows are packed one by one; ties are broken by doc_id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), F.col("cluster").cast("long").alias("cluster"))
+    # read three times below: written, so that the tokens are counted once
+    rows = written(rows, "packable")
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
 
