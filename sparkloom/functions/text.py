@@ -36,6 +36,7 @@ FUNCTION_WORDS = {
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(text: Column) -> Column:
@@ -53,7 +54,7 @@ def squeeze(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def token_count(text: Column, counter: Callable[[str], int] | None = None) -> Column:
@@ -140,7 +141,8 @@ def language(text: Column, default: str = "es", least: int = 40, detector: Calla
 
 def normalize_text(text: Column, repeated: Column | None = None) -> Column:
     """Join words hyphenated over a line end, drop empty and repeated lines, squeeze white space."""
-    joined = F.regexp_replace(text, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    # most texts have no hyphen before a line end, and are not searched for words around one
+    joined = F.when(text.rlike(r"(?U)-\s*\n"), F.regexp_replace(text, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")).otherwise(text)
     lines = F.transform(F.split(joined, LINE_END), strip)
     lines = F.filter(lines, lambda x: x != "")
     if repeated is not None:

@@ -178,12 +178,19 @@ def merged_sections(docs: DataFrame, least: int) -> DataFrame:
     ))).drop("fold", "starts")
 
 
-def units(text: Column, most: int) -> Column:
-    """Paragraphs if there are several, else sentences if there are several, else windows of ``most`` words."""
+def with_units(rows: DataFrame, most: int) -> DataFrame:
+    """``rows(text, tokens)`` with ``units``: the text if it has at most ``most`` words; else its paragraphs if there are several, else sentences if there are several, else windows of ``most`` words.
+
+    Each kind is looked for only where the one before did not do.
+    """
     full = lambda parts: F.filter(F.transform(parts, T.strip), lambda x: x != "")
-    paragraphs, sentences, words = full(F.split(text, r"\n\s*\n")), full(F.split(text, r"(?<=[.!?。！？])\s+")), T.words(text)
-    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / most).cast("int")), lambda k: F.array_join(F.slice(words, k * most + 1, F.lit(most)), " "))
-    return F.when(F.size(paragraphs) > 1, paragraphs).when(F.size(sentences) > 1, sentences).when(F.size(words) > 0, windows).otherwise(F.array().cast("array<string>"))
+    several = F.size("units") > 1
+    rows = once(rows, units=F.when(F.col("tokens") > most, full(F.split("text", r"\n\s*\n"))))
+    rows = once(rows, units=F.when(F.col("tokens") <= most, F.array("text")).when(several, F.col("units")).otherwise(full(F.split("text", r"(?<=[.!?。！？])\s+"))))
+    rows = once(rows, words_=F.when((F.col("tokens") > most) & ~several, T.words(F.col("text"))))
+    starts = F.sequence(F.lit(0), F.floor((F.size("words_") - 1) / most).cast("int"))
+    windows = F.transform(starts, lambda k: F.array_join(F.slice("words_", k * most + 1, F.lit(most)), " "))
+    return once(rows, units=F.when(F.col("words_").isNull(), F.col("units")).otherwise(windows)).drop("words_")
 
 
 def split_sections(merged: DataFrame, most: int) -> DataFrame:
@@ -193,7 +200,7 @@ def split_sections(merged: DataFrame, most: int) -> DataFrame:
     section are shared out by unit.
     """
     rows = merged.select("doc_id", "source", F.posexplode("merged").alias("section_ord", "s")).select("doc_id", "source", "section_ord", "s.*")
-    rows = once(rows, units=F.when(F.col("tokens") <= most, F.array("text")).otherwise(units(F.col("text"), most)))
+    rows = with_units(rows, most)
     rows = once(rows, fold=greedy_starts(F.transform("units", T.word_count), lambda mass, size: mass + size > most))
     page = lambda a: F.col("page_start") + F.floor(a * (F.col("page_end") - F.col("page_start")) / F.size("units")).cast("int")
     rows = once(rows, starts=F.col("fold.starts"))
@@ -218,9 +225,10 @@ def overlapped(parts: DataFrame, overlap: int) -> DataFrame:
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("doc_id").orderBy("section_ord", "part")
-    words = T.words(F.col("text"))
     # the tail is cut before the window, so it needn't hold whole neighbours
-    tails = once(parts, tail=F.array_join(F.slice(words, F.greatest(F.size(words) - overlap + 1, F.lit(1)), F.greatest(F.size(words), F.lit(1))), " ") if overlap > 0 else F.lit(""))
+    tails = once(parts, words_=T.words(F.col("text")))
+    tail = F.array_join(F.slice("words_", F.greatest(F.size("words_") - overlap + 1, F.lit(1)), F.greatest(F.size("words_"), F.lit(1))), " ") if overlap > 0 else F.lit("")
+    tails = once(tails, tail=tail).drop("words_")
     rows = tails.withColumn("chunk_ord", F.row_number().over(order) - 1).withColumn("before", F.lag("tail").over(order))
     text = F.when(F.col("before") != "", F.concat(F.lit(CONTINUED), F.col("before"), F.lit(RULE), F.col("text"))).otherwise(F.col("text"))
     doc = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
