@@ -107,7 +107,7 @@ def line_sets(docs):
     return sorted(found[i][:2] for i in range(len(found)) if top[i] != i)
 
 
-@pytest.mark.parametrize("few", [8, 2, 1])
+@pytest.mark.parametrize("few", [8, 1])
 def test_duplicate_lines(spark, monkeypatch, few):
     monkeypatch.setattr(line_dedup, "STRAY_BLOCK", 3), monkeypatch.setattr(line_dedup, "ROW_BLOCK", 4)
     rnd = random.Random(2)
@@ -148,8 +148,7 @@ def test_lines_that_share_parts_are_compared_in_full(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = line_sets(docs)
     assert want
-    for few in (8, 2):
-        assert sorted(map(tuple, line_dedup.duplicate_lines(df, few=few).collect())) == want
+    assert sorted(map(tuple, line_dedup.duplicate_lines(df, few=2).collect())) == want
 
 
 def thue_morse(n):
@@ -160,7 +159,7 @@ def thue_morse(n):
 
 
 def test_texts_that_break_polynomial_hashes_stay_apart(spark):
-    for n in (512, 1024, 2048):
+    for n in (512, 2048):  # hashed eight bytes at a time, and whole
         x, y = thue_morse(n)
         df = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
         assert [tuple(r) for r in line_dedup.duplicate_lines(df).collect()] == [(3, 0)]
