@@ -152,7 +152,8 @@ WITH RECURSIVE raw AS (
 ), u AS (
   SELECT t, row_number() OVER (ORDER BY f) AS i, strlen(t) AS n FROM (SELECT t, min({{'d': doc_id, 'k': k}}) AS f FROM l WHERE t <> '' GROUP BY t)
 ), g AS (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM u WHERE n >= 20
-), e AS (SELECT a.i AS x, b.i AS y FROM g a JOIN u b ON a.m = b.n AND a.i <> b.i AND b.n >= 20 WHERE levenshtein(a.t, b.t) <= 2
+), h AS (SELECT a.i AS x, b.i AS y FROM g a JOIN u b ON a.m = b.n AND a.i < b.i AND b.n >= 20 WHERE levenshtein(a.t, b.t) <= 2
+), e AS (SELECT x, y FROM h UNION ALL SELECT y, x FROM h
 ), c AS (SELECT i AS v, i AS m FROM u UNION SELECT e.y, c.m FROM c JOIN e ON e.x = c.v
 ), s AS (SELECT t, min(m) AS class FROM c JOIN u ON u.i = c.v GROUP BY t
 ), o AS (SELECT doc_id, k, row_number() OVER (PARTITION BY class ORDER BY doc_id, k) AS nth FROM l JOIN s USING (t)
