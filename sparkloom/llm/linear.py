@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm import textvec as tv
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: Bytes of texts whose features are in memory at once.
+SLICE = 1 << 18
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
@@ -58,7 +60,7 @@ def training_rows(docs: DataFrame, sample: DataFrame, features: Features, bits:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in tv.slices(batch.column(3)):
+            for a, b in tv.slices(batch.column(3), SLICE):
                 doc, feature = distinct(*features(batch.column(3).slice(a, b - a)), bits)
                 starts = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(feature.astype(np.int32)))
@@ -92,7 +94,7 @@ def scored(docs: DataFrame, weights: np.ndarray, features: Features, link: Calla
         w = sent.value
         for batch in batches:
             texts, parts = batch.column(at), [np.zeros(0)]
-            for a, b in tv.slices(texts):
+            for a, b in tv.slices(texts, SLICE):
                 doc, feature = features(texts.slice(a, b - a))
                 weighty = w[feature] != 0
                 doc, feature = distinct(doc[weighty], feature[weighty], bits)
