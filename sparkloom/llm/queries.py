@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, contamination, line_dedup, linear, near_dups, nearest, packing, quality, sanitise, token_counts, toxicity
+from sparkloom.llm import chat_format, contamination, line_dedup, linear, mixing, near_dups, nearest, packing, phrases, quality, ranked, sanitise, token_counts, toxicity
 from sparkloom.llm.common import shared_dir, table
 
 
@@ -143,6 +143,19 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(rows, mixed)
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP3_SQL = f"""
 WITH RECURSIVE raw AS (
@@ -186,6 +199,39 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP11_SQL = f"""
+WITH p AS (
+  SELECT lang, w FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)) WHERE len(w) > 0
+), g AS (
+  SELECT lang, w[i:i + m - 1] AS ph, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m) GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(ph) = 1 GROUP BY lang
+), c AS (SELECT lang, ph, f AS a, unnest(range(1, len(ph))) AS k FROM g WHERE len(ph) > 1 AND f >= 10
+), s AS (
+  SELECT c.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c JOIN g x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN g y ON y.lang = c.lang AND y.ph = c.ph[k + 1:]
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1
+), o AS (SELECT DISTINCT lang, ph[i:i + 1] AS ph, a FROM (SELECT lang, ph, a, unnest([1, 2]) AS i FROM c WHERE len(ph) = 3)
+), kept AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.ph = b.ph AND 100 * o.a >= 50 * b.a)
+), t AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score FROM t JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), c AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM d
+), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -197,6 +243,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_vantage_point_search": op10_vantage_point_search,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_source_mixing": op13_source_mixing,
 }
 SQL = {
     "op2_chat_format": OP2_SQL,
@@ -204,4 +253,6 @@ SQL = {
     "op3_line_dedup": OP3_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_vantage_point_search": OP10_SQL,
+    "op11_phrase_mining": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }

@@ -88,7 +88,7 @@ def byte_hash(part: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     cancel; ranges of over LONG bytes take BLAKE2.
     """
     size = end - start
-    eight = np.ndarray(len(part) + 1, dtype="<u8", buffer=np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+    eight = eights(part)
     h = mix(size.astype(np.uint64) * _BASE + np.uint64(seed))
     live = np.flatnonzero((size > 0) & (size <= LONG))
     done = 0
@@ -103,6 +103,25 @@ def byte_hash(part: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return h
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end."""
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def same_bytes(x: np.ndarray, start: np.ndarray, end: np.ndarray, y: np.ndarray, y_start: np.ndarray, y_end: np.ndarray) -> np.ndarray:
+    """Whether each range of bytes is equal to another; ``x`` and ``y`` are the :func:`eights` of what holds them."""
+    size = end - start
+    same = size == y_end - y_start
+    live, done = np.flatnonzero(same & (size > 0)), 0
+    while len(live):
+        mask = _FIRST[np.minimum(size[live] - done, 8)]
+        good = (x[start[live] + done] ^ y[y_start[live] + done]) & mask == 0
+        same[live[~good]] = False
+        done += 8
+        live = live[good & (size[live] > done)]
+    return same
+
+
 def range_hash(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of any ranges from prefix sums; texts can be made that collide, so equal ones are only candidates."""
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
