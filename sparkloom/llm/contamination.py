@@ -4,7 +4,9 @@ The normalised benchmark items are cut into parts of bounded size, and each
 part's automaton is built in a task and kept as flat arrays, which are sent to
 the executors. Training texts are streamed through all of them in one pass; the
 longest matching length at each word tells which benchmark windows end there.
-No text is shuffled.
+Where four words together may be an item's, by their hashes, the words are
+compared with the items' byte by byte, so nothing rests on equal hashes. No
+text is shuffled.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from pyspark.sql import functions as F
 from sparkloom.llm import textvec as tv
 from sparkloom.llm.common import written
 
-#: Words of a part, and of all parts that one pass over the texts applies: some 60 bytes each in every Python worker.
-PART_WORDS, PASS_WORDS = 250_000, 4_000_000
+#: Words of a part, and of all parts that one pass over the texts applies: some 100 bytes each in every Python worker.
+PART_WORDS, PASS_WORDS = 250_000, 1_000_000
+#: Transitions that a task keeps at hand.
+AT_HAND = 1 << 18
 #: The same words that ``tv.ALNUM`` finds in lower-cased bytes.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
 class SuffixAutomaton:
-    """All word windows of a set of items; see :meth:`feed`."""
+    """All word windows of a set of items ``(item, word numbers)``; see :class:`Matcher`."""
 
     def __init__(self, items: list[tuple[int, list[int]]], window: int):
         self.window = window
@@ -56,10 +60,7 @@ class SuffixAutomaton:
                     at = self.link[at]
                 self.short[at].append((len(w), item))
         self.least = min([window, *(len(w) for _, w in items)])
-        gram = min(self.least, len(_C))
-        self.gram = gram
-        hashed = [grams(np.array(w, np.uint64), gram) for _, w in items]
-        self.grams = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
+        self.held = [w for _, w in items]
 
     def _new(self, length: int) -> int:
         self.next.append({})
@@ -89,28 +90,31 @@ class SuffixAutomaton:
         self.link[new] = 0 if p < 0 else self._split(p, self.next[p][c], c)
         return new
 
-    def flat(self) -> dict:
-        """All that :class:`Matcher` needs, in arrays."""
-        words = np.array(sorted({c for n in self.next for c in n}), np.uint64)
+    def flat(self, words: list[bytes]) -> dict:
+        """All that :class:`Matcher` needs, in arrays; ``words`` are the bytes of the words by number."""
         count = np.array([len(n) for n in self.next], np.int64)
         state = np.repeat(np.arange(len(count)), count)
-        word = np.searchsorted(words, np.array([c for n in self.next for c in n], np.uint64))
+        word = np.array([c for n in self.next for c in n], np.int64)
         to = np.array([t for n in self.next for t in n.values()], np.int32)
         key = state * max(1, len(words)) + word
         order = np.argsort(key)
         item_ids = np.array([i for at in self.items for i in sorted(at)], np.int64)
+        gram, hashes = min(self.least, len(_C)), tv.Terms(words).own
+        found = [grams(hashes[np.array(w, np.int64)], gram) for w in self.held]
         return {
-            "window": self.window, "least": self.least, "gram": self.gram, "grams": self.grams, "words": words, "key": key[order], "to": to[order], "link": np.array(self.link, np.int32), "len": np.array(self.len, np.int32),
-            "items": item_ids, "items_at": np.concatenate([[0], np.cumsum([len(at) for at in self.items])]).astype(np.int64), "short": {k: v for k, v in enumerate(self.short) if v},
+            "window": self.window, "least": self.least, "gram": gram, "grams": np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), "words": words, "key": key[order], "to": to[order],
+            "link": np.array(self.link, np.int32), "len": np.array(self.len, np.int32), "items": item_ids, "items_at": np.concatenate([[0], np.cumsum([len(at) for at in self.items])]).astype(np.int64),
+            "short": {k: v for k, v in enumerate(self.short) if v},
         }
 
 
 class Matcher:
-    """Finds benchmark windows in texts by a :class:`SuffixAutomaton`'s arrays. Transitions that were followed once are kept at hand."""
+    """Finds benchmark windows in texts by a :class:`SuffixAutomaton`'s arrays. Transitions that were followed of late are kept at hand."""
 
     def __init__(self, flat: dict):
         self.__dict__.update(flat)
         self.size = max(1, len(self.words))
+        self.terms = tv.Terms(self.words)
         self.followed: dict[int, int] = {}
         self.named: dict[int, frozenset] = {}
         self.flags = np.zeros(1 << 22, bool)
@@ -123,21 +127,23 @@ class Matcher:
         if found is None:
             i = int(np.searchsorted(self.key, key))
             found = int(self.to[i]) if i < len(self.key) and self.key[i] == key else -1
+            if len(self.followed) >= AT_HAND:
+                self.followed.clear()
             self.followed[key] = found
         return found
 
     def _items(self, state: int) -> frozenset:
         if state not in self.named:
+            if len(self.named) >= AT_HAND >> 4:
+                self.named.clear()
             self.named[state] = frozenset(self.items[self.items_at[state] : self.items_at[state + 1]].tolist())
         return self.named[state]
 
-    def feed(self, hashes: np.ndarray) -> Iterator[tuple[int, int, frozenset]]:
-        """``(end, length, items)`` for each benchmark window that ends after word ``end``."""
-        places = np.searchsorted(self.words, hashes)
-        known = self.words[np.minimum(places, len(self.words) - 1)] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+    def feed(self, numbers: np.ndarray) -> Iterator[tuple[int, int, frozenset]]:
+        """``(end, length, items)`` for each benchmark window that ends after word ``end``; ``numbers`` are the words', -1 for one of no item."""
         at = length = 0
-        for i, (word, there) in enumerate(zip(places.tolist(), known.tolist(), strict=True)):
-            if not there:
+        for i, word in enumerate(numbers.tolist()):
+            if word < 0:
                 at = length = 0
                 continue
             following = self._step(at, word)
@@ -170,15 +176,16 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return tv.mix(total)
 
 
-def _item_words(text: str | None) -> list[int]:
-    h, _ = tv.all_words(*tv.column_bytes(pa.array([text or ""])), tv.ALNUM)
-    return h.tolist()
+def _item_words(text: str | None) -> list[bytes]:
+    buf, offsets = tv.column_bytes(pa.array([text or ""]))
+    return [part[a:b].tobytes() for _, start, end, part in tv.ranges(buf, offsets, tv.ALNUM) for a, b in zip(start, end, strict=True)]
 
 
 def _matches(matchers: list[Matcher], column: pa.Array) -> Iterator[tuple[int, set, set]]:
     """Each text's number of words, the set of hit words, and the items found."""
     for a, b in tv.slices(column):
-        h, begin = tv.all_words(*tv.column_bytes(column.slice(a, b - a)), tv.ALNUM)
+        found = tv.Words(*tv.column_bytes(column.slice(a, b - a)), tv.ALNUM)
+        h, begin = found.hashes, found.begin
         doc = np.repeat(np.arange(b - a), np.diff(begin))
         hits: dict[int, tuple[set, set]] = {}
         for m in matchers:
@@ -194,8 +201,9 @@ def _matches(matchers: list[Matcher], column: pa.Array) -> Iterator[tuple[int, s
             stops = np.flatnonzero((edges == -1) | (cut & np.append(False, good)))
             for s, e in zip(starts, stops, strict=True):
                 if e - s + n - 1 >= m.least:
-                    d = int(doc[s])
-                    for end, length, items in m.feed(h[s : e + n - 1]):
+                    d, run = int(doc[s]), slice(s, e + n - 1)
+                    numbers = m.terms.find(h[run], found.eights, found.start[run], found.end[run])
+                    for end, length, items in m.feed(numbers):
                         where, which = hits.setdefault(d, (set(), set()))
                         last = s + end - begin[d]
                         where.update(range(int(last) - length + 1, int(last) + 1))
@@ -214,7 +222,9 @@ def automata(benchmark: DataFrame, window: int, part_words: int) -> DataFrame:
 
     def build(part: pa.Table) -> pa.Table:
         rows = sorted((i, tuple(_item_words(t))) for i, t in zip(part["item_id"].to_pylist(), part["text"].to_pylist(), strict=True))
-        flat = SuffixAutomaton([(i, list(w)) for i, w in rows], window).flat()
+        words = sorted({x for _, w in rows for x in w})
+        number = {x: k for k, x in enumerate(words)}
+        flat = SuffixAutomaton([(i, [number[x] for x in w]) for i, w in rows], window).flat(words)
         return pa.table({"part": part["part"][:1], "words": pa.array([sum(len(w) for _, w in rows)], pa.int64()), "flat": pa.array([pickle.dumps(flat)], pa.binary())})
 
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
@@ -230,7 +240,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     item ids, match nothing; repeated items and rows count like one each. A very
     long text is read in blocks. An empty table stays empty, and an empty
     benchmark hits nothing. The automata of up to ``pass_words`` words are sent
-    to the executors at once; more take further passes. The three names replace
+    to the executors at once; more take further passes, each written before the
+    next begins. Words are matched by their bytes. The three names replace
     columns of ``docs``.
     """
     spark = docs.sparkSession
@@ -245,7 +256,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "hit_words", "hit_items")]
     out = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"), "hit_items": F.array().cast("array<long>")})
     at = kept.index("text")
-    for parts in passes:
+    for k, parts in enumerate(passes):
+        # the passes before are done and written, so a task holds the automata of one pass
+        out = written(out, "matched") if k else out
         flats = [bytes(r["flat"]) for r in built.where(F.col("part").isin(parts)).select("flat").collect()]
         sent = spark.sparkContext.broadcast(flats)
 

@@ -18,6 +18,7 @@ and none is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -111,20 +112,32 @@ class Lines:
             full &= last - first >= least
             self.parts.append((doc[full], number[full], first[full], last[full], part))
 
-    def digests(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def digests(self, seal: Seal) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """``doc, number, d1, d2`` of the lines."""
         for doc, number, a, b, part in self.parts:
-            yield doc, number, tv.byte_hash(part, a, b), tv.byte_hash(part, a, b, 1)
+            yield doc, number, *seal(part, a, b)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Seal:
+    """Digests of lines, with a key for the run: two halves of 64 bits. ``bits`` of the first are kept, fewer than 64 only to try what equal ones do."""
+
+    key: int
+    bits: int = 64
+
+    def __call__(self, part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d1, d2 = tv.byte_digest(part, a, b, self.key)
+        return d1 & np.uint64((1 << self.bits) - 1), d2
+
+
+def line_table(docs: DataFrame, seal: Seal) -> DataFrame:
     """``doc_id, line, d1, d2``: an occurrence of a line, and its 128-bit digest."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in tv.slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-                for doc, number, d1, d2 in Lines(batch.column(1).slice(a, b - a), 1).digests():
+                for doc, number, d1, d2 in Lines(batch.column(1).slice(a, b - a), 1).digests(seal):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(number.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "line", "d1", "d2"])
 
     return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, line int, d1 long, d2 long")
@@ -171,15 +184,20 @@ def line_keys(part: np.ndarray, node: np.ndarray, a: np.ndarray, size: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(probe)], names=["key", "node", "probe"])
 
 
-def segment_keys(docs: DataFrame, tau: int, least: int) -> DataFrame:
+def segment_keys(docs: DataFrame, tau: int, least: int, seal: Seal) -> DataFrame:
     """``key, node, probe`` of each line, cut into ``tau + 1`` segments; ``node`` is the line's d1."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in tv.slices(batch.column(0)):
                 for _, _, a, b, part in Lines(batch.column(0).slice(x, y - x), least).parts:
-                    node, once = np.unique(tv.byte_hash(part, a, b), return_index=True)
-                    yield line_keys(part, node, a[once], (b - a)[once], tau, tau + 1, least)
+                    d1, d2 = seal(part, a, b)
+                    # equal lines once; sorted by d1, those of the first place of each pair of halves
+                    order = np.lexsort((d2, d1))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (d1[order[1:]] != d1[order[:-1]]) | (d2[order[1:]] != d2[order[:-1]])
+                    once = order[new]
+                    yield line_keys(part, d1[once], a[once], (b - a)[once], tau, tau + 1, least)
 
     return docs.select("text").mapInArrow(keys, KEY_SCHEMA)
 
@@ -252,8 +270,8 @@ def _of_keys(rows: list[np.ndarray], few: int, many: int | None) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.array(probe[large].astype(np.int64)), pa.array(key[large])], names=["a", "b", "key"])
 
 
-def _line_texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, line`` (bytes) of these lines, each read at its first occurrence."""
+def _line_texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, seal: Seal) -> DataFrame:
+    """``node, d2, line`` (bytes) of all lines with these first halves, each read at its first occurrence."""
     first = lines.groupBy(F.col("d1").alias("node"), "d2").agg(F.min(F.struct("doc_id", "line")).alias("at"))
     places = nodes.join(first, "node").select("at.doc_id", "at.line")
     by_doc = written(places.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "places")
@@ -263,17 +281,37 @@ def _line_texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFram
             for x, y in tv.slices(batch.column(0)):
                 wanted = [set(w) for w in batch.column(1).slice(x, y - x).to_pylist()]
                 found = Lines(batch.column(0).slice(x, y - x), 1)
-                for (doc, number, d1, _), (*_, a, b, part) in zip(found.digests(), found.parts, strict=True):
+                for (doc, number, d1, d2), (*_, a, b, part) in zip(found.digests(seal), found.parts, strict=True):
                     keep = [i for i in range(len(doc)) if number[i] in wanted[doc[i]]]
                     raw = [part[a[i] : b[i]].tobytes() for i in keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(d1[keep].view(np.int64)), pa.array(raw, pa.binary())], names=["node", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d1[keep].view(np.int64)), pa.array(d2[keep].view(np.int64)), pa.array(raw, pa.binary())], names=["node", "d2", "line"])
 
     some = marked(docs.select("doc_id", "text"), "doc_id", by_doc.select("doc_id")).where("may")
-    texts = written(some.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(read, "node long, line binary").distinct(), "line-texts")
+    texts = written(some.join(by_doc, "doc_id").select("text", "wanted").mapInArrow(read, "node long, d2 long, line binary").distinct(), "line-texts")
     forget(by_doc)
     return texts
 
 
+def _twins(texts: DataFrame) -> DataFrame:
+    """``node, d2, id``: lines whose first half another line has as well, but for one of each such; ``id`` is a node of their own."""
+    shared = texts.groupBy("node").agg(F.min("d2").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return written(texts.select("node", "d2").join(shared, "node").where("d2 <> first").select("node", "d2", F.xxhash64("node", "d2").alias("id")), "line-twins")
+
+
+def _told_apart(found: DataFrame, twins: DataFrame) -> DataFrame:
+    """The rows of :func:`candidates` for each of the lines that a node stands for, and those lines as pairs."""
+    own = twins.select(F.col("node").alias("of"), "id")
+
+    def each(df: DataFrame, c: str) -> DataFrame:
+        return df.union(df.join(own, F.col(c) == F.col("of")).select(*[F.col("id").alias(x) if x == c else F.col(x) for x in df.columns]))
+
+    ids = own.union(own.select("of", F.col("of").alias("id")).distinct())
+    among = ids.join(ids.withColumnRenamed("id", "other"), "of").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(None).cast("long").alias("key"))
+    pairs = each(each(found.where("key is null"), "a"), "b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key")
+    return written(pairs.union(each(found.where("key is not null"), "a")).union(among), "line-told-apart")
+
+
 def _checked(found: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     """Links ``a, b`` among the pairs of :func:`candidates` and the stars of its large keys."""
 
@@ -342,10 +380,16 @@ def _block_links(rows: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     return strays.union(others).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def line_classes(docs: DataFrame, lines: DataFrame, tau: int, least: int, few: int) -> DataFrame:
-    """``node, component`` of the lines that are linked with another; see the module's docstring."""
-    found = candidates(segment_keys(docs, tau, least), few, "line-candidates")
-    texts = _line_texts(docs, lines, found.select(F.explode(F.when(F.col("key").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("node")).distinct())
+def line_classes(docs: DataFrame, lines: DataFrame, tau: int, least: int, few: int, seal: Seal) -> tuple[DataFrame, DataFrame | None]:
+    """``node, component`` of the lines that are linked with another; see the module's docstring. And the :func:`_twins`, if there are any."""
+    found = candidates(segment_keys(docs, tau, least, seal), few, "line-candidates")
+    texts = _line_texts(docs, lines, found.select(F.explode(F.when(F.col("key").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("node")).distinct(), seal)
+    twins = _twins(texts)
+    if twins.isEmpty():
+        twins, texts = None, texts.select("node", "line")
+    else:
+        found = _told_apart(found, twins)
+        texts = texts.join(twins, ["node", "d2"], "left").select(F.coalesce("id", "node").alias("node"), "line")
     classes = components(_checked(found, texts, tau), "line-links")
     open_ = _unsettled(found, classes, "line-unsettled")
     forget(found)
@@ -359,8 +403,7 @@ def line_classes(docs: DataFrame, lines: DataFrame, tau: int, least: int, few: i
             classes = components(_block_links(still, texts, tau).union(classes.toDF("a", "b")), "line-block-links")
         forget(still)
     forget(open_)
-    forget(texts)
-    return classes
+    return classes, twins
 
 
 def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES, few: int = FEW) -> DataFrame:
@@ -373,18 +416,26 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES, few
     have no lines; rows that repeat a doc_id are one document; an empty table
     gives an empty result. A very long text is read in blocks, a very long line
     whole. Other columns are not read, so their names don't matter.
+
+    Lines that are linked by edits were compared byte by byte; lines of one
+    digest of 128 bits, keyed anew in each run, count as equal. Lines that share
+    its first half only are told apart by the other.
     """
     with temporary() as keep:
-        return keep(_duplicate_lines(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tau, least, few))
-
-
-def _duplicate_lines(docs: DataFrame, tau: int, least: int, few: int) -> DataFrame:
-    lines = written(line_table(docs), "lines")
-    classes = line_classes(docs, lines, tau, least, few)
-    named = lines.join(classes, F.col("d1") == F.col("node"), "left")
-    named = named.select("doc_id", "line", F.coalesce("component", "d1").alias("class"), F.when(F.col("component").isNull(), F.col("d2")).otherwise(0).alias("rest"))
-    first = named.groupBy("class", "rest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return named.join(first, ["class", "rest"]).where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
+        return keep(_duplicate_lines(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tau, least, few, Seal(tv.new_key())))
+
+
+def _duplicate_lines(docs: DataFrame, tau: int, least: int, few: int, seal: Seal) -> DataFrame:
+    lines = written(line_table(docs, seal), "lines")
+    classes, twins = line_classes(docs, lines, tau, least, few, seal)
+    nodes = lines.withColumn("of", F.col("d1"))
+    if twins is not None:
+        nodes = lines.join(twins.withColumnRenamed("node", "d1"), ["d1", "d2"], "left").select(*lines.columns, F.coalesce("id", "d1").alias("of"))
+    named = nodes.join(classes, F.col("of") == F.col("node"), "left")
+    linked = F.col("component").isNotNull()
+    named = named.select("doc_id", "line", linked.alias("linked"), F.coalesce("component", "d1").alias("class"), F.when(linked, 0).otherwise(F.col("d2")).alias("rest"))
+    first = named.groupBy("linked", "class", "rest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return named.join(first, ["linked", "class", "rest"]).where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_BYTES) -> DataFrame:

@@ -53,29 +53,64 @@ def sketch_floor(percent: int) -> float:
     return s - SKETCH_DEVIATIONS * math.sqrt(s * (1 - s) / BINS)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, and where each text's begin."""
-    h, begin = tv.all_words(buf, offsets, tv.NOT_SPACE)
-    sets = []
-    long = np.zeros(0, np.uint64)
-    if len(h) >= words:
-        long = h[: len(h) - words + 1] * _C[0]
-        for k in range(1, words):
-            long = tv.mix(long + h[k : len(h) - words + 1 + k] * _C[k % 3] + np.uint64(k))
+def _shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many word hashes."""
+    if len(h) < words:
+        return np.zeros(0, np.uint64)
+    out = h[: len(h) - words + 1] * _C[0]
+    for k in range(1, words):
+        out = tv.mix(out + h[k : len(h) - words + 1 + k] * _C[k % 3] + np.uint64(k))
+    return out
+
+
+def _whole(h: np.ndarray) -> np.ndarray:
+    """The hash of a text of fewer words than a shingle."""
+    out = np.array([len(h)], np.uint64)
+    for k in range(len(h)):
+        out = tv.mix(out * _C[1] + h[k : k + 1])
+    return out
+
+
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int = 3, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, by two hashes, and where each text's begin.
+
+    The second hashes, made with the run's ``key``, tell shingles apart and are
+    sorted within a text; the first are the same in every run.
+    """
+    found = tv.Words(buf, offsets, tv.NOT_SPACE, key)
+    begin = found.begin
+    first, second = _shingles(found.hashes, words), _shingles(found.second, words)
+    own, other = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for i in range(len(begin) - 1):
         a, b = begin[i], begin[i + 1]
         if b - a >= words:
-            sets.append(np.unique(long[a : b - words + 1]))
+            values, at = np.unique(second[a : b - words + 1], return_index=True)
+            own.append(first[a + at])
+            other.append(values)
         elif b > a:
-            whole = np.array([b - a], np.uint64)
-            for k in range(a, b):
-                whole = tv.mix(whole * _C[1] + h[k : k + 1])
-            sets.append(whole)
+            own.append(_whole(found.hashes[a:b]))
+            other.append(_whole(found.second[a:b]))
+        else:
+            own.append(own[0]), other.append(own[0])
+    sizes = np.cumsum([len(x) for x in own])
+    return np.concatenate(own), np.concatenate(other), sizes.astype(np.int64)
+
+
+def exact_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of shingles of each text as numbers, which within this column are equal if, and only if, the words are."""
+    found = tv.Words(*tv.column_bytes(column), tv.NOT_SPACE)
+    ids, begin, sets, short = found.ids().astype(np.int64), found.begin, [], {}
+    runs = ids[: max(0, len(ids) - words + 1)]
+    for k in range(1, words):
+        runs = np.unique(runs * (len(ids) + 1) + ids[k : len(ids) - words + 1 + k], return_inverse=True)[1]
+    for i in range(len(column)):
+        a, b = begin[i], begin[i + 1]
+        if b - a >= words:
+            sets.append(np.unique(runs[a : b - words + 1]))
         else:
-            sets.append(np.zeros(0, np.uint64))
-    sizes = np.zeros(len(sets) + 1, np.int64)
-    np.cumsum([len(s) for s in sets], out=sizes[1:])
-    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), sizes
+            # a text of fewer words than a shingle is one shingle, of its own kind
+            sets.append(np.array([-1 - short.setdefault(tuple(ids[a:b].tolist()), len(short))] if b > a else [], np.int64))
+    return sets
 
 
 def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -114,16 +149,20 @@ def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, sig binary"
 
 
-def sketch_docs(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sig``: size, 128-bit digest and signature of each set."""
+def sketch_docs(docs: DataFrame, words: int, key: int) -> DataFrame:
+    """``doc_id, n_shingles, d1, d2, sig``: size, 128-bit digest and signature of each set.
+
+    Half of the digest is of hashes made with the run's ``key``; the signature
+    is not, so candidates are the same in every run.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in tv.slices(batch.column(1)):
-                values, begin = shingle_sets(*tv.column_bytes(batch.column(1).slice(a, b - a)), words)
-                sig = signatures(values, begin)
+                *both, begin = shingle_sets(*tv.column_bytes(batch.column(1).slice(a, b - a)), words, key)
+                sig = signatures(both[0], begin)
                 digests = []
-                for c in _C[:2]:
+                for values, c in zip(both, _C, strict=False):
                     sums = np.zeros(len(values) + 1, np.uint64)
                     np.cumsum(tv.mix(values ^ c), out=sums[1:])
                     digests.append((sums[begin[1:]] - sums[begin[:-1]]).view(np.int64))
@@ -232,7 +271,7 @@ def candidate_pairs(sets: DataFrame, trees: int = TREES) -> DataFrame:
     return ordered.mapInArrow(region_rows, "a long, b long, region long")
 
 
-def stray_links(hot: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+def stray_links(hot: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, words: int, key: int) -> DataFrame:
     """Links in large regions that a look at neighbours alone has missed.
 
     ``hot(region, node)`` holds the large regions and ``labels(node, component)``
@@ -270,7 +309,7 @@ def stray_links(hot: DataFrame, labels: DataFrame, classes: DataFrame, texts: Da
 
         def full(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = shingle_sets(*tv.column_bytes(column.slice(i, 1)), words)[0]
+                sets[i] = shingle_sets(*tv.column_bytes(column.slice(i, 1)), words, key)[1]
             return sets[i]
 
         def top(x: int) -> int:
@@ -309,7 +348,7 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs whose full sets have ``100 * intersection >= percent * union``.
+    """Pairs whose full sets have ``100 * intersection >= percent * union``, words compared by their bytes.
 
     ``texts(node, text)`` holds the texts of all nodes; only those in a pair move.
     """
@@ -318,10 +357,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
         for batch in batches:
             for at, end in tv.slices(batch.column(2)):
                 part = batch.slice(at, end - at)
-                (x, xb), (y, yb) = (shingle_sets(*tv.column_bytes(part.column(k)), words) for k in (2, 3))
+                sets = exact_sets(pa.concat_arrays([part.column(2).cast(pa.large_string()), part.column(3).cast(pa.large_string())]), words)
                 ok = []
-                for i in range(part.num_rows):
-                    s, t = x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]
+                for s, t in zip(sets, sets[part.num_rows :], strict=False):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     ok.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -340,14 +378,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3) -> DataF
     a text of fewer words than a shingle is one shingle. ``component_id`` is the
     smallest doc_id reachable. Texts without words, and null texts, are linked
     with nothing. Rows with a null doc_id take no part and come out with a null
-    component and kept. Repeated rows give a row each.
+    component and kept. Repeated rows give a row each. An empty table stays
+    empty; a very long text is read whole, in blocks; other columns are not
+    read, so their names don't matter. Two texts of one digest of 128 bits, of
+    which half is keyed anew in each run, count as the same set; links between
+    different sets are confirmed on the words themselves.
     """
     with temporary() as keep:
         return keep(_near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, words))
 
 
 def _near_duplicates(texts: DataFrame, percent: int, words: int) -> DataFrame:
-    sets = written(sketch_docs(texts, words), "sets")
+    key = tv.new_key()
+    sets = written(sketch_docs(texts, words, key), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     x, y = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -359,7 +402,8 @@ def _near_duplicates(texts: DataFrame, percent: int, words: int) -> DataFrame:
     grouped = components(confirm(near, named_texts, percent, words), "links")
     hot = found.where("region is not null").select("region", F.col("a").alias("node"))
     if not hot.isEmpty():
-        links = stray_links(hot, grouped, classes, named_texts, percent, words)
+        # strays are compared by keyed hashes, and what joins components is confirmed like other pairs
+        links = confirm(written(stray_links(hot, grouped, classes, named_texts, percent, words, key), "stray-links"), named_texts, percent, words)
         grouped = components(links.union(grouped.toDF("a", "b")), "more-links")
     grouped = grouped.withColumnRenamed("component", "least")
     named = classes.select("d1", "d2", "node").join(grouped, "node", "left").select("d1", "d2", F.coalesce("least", "node").alias("least"))

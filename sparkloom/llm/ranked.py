@@ -37,39 +37,12 @@ PASS_BYTES = 8 << 20
 INDEX_SCHEMA = "n_docs long, n_terms long, shard binary, terms array<int>, df array<int>"
 
 
-class Terms:
-    """Finds some terms among words: by hash, then byte by byte."""
-
-    def __init__(self, terms: list[bytes]):
-        sizes = np.array([len(t) for t in terms], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(sizes)])[: len(terms)]
-        self.end = self.start + sizes
-        held = np.frombuffer(b"".join(terms), np.uint8)
-        self.eights = tv.eights(held)
-        hashes = tv.byte_hash(held, self.start, self.end)
-        self.order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[self.order]
-        self.alike = int(np.unique(self.hashes, return_counts=True)[1].max()) if terms else 0
-
-    def find(self, h: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of each word's term, or -1."""
-        out = np.full(len(h), -1)
-        at, eights = np.searchsorted(self.hashes, h), tv.eights(part)
-        for k in range(self.alike):
-            place = np.minimum(at + k, len(self.hashes) - 1)
-            some = np.flatnonzero((self.hashes[place] == h) & (at + k < len(self.hashes)) & (out < 0))
-            term = self.order[place[some]]
-            same = tv.same_bytes(eights, start[some], end[some], self.eights, self.start[term], self.end[term])
-            out[some[same]] = term[same]
-        return out
-
-
 def index(docs: DataFrame, terms: list[bytes], shard_docs: int, shard_postings: int) -> DataFrame:
     """A row for each shard of ``docs(doc_id, text)``: documents and words, and the postings of ``terms``."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(sent.value)
+        known = tv.Terms(sent.value)
         held, n_held, postings = [], 0, 0
 
         def shard() -> pa.RecordBatch:
@@ -90,7 +63,7 @@ def index(docs: DataFrame, terms: list[bytes], shard_docs: int, shard_postings:
                 keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for h, doc, start, end, part in tv.words(*tv.column_bytes(batch.column(1).slice(a, b - a)), tv.ALNUM):
                     sizes += np.bincount(doc, minlength=len(ids))
-                    term = known.find(h, part, start, end)
+                    term = known.find(h, tv.eights(part), start, end)
                     there = term >= 0
                     key, n = np.unique(doc[there] * len(sent.value) + term[there], return_counts=True)
                     keys, counts = np.concatenate([keys, key]), np.concatenate([counts, n])

@@ -168,6 +168,56 @@ def test_texts_that_break_polynomial_hashes_stay_apart(spark):
         assert sorted((r.doc_id, r.contaminated) for r in contamination.report(contamination.find_contamination(df, bench)).collect()) == [(1, True), (2, False), (3, True)]
 
 
+def made_to_collide(first, second):
+    """Two words of 24 bytes with one unkeyed hash: the second eight bytes make up for the first."""
+    mix, base, mask = near_dups.tv.mix, int(near_dups.tv._BASE), (1 << 64) - 1
+
+    def state(block):
+        h = int(mix(np.array([24 * base & mask], np.uint64))[0])
+        return int(mix(np.array([(h ^ int.from_bytes(block, "little")) * base & mask], np.uint64))[0])
+
+    gap = (state(first) ^ state(second)).to_bytes(8, "little")
+    return first + b"\x40" * 8 + b"zqxwvuts", second + bytes(0x40 ^ g for g in gap) + b"zqxwvuts"
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    x, y = "dzktbfytaaaaaaaazqxwvuts", "wsjqijutuljclshrzqxwvuts"
+    hashed = lambda *w: near_dups.tv.all_words(*near_dups.tv.column_bytes(pa.array(w)), near_dups.tv.NOT_SPACE, lower=False)[0]
+    assert len(set(hashed(x, y).tolist())) == 1  # such pairs are easily made
+    raw = made_to_collide(b"abcdefgh", b"ijklmnop")
+    assert len(set(near_dups.tv.byte_hash(np.frombuffer(b"".join(raw), np.uint8), np.array([0, 24]), np.array([24, 48])).tolist())) == 1
+    apart = near_dups.tv.byte_digest(np.frombuffer(b"".join(raw), np.uint8), np.array([0, 24]), np.array([24, 48]), 5)
+    assert all(len(set(h.tolist())) == 2 for h in apart)
+    df = spark.createDataFrame([(1, x), (2, y), (3, x[:-1] + "q"), (4, f"{x} a b"), (5, f"{y} a b"), (6, x)], "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.duplicate_lines(df.where("doc_id < 4")).collect())) == [(3, 0)]
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1}
+    bench = spark.createDataFrame([(7, x)], "item_id long, text string")
+    assert {r.doc_id for r in contamination.report(contamination.find_contamination(df, bench)).where("contaminated").collect()} == {1, 4, 6}
+    sets = near_dups.exact_sets(pa.array([f"{x} a b", f"{y} a b", f"{x.upper()} a  b", x, y, None]), 3)
+    assert sets[0].tolist() == sets[2].tolist() != sets[1].tolist() and sets[3].tolist() != sets[4].tolist() and not len(sets[5])
+
+
+@pytest.mark.parametrize("bits", [4, 8])
+def test_lines_with_equal_halves_are_told_apart(spark, bits):
+    rnd = random.Random(bits)
+    base = ["".join(rnd.choice("abcdefghij klmn") for _ in range(rnd.randint(20, 30))) for _ in range(30)]
+    docs = [(d, "\n".join(rnd.choice(base)[: rnd.choice([None, -1])] for _ in range(rnd.randint(1, 3)))) for d in range(40)]
+    lines = sorted({x.strip() for _, t in docs for x in t.split("\n")})
+    pairs = [(x, y) for i, x in enumerate(lines) for y in lines[:i] if distance(x, y) <= 2]
+
+    def halves(key):
+        raw, ends = "".join(lines).encode(), np.cumsum([len(x) for x in lines])
+        seal = line_dedup.Seal(key, bits)
+        return dict(zip(lines, seal(np.frombuffer(raw, np.uint8), np.append(0, ends[:-1]), ends)[0].tolist(), strict=True))
+
+    # a key that gives lines that are alike different halves, but many others the same
+    key, own = next((k, h) for k, h in ((k, halves(k)) for k in range(1, 100_000)) if all(h[x] != h[y] for x, y in pairs))
+    assert pairs and len(set(own.values())) < len(lines)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = line_dedup._duplicate_lines(df, 2, 20, 8, line_dedup.Seal(key, bits))
+    assert sorted(map(tuple, got.collect())) == line_sets(docs)
+
+
 def test_names_that_clash_and_long_texts_in_line_dedup(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     rows = [(1, "one line that is long enough\nanother", 5, 6, 7, 8, "x"), (2, "ONE line that is long enough \nrest of it", 5, 6, 7, 8, "y"), (3, long, 1, 2, 3, 4, "z"), (4, long + "!", 1, 2, 3, 4, "z")]
