@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
 from sparkloom.functions.frames import once
+from sparkloom.functions.packing import windows
 from sparkloom.operators import semantic
+from sparkloom.operators.ranking import PART, SEAT, ranged
 from sparkloom.sources.staging import staged
 
 # Fixed values.
 STRATEGIES = ("semantic", "headings_first")
 LOW_COVERAGE = 0.15
+_WORD = re.compile(r"[^ \t\r\n]+")
 
 
 def window_starts(count: Column, target: int, overlap: int) -> Column:
@@ -35,6 +43,73 @@ def word_windows(documents: DataFrame, target: int = 128, overlap: int = 16) ->
     return cut.select("doc_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), F.size("part").cast("long").alias("n_words"), F.sha1(F.array_join("part", " ")).alias("text_hash"))
 
 
+class Tokenizer(Protocol):
+    """Tokens of a text; made in each task by a function that is sent there."""
+
+    def ends(self, text: str) -> list[int]:
+        """Where each token ends, in characters, in order."""
+        ...
+
+
+class PieceTokens:
+    """Tokens without a vocabulary: runs of ``size`` characters within words."""
+
+    def __init__(self, size: int = 4):
+        self.size = size
+
+    def ends(self, text: str) -> list[int]:
+        return [e for m in _WORD.finditer(text) for e in (*range(m.start() + self.size, m.end(), self.size), m.end())]
+
+
+def _tokens_by_word(texts: pa.Array, tokenizer: Tokenizer) -> pa.Array:
+    """Per text the tokens that begin before the end of each of its words, so far."""
+    out = []
+    for text in texts.to_pylist():
+        ends = np.array([m.end() for m in _WORD.finditer(text or "")], np.int64)
+        starts = np.concatenate([[0], np.array(tokenizer.ends(text), np.int64)])[:-1] if len(ends) else ends
+        out.append(np.searchsorted(starts, ends, side="left"))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def tokens_by_word(text: Column, make: Callable[[], Tokenizer]) -> Column:
+    """Cumulative token counts by word (white space parts words); the tokenizer is called once for a text."""
+
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenizer = make()
+        for batch in batches:
+            yield _tokens_by_word(batch, tokenizer)
+
+    return F.arrow_udf(counts, "array<bigint>")(text)
+
+
+def token_counter(make: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
+    """A measure of an array of texts: the tokens of each."""
+
+    def of(texts: Column) -> Column:
+        def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            tokenizer = make()
+            for batch in batches:
+                yield pa.array([None if row is None else [len(tokenizer.ends(t)) for t in row] for row in batch.to_pylist()], pa.list_(pa.int64()))
+
+        return F.arrow_udf(counts, "array<bigint>")(texts)
+
+    return of
+
+
+def token_windows(documents: DataFrame, make: Callable[[], Tokenizer], target: int = 128, overlap: int = 16) -> DataFrame:
+    """``doc_id, chunk_ord, n_words, n_tokens, text``: windows of at most ``target`` tokens of a tokenizer, whole words, one at least.
+
+    Neighbours share the words that hold at most ``overlap`` tokens. A text is
+    tokenized once; a window's tokens are those of the whole text in it.
+    """
+    rows = once(documents.select("doc_id", "text"), sums=tokens_by_word(F.coalesce("text", F.lit("")), make))
+    rows = once(rows, spans=windows(F.col("sums"), target, overlap), w=T.words(F.coalesce("text", F.lit(""))))
+    part = F.transform("spans", lambda s: F.struct(
+        (s["end"] - s["start"]).cast("long").alias("n_words"), (F.col("sums")[s["end"] - 1] - F.when(s["start"] > 0, F.get("sums", s["start"] - 1)).otherwise(0)).alias("n_tokens"),
+        F.array_join(F.slice("w", s["start"] + 1, s["end"] - s["start"]), " ").alias("text")))
+    return rows.select("doc_id", F.posexplode(part).alias("chunk_ord", "c")).select("doc_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), "c.*")
+
+
 def strategy_of(name: str | None = None, use_semantic: bool | None = None) -> str:
     """A chunking strategy by its name; an unknown one is semantic. The flag counts where no name is given."""
     if name:
@@ -223,17 +298,16 @@ def page_batches(chunks: DataFrame, budget: int = 100, by: str = "split", blocks
     """``by, doc_id, chunk_id, batch_no``: in order, chunks of a group while their distinct pages keep to ``budget``; a larger one stands alone.
 
     Batches cross documents, but between two documents only the number of pages
-    so far counts. So blocks of documents are worked through at the same time,
-    once for each number of pages they could begin with; these small tables
-    are put together in order, and then each block knows how it begins. Needs
+    so far counts. So blocks of documents, sampled ranges of their ids (of any
+    type that has an order), are worked through at the same time, once for each
+    number of pages they could begin with; these small tables are put together
+    in order, and then each block knows how it begins. Needs
     ``doc_id, chunk_id, chunk_ord, page_start, page_end``; a document's ranges
     start no earlier than those before them.
     """
     blocks = blocks or 4 * chunks.sparkSession.sparkContext.defaultParallelism
-    ends = chunks.groupBy(by).agg(F.min("doc_id").alias("low_"), F.max("doc_id").alias("high_"))
-    width = F.greatest(F.lit(1.0), (F.col("high_").cast("double") - F.col("low_") + 1) / blocks)
     narrow = chunks.select(by, "doc_id", "chunk_id", "chunk_ord", F.col("page_start").cast("long").alias("a"), F.col("page_end").cast("long").alias("b"))
-    dealt = narrow.join(ends, by).withColumn("block", F.floor((F.col("doc_id").cast("double") - F.col("low_")) / width)).drop("low_", "high_")
+    dealt = ranged(narrow, [by, "doc_id"], "page-order", blocks, apart=False).withColumnRenamed(PART, "block").drop(SEAT)
 
     def walked(docs, firsts, lasts, pages, batch):
         """Batch numbers after each chunk, for arrays of pages and batches to begin with, and how they end."""

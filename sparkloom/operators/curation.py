@@ -103,7 +103,9 @@ def accept(curated: DataFrame, ids: DataFrame) -> DataFrame:
     rows = _chosen(curated, ids)
     now = F.coalesce(F.col("chosen") & ~F.col("has_accepted"), F.lit(False))
     unscored = now & F.col("overall").isNull()
-    scores = {c: F.when(unscored, F.lit(v)).otherwise(F.col(c)) for c, v in MANUAL.items() if c in curated.columns}
+    # an example's own difficulty is a word, not a score
+    numbers = {name for name, kind in curated.dtypes if kind in ("double", "float")}
+    scores = {c: F.when(unscored, F.lit(v)).otherwise(F.col(c)) for c, v in MANUAL.items() if c in numbers}
     if "rationale" in curated.columns:
         scores["rationale"] = F.when(unscored, "manual override").otherwise(F.col("rationale"))
     kept = rows.where(~now | (F.col("example_ord") == F.col("last_ord")))

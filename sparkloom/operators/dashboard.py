@@ -73,14 +73,28 @@ def selected_rows(rows: DataFrame, selection: DataFrame) -> DataFrame:
     return rows.join(selection.distinct(), ["job_id", "example_id", "split"], "left_semi").select(*[c for c in fields if c in rows.columns])
 
 
-def job_metrics(rows: DataFrame) -> DataFrame:
-    """``job_id, split, question_type, accepted, rejected`` and, of the accepted with a score, the five-figure summary of ``overall`` and ``groundedness``.
+def job_metrics(rows: DataFrame, scores: tuple[str, ...] = ("relevance", "groundedness", "overall")) -> DataFrame:
+    """``job_id, split, question_type, accepted, rejected``, and for each score of the accepted ``<score>_counts``: how often each value occurs, by value.
 
-    The figures stand for the lists of scores, which grow with the data.
+    A vector of scores follows from its counts (:func:`score_vector`), but they
+    grow with the distinct values only and are summed before they are shuffled.
+    Null scores count as none; a score that ``rows`` lacks has no counts.
     """
+    by = ["job_id", "split", "question_type"]
     ok = F.col("reason").isNull()
-    figures = [F.percentile_approx(F.when(ok, F.col(c)), [0.0, 0.25, 0.5, 0.75, 1.0], 10_000).alias(f"{c}_figures") for c in ("overall", "groundedness")]
-    return rows.groupBy("job_id", "split", "question_type").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), *figures)
+    totals = rows.groupBy(*by).agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+    given = F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value")) for s in scores if s in rows.columns])
+    counts = rows.where(ok).select(*by, F.explode(given).alias("s")).select(*by, "s.*").where("value is not null").groupBy(*by, "score", "value").agg(F.count("*").alias("n"))
+    own = lambda s: F.array_sort(F.collect_list(F.when(F.col("score") == s, F.struct("value", "n")))).alias(f"{s}_counts")
+    vectors = counts.groupBy(*by).agg(*map(own, scores))
+    same = totals["job_id"].eqNullSafe(vectors["job_id"]) & totals["split"].eqNullSafe(vectors["split"]) & totals["question_type"].eqNullSafe(vectors["question_type"])
+    none = F.array().cast("array<struct<value:double,n:bigint>>")
+    return totals.join(vectors, same, "left").select(*[totals[c] for c in totals.columns], *[F.coalesce(vectors[f"{s}_counts"], none).alias(f"{s}_counts") for s in scores])
+
+
+def score_vector(counts: Column) -> Column:
+    """The scores that :func:`job_metrics` has counted, in order."""
+    return F.flatten(F.transform(counts, lambda c: F.array_repeat(c["value"], c["n"].cast("int"))))
 
 
 def stat_sums(per: DataFrame) -> DataFrame:

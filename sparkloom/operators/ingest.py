@@ -62,12 +62,12 @@ def extracted(files: DataFrame, extractors: Sequence[PageExtractor]) -> DataFram
 
 
 def skip_reason(pages: Column, free_mb: Column, max_pages: int | None, max_ram_mb: int | None) -> Column:
-    """Why a costly parser is left out: too many pages, or too little memory; a limit of None is none."""
+    """Why a costly parser is left out, by the setting's name: too many pages, or too little memory; a limit of None is none."""
     reason = F.lit(None).cast("string")
     if max_ram_mb is not None:
-        reason = F.when(free_mb < max_ram_mb, "max_ram_mb").otherwise(reason)
+        reason = F.when(free_mb < max_ram_mb, "docling_max_ram_mb").otherwise(reason)
     if max_pages is not None:
-        reason = F.when(pages > max_pages, "max_pages").otherwise(reason)
+        reason = F.when(pages > max_pages, "docling_max_pages").otherwise(reason)
     return reason
 
 
@@ -97,7 +97,7 @@ def with_assets(paged: DataFrame) -> DataFrame:
     """``paged(doc_id, pages)`` with ``assets``: number, path, need of the image, and OCR of each page."""
     asset = F.transform("pages", lambda p, i: F.struct(
         (i + 1).cast("long").alias("page_number"), (T.has_any(p, T.FORMULA_MARKERS) | (F.length(p) < LEAST_CHARS)).alias("requires_multimodal"), F.lit(False).alias("ocr_used")))
-    image = lambda a: F.when(a["requires_multimodal"], F.format_string("pages/%d/page-%04d.png", F.col("doc_id"), a["page_number"]))
+    image = lambda a: F.when(a["requires_multimodal"], F.format_string("pages/%s/page-%04d.png", F.col("doc_id").cast("string"), a["page_number"]))
     return paged.withColumn("assets", F.transform(asset, lambda a: F.struct(a["page_number"], image(a).alias("image_path"), a["requires_multimodal"], a["ocr_used"])))
 
 

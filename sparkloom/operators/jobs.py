@@ -95,15 +95,18 @@ def milestone(stage: Column, batch: Column, batches: Column) -> Column:
     return at
 
 
-def progress(batches: DataFrame) -> DataFrame:
+def progress(batches: DataFrame, *by: str) -> DataFrame:
     """``split, batch, total_batches, pages_processed, eta_seconds``: after each batch of ``batches(split, batch, pages, seconds)``, in order.
 
+    Batches are counted by ``split``, or by the columns named, such as a job and its split.
+
     The time to come is the mean of the batches so far for each that is left.
     """
-    so_far = Window.partitionBy("split").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.count("*").over(Window.partitionBy("split"))
+    by = by or ("split",)
+    so_far = Window.partitionBy(*by).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.count("*").over(Window.partitionBy(*by))
     done = F.count("*").over(so_far)
-    return batches.select("split", "batch", total.alias("total_batches"), F.sum("pages").over(so_far).alias("pages_processed"), F.bround(F.sum("seconds").over(so_far) / done * (total - done), 2).alias("eta_seconds"))
+    return batches.select(*by, "batch", total.alias("total_batches"), F.sum("pages").over(so_far).alias("pages_processed"), F.bround(F.sum("seconds").over(so_far) / done * (total - done), 2).alias("eta_seconds"))
 
 
 def failure_rate(events: DataFrame, window: int = 20, least: int = 5, threshold: float = 0.5) -> DataFrame:

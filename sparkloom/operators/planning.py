@@ -7,55 +7,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as T
+from sparkloom.operators.ranking import numbered
+from sparkloom.sources.staging import staged
 
 #: The order in which kinds are planned.
 PLAN_ORDER = ("multi_chunk", "inferential", "unanswerable", "format_specific", "extractive")
 
 
-def placed(rows: DataFrame, by: list[str], key: str, order: list[Column], name: str, descending: bool = False, buckets: int = 4096) -> DataFrame:
-    """``rows`` with ``name``: their number, from 0, in ``order`` within ``by``, whatever a group's size.
-
-    ``order`` begins with the whole number ``key``. A group's range of keys is
-    cut into buckets, whose sizes are summed up first; so only the rows of a
-    bucket meet in a task, and no window holds a group.
-    """
-    ends = rows.groupBy(*by).agg(F.min(key).alias("low_"), F.max(key).alias("high_"))
-    width = F.greatest(F.lit(1.0), (F.col("high_").cast("double") - F.col("low_") + 1) / buckets)
-    bucket = F.floor((F.col(key).cast("double") - F.col("low_")) / width)
-    dealt = rows.join(ends, by).withColumn("bucket_", -bucket if descending else bucket)
-    before = Window.partitionBy(*by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(*by, "bucket_").agg(F.count("*").alias("n_")).select(*by, "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    inside = Window.partitionBy(*by, "bucket_").orderBy(*order)
-    found = dealt.join(sizes, [*by, "bucket_"]).withColumn(name, F.col("before_") + F.row_number().over(inside) - 1)
-    return found.select(*rows.columns, name)
-
-
 def split_manifest(tokens: DataFrame, eval_ratio: float = 0.15) -> DataFrame:
     """``doc_id, tokens, split`` of ``tokens(doc_id, tokens)``: the largest documents, to ``eval_ratio`` of all, are eval.
 
-    The running sum is taken over the distinct sizes, a small table; only the
-    documents of the one size that crosses the limit are put in order. At least
-    one document is train; a single one is. ``tokens`` is read several times,
-    so it should be a written table where it takes work to make.
+    Of equal sizes the largest doc_id comes first. The cut is one row, a size
+    and a doc_id, found from the sums over the distinct sizes and, where a size
+    crosses the limit, the order of its documents; each row is compared with
+    it, so the result reads ``tokens`` once and shuffles nothing. At least one
+    document is train; a single one is. Ids may be of any type that has an
+    order; rows that repeat an id and a size lie on one side. ``tokens`` is
+    read to find the cut, so it should be a written table where it takes work
+    to make. An empty table stays empty.
     """
     size = F.greatest(F.col("tokens"), F.lit(1)).cast("long")
-    sizes = tokens.groupBy("tokens").agg(F.count("*").alias("n"), (F.count("*") * size).alias("mass"), F.min("doc_id").alias("least"))
+    sizes = tokens.where("tokens is not null").groupBy("tokens").agg(F.count("*").alias("n"), (F.count("*") * size).alias("mass"))
     larger = Window.orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    sizes = sizes.select(
-        "tokens", F.coalesce(F.sum("mass").over(larger), F.lit(0)).alias("before"), "mass", F.sum("mass").over(every).alias("total"), F.sum("n").over(every).alias("documents"),
-        F.min("tokens").over(every).alias("smallest"), "least",
+    sums = sizes.select(
+        "tokens", "n", "mass", F.coalesce(F.sum("mass").over(larger), F.lit(0)).alias("before"), F.sum("mass").over(every).alias("total"),
+        F.sum("n").over(every).alias("documents"), F.min("tokens").over(every).alias("smallest"),
     )
     target = F.greatest(F.lit(1), (F.col("total") * F.lit(eval_ratio)).cast("long"))
-    # how many documents of a size are eval: all, none or, of one size, some
-    taken = F.when(F.col("documents") == 1, 0).otherwise(F.least(F.col("mass") / size, F.greatest(F.lit(0), F.ceil((target - F.col("before")) / size))))
-    sizes = sizes.select("tokens", taken.cast("long").alias("taken"), (F.col("mass") / size).cast("long").alias("n"), F.when(F.col("tokens") == F.col("smallest"), F.col("least")).alias("last"))
-    rows = tokens.join(sizes, "tokens")
-    last = F.coalesce(F.col("doc_id") == F.col("last"), F.lit(False))
-    named = lambda df, is_eval: df.select("doc_id", "tokens", F.when(is_eval & ~last, "eval").otherwise("train").alias("split"))
-    some = (F.col("taken") > 0) & (F.col("taken") < F.col("n"))
-    cut = placed(rows.where(some), ["tokens"], "doc_id", [F.desc("doc_id")], "place", descending=True)
-    return named(rows.where(~some), F.col("taken") > 0).union(named(cut, F.col("place") < F.col("taken")))
+    cut = sums.where((F.col("before") < target) & (F.col("before") + F.col("mass") >= target)).withColumn("taken", F.ceil((target - F.col("before")) / size)).first()
+    rows = tokens.where("tokens is not null")
+    if cut is None:
+        is_eval = F.lit(False)
+    else:
+        # the last document of all stays train
+        taken = min(cut["taken"], cut["n"] - (cut["tokens"] == cut["smallest"]))
+        same = F.col("tokens") == cut["tokens"]
+        if cut["documents"] == 1:
+            is_eval = F.lit(False)
+        elif taken in (0, cut["n"]):
+            is_eval = (F.col("tokens") > cut["tokens"]) | (same & F.lit(taken > 0))
+        else:
+            last = numbered(tokens.where(same).select("doc_id"), [], [F.desc("doc_id")]).where(F.col("place") == taken - 1).first()["doc_id"]
+            is_eval = (F.col("tokens") > cut["tokens"]) | (same & (F.col("doc_id") >= F.lit(last)))
+    return rows.select("doc_id", "tokens", F.when(is_eval, "eval").otherwise("train").alias("split"))
 
 
 def kind_quota(totals: DataFrame, mix: dict[str, float] | None = None) -> DataFrame:
@@ -92,22 +87,27 @@ def chunk_scores(chunks: DataFrame) -> DataFrame:
 def target_plan(scored: DataFrame, per_chunk: int = 1, mix: dict[str, float] | None = None) -> DataFrame:
     """``batch, kind, pick, chunk_id``: the k-th pick of a kind is the chunk of rank ``k mod n`` in its batch.
 
-    Needs ``batch, chunk_id, doc_id, chunk_ord, tokens`` and the kinds' scores.
-    A chunk's rank is the number of chunks in the cells (score, tokens) before
-    its own, a small table, and its place in its cell; so no batch is sorted in
-    one task. Only narrow columns are shuffled.
+    Needs ``batch, chunk_id, doc_id, chunk_ord, tokens`` and the kinds' scores;
+    ids may be of any type that has an order. Chunks are first counted in cells
+    (score, tokens), a small table that tells which cells a kind's quota
+    reaches; only their chunks are put in order, by ranges, so no batch is
+    sorted in one task.
     """
     key = ["batch", "chunk_id", "doc_id", "chunk_ord", "tokens"]
-    long = scored.select(*key, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in PLAN_ORDER])).alias("s")).select(*key, "s.kind", "s.score")
-    cell = ["batch", "kind", "score", "tokens"]
-    cells = long.groupBy(*cell).agg(F.count("*").alias("size"))
-    better = Window.partitionBy("batch", "kind").orderBy(F.desc("score"), F.desc("tokens"))
-    cells = cells.select(*cell, F.coalesce(F.sum("size").over(better.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = placed(long.join(cells, cell), cell, "doc_id", [F.col("doc_id"), F.col("chunk_ord")], "place").withColumn("rank", F.col("before") + F.col("place"))
     sizes = scored.groupBy("batch").agg(F.count("*").alias("n"))
     total = F.greatest(F.lit(1), F.col("n") * per_chunk)
-    quota = sizes.withColumn("total", total).join(kind_quota(sizes.select(total.alias("total")).distinct(), mix), "total").where("quota > 0")
-    picks = quota.select("batch", "kind", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("pick")).withColumn("rank", F.col("pick") % F.col("n"))
+    quota = sizes.withColumn("total", total).join(kind_quota(sizes.select(total.alias("total")).distinct(), mix), "total").where("quota > 0").select("batch", "kind", "n", "quota")
+    quota = staged(quota, "quotas")
+    of_kind = lambda k: F.struct(F.lit(k).alias("kind"), F.col(k).alias("score"), F.col("tokens").alias("tokens"))
+    kinds = F.array(*map(of_kind, PLAN_ORDER))
+    cells = scored.select("batch", F.explode(kinds).alias("c")).groupBy("batch", "c").agg(F.count("*").alias("size")).select("batch", "c.*", "size")
+    better = Window.partitionBy("batch", "kind").orderBy(F.desc("score"), F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("size").over(better), F.lit(0))).join(quota, ["batch", "kind"]).where(F.col("before") < F.least("quota", "n"))
+    least = cells.groupBy("batch", "kind").agg(F.min(F.struct("score", "tokens")).alias("least")).groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("kind", "least"))).alias("least"))
+    reached = F.filter(kinds, lambda c: F.struct(c["score"].alias("score"), c["tokens"].alias("tokens")) >= F.col("least")[c["kind"]])
+    rows = scored.join(least, "batch").select(*key[:-1], F.explode(reached).alias("c")).select(*key[:-1], "c.*")
+    ranked = numbered(rows, ["batch", "kind"], [F.desc("score"), F.desc("tokens"), F.col("doc_id"), F.col("chunk_ord")], "rank")
+    picks = quota.select("batch", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("pick"), "n").withColumn("rank", F.col("pick") % F.col("n"))
     return picks.join(ranked.select("batch", "kind", "rank", "chunk_id"), ["batch", "kind", "rank"]).select("batch", "kind", "pick", "chunk_id")
 
 

@@ -7,12 +7,17 @@ generator, or Spark would work them out for each use.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import headings as H
 from sparkloom.functions import text as T
 from sparkloom.functions.frames import once
+from sparkloom.functions.packing import bounds, greedy_starts, lists
 from sparkloom.sources.tables import LINES_PER_PAGE
 
 # Fixed values.
@@ -87,66 +92,63 @@ def tree(documents: DataFrame) -> DataFrame:
 
     whole = F.array(item(F.lit(-1), 0, False, True))
     docs = once(docs, opens=F.when(F.size("heads") == 0, whole).otherwise(F.flatten(F.transform("heads", opened))))
-    # where text of another node begins, for each node
-    docs = once(docs, owners=F.transform(F.filter("opens", lambda o: o["own"]), lambda o: o["pos"]))
+    ints = lambda name, kind="int": F.transform("opens", lambda o: o[name].cast(kind))
+    docs = once(docs, places=node_places(ints("pos"), ints("level"), ints("implied"), ints("own"), F.size("lines")))
 
-    def node(o: Column, i: Column) -> Column:
-        stop = F.coalesce(F.array_min(F.filter("owners", lambda p: p > o["pos"])), F.size("lines"))
-        part = lambda name: F.slice(name, o["pos"] + 2, F.when(o["own"], stop - o["pos"] - 1).otherwise(0))
+    def node(o: Column, p: Column) -> Column:
+        part = lambda name: F.slice(name, o["pos"] + 2, F.when(o["own"], p["stop"] - o["pos"] - 1).otherwise(0))
         own = F.zip_with(part("lines"), part("levels"), lambda x, level: F.when(level == 0, x))
-        start = _page(F.greatest(o["pos"], F.lit(0)))
         heading = (
             F.when(o["level"] == 0, WHOLE).when(o["implied"], F.when(o["level"] == 1, IMPLIED_CHAPTER).otherwise(IMPLIED_SECTION))
             .otherwise(H.title(F.try_element_at("lines", o["pos"] + 1)))
         )
-        # a node's pages go on while it is the one that text goes to, or its chapter, at a page's end
-        ended = F.when(stop == F.size("lines"), _pages()).otherwise(_page(stop) - 1)
-        # an implied node has no first page of its own until a page ends in it
-        reach = F.when(ended >= start, ended).when(o["implied"], 1).otherwise(start)
         return F.struct(
-            o["level"].alias("level"), heading.alias("heading"), start.alias("page_start"), F.when(o["level"] == 3, start).otherwise(reach).alias("reach"),
+            o["level"].alias("level"), heading.alias("heading"), p["page_start"].alias("page_start"), p["page_end"].alias("page_end"),
             T.squeeze(F.array_join(F.filter(own, lambda x: x.isNotNull()), " ")).alias("text"),
         )
 
-    docs = once(docs.select("doc_id", "source", "lines", "levels", "opens", "owners"), nodes=F.transform("opens", node))
-    docs = once(docs.select("doc_id", "source", "nodes"), spans=_spans())
-    ended = F.zip_with("nodes", "spans", lambda x, last: F.struct(
-        x["level"].alias("level"), x["heading"].alias("heading"), x["page_start"].alias("page_start"), last.alias("page_end"), x["text"].alias("text"), T.word_count(x["text"]).alias("tokens")))
-    return once(docs, nodes_=ended).select("doc_id", "source", F.col("nodes_").alias("nodes"))
-
-
-def _spans() -> Column:
-    """The last page of each node, from its own and its children's: a fold from the last node to the first.
-
-    Nodes come in order, so the children of a chapter or section are those up to the next of its kind.
-    """
-    none = F.lit(None).cast("int")
-    start = F.struct(F.array().cast("array<int>").alias("out"), none.alias("sections"), none.alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        section, chapter = x["level"] == 2, x["level"] <= 1
-        last = F.when(section, F.coalesce(s["parts"], x["reach"])).when(chapter, F.coalesce(s["sections"], x["reach"])).otherwise(x["reach"])
-        return F.struct(
-            F.concat(F.array(last), s["out"]).alias("out"),
-            F.when(chapter, none).when(section, F.greatest(s["sections"], x["reach"])).otherwise(s["sections"]).alias("sections"),
-            F.when(x["level"] == 3, F.greatest(s["parts"], x["reach"])).alias("parts"),
-        )
-
-    return F.aggregate(F.reverse("nodes"), start, step, lambda s: s["out"])
-
-
-def greedy_starts(sizes: Column, opens) -> Column:
-    """Where groups start in an array of sizes (from 0), for ``opens(mass so far, size)``: an unbroken fold over one row's array."""
-    state = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("mass"), F.lit(0).alias("i"))
-
-    def step(s: Column, size: Column) -> Column:
-        new = (s["i"] == 0) | opens(s["mass"], size)
-        return F.struct(
-            F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"),
-            F.when(new, size).otherwise(s["mass"] + size).alias("mass"), (s["i"] + 1).alias("i"),
-        )
-
-    return F.aggregate(sizes, state, step)
+    docs = once(docs.select("doc_id", "source", "lines", "levels", "opens", "places"), nodes=F.zip_with("opens", "places", node))
+    counted = F.transform("nodes", lambda x: F.struct(
+        x["level"].alias("level"), x["heading"].alias("heading"), x["page_start"].alias("page_start"), x["page_end"].alias("page_end"), x["text"].alias("text"), T.word_count(x["text"]).alias("tokens")))
+    return once(docs.select("doc_id", "source", "nodes"), nodes_=counted).select("doc_id", "source", F.col("nodes_").alias("nodes"))
+
+
+def _largest(values: np.ndarray, some: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The largest of some values in each group, -1 where there is none."""
+    out = np.full(groups, -1)
+    np.maximum.at(out, group[some], values[some])
+    return out
+
+
+def _places(pos: pa.Array, level: pa.Array, implied: pa.Array, own: pa.Array, n_lines: pa.Array) -> pa.Array:
+    """Per node: the line where another node's text begins, and its first and last page; see :func:`tree`."""
+    begin = bounds(pos)
+    at, depth, implied_, owns = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (pos, level, implied, own))
+    row, lines = np.repeat(np.arange(len(pos)), np.diff(begin)), n_lines.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(lines.max(initial=0)) + 2
+    # nodes are in order, so the next owner of text is found by binary search
+    key, owners = row * width + at + 1, (row * width + at + 1)[owns > 0]
+    after = np.searchsorted(owners, key, side="right")
+    following = owners[np.minimum(after, max(len(owners) - 1, 0))] if len(owners) else key
+    there = (after < len(owners)) & (following // width == row)
+    stop = np.where(there, following % width - 1, lines[row])
+    start = np.maximum(at, 0) // LINES_PER_PAGE + 1
+    # a node's pages go on while it is the one that text goes to, or its chapter, at a page's end
+    ended = np.where(stop == lines[row], (lines[row] - 1) // LINES_PER_PAGE + 1, stop // LINES_PER_PAGE)
+    # an implied node has no first page of its own until a page ends in it
+    reach = np.where(depth == 3, start, np.where(ended >= start, ended, np.where(implied_ > 0, 1, start)))
+    # the children of a chapter or section are the nodes up to the next of its kind
+    chapter, section = np.cumsum(depth <= 1), np.cumsum(depth <= 2)
+    sections = _largest(reach, depth == 2, chapter, len(at) + 1)[chapter]
+    parts = _largest(reach, depth == 3, section, len(at) + 1)[section]
+    last = np.where((depth <= 1) & (sections >= 0), sections, np.where((depth == 2) & (parts >= 0), parts, reach))
+    found = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (stop, start, last)], names=["stop", "page_start", "page_end"])
+    return lists(found, begin, pos)
+
+
+def node_places(pos: Column, level: Column, implied: Column, own: Column, n_lines: Column) -> Column:
+    """``stop, page_start, page_end`` of each node of :func:`tree`, for whole batches at once."""
+    return F.arrow_udf(_places, "array<struct<stop:int,page_start:int,page_end:int>>")(pos, level, implied, own, n_lines)
 
 
 def _group(items: str, starts: str, make) -> Column:
@@ -169,13 +171,13 @@ def merged_sections(docs: DataFrame, least: int) -> DataFrame:
 
     A last one that is still too short goes to the one before it.
     """
-    docs = once(docs, fold=greedy_starts(F.transform("chapters", lambda c: c["tokens"]), lambda mass, size: mass >= least))
-    trim = (F.col("fold.mass") < least) & (F.size("fold.starts") > 1)
-    docs = once(docs, starts=F.when(trim, F.slice("fold.starts", 1, F.size("fold.starts") - 1)).otherwise(F.col("fold.starts")))
+    docs = once(docs, found=greedy_starts(F.transform("chapters", lambda c: c["tokens"]), least, False))
+    tail = F.aggregate(F.slice("chapters", F.element_at("found", -1) + 1, F.size("chapters")), F.lit(0).cast("long"), lambda n, c: n + c["tokens"])
+    docs = once(docs, starts=F.when((F.size("found") > 1) & (tail < least), F.slice("found", 1, F.size("found") - 1)).otherwise(F.col("found")))
     return once(docs, merged=_group("chapters", "starts", lambda own, k, a, b: F.struct(
         F.array_join(F.transform(own, lambda c: c["heading"]), " / ").alias("heading"), own[0]["page_start"].alias("page_start"), F.element_at(own, -1)["page_end"].alias("page_end"),
         F.array_join(F.transform(own, lambda c: c["text"]), "\n\n").alias("text"), F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["tokens"]).alias("tokens"),
-    ))).drop("fold", "starts")
+    ))).drop("found", "starts")
 
 
 def with_units(rows: DataFrame, most: int) -> DataFrame:
@@ -193,17 +195,17 @@ def with_units(rows: DataFrame, most: int) -> DataFrame:
     return once(rows, units=F.when(F.col("words_").isNull(), F.col("units")).otherwise(windows)).drop("words_")
 
 
-def split_sections(merged: DataFrame, most: int) -> DataFrame:
+def split_sections(merged: DataFrame, most: int, count: Callable[[Column], Column] = T.word_count) -> DataFrame:
     """``doc_id, source, section_ord, part, heading, page_start, page_end, text``: sections of over ``most`` words in parts.
 
     Parts take units while they fit; a unit is never cut. Pages within a
-    section are shared out by unit.
+    section are shared out by unit. ``count`` gives a text's size, words unless
+    it is another measure, such as :func:`sparkloom.operators.chunking.token_counter` makes.
     """
     rows = merged.select("doc_id", "source", F.posexplode("merged").alias("section_ord", "s")).select("doc_id", "source", "section_ord", "s.*")
     rows = with_units(rows, most)
-    rows = once(rows, fold=greedy_starts(F.transform("units", T.word_count), lambda mass, size: mass + size > most))
+    rows = once(rows, starts=greedy_starts(F.transform("units", T.word_count) if count is T.word_count else count(F.col("units")), most, True))
     page = lambda a: F.col("page_start") + F.floor(a * (F.col("page_end") - F.col("page_start")) / F.size("units")).cast("int")
-    rows = once(rows, starts=F.col("fold.starts"))
     return rows.select("doc_id", "source", "section_ord", F.posexplode(_group("units", "starts", lambda own, k, a, b: F.struct(
         F.when(F.size("starts") > 1, F.concat(F.col("heading"), F.lit(" (Parte "), (k + 1).cast("string"), F.lit(")"))).otherwise(F.col("heading")).alias("heading"),
         page(a).alias("page_start"), F.coalesce(page(b), F.col("page_end")).alias("page_end"), F.array_join(own, "\n\n").alias("text"),

@@ -62,10 +62,16 @@ mc AS (SELECT count(DISTINCT doc_id) AS documents, count(*) FILTER (split = 'eva
 mo AS (SELECT CASE WHEN documents = 1 THEN 'single_document' ELSE 'multi_document' END AS mode, {", ".join(f"CASE WHEN documents = 1 THEN {q(R.MODES['single_document'][k])} ELSE {q(R.MODES['multi_document'][k])} END AS {n}" for k, n in enumerate(("label", "note", "aptitude")))},
   documents, documents <> 1 AND has_eval AS clean_eval FROM mc)"""
 _MODE = MODE[len(MANIFEST) + 1:]
-_RUN = f"SELECT run_id, {list(J.PHASES)!r}[1:(run_id % 8)::INT] AS completed, run_id < 16 AS resume, CASE WHEN run_id % 5 = 4 THEN run_id % 8 END AS start FROM (SELECT unnest(range(0, 24)) AS run_id)"
+_RUN = f"SELECT run_id, {list(J.PHASES)!r}[1:(run_id % 8)::INT] AS completed, run_id % 24 < 16 AS resume, CASE WHEN run_id % 5 = 4 THEN run_id % 8 END AS start FROM (SELECT event_id AS run_id FROM events)"
 _LANGS = list(T.FUNCTION_WORDS)
 _HITS = ", ".join(f"len(list_filter(ws, lambda x: list_contains({list(T.FUNCTION_WORDS[k])!r}, x)))" for k in _LANGS)
 
+_EDGES = rf"""rn AS (SELECT doc_id, source, unnest(l) AS raw, unnest(range(0, len(l))) AS line_no FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+fl AS (SELECT *, {strip('raw')} AS t, line_no // 5 AS page FROM rn WHERE {strip('raw')} <> ''),
+fe AS (SELECT *, line_no = min(line_no) OVER (PARTITION BY doc_id, page) AS is_head, line_no = max(line_no) OVER (PARTITION BY doc_id, page) AS is_foot FROM fl),
+ed AS (SELECT doc_id, source, line_no, edge, regexp_replace(t, '[0-9]+', '#', 'g') AS line FROM (SELECT *, 'head' AS edge FROM fe WHERE is_head UNION ALL SELECT *, 'foot' AS edge FROM fe WHERE is_foot)),
+ru AS (SELECT *, sum(n) OVER (PARTITION BY source, edge)::BIGINT AS pages FROM (SELECT source, edge, line, count(*) AS n FROM ed GROUP BY ALL))"""
+
 SQL = sql.SQL | semantic_sql.SQL | {
     "lexical_neighbors": f"WITH {LEXICAL} SELECT chunk_id, concat_ws(',', lag(chunk_id) OVER o, lead(chunk_id) OVER o, extra) AS neighbors FROM lx LEFT JOIN le USING (chunk_id) WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_ord)",
     "page_batches": f"WITH RECURSIVE {BATCHES} SELECT split, doc_id, chunk_id, batch_no::BIGINT AS batch_no FROM bf",
@@ -98,7 +104,7 @@ SELECT doc_id, CASE WHEN wd > 0 AND ht > 0 THEN 85 + 170 * ceil(wd / 512) * ceil
     "batched_plan": f"""WITH RECURSIVE {BATCHES}, {SCORED[len(CHUNKS) + 1:]}, sb AS (SELECT sx.* EXCLUDE (batch), split || '-' || batch_no AS batch FROM sx JOIN bf USING (chunk_id)), bn AS (SELECT batch, count(*) AS n FROM sb GROUP BY batch), {sql.quota('SELECT DISTINCT n AS total FROM bn')},
 lo AS (UNPIVOT sb ON extractive, inferential, unanswerable, multi_chunk, format_specific INTO NAME kind VALUE score), rk AS (SELECT batch, kind, chunk_id, row_number() OVER (PARTITION BY batch, kind ORDER BY score DESC, tokens DESC, doc_id, chunk_ord) - 1 AS rank FROM lo),
 pk AS (SELECT batch, kind, n, unnest(range(0, quota)) AS pick FROM bn JOIN qu ON total = n) SELECT batch, kind, pick, chunk_id FROM pk JOIN rk USING (batch, kind) WHERE rank = pick % n""",
-    "kind_cycle": "SELECT i AS \"index\", CASE WHEN i % 100 < 35 THEN 'extractive' WHEN i % 100 < 60 THEN 'inferential' WHEN i % 100 < 80 THEN 'unanswerable' WHEN i % 100 < 95 THEN 'multi_chunk' ELSE 'format_specific' END AS kind FROM (SELECT unnest(range(0, 250)) AS i)",
+    "kind_cycle": "SELECT i AS \"index\", CASE WHEN i % 100 < 35 THEN 'extractive' WHEN i % 100 < 60 THEN 'inferential' WHEN i % 100 < 80 THEN 'unanswerable' WHEN i % 100 < 95 THEN 'multi_chunk' ELSE 'format_specific' END AS kind FROM (SELECT event_id AS i FROM events)",
     "selected_chunks": f"WITH {MANIFEST}, {CHUNKS} SELECT chunk_id FROM ch JOIN ma USING (doc_id) WHERE split = 'train' AND doc_id % 3 <> 0 AND chunk_ord % 2 = 0",
     "ocr_pages": f"""WITH {PAGED}, oc AS (SELECT doc_id, page_no, page_text AS t, (doc_id + page_no) % 2 = 0 AS scanned FROM pg WHERE page_text IS NOT NULL), ow AS (SELECT *, {sq("CASE WHEN scanned THEN substr(t, 1, 30) ELSE t END")} AS own, CASE WHEN scanned THEN substr(t, 1, 30) ELSE t END AS raw FROM oc),
 ou AS (SELECT *, scanned AND length(own) < 80 AND length(t) > length(own) AS used FROM ow), ov AS (SELECT *, CASE WHEN used THEN t ELSE own END AS page_text, page_no % 3 = 0 OR {any_of('raw', T.FORMULA_MARKERS)} AS visual FROM ou)
@@ -113,7 +119,11 @@ SELECT example_ord, round(coalesce(lw.score, jr.score), 6)::DOUBLE AS overall, C
     "examples_of_jobs": f"WITH {CURATED}, jl AS (SELECT DISTINCT job_id FROM ei ORDER BY substr(job_id, 5)::BIGINT DESC LIMIT 3), jx AS (SELECT example_ord, example_id, job_id, count(*) OVER () AS total FROM cu WHERE reason IS NULL AND job_id IN (FROM jl)) SELECT * FROM jx ORDER BY example_ord LIMIT 40 OFFSET 5",
     "examples_sorted": f"WITH {CURATED} SELECT example_ord, coalesce(overall, 0.0)::DOUBLE AS overall FROM cu ORDER BY coalesce(cu.overall, 0) DESC, example_ord LIMIT 50",
     "selected_rows": f"WITH {CURATED}, sl AS (SELECT DISTINCT job_id, example_id, split FROM cu WHERE doc_id % 6 = 0) SELECT job_id, split, example_id, source_doc, sha1(question) AS question, sha1(answer) AS answer, has_evidence::BIGINT AS evidence, question_type, CASE WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'hard' END AS difficulty, is_answerable, overall, reason IS NULL AS accepted, reason FROM cu SEMI JOIN sl USING (job_id, example_id, split)",
-    "job_metrics": f"WITH {CURATED} SELECT job_id, split, question_type, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected, min(overall) FILTER (reason IS NULL) AS least_overall, max(overall) FILTER (reason IS NULL) AS most_overall FROM cu GROUP BY ALL",
+    "job_metrics": f"""WITH {CURATED}, jr AS (SELECT *, CASE WHEN overall IS NOT NULL THEN 50 + doc_id * 7 % 51 END AS rel FROM cu), jm AS (SELECT job_id, split, question_type, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM jr GROUP BY ALL),
+jv AS (SELECT job_id, split, question_type, name, v, count(*) AS n FROM (SELECT job_id, split, question_type, unnest(['relevance', 'groundedness', 'overall']) AS name, unnest([rel, round(groundedness * 100)::BIGINT, round(overall * 100)::BIGINT]) AS v FROM jr WHERE reason IS NULL) WHERE v IS NOT NULL GROUP BY ALL),
+jg AS (SELECT job_id, split, question_type, name, string_agg(v || 'x' || n, ',' ORDER BY v) AS t FROM jv GROUP BY ALL),
+jp AS (SELECT job_id, split, question_type, max(t) FILTER (name = 'relevance') AS relevance, max(t) FILTER (name = 'groundedness') AS groundedness, max(t) FILTER (name = 'overall') AS overall FROM jg GROUP BY ALL)
+SELECT jm.*, coalesce(relevance, '') AS relevance, coalesce(groundedness, '') AS groundedness, coalesce(overall, '') AS overall FROM jm LEFT JOIN jp USING (job_id, split, question_type)""",
     "job_stats": f"WITH {CURATED} SELECT job_id, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM cu GROUP BY ALL",
     "curation_totals": f"WITH {CURATED}, rc AS (SELECT split, reason, count(*) AS n FROM cu GROUP BY ALL) SELECT split, sum(n)::BIGINT AS total_input, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS accepted, coalesce(sum(n) FILTER (reason IS NOT NULL), 0)::BIGINT AS rejected, coalesce(string_agg(reason || '=' || n, ',' ORDER BY reason || '=' || n) FILTER (reason IS NOT NULL), '') AS rejected_by_reason FROM rc GROUP BY split",
     "editor_find": f"WITH {CURATED} SELECT example_id, split, CASE WHEN bool_or(reason IS NULL) THEN 'accepted' ELSE 'rejected' END AS bucket FROM cu WHERE example_id IN (SELECT example_id FROM cu WHERE doc_id % 5 = 0) GROUP BY ALL UNION ALL SELECT 'nowhere', NULL, NULL",
@@ -126,9 +136,9 @@ ns AS (SELECT family, k, ord, stem AS name, [stem] AS used FROM nk WHERE k = 1 U
 SELECT ord, name || '.pdf' AS name FROM ns""",
     "job_list": f"WITH {EVENTS} SELECT job_id, min(event_id) AS first_event, arg_max(status, event_id) AS status FROM ev GROUP BY job_id ORDER BY first_event DESC LIMIT 20",
     "job_stats_kept": f"WITH {EVENTS} SELECT job_id, (max(event_id) FILTER (event_id % 3 = 0))::VARCHAR AS stats FROM ev GROUP BY job_id",
-    "job_progress": """WITH jb AS (SELECT CASE WHEN i % 2 = 0 THEN 'train' ELSE 'eval' END AS split, i // 2 AS batch, i % 7 + 1 AS pages, (i % 5) * 1.5::DOUBLE AS seconds FROM (SELECT unnest(range(1, 41)) AS i)),
-jc AS (SELECT split, batch, count(*) OVER (PARTITION BY split) AS total, count(*) OVER o AS done, sum(pages) OVER o AS pages, sum(seconds) OVER o AS s FROM jb WINDOW o AS (PARTITION BY split ORDER BY batch ROWS UNBOUNDED PRECEDING))
-SELECT split, batch, total AS total_batches, pages::BIGINT AS pages_processed, round_even(s / done * (total - done), 2)::DOUBLE AS eta_seconds, round(CASE split WHEN 'train' THEN 0.32 + (0.62 - 0.32) * batch / total ELSE 0.74 + (0.86 - 0.74) * batch / total END, 6)::DOUBLE AS percent FROM jc""",
+    "job_progress": """WITH jb AS (SELECT i // 64 AS job_id, CASE WHEN i % 2 = 0 THEN 'train' ELSE 'eval' END AS split, i % 64 // 2 AS batch, pages, (i % 5) * 1.5::DOUBLE AS seconds FROM (SELECT conv_id AS i, count(*) AS pages FROM conversations GROUP BY conv_id)),
+jc AS (SELECT job_id, split, batch, count(*) OVER (PARTITION BY job_id, split) AS total, count(*) OVER o AS done, sum(pages) OVER o AS pages, sum(seconds) OVER o AS s FROM jb WINDOW o AS (PARTITION BY job_id, split ORDER BY batch ROWS UNBOUNDED PRECEDING))
+SELECT job_id, split, batch, total AS total_batches, pages::BIGINT AS pages_processed, round_even(s / done * (total - done), 2)::DOUBLE AS eta_seconds, round(CASE split WHEN 'train' THEN 0.32 + (0.62 - 0.32) * batch / total ELSE 0.74 + (0.86 - 0.74) * batch / total END, 6)::DOUBLE AS percent FROM jc""",
     "structured_calls": """WITH RECURSIVE cr AS (SELECT 'call-' || event_id % 97 AS name, row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) AS k, ['retryable', 'ok', 'malformed', 'retryable', 'permanent', 'retryable', 'malformed'][((event_id * event_id + event_id // 97) % 7 + 1)::INT] AS c, event_id % 3 = 0 AS f, CASE WHEN event_id % 11 = 0 THEN 2.5::DOUBLE END AS ra FROM events),
 cs AS (SELECT name, 0::BIGINT AS k, 'open' AS outcome, 0::BIGINT AS calls, 0::DOUBLE AS waited, TRUE AS strict FROM cr WHERE k = 1 UNION ALL
   SELECT name, k, CASE WHEN c = 'ok' THEN 'ok' WHEN fmt AND calls < 6 THEN 'open' WHEN again AND calls < 6 THEN 'open' WHEN again THEN 'exhausted' ELSE 'permanent' END, calls, CASE WHEN again AND calls < 6 THEN waited + coalesce(ra, least(0.25 * pow(2, calls - 1), 30)) ELSE waited END, strict AND NOT fmt
@@ -142,7 +152,13 @@ bs AS (SELECT name, 0::BIGINT AS k, 0::BIGINT AS seq, 'closed' AS state, []::BOO
         SELECT *, CASE WHEN state = 'open' AND NOT refuse THEN 'half_open' ELSE state END AS s1 FROM (
           SELECT bc.name, bc.k, bc.seq, sec, failed, state, recent, opened, good, state = 'open' AND sec - opened < 30 AS refuse FROM bs JOIN bc ON bc.name = bs.name AND bc.k = bs.k + 1)))))
 SELECT name, seq, state, refused FROM bs WHERE k > 0""",
-    "shown_values": """WITH sv AS (SELECT i AS n, (i * i / 20.0)::DOUBLE AS s FROM (SELECT unnest(range(0, 3000, 7)) AS i)), st AS (SELECT *, floor(s + 0.5)::BIGINT AS t, floor(n / 3000.0 * 100 + 0.5)::BIGINT AS pc FROM sv), sm AS (SELECT *, floor(t / 60 + 0.5)::BIGINT AS mi FROM st), sh AS (SELECT *, floor(mi / 60 + 0.5)::BIGINT AS ho FROM sm)
-SELECT n, CASE WHEN s <= 0 THEN '—' WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t % 3600 // 60) || 'm' WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS eta, pc || '%' AS percent,
+    "shown_values": """WITH sv AS (SELECT doc_id, i AS n, (i * i / 20.0)::DOUBLE AS s FROM (SELECT doc_id, n_chars AS i FROM documents WHERE n_chars IS NOT NULL)), st AS (SELECT *, floor(s + 0.5)::BIGINT AS t, floor(n / 3000.0 * 100 + 0.5)::BIGINT AS pc FROM sv), sm AS (SELECT *, floor(t / 60 + 0.5)::BIGINT AS mi FROM st), sh AS (SELECT *, floor(mi / 60 + 0.5)::BIGINT AS ho FROM sm)
+SELECT doc_id, n, CASE WHEN s <= 0 THEN '—' WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t % 3600 // 60) || 'm' WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS eta, pc || '%' AS percent,
   CASE WHEN t < 60 THEN 'hace instantes' WHEN mi < 60 THEN 'hace ' || mi || ' min' WHEN ho < 24 THEN 'hace ' || ho || ' h' ELSE 'hace ' || floor(ho / 24 + 0.5)::BIGINT || ' d' END AS ago FROM sh""",
+    "trigram_search": sql.SQL["examples_search"],
+    "running_lines": f"WITH {_EDGES} SELECT source, edge, line, n, pages FROM ru WHERE n >= greatest(3, 0.02::DOUBLE * pages)",
+    "pages_without_running_lines": rf"""WITH {_EDGES}, rl AS (SELECT source, edge, line FROM ru WHERE n >= greatest(3, 0.02::DOUBLE * pages)),
+gone AS (SELECT DISTINCT e.doc_id, e.line_no FROM ed e JOIN rl ON rl.source IS NOT DISTINCT FROM e.source AND rl.edge = e.edge AND rl.line = e.line),
+kept AS (SELECT rn.doc_id, string_agg(CASE WHEN gone.doc_id IS NULL THEN raw ELSE '' END, chr(10) ORDER BY rn.line_no) AS text FROM rn LEFT JOIN gone ON gone.doc_id = rn.doc_id AND gone.line_no = rn.line_no GROUP BY rn.doc_id)
+SELECT doc_id, sha1(kept.text) AS text_hash FROM kept JOIN documents USING (doc_id) WHERE kept.text <> documents.text""",
 }

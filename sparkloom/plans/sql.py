@@ -67,14 +67,14 @@ SQL = {
     "doc_token_counts": f"WITH {TOKENS} SELECT * FROM tok",
     "doc_ids": "SELECT doc_id, 'doc-' || doc_id || '-' || substr(sha1('/corpus/' || source || '/Doc ' || doc_id || '.pdf'), 1, 10) AS document FROM documents",
     "page_assets": f"WITH {PAGED} SELECT doc_id, page_no, length(page_text)::BIGINT AS text_chars, {any_of('page_text', T.FORMULA_MARKERS)} AS visual, {any_of('page_text', T.FORMULA_MARKERS)} OR length(page_text) < 80 AS requires_multimodal FROM pg",
-    "parser_guard": f"WITH {PAGED} SELECT doc_id, page_count, CASE WHEN page_count > 3 THEN 'max_pages' WHEN 4096 - doc_id % 3000 < 3072 THEN 'max_ram_mb' END AS skip_reason FROM np",
+    "parser_guard": f"WITH {PAGED} SELECT doc_id, page_count, CASE WHEN page_count > 3 THEN 'docling_max_pages' WHEN 4096 - doc_id % 3000 < 3072 THEN 'docling_max_ram_mb' END AS skip_reason FROM np",
     "heading_lines": rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents), t AS (SELECT doc_id, line_no, regexp_replace(raw, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS h FROM l) SELECT doc_id, line_no, h AS heading FROM t WHERE h <> '' AND len({w('h')}) <= 8 AND ({TITLE} OR {UPPER} OR h LIKE '#%')",
     "word_window_chunks": f"WITH t AS (SELECT doc_id, {w('text')} AS ws FROM documents), c AS (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) <= 128 THEN 1 ELSE 1 + ceil((len(ws) - 128) / 112.0)::BIGINT END)) AS k FROM t WHERE len(ws) > 0) SELECT doc_id, k AS chunk_ord, len(list_slice(ws, k * 112 + 1, k * 112 + 128))::BIGINT AS n_words, sha1(array_to_string(list_slice(ws, k * 112 + 1, k * 112 + 128), ' ')) AS text_hash FROM c",
     "page_limit_chunks": f"WITH {CHUNKS} SELECT doc_id, chunk_id, chunk_ord, page_start, page_end, sha1(text) AS text_hash FROM ch",
     "chunk_coverage": f"WITH {CHUNKS}, cc AS (SELECT doc_id, count(*) AS chunk_count, sum(page_end - page_start + 1)::BIGINT AS pages_covered FROM ch GROUP BY doc_id) SELECT doc_id, page_count, coalesce(pages_covered, 0) AS pages_covered, round_even(coalesce(pages_covered, 0) / page_count, 4)::DOUBLE AS coverage_ratio, coalesce(chunk_count, 0) AS chunk_count, CASE WHEN page_count <= 1 THEN 1 ELSE greatest(2, ceil(page_count / 20.0)) END::BIGINT AS expected_min_chunks FROM np LEFT JOIN cc USING (doc_id)",
     "chunk_neighbors": f"WITH {CHUNKS} SELECT chunk_id, coalesce(concat_ws(',', lag(chunk_id) OVER o, lead(chunk_id) OVER o), '') AS neighbors FROM ch WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_ord)",
     "split_manifest": f"WITH {MANIFEST} SELECT * FROM ma",
-    "kind_quota": f"WITH {quota('SELECT unnest(range(0, 201)) AS total')} SELECT * FROM qu",
+    "kind_quota": f"WITH {TOKENS}, {quota('SELECT DISTINCT tokens AS total FROM tok WHERE tokens IS NOT NULL')} SELECT * FROM qu",
     "chunk_scores": f"WITH {SCORED} SELECT chunk_id, tokens, multi_chunk, inferential, unanswerable, format_specific, extractive FROM sx",
     "target_plan": f"WITH {SCORED}, bn AS (SELECT batch, count(*) AS n FROM sx GROUP BY batch), {quota('SELECT DISTINCT n AS total FROM bn')}, lo AS (UNPIVOT sx ON extractive, inferential, unanswerable, multi_chunk, format_specific INTO NAME kind VALUE score), rk AS (SELECT batch, kind, chunk_id, row_number() OVER (PARTITION BY batch, kind ORDER BY score DESC, tokens DESC, doc_id, chunk_ord) - 1 AS rank FROM lo), pk AS (SELECT batch, kind, n, unnest(range(0, quota)) AS pick FROM bn JOIN qu ON total = n) SELECT batch, kind, pick, chunk_id FROM pk JOIN rk USING (batch, kind) WHERE rank = pick % n",
     "pending_targets": f"WITH {EXAMPLES}, d AS (SELECT c1, CASE WHEN doc_id % 8 = 0 THEN requested_kind ELSE kind END AS requested_kind, count(*) AS done FROM ex WHERE doc_id % 4 = 0 AND example_ord % 2 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c1, requested_kind ORDER BY example_ord) AS nth FROM ex) SELECT example_ord AS ord, c1 AS chunk_id, requested_kind AS kind FROM r LEFT JOIN d USING (c1, requested_kind) WHERE nth > coalesce(done, 0)",
@@ -101,6 +101,6 @@ SELECT example_ord, CASE WHEN reason IS NULL AND example_ord = last THEN 'manual
     "job_latest_state": f"WITH {EVENTS} SELECT job_id, max(event_id) AS event_id, arg_max(status, event_id) AS status, arg_max(percent, event_id) AS percent, arg_max(message, event_id) AS message, count(*) AS n_events FROM ev GROUP BY job_id",
     "active_job": f"WITH {EVENTS}, f AS (SELECT job_id, min(event_id) AS first_event, arg_max(status, event_id) AS status FROM ev GROUP BY job_id) SELECT * FROM f WHERE status IN ('queued', 'running', 'pausing', 'paused', 'resuming') ORDER BY first_event LIMIT 1",
     "event_tail": f"WITH {EVENTS} SELECT event_id, job_id, status FROM ev WHERE event_id > 500",
-    "retry_backoff": "SELECT i AS attempt, CASE WHEN i % 5 = 0 THEN 7.0 ELSE least(0.25 * pow(2, i - 1), 30) END::DOUBLE AS wait_s FROM (SELECT unnest(range(1, 13)) AS i)",
+    "retry_backoff": "SELECT i AS attempt, CASE WHEN i % 5 = 0 THEN 7.0 ELSE least(0.25 * pow(2, i - 1), 30) END::DOUBLE AS wait_s FROM (SELECT event_id % 12 + 1 AS i FROM events)",
     "breaker_failure_rate": f"WITH {EVENTS}, o AS (SELECT *, (status = 'failed')::INT AS failed FROM ev WHERE status IN ('completed', 'failed')) SELECT event_id, job_id, round_even(avg(failed) OVER r, 3)::DOUBLE AS failure_rate, count(*) OVER r >= 5 AND avg(failed) OVER r >= 0.5 AS tripped FROM o WINDOW r AS (PARTITION BY job_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
 }

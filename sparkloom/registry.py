@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +11,10 @@ from pyspark.sql.window import Window
 from sparkloom.functions import headings, maths
 from sparkloom.functions import text as T
 from sparkloom.functions.frames import long_columns as _long
-from sparkloom.operators import chunking, curation, dashboard, generation, ingest, jobs, planning, reporting, semantic
+from sparkloom.operators import chunking, curation, dashboard, editlog, generation, ingest, jobs, language, markup, planning, reporting, running, search, semantic
 from sparkloom.plans.build_sql import SQL  # noqa: F401
 from sparkloom.sources import files, tables
-from sparkloom.sources.staging import staged
+from sparkloom.sources.staging import shared_dir, staged
 from sparkloom.sources.tables import table
 
 
@@ -135,7 +137,8 @@ def split_manifest(spark, d):
 
 
 def kind_quota(spark, d):
-    return planning.kind_quota(spark.range(0, 201).withColumnRenamed("id", "total"))
+    """Quotas for as many targets as a document has words."""
+    return planning.kind_quota(_tokens(spark, d).select(F.col("tokens").alias("total")).where("total is not null").distinct())
 
 
 def _scored(chunks):
@@ -167,7 +170,7 @@ def batched_plan(spark, d):
 
 
 def kind_cycle(spark, d):
-    return planning.kind_cycle(spark.range(0, 250).withColumnRenamed("id", "index"))
+    return planning.kind_cycle(table(spark, d, "events").select(F.col("event_id").alias("index")))
 
 
 def selected_chunks(spark, d):
@@ -272,8 +275,10 @@ def selected_rows(spark, d):
 
 
 def job_metrics(spark, d):
-    rows = dashboard.job_metrics(_curated(spark, d))
-    return rows.select("job_id", "split", "question_type", "accepted", "rejected", F.get("overall_figures", F.lit(0)).alias("least_overall"), F.get("overall_figures", F.lit(4)).alias("most_overall"))
+    relevance = F.when(F.col("overall").isNotNull(), (50 + F.col("doc_id") * 7 % 51) / F.lit(100.0))
+    rows = dashboard.job_metrics(_curated(spark, d).withColumn("relevance", relevance))
+    shown = lambda s: F.array_join(F.transform(f"{s}_counts", lambda c: F.concat(F.round(c["value"] * 100).cast("long").cast("string"), F.lit("x"), c["n"].cast("string"))), ",").alias(s)
+    return rows.select("job_id", "split", "question_type", "accepted", "rejected", *map(shown, ("relevance", "groundedness", "overall")))
 
 
 def job_stats(spark, d):
@@ -347,8 +352,11 @@ def job_stats_kept(spark, d):
 
 
 def job_progress(spark, d):
-    batches = spark.range(1, 41).select(F.when(F.col("id") % 2 == 0, "train").otherwise("eval").alias("split"), F.floor(F.col("id") / 2).alias("batch"), (F.col("id") % 7 + 1).alias("pages"), (F.col("id") % 5 * 1.5).cast("double").alias("seconds"))
-    rows = jobs.progress(batches)
+    """Conversations stand for batches, their turns for pages; 64 are a job."""
+    k = F.col("conv_id")
+    batches = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("pages")).select(
+        F.floor(k / 64).alias("job_id"), F.when(k % 2 == 0, "train").otherwise("eval").alias("split"), F.floor(k % 64 / 2).alias("batch"), "pages", (k % 5 * 1.5).cast("double").alias("seconds"))
+    rows = jobs.progress(batches, "job_id", "split")
     return rows.withColumn("percent", F.round(jobs.milestone(F.concat(F.lit("generate_"), "split"), F.col("batch"), F.col("total_batches")), 6))
 
 
@@ -360,9 +368,9 @@ def structured_calls(spark, d):
 
 
 def shown_values(spark, d):
-    n = spark.range(0, 3000, 7)
-    seconds = (F.col("id") * F.col("id") / 20.0).cast("double")
-    return n.select(F.col("id").alias("n"), T.eta(seconds).alias("eta"), T.percent(F.col("id") / 3000.0).alias("percent"), T.relative(seconds).alias("ago"))
+    n = F.col("n_chars")
+    seconds = (n * n / 20.0).cast("double")
+    return _docs(spark, d).where("n_chars is not null").select("doc_id", n.alias("n"), T.eta(seconds).alias("eta"), T.percent(n / 3000.0).alias("percent"), T.relative(seconds).alias("ago"))
 
 
 def active_job(spark, d):
@@ -375,7 +383,8 @@ def event_tail(spark, d):
 
 
 def retry_backoff(spark, d):
-    return jobs.backoff(spark.range(1, 13).select(F.col("id").alias("attempt"), F.when(F.col("id") % 5 == 0, F.lit(7)).alias("retry_after")))
+    attempt = F.col("event_id") % 12 + 1
+    return jobs.backoff(table(spark, d, "events").select(attempt.alias("attempt"), F.when(attempt % 5 == 0, F.lit(7)).alias("retry_after")))
 
 
 def breaker_failure_rate(spark, d):
@@ -498,9 +507,10 @@ def breaker_states(spark, d):
 
 
 def phase_plan(spark, d):
-    k = F.col("id")
+    """Events stand for runs that got so far, are resumed or not, or start at a phase."""
+    k = F.col("event_id")
     names = F.array(*map(F.lit, jobs.PHASES))
-    runs = spark.range(0, 24).select(k.alias("run_id"), F.slice(names, 1, (k % 8).cast("int")).alias("completed"), (k < 16).alias("resume"), F.when(k % 5 == 4, F.element_at(names, (k % 8 + 1).cast("int"))).alias("from_phase"))
+    runs = table(spark, d, "events").select(k.alias("run_id"), F.slice(names, 1, (k % 8).cast("int")).alias("completed"), (k % 24 < 16).alias("resume"), F.when(k % 5 == 4, F.element_at(names, (k % 8 + 1).cast("int"))).alias("from_phase"))
     return jobs.phase_plan(runs)
 
 
@@ -509,6 +519,90 @@ def text_measures(spark, d):
     return _docs(spark, d).select("doc_id", T.image_tokens(w, h).alias("image_tokens"), T.language_name(F.col("lang")).alias("language"), T.truncated(F.col("text"), 40).alias("shown"), F.size(T.token_set(F.col("text"))).cast("long").alias("n_distinct"), T.language(F.col("text"), "en").alias("detected"))
 
 
+def running_lines(spark, d):
+    return running.running_lines(_docs(spark, d))
+
+
+def pages_without_running_lines(spark, d):
+    """The documents that lose a running header or footer, by digest."""
+    docs = _docs(spark, d)
+    found = staged(running.running_lines(docs), "running-lines")
+    rows = running.without_running_lines(docs.withColumn("before", F.sha1("text")), found)
+    return rows.where(F.sha1("text") != F.col("before")).select("doc_id", F.sha1("text").alias("text_hash"))
+
+
+def language_confusion(spark, d):
+    """Languages by learned profiles against those given, on the documents that were not learned from."""
+    docs = _docs(spark, d)
+    return language.confusion(language.detected(docs, language.learned(docs)))
+
+
+def token_window_chunks(spark, d):
+    rows = chunking.token_windows(_docs(spark, d), chunking.PieceTokens, 128, 16)
+    return rows.select("doc_id", "chunk_ord", "n_words", "n_tokens", F.sha1("text").alias("text_hash"))
+
+
+def trigram_search(spark, d):
+    """What ``examples_search`` finds, by an index of trigrams."""
+    rows = staged(_curated(spark, d), "searched")
+    texts = ["question", "answer", "source_doc"]
+    path = search.write_index(rows, "example_ord", texts, shared_dir(spark))
+    return search.search(rows, "example_ord", texts, path, "OC-1").select("example_ord", "question_type")
+
+
+def edit_log(spark, d):
+    """Examples after three logged edits."""
+    log = editlog.EditLog(spark, f"{shared_dir(spark)}/sparkloom-edits-{uuid.uuid4().hex}")
+    c = staged(_curated(spark, d), "edited")
+    log.begin(c)
+    log.append(c.where("doc_id % 5 = 0").select("example_id"), "accept")
+    log.append(c.where("doc_id % 3 = 0").select("example_id"), "reject")
+    log.append(c.where("doc_id % 4 = 1").select("example_id"), "delete")
+    return log.folded().select("example_ord", "reason")
+
+
+def _page_blocks(spark, d):
+    pages = table(spark, d, "pages").select((F.concat(markup.host(F.col("url")), F.lit("/"), F.col("page_id").cast("string"))).alias("page"), F.col("url"), "html")
+    return markup.page_blocks(pages, "page")
+
+
+def page_blocks(spark, d):
+    """The blocks of all web pages, by names that are strings."""
+    rows = _page_blocks(spark, d).select("page", F.posexplode("blocks").alias("block_ord", "b"))
+    return _long(rows.select("page", "block_ord", "b.kind", "b.level", F.sha1("b.text").alias("text_hash"), F.size(F.coalesce("b.cells", F.array().cast("array<string>"))).alias("n_cells"), "b.chars", "b.link_chars", "b.depth"), "block_ord", "level", "n_cells", "chars", "link_chars", "depth")
+
+
+def _web_documents(spark, d):
+    """Web pages as documents with string ids, their hosts as sources."""
+    blocks = staged(_page_blocks(spark, d), "blocks")
+    return staged(markup.markup_documents(blocks, "page", markup.host(F.col("url"))), "web-documents")
+
+
+def web_sections(spark, d):
+    return semantic.sections(_web_documents(spark, d)).withColumn("text_hash", F.sha1("text")).drop("text")
+
+
+def _web_chunks(spark, d):
+    docs = _web_documents(spark, d)
+    ready = staged(ingest.ingested(docs, tables.paged_documents(docs)), "web-ingested")
+    return docs, staged(chunking.document_chunks(ready, 256, 32, max_pages=4, density=2), "web-chunks")
+
+
+def web_chunks(spark, d):
+    rows = _web_chunks(spark, d)[1]
+    return rows.select("doc_id", "chunk_id", "chunk_ord", "heading", "page_start", "page_end", "n_words", F.sha1("text").alias("text_hash"), "coverage_ratio", "low_coverage")
+
+
+def web_plan(spark, d):
+    """From web pages to targets on string ids: blocks, documents, chunks, split, page batches, and a plan for each batch."""
+    docs, chunks = _web_chunks(spark, d)
+    split = planning.split_manifest(staged(docs.select("doc_id", T.token_count(F.col("text")).alias("tokens")), "web-tokens"))
+    batches = chunking.page_batches(chunks.join(split.select("doc_id", "split"), "doc_id"), 50)
+    scored = _scored(chunks.select("doc_id", F.lit("").alias("source"), "chunk_id", "chunk_ord", "text")).drop("batch")
+    named = scored.join(batches.select("chunk_id", F.concat_ws("-", "split", "batch_no").alias("batch")), "chunk_id")
+    return planning.target_plan(staged(named, "web-scored"))
+
+
 QUERIES = {f.__name__: f for f in (
     normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, ocr_pages, page_formulas, heading_lines,
     math_marks, heading_levels, document_sections, section_tree, merged_sections, semantic_chunks, word_window_chunks, page_limit_chunks,
@@ -520,5 +614,6 @@ QUERIES = {f.__name__: f for f in (
     job_progress, structured_calls, shown_values, active_job, event_tail, retry_backoff, breaker_failure_rate, lexical_neighbors,
     page_batches, coverage_fallback, dense_windows, chunk_summaries, generation_prompts, generated_examples, judged_examples, image_parts,
     judge_scores, score_reuse, dataset_mode, export_guard, review_fill, report_lines, editor_patch, editor_delete,
-    call_errors, breaker_states, phase_plan, text_measures,
+    call_errors, breaker_states, phase_plan, text_measures, page_blocks, web_sections, web_chunks, web_plan, running_lines, pages_without_running_lines,
+    language_confusion, token_window_chunks, trigram_search, edit_log,
 )}

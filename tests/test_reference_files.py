@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import config
 from sparkloom.functions import text as T
-from sparkloom.operators import chunking, curation, dashboard, generation, ingest, jobs, planning, reporting
+from sparkloom.operators import chunking, curation, dashboard, generation, ingest, jobs, planning, ranking, reporting
 from sparkloom.sources import files
 from sparkloom.streaming import events
 
@@ -90,18 +90,38 @@ def test_export(spark, tmp_path):
 
 
 def test_settings(spark, tmp_path):
-    c = config.from_dict({"fireworks": {"model": "m"}, "generation": {"resource_profile": "throughput", "judge_workers": 9}})
-    assert c.providers == {"active": "fireworks", "profiles": {"fireworks": {"model": "m"}}} and c.generation.workers() == (6, 9)
-    strict = config.with_quality(config.with_quality(c, overall=0.1), "strict", groundedness=0.5)
-    assert strict.filters.thresholds() == (0.5, 0.85) and c.filters.thresholds() == (0.7, 0.7)
+    plain = config.resolved()
+    assert plain["providers"]["active"] == "fireworks" and {"fireworks", "openai", "zai", "groq", "openrouter", "xai"} == set(plain["providers"]["profiles"])
+    assert plain["generation"]["page_batch_size"] == 100 and plain["generation"]["batch_pause_seconds"] == 2.0 and config.workers(plain) == (2, 1)
+    assert plain["chunking"]["max_pages_per_chunk"] == 25 and plain["parsing"]["docling_max_pages"] == 100 and plain["parsing"]["docling_max_ram_mb"] == 3072 and plain["export"]["allow_partial_export"] is False
+    old = config.resolved({
+        "fireworks": {"api_key_env": "KEY", "base_url": "u", "model": "m", "max_tokens": 111, "temperature": 0.3, "concurrency": 2},
+        "parsing": {"primary_parser": "pymupdf", "docling_max_pages": None}, "chunking": {"strategy": "headings_first", "target_tokens": 256, "overlap": 32},
+        "generation": {"prompt_version": "v1", "backend": "sync_pool", "retries": 3, "mix": {"extractive": 1.0}, "refusal_text": "nope", "max_generation_attempts_per_target": 2},
+        "filters": {"groundedness_threshold": 0.7, "overall_threshold": 0.7}, "review": {"sample_size": 10}, "nothing": 1,
+    })
+    assert old["providers"]["profiles"]["fireworks"] == {"api_key_env": "KEY", "base_url": "u", "model": "m", "max_tokens": 111, "temperature": 0.3, "concurrency": 2, "extra_headers": {}}
+    assert config.provider(old)["model"] == "m" and config.provider(old, "groq")["max_tokens"] == 2048 and old["generation"]["mix"] == {"extractive": 1.0} and "nothing" not in old
+    assert old["parsing"]["docling_max_pages"] is None and old["parsing"]["fallback_parser"] == "pymupdf" and old["review"]["sample_size"] == 10
+    with pytest.raises(KeyError):
+        config.provider(old, "other")
+    work = lambda **own: config.workers(config.resolved({"generation": own}))
+    assert work(resource_profile="balanced") == (2, 1) and work(resource_profile="throughput", generation_workers=3, judge_workers=2) == (3, 2)
+    assert work(resource_profile="throughput", generation_workers=None, judge_workers=None) == (6, 3) and work(resource_profile="balanced", generation_workers=None, judge_workers=0) == (4, 2)
+    least = lambda **own: config.thresholds(config.resolved({"filters": own}))
+    assert least(preset="strict") == (0.85, 0.85) and least(preset="strict", groundedness_threshold=0.8, overall_threshold=None) == (0.8, 0.85) and least(preset="other") == (0.7, 0.7)
+    strict = config.with_quality(config.with_quality(plain, overall=0.1), "strict", groundedness=0.5)
+    assert config.thresholds(strict) == (0.5, 0.85) and config.thresholds(plain) == (0.7, 0.7)
     for bad in ({"preset": "none"}, {"overall": 1.5}):
         with pytest.raises(ValueError):
-            config.with_quality(c, **bad)
-    with pytest.raises(ValueError, match="unknown settings"):
-        config.from_dict({"nothing": 1})
-    assert config.with_parser_mode(c, "fast").parsing.primary_parser == "pymupdf" and config.with_parser_mode(c, "other") == c
-    config.save(spark, c, str(tmp_path / "c.json"))
-    assert config.load(spark, str(tmp_path / "c.json")) == c
+            config.with_quality(plain, **bad)
+    for bad in ({"chunking": {"overlap": "many"}}, {"chunking": 3}, {"parsing": {"enable_ocr": 1}}, {"generation": {"retries": 1.5}}):
+        with pytest.raises(ValueError):
+            config.resolved(bad)
+    fast = config.with_parser_mode(plain, "fast")["parsing"]
+    assert (fast["primary_parser"], fast["enable_ocr"]) == ("pymupdf", False) and config.with_parser_mode(plain, "other") == plain
+    config.save(spark, old, str(tmp_path / "c.json"))
+    assert config.load(spark, str(tmp_path / "c.json")) == old
 
 
 def test_accept_takes_the_last_of_repeated_ids(spark):
@@ -155,7 +175,7 @@ def test_pages_and_extraction(spark, tmp_path):
     got = {r.n: (r.page_text == "leido por OCR", r.ocr_used, r.visual, r.requires_multimodal) for r in ingest.read_pages(spark.createDataFrame(rows, "n int, raw_text string, ocr_text string, has_images boolean")).collect()}
     assert got == {1: (False, False, False, False), 2: (True, True, False, True), 3: (False, False, False, True), 4: (False, False, True, True), 5: (False, False, True, True), 6: (False, False, False, True)}
     one_ = lambda *limits: one(spark, ingest.skip_reason(F.lit(9), F.lit(100), *limits))
-    assert [one_(8, 50), one_(9, 101), one_(None, None), one_(8, 101)] == ["max_pages", "max_ram_mb", None, "max_pages"]
+    assert [one_(8, 50), one_(9, 101), one_(None, None), one_(8, 101)] == ["docling_max_pages", "docling_max_ram_mb", None, "docling_max_pages"]
 
     class Picky(ingest.PlainText):
         name = "picky"
@@ -226,12 +246,8 @@ def test_following_a_job_ends(spark, tmp_path):
 
 def test_tables_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, tokens long")
-    assert planning.placed(none, ["tokens"], "doc_id", [F.col("doc_id")], "place").count() == 0
-    some = spark.createDataFrame([(7 * k % 50, 1) for k in range(50)], "doc_id long, tokens long")
-    for buckets in (1, 3, 4096):
-        up = planning.placed(some, ["tokens"], "doc_id", [F.col("doc_id")], "place", buckets=buckets)
-        down = planning.placed(some, ["tokens"], "doc_id", [F.desc("doc_id")], "place", True, buckets)
-        assert all(r.place == r.doc_id for r in up.collect()) and all(r.place == 49 - r.doc_id for r in down.collect())
+    assert ranking.numbered(none, ["tokens"], ["doc_id"]).count() == 0 and planning.split_manifest(none).count() == 0
+    assert [r.split for r in planning.split_manifest(spark.createDataFrame([("a", 5)], "doc_id string, tokens long")).collect()] == ["train"]
 
 
 def test_ingest_folder(spark, tmp_path):
