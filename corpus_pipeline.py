@@ -36,7 +36,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The first occurrence is that of the least doc_id and line. Null and empty
     texts stay; rows that repeat a doc_id count as one document and are cut
-    alike; rows with a null doc_id stay as they are. An empty table stays empty.
+    alike; rows with a null doc_id stay as they are. A very long text is read
+    in blocks, a very long line whole. An empty table stays empty.
     """
     return with_length(line_dedup.dedup_lines(docs))
 
@@ -46,8 +47,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The document of the least doc_id stays; null and empty texts are in no
     group. Of rows with the same doc_id and text one stays, the least by its
-    other columns. Rows with a null doc_id take no part. An empty table stays
-    empty; columns may have any names.
+    other columns. Rows with a null doc_id take no part. A very long text is
+    read whole, in blocks. An empty table stays empty; columns may have any names.
     """
     names = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names)
@@ -74,11 +75,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``bin_id, doc_id, piece, start, n_tokens``: where each document's tokens lie.
+    """``bin_id, doc_id, piece, start, n_tokens``: where each document's words lie; here words are the tokens.
 
     Null and empty texts come out with a null bin; a text longer than a bin is
     cut into pieces; repeated rows are packed one by one, ties by doc_id. An
-    empty table gives no bins.
+    empty table gives no bins; other columns are not read.
     """
     return packing.pack(packing.packable(docs))
 

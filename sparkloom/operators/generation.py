@@ -149,6 +149,17 @@ def image_parts(fragments: Column, most: int) -> Column:
     return F.slice(F.array_distinct(F.flatten(F.transform(fragments, lambda f: f["page_image_paths"]))), 1, max(1, most))
 
 
+def existing_images(rows: DataFrame, key: str, images: DataFrame, column: str = "page_image_paths") -> DataFrame:
+    """``rows`` whose array of paths keeps only those that ``images(path)`` lists, in their order; ``key`` is unique.
+
+    What is listed comes from the store in one go (:func:`sparkloom.sources.files.listing`), not path by path.
+    """
+    named = rows.select(key, F.posexplode(column).alias("k", "path"))
+    there = named.join(images.select("path").distinct(), "path", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "path"))).alias("there_"))
+    kept = F.coalesce(F.transform("there_", lambda x: x["path"]), F.array().cast("array<string>"))
+    return rows.join(there, key, "left").withColumn(column, F.when(F.col(column).isNotNull(), kept)).drop("there_").select(*rows.columns)
+
+
 def examples_of(answers: DataFrame, context: DataFrame) -> DataFrame:
     """Examples of :func:`generate`'s answers: refusals, evidence, ids and whether the kind is the one asked for."""
     schema = "question string, answer string, evidence array<string>, question_type string, is_answerable boolean"

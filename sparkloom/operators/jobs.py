@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,37 +126,104 @@ def error_class(status: Column, message: Column) -> Column:
     )
 
 
+class _Breaker:
+    """One breaker's state, and what a block of its calls does to it.
+
+    What happens next depends on where the outcomes counted begin, or when the
+    breaker opened, so a block is gone through by phases, not by calls: a closed
+    phase ends at its first call that trips the breaker, found in counts of
+    failures over sliding windows, and an open one at the first call late enough.
+    """
+
+    def __init__(self, window: int, threshold: float, least: int, cooldown: float, successes: int):
+        self.window, self.threshold, self.least, self.cooldown, self.successes = window, threshold, least, cooldown, successes
+        self.state, self.recent, self.opened, self.good = "closed", np.zeros(0, bool), 0.0, 0
+
+    def run(self, at: np.ndarray, failed: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """States after each call, as runs, and whether each call was refused."""
+        n, states, refused = len(at), [], np.zeros(len(at), bool)
+        i = 0
+        while i < n:
+            if self.state == "open":
+                j = _first(at, i, self.opened + self.cooldown)
+                refused[i:j] = True
+                states.append(np.full(j - i, "open", object))
+                if j < n:
+                    self.state, self.good = "half_open", 0
+                i = j
+            elif self.state == "half_open":
+                self.recent = np.append(self.recent, failed[i])[-self.window :]
+                self.good += not failed[i]
+                if failed[i]:
+                    self.state, self.opened = "open", float(at[i])
+                elif self.good >= self.successes:
+                    self.state, self.recent = "closed", np.zeros(0, bool)
+                states.append(np.full(1, self.state, object))
+                i += 1
+            else:
+                i = self._closed(at, failed, i, states)
+        return states, refused
+
+    def _closed(self, at: np.ndarray, failed: np.ndarray, i: int, states: list[np.ndarray]) -> int:
+        size = self.window
+        while i < len(failed):
+            # a stretch of calls after the outcomes so far; stretches grow while nothing happens
+            own = np.concatenate([self.recent, failed[i : i + size]])
+            k = len(self.recent)
+            sums = np.concatenate([[0], np.cumsum(own)])
+            ends = np.arange(k, len(own)) + 1
+            begin = np.maximum(ends - self.window, 0)
+            counts = ends - begin
+            trips = own[k:] & (counts >= self.least) & ((sums[ends] - sums[begin]) / counts >= self.threshold)
+            j = int(np.argmax(trips)) if trips.any() else len(trips)
+            done = min(j + 1, len(trips))
+            self.recent = own[: k + done][-self.window :]
+            states.append(np.full(j, "closed", object))
+            if j < len(trips):
+                self.state, self.opened = "open", float(at[i + j])
+                states.append(np.full(1, "open", object))
+                return i + done
+            i, size = i + done, min(2 * size, 1 << 16)
+        return i
+
+
+def _first(at: np.ndarray, i: int, least: float) -> int:
+    """The first call from ``i`` on that is not before ``least``; calls need not be in the order of time."""
+    size = 64
+    while i < len(at):
+        late = at[i : i + size] >= least
+        if late.any():
+            return i + int(np.argmax(late))
+        i, size = i + size, min(2 * size, 1 << 16)
+    return len(at)
+
+
 def breaker_states(calls: DataFrame, window: int = 20, threshold: float = 0.5, least: int = 5, cooldown: float = 30.0, successes: int = 2) -> DataFrame:
     """``name, seq, state, refused``: each call's effect on its breaker, for ``calls(name, seq, at seconds, failed)``.
 
-    A true state machine, so a breaker's calls are read in order; they are
-    sorted by Spark, stream through in batches and leave only ``window``
+    A breaker's calls are read in order, sorted by Spark; they stream through in
+    batches, gone through by phases in arrays, and leave only ``window``
     outcomes in memory.
     """
-    def run(frames):
-        name, state, recent, opened, good = None, "closed", deque(maxlen=window), 0.0, 0
-        for frame in frames:
-            states, refused = [], []
-            for who, at, failed in zip(frame["name"], frame["at"], frame["failed"], strict=True):
-                if who != name:
-                    name, state, recent, good = who, "closed", deque(maxlen=window), 0
-                refuse = state == "open" and at - opened < cooldown
-                if state == "open" and not refuse:
-                    state, good = "half_open", 0
-                if not refuse:
-                    recent.append(failed)
-                    good += not failed
-                    if failed and (state == "half_open" or (len(recent) >= least and sum(recent) / len(recent) >= threshold)):
-                        state, opened = "open", at
-                    elif state == "half_open" and not failed and good >= successes:
-                        state = "closed"
-                        recent.clear()
-                states.append(state)
-                refused.append(refuse)
-            yield frame[["name", "seq"]].assign(state=states, refused=refused)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, breaker = None, None
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            at, failed = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            states, refused = [np.zeros(0, object)], [np.zeros(0, bool)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if breaker is None or names[a] != name:
+                    name, breaker = names[a], _Breaker(window, threshold, least, cooldown, successes)
+                now, off = breaker.run(at[a:b], failed[a:b])
+                states += now
+                refused.append(off)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(states), pa.string()), pa.array(np.concatenate(refused))], names=["name", "seq", "state", "refused"])
 
     ordered = calls.select("name", "seq", F.col("at").cast("double").alias("at"), F.col("failed").cast("boolean").alias("failed")).repartition("name").sortWithinPartitions("name", "seq")
-    return ordered.mapInPandas(run, "name string, seq long, state string, refused boolean")
+    return ordered.mapInArrow(run, "name string, seq long, state string, refused boolean")
 
 
 # Fixed values.

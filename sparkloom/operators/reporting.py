@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import curation
 from sparkloom.sources import files
+from sparkloom.sources.staging import staged
 
 # Fixed values.
 MODES = {
@@ -44,6 +45,8 @@ def export(curated: DataFrame, mode: DataFrame, folder: str, review_size: int =
 
     Raises what :func:`export_guard` finds.
     """
+    # written once: the guard, each split and the sample read it
+    curated, mode = staged(curated, "export"), staged(mode, "export-mode")
     error = export_guard(curated, mode, require_eval, allow_partial).first()["error"]
     if error:
         raise RuntimeError(error)
@@ -66,7 +69,7 @@ def export(curated: DataFrame, mode: DataFrame, folder: str, review_size: int =
 def reexport(curated: DataFrame, folder: str, review_size: int = 100) -> dict[str, int]:
     """The files of :func:`export` after edits: both splits, files of empty ones go, and the review sample is train's only."""
     counts, spark = {}, curated.sparkSession
-    kept = curated.where("reason is null")
+    kept = staged(curated.where("reason is null"), "export")
     for split in ("train", "eval"):
         rows = kept.where(F.col("split") == split)
         counts[split] = rows.count()

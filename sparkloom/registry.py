@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +13,10 @@ from pyspark.sql.window import Window
 from sparkloom.functions import headings, maths
 from sparkloom.functions import text as T
 from sparkloom.functions.frames import long_columns as _long
-from sparkloom.operators import chunking, curation, dashboard, editlog, generation, ingest, jobs, language, markup, planning, reporting, running, search, semantic
+from sparkloom.operators import chunking, curation, dashboard, editlog, generation, ingest, jobs, language, markup, paging, planning, reporting, running, search, semantic
 from sparkloom.plans.build_sql import SQL  # noqa: F401
 from sparkloom.sources import files, tables
-from sparkloom.sources.staging import shared_dir, staged
+from sparkloom.sources.staging import shared_dir, staged, temporary
 from sparkloom.sources.tables import table
 
 
@@ -197,9 +199,10 @@ def pending_chunks(spark, d):
     return t.select("chunk_id").distinct().join(t.where("doc_id % 4 = 0").select("chunk_id"), "chunk_id", "left_anti")
 
 
-def _examples(spark, d):
+def _examples(spark, d, manifest=None):
     ex = curation.example_id(tables.examples(table(spark, d, "conversations")))
-    return ex.join(split_manifest(spark, d).select("doc_id", "split"), "doc_id")
+    manifest = split_manifest(spark, d) if manifest is None else manifest
+    return ex.join(manifest.select("doc_id", "split"), "doc_id")
 
 
 def question_types(spark, d):
@@ -217,8 +220,8 @@ def evidence_resolution(spark, d):
     return _examples(spark, d).select("example_ord", F.size(resolved).cast("long").alias("n_evidence"), F.sha1(F.array_join(resolved, "|")).alias("evidence_hash"))
 
 
-def _curated(spark, d):
-    return curation.curate(_examples(spark, d))
+def _curated(spark, d, manifest=None):
+    return curation.curate(_examples(spark, d, manifest))
 
 
 def curation_reasons(spark, d):
@@ -416,22 +419,24 @@ def chunk_summaries(spark, d):
     return generation.summaries(_described(_chunks(spark, d))).select("batch", "summary", F.sha1("context").alias("context_hash"))
 
 
-def _prompts(spark, d):
-    """Chunks are written once; neighbours, targets and summaries read them from there."""
+def _contexts(spark, d):
+    """Targets with their fragments, and the batches' summaries. Chunks are written once; neighbours, targets and summaries read them from there."""
     chunks = staged(_chunks(spark, d), "chunks")
     targets = planning.target_plan(staged(_scored(chunks), "scored"))
     described = _described(chunks)
-    context = generation.contexts(targets, described.join(chunking.lexical_neighbors(chunks), "chunk_id"))
-    return generation.prompts(context, generation.summaries(described))
+    return generation.contexts(targets, described.join(chunking.lexical_neighbors(chunks), "chunk_id")), generation.summaries(described)
 
 
 def generation_prompts(spark, d):
-    return _prompts(spark, d).select("batch", "kind", "pick", "chunk_id", "asked", F.sha1("system").alias("system_hash"), F.sha1("user").alias("user_hash"))
+    return generation.prompts(*_contexts(spark, d)).select("batch", "kind", "pick", "chunk_id", "asked", F.sha1("system").alias("system_hash"), F.sha1("user").alias("user_hash"))
 
 
 def generated_examples(spark, d):
-    prompted = staged(_prompts(spark, d), "prompts")
-    rows = generation.judge_prompts(generation.examples_of(generation.generate(prompted, generation.EchoTeacher()), prompted))
+    context, about = _contexts(spark, d)
+    context = staged(context, "contexts")
+    # prompts are put together where they are asked, and written nowhere
+    answers = generation.generate(generation.prompts(context, staged(about, "summaries")), generation.EchoTeacher())
+    rows = generation.judge_prompts(generation.examples_of(answers, context))
     return rows.select(
         "batch", "kind", "pick", "chunk_id", "example_id", "question_type", "is_answerable", "matches", "attempts", F.sha1("answer").alias("answer_hash"), F.size("evidence").cast("long").alias("n_evidence"),
         F.sha1(F.array_join("evidence", "|")).alias("evidence_hash"), F.sha1(F.concat("judge_system", "judge_user")).alias("judge_hash"), F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"),
@@ -471,7 +476,8 @@ def dataset_mode(spark, d):
 
 
 def export_guard(spark, d):
-    return reporting.export_guard(_curated(spark, d), dataset_mode(spark, d))
+    manifest = split_manifest(spark, d)
+    return reporting.export_guard(_curated(spark, d, manifest), reporting.dataset_mode(manifest))
 
 
 def review_fill(spark, d):
@@ -479,7 +485,8 @@ def review_fill(spark, d):
 
 
 def report_lines(spark, d):
-    return reporting.report(_curated(spark, d), dataset_mode(spark, d), _docs(spark, d), _chunks(spark, d))
+    manifest = split_manifest(spark, d)
+    return reporting.report(_curated(spark, d, manifest), reporting.dataset_mode(manifest), _docs(spark, d), _chunks(spark, d))
 
 
 def editor_patch(spark, d):
@@ -550,6 +557,12 @@ def trigram_search(spark, d):
     return search.search(rows, "example_ord", texts, path, "OC-1").select("example_ord", "question_type")
 
 
+def examples_deep_page(spark, d):
+    """A page of the accepted examples, with its places, by an ordinal index."""
+    index = paging.OrdinalIndex.write(_curated(spark, d).where("reason is null").select("example_ord", "example_id"), ["example_ord"], 64)
+    return index.page(40, 90)
+
+
 def edit_log(spark, d):
     """Examples after three logged edits."""
     log = editlog.EditLog(spark, f"{shared_dir(spark)}/sparkloom-edits-{uuid.uuid4().hex}")
@@ -603,7 +616,18 @@ def web_plan(spark, d):
     return planning.target_plan(staged(named, "web-scored"))
 
 
-QUERIES = {f.__name__: f for f in (
+def scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after which only those staged tables are left that its result reads; ``staging.forget`` of the result deletes these."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with temporary() as keep:
+            return keep(query(spark, sf_dir))
+
+    return run
+
+
+QUERIES = {f.__name__: scoped(f) for f in (
     normalize_text, doc_token_counts, doc_ids, page_assets, parser_guard, ocr_pages, page_formulas, heading_lines,
     math_marks, heading_levels, document_sections, section_tree, merged_sections, semantic_chunks, word_window_chunks, page_limit_chunks,
     chunk_coverage, document_chunks, chunk_neighbors, split_manifest, kind_quota, chunk_scores, target_plan, batched_plan,
@@ -615,5 +639,5 @@ QUERIES = {f.__name__: f for f in (
     page_batches, coverage_fallback, dense_windows, chunk_summaries, generation_prompts, generated_examples, judged_examples, image_parts,
     judge_scores, score_reuse, dataset_mode, export_guard, review_fill, report_lines, editor_patch, editor_delete,
     call_errors, breaker_states, phase_plan, text_measures, page_blocks, web_sections, web_chunks, web_plan, running_lines, pages_without_running_lines,
-    language_confusion, token_window_chunks, trigram_search, edit_log,
+    language_confusion, token_window_chunks, trigram_search, examples_deep_page, edit_log,
 )}

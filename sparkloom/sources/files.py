@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranking import numbered
+
 
 def _path(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,12 +68,28 @@ def chosen(files: DataFrame, folder: str, wanted: DataFrame, limit: int | None =
 def link_names(files: DataFrame) -> DataFrame:
     """``files(ord, path)`` with ``name``: the file's own, or with -1, -2 and so on where that was taken before it.
 
-    Each name depends on those before it that differ in such numbers only, so
-    these families of names are gone through in order, each in one task.
+    A name that occurs once, and that no repeated name can be numbered to, is
+    the file's own. Of the rest, files that share one name only are numbered by
+    sampled ranges, however many they are. Where a repeated name meets others
+    that look like its numbered ones, each depends on those before it, so these
+    few are gone through in order, each such group in one task.
     """
     own = F.element_at(F.split("path", "/"), -1)
     stem, suffix = F.regexp_replace(own, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(own, r"(?<=.)(\.[^.]*)$", 1)
-    rows = files.select("ord", "path", stem.alias("stem"), suffix.alias("suffix"), F.regexp_replace(stem, r"(-[1-9][0-9]*)+$", "").alias("family"))
+    rows = files.select("ord", "path", stem.alias("stem"), suffix.alias("suffix"))
+    counts = rows.groupBy("stem", "suffix").agg(F.count("*").alias("n"))
+    # a name, and what it may be a numbered form of, the shortest first
+    tail = F.regexp_extract("stem", r"((?:-[1-9][0-9]*)*)$", 1)
+    family, numbers = F.expr("left(stem, length(stem) - length(tail))"), F.filter(F.split("tail", "-"), lambda x: x != "")
+    forms = F.transform(F.sequence(F.lit(0), F.size("numbers")), lambda i: F.concat_ws("-", "family", F.slice("numbers", F.lit(1), i)))
+    named_forms = counts.withColumn("tail", tail).withColumns({"family": family, "numbers": numbers}).select("stem", "suffix", F.posexplode(forms).alias("i", "root"))
+    repeated = counts.where("n > 1").select(F.col("stem").alias("root"), "suffix")
+    roots = named_forms.join(repeated, ["root", "suffix"]).groupBy("stem", "suffix").agg(F.min_by("root", "i").alias("root"))
+    mixed = roots.groupBy("root", "suffix").agg((F.count("*") > 1).alias("mixed"))
+    asked = rows.join(roots, ["stem", "suffix"], "left").join(mixed, ["root", "suffix"], "left").select("ord", "path", "stem", "suffix", "root", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    alone = asked.where("root is null").select("ord", "path", F.concat("stem", "suffix").alias("name"))
+    same = numbered(asked.where("root is not null and not mixed"), ["root", "suffix"], ["ord"], "place", label="link-names")
+    same = same.select("ord", "path", F.concat("stem", F.when(F.col("place") > 0, F.concat(F.lit("-"), F.col("place").cast("string"))).otherwise(""), "suffix").alias("name"))
 
     def named(part: pd.DataFrame) -> pd.DataFrame:
         part, used, last, out = part.sort_values("ord"), set(), {}, []
@@ -84,7 +102,8 @@ def link_names(files: DataFrame) -> DataFrame:
             out.append(name)
         return part[["ord", "path"]].assign(name=[n + x for n, x in zip(out, part["suffix"], strict=True)])
 
-    return rows.groupBy("family", "suffix").applyInPandas(named, rows.select("ord", "path").schema.add("name", "string"))
+    rest = asked.where("mixed").groupBy("root", "suffix").applyInPandas(named, rows.select("ord", "path").schema.add("name", "string"))
+    return alone.union(same).union(rest)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

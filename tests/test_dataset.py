@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkloom import config, registry
 from sparkloom.functions import packing
 from sparkloom.operators import chunking, dashboard, dataset, generation, ingest, markup, planning, ranking, semantic
+from sparkloom.sources import staging
 
 DATA = "/root/testdata/sf0.001"
 
@@ -214,3 +215,23 @@ def test_score_vectors_come_back_from_their_counts(spark):
     ok = [r for r in rows if r[3] is None]
     assert (got.accepted, got.rejected) == (len(ok), 50 - len(ok)) and got.groundedness == []
     assert got.overall == sorted(r[4] for r in ok if r[4] is not None) and got.relevance == sorted(r[5] for r in ok)
+
+
+def test_only_images_that_exist_are_attached(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "x"]), (2, ["x"]), (3, None), (4, [])], "id long, page_image_paths array<string>")
+    kept = generation.existing_images(rows, "id", spark.createDataFrame([("a",), ("b",), ("b",)], "path string"))
+    assert {r.id: r.page_image_paths for r in kept.collect()} == {1: ["b", "a", "b"], 2: [], 3: None, 4: []}
+    parts = kept.where("id = 1").select(generation.image_parts(F.array(F.struct("page_image_paths")), 1).alias("p")).first()
+    assert parts.p == ["b"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
+@pytest.mark.parametrize("name", ["target_plan", "generated_examples", "split_manifest", "document_chunks"])
+def test_a_query_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    df = registry.QUERIES[name](spark, DATA)
+    assert df.count() > 0
+    left = {p.name for p in tmp_path.iterdir()}
+    assert left == {f.split("/")[-2] for f in df.inputFiles() if "/sparkloom-" in f}
+    staging.forget(df)
+    assert not list(tmp_path.iterdir())
