@@ -35,6 +35,8 @@ LEAST, LONGEST, MOST, CONTAINED = 10, 3, 2000, 50
 BLOCK, WORDS_HELD, ROWS_HELD = 1 << 20, 1 << 18, 1 << 20
 #: A prefix with more than one in PARTS of all words is parted; at most PARTS are.
 PARTS = 4096
+#: Parts of a lang's phrases that are ranked at first.
+SALTS = 64
 #: Bits an item takes in a filter, and the most bits of a filter, which is broadcast (16 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: Bits of a word's code in a reading task: it holds WORDS_HELD words and those of a block at most.
@@ -355,7 +357,11 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, mo
         left = best.join(around, "phrase", "left").where(F.coalesce(100 * F.col("around") < contained * F.col("a"), F.lit(True)))
         # by numbers first, ties included, so that few phrases are spelt out
         left = left.withColumn("h", F.col("phrase")[0]).join(named.select("h", "lang"), "h")
-        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+        best_first = [F.desc("score"), F.desc("a")]
+        # the best of each of SALTS parts of a lang, so that no task ranks all of its phrases
+        parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*best_first)
+        left = left.withColumn("rank", F.rank().over(parts)).where(F.col("rank") <= most)
+        order = Window.partitionBy("lang").orderBy(*best_first)
         first = written(left.withColumn("rank", F.rank().over(order)).where(F.col("rank") <= most).select("lang", "phrase", "a", "l", "r", "score"), "ranked-phrases")
         spelt = first.select("phrase", F.posexplode("phrase").alias("k", "h")).join(named.select("h", "word"), "h")
         spelt = spelt.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("words"))
