@@ -33,6 +33,9 @@ NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": None}
 MIN_SUPPORT, THRESHOLD = 3, 0.8
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+CUT, MARKED = "array<struct<from:int,to:int,mark:string>>", "array<struct<from:int,to:int,mark:string,end:int>>"
+#: Spans of a text that are gone through at once.
+STEP = 256
 
 
 def _digits(value: Column) -> Column:
@@ -58,6 +61,42 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _folded(items: Column, kind: str, step) -> Column:
+    """What ``step`` adds to ``out`` over the items, in order; its state is ``at`` (an int, 0 at first) and ``out`` (of type ``kind``).
+
+    Adding to an array copies it, so the items go by chunks of STEP, whose
+    arrays are put together at the end: time grows hardly faster than their number.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / STEP).cast("int")), lambda k: F.slice(items, k * STEP + 1, F.lit(STEP)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def whole(acc: Column, chunk: Column) -> Column:
+        part = F.aggregate(chunk, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        return _let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(chunks, begin, whole)["out"])
+
+
+def _pieces(text: Column, cuts: Column) -> Column:
+    """The text's pieces ``from`` to ``to`` of ``cuts``, in order, each followed by its ``mark``, as one string.
+
+    A piece is looked for in the part of the text that its chunk of STEP pieces lies in, not from the text's start.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / STEP).cast("int")), lambda k: F.slice(cuts, k * STEP + 1, F.lit(STEP)))
+
+    def joined(c: Column) -> Column:
+        begin = c[0]["from"]
+        part = F.substring(text, begin + 1, F.element_at(c, -1)["to"] - begin)
+        return _let(part, lambda block: F.array_join(F.transform(c, lambda x: F.concat(F.substring(block, x["from"] - begin + 1, x["to"] - x["from"]), x["mark"])), ""))
+
+    return F.array_join(F.transform(chunks, joined), "")
+
+
 def positions(text: Column, pattern: Column) -> Column:
     """All leftmost matches of a pattern as ``(start, end, value)``, in code points.
 
@@ -66,7 +105,6 @@ def positions(text: Column, pattern: Column) -> Column:
     """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.zip_with(found, F.split(text, pattern, -1), lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -74,7 +112,7 @@ def positions(text: Column, pattern: Column) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), begin, step, lambda acc: acc["out"])
+    return _let(F.filter(pairs, lambda p: p["value"].isNotNull()), lambda p: _folded(p, SPAN, step))
 
 
 def _kept(spans: Column, kind: str) -> Column:
@@ -119,13 +157,14 @@ def _words(text: Column) -> Column:
 def _outside() -> Column:
     """The text of a row with a space for each of its base spans."""
     spans = F.array_sort(F.flatten(F.array(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.lit(" ")).alias("out"))
+        cut = F.struct(acc["at"].alias("from"), F.greatest(s["start"], acc["at"]).alias("to"), F.lit(" ").alias("mark"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(cut)).alias("out"))
 
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    last = F.greatest(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    rest = F.struct(F.coalesce(last, F.lit(0)).alias("from"), F.length("text").alias("to"), F.lit("").alias("mark"))
+    return _let(F.concat(_folded(spans, CUT, step), F.array(rest).cast(CUT)), lambda cuts: _pieces(F.col("text"), cuts))
 
 
 def _single(texts: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -177,7 +216,8 @@ def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float =
     words that give an entity away (share 1) are removed and other terms become
     ``[TERM]``; of overlapping spans the first counts. Null texts are empty,
     repeated rows give a row each, rows with a null doc_id get no terms; extra
-    columns are not read.
+    columns are not read. An empty table stays empty; a very long text is read
+    whole, in time that grows hardly faster than its spans.
     """
     whole = docs.select("doc_id", "text")
     any_base = F.size(F.flatten(F.array(*[F.col(k) for k in KINDS]))) > 0
@@ -209,14 +249,19 @@ def _replaced() -> Column:
     marks = [_marked(k, f"[{k.upper()}]") for k in KINDS]
     marks.append(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] < 1, "[TERM]").otherwise("").alias("mark"))))
     spans = F.array_sort(F.flatten(F.array(*marks)))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        after = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["mark"])
         free = s["start"] >= acc["at"]
-        return F.struct(F.when(free, s["end"]).otherwise(acc["at"]).alias("at"), F.when(free, after).otherwise(acc["out"]).alias("out"))
+        cut = F.struct(acc["at"].alias("from"), s["start"].alias("to"), s["mark"].alias("mark"), s["end"].alias("end"))
+        return F.struct(F.when(free, s["end"]).otherwise(acc["at"]).alias("at"), F.when(free, F.concat(acc["out"], F.array(cut))).otherwise(acc["out"]).alias("out"))
+
+    def text(cuts: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(cuts, lambda c: c["end"])), F.lit(0))
+        rest = F.array(F.struct(last.alias("from"), F.length("text").alias("to"), F.lit("").alias("mark"))).cast(CUT)
+        plain = F.transform(cuts, lambda c: F.struct(c["from"].alias("from"), c["to"].alias("to"), c["mark"].alias("mark"))).cast(CUT)
+        return _let(F.concat(plain, rest), lambda all_: _pieces(F.col("text"), all_))
 
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return _let(_folded(spans, MARKED, step), text)
 
 
 def joined_spans(columns: dict[str, str]) -> Column:
