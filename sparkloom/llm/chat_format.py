@@ -64,7 +64,9 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     Rows are ordered by turn, then role, then text (null turns first); null
     roles and texts are empty; repeated rows are turns of their own; rows with a
     null conv_id form one conversation. A conversation is one output value, so
-    its turns meet in one task; nothing larger does.
+    its turns meet in one task; nothing larger does. Very long texts are taken
+    whole; an empty table gives an empty result; other columns are not read, so
+    their names don't matter.
     """
     t = template or Template()
     empty = F.lit("")

@@ -98,7 +98,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     A document longer than ``capacity`` is cut into whole bins and a remainder;
     nothing is dropped. Documents without tokens (null counts too) come out once
     with a null bin. Null sources and clusters conflict with nothing. Repeated
-    rows are packed one by one; ties are broken by doc_id.
+    rows are packed one by one; ties are broken by doc_id. An empty table gives
+    an empty result; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), F.col("cluster").cast("long").alias("cluster"))
     # read three times below: written, so that the tokens are counted once
