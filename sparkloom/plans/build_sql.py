@@ -155,7 +155,7 @@ SELECT name, seq, state, refused FROM bs WHERE k > 0""",
     "shown_values": """WITH sv AS (SELECT doc_id, i AS n, (i * i / 20.0)::DOUBLE AS s FROM (SELECT doc_id, n_chars AS i FROM documents WHERE n_chars IS NOT NULL)), st AS (SELECT *, floor(s + 0.5)::BIGINT AS t, floor(n / 3000.0 * 100 + 0.5)::BIGINT AS pc FROM sv), sm AS (SELECT *, floor(t / 60 + 0.5)::BIGINT AS mi FROM st), sh AS (SELECT *, floor(mi / 60 + 0.5)::BIGINT AS ho FROM sm)
 SELECT doc_id, n, CASE WHEN s <= 0 THEN '—' WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t % 3600 // 60) || 'm' WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS eta, pc || '%' AS percent,
   CASE WHEN t < 60 THEN 'hace instantes' WHEN mi < 60 THEN 'hace ' || mi || ' min' WHEN ho < 24 THEN 'hace ' || ho || ' h' ELSE 'hace ' || floor(ho / 24 + 0.5)::BIGINT || ' d' END AS ago FROM sh""",
-    "examples_deep_page": f"WITH {CURATED} SELECT example_ord, example_id, place FROM (SELECT *, row_number() OVER (ORDER BY example_ord) - 1 AS place FROM cu WHERE reason IS NULL) WHERE place >= 90 AND place < 130",
+    "examples_deep_page": f"WITH {CURATED} SELECT example_ord, example_id, place FROM (SELECT *, row_number() OVER (ORDER BY example_ord) - 1 AS place FROM cu WHERE reason IS NULL) WHERE place >= 10 AND place < 50",
     "trigram_search": sql.SQL["examples_search"],
     "running_lines": f"WITH {_EDGES} SELECT source, edge, line, n, pages FROM ru WHERE n >= greatest(3, 0.02::DOUBLE * pages)",
     "pages_without_running_lines": rf"""WITH {_EDGES}, rl AS (SELECT source, edge, line FROM ru WHERE n >= greatest(3, 0.02::DOUBLE * pages)),

@@ -560,7 +560,7 @@ def trigram_search(spark, d):
 def examples_deep_page(spark, d):
     """A page of the accepted examples, with its places, by an ordinal index."""
     index = paging.OrdinalIndex.write(_curated(spark, d).where("reason is null").select("example_ord", "example_id"), ["example_ord"], 64)
-    return index.page(40, 90)
+    return index.page(40, 10)
 
 
 def edit_log(spark, d):
