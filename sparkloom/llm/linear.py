@@ -79,6 +79,30 @@ def examples(part: pa.Table) -> list[tuple[np.ndarray, int]]:
     return list(zip(np.split(flat, ends[:-1]), part["label"].to_pylist(), strict=True))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``shard, labels, sizes, features`` of :func:`training_rows`: a shard as one row, its documents in the order of their doc_id.
+
+    What is trained in rounds reads these and shuffles no features again.
+    """
+
+    def whole(values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.int32()))
+
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.sort_by("doc_id").combine_chunks()
+        lists = part["features"].combine_chunks()
+        return pa.table({"shard": part["shard"][:1], "labels": whole(part["label"].combine_chunks()), "sizes": whole(lists.value_lengths()), "features": whole(lists.flatten())})
+
+    return rows.groupBy("shard").applyInArrow(pack, "shard int, labels array<int>, sizes array<int>, features array<int>")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """The rows ``(features, label)`` of each shard that :func:`packed` made."""
+    for k in range(batch.num_rows):
+        labels, sizes, flat = (batch.column(c)[k].values.to_numpy() for c in ("labels", "sizes", "features"))
+        yield list(zip(np.split(flat, np.cumsum(sizes)[:-1]), labels.tolist(), strict=True))
+
+
 def scored(docs: DataFrame, weights: np.ndarray, features: Features, link: Callable[[np.ndarray], np.ndarray], column: str = "score") -> DataFrame:
     """``docs`` with ``link(sum of the weights of a text's distinct features)``.
 

@@ -9,7 +9,7 @@ broadcast to score every text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +65,25 @@ def learn(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> n
     return np.flatnonzero(touched)
 
 
-def _trainer(state: Broadcast, known: Broadcast) -> Callable[[pa.Table], pa.Table]:
-    """One shard's pass from the common state: what it changed, by bucket."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a shard's documents each feature is."""
+    for batch in batches:
+        for rows in linear.unpacked(batch):
+            n = np.bincount(np.concatenate([x for x, _ in rows]), minlength=1 << BITS)
+            feature = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), pa.array(n[feature])], names=["feature", "n"])
 
-    def train(part: pa.Table) -> pa.Table:
-        z, n = (x.copy() for x in state.value)
-        at = learn(z, n, [(x[known.value[x]], label) for x, label in linear.examples(part)])
+
+def _trainer(state: Broadcast, known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each shard's pass from the common state: what it changed, by bucket."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old_z, old_n = state.value
-        return pa.table({"bucket": at, "z": z[at] - old_z[at], "n": n[at] - old_n[at]})
+        for batch in batches:
+            for rows in linear.unpacked(batch):
+                z, n = old_z.copy(), old_n.copy()
+                at = learn(z, n, [(x[known.value[x]], label) for x, label in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, z[at] - old_z[at], n[at] - old_n[at])], names=["bucket", "z", "n"])
 
     return train
 
@@ -81,12 +92,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, shards: int = 4,
     """Weights (``2**BITS`` features, then the bias) from at most ``bound`` labelled rows.
 
     Features in fewer than ``min_docs`` sampled documents have no weight and
-    never reach the driver.
+    never reach the driver. The features are shuffled once, into a table with a
+    row a shard; a round reads it and shuffles what the shards changed.
     """
     spark = docs.sparkSession
     sample = linear.labelled_sample(labels, "toxic", bound)
-    rows = written(linear.training_rows(docs, sample, word_features, BITS, shards), "toxic-rows")
-    counts = rows.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    rows = written(linear.packed(linear.training_rows(docs, sample, word_features, BITS, shards)), "toxic-shards")
+    counts = rows.mapInArrow(_counted, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     kept = np.zeros(1 << BITS, bool)
     kept[counts.where(F.col("n") >= min_docs).select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)] = True
     known = spark.sparkContext.broadcast(kept)
@@ -94,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, shards: int = 4,
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        moved = rows.groupBy("shard").applyInArrow(_trainer(state, known), "bucket long, z double, n double")
+        moved = rows.mapInArrow(_trainer(state, known), "bucket long, z double, n double")
         # a bucket's change is averaged over the shards that saw it
         mean = moved.groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         at = mean["bucket"].to_numpy(dtype=np.int64)

@@ -409,6 +409,18 @@ def test_one_shard_fits_as_the_plain_algorithms_do(spark):
     assert any(want.values()) and all(abs(got[-1 if i == "bias" else i] - v) < 1e-9 for i, v in want.items())
 
 
+def test_rounds_of_training_shuffle_no_features(spark, monkeypatch):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(i, " ".join(rnd.choice("good bad worse plain".split()) for _ in range(9))) for i in range(80)], "doc_id long, text string")
+    lb = df.selectExpr("doc_id", "int(contains(text, 'worse')) as toxic")
+    kind, plans = type(df), []
+    collected = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collected(self))
+    assert np.count_nonzero(toxicity.fit(df, lb, rounds=3))
+    # counts and rounds shuffle sums by feature only
+    assert len(plans) == 4 and all(p.count("Exchange hashpartitioning(") == 1 and "shard" not in p.split("Exchange hashpartitioning(")[1].split(")")[0] for p in plans)
+
+
 def test_classifiers_on_odd_rows(spark):
     long = " ".join(f"word{k % 977}" for k in range(80_000))
     docs = [(1, "a b c"), (1, "a b c"), (2, long), (3, None), (4, ""), (None, "a b c")]
