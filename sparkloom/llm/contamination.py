@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -231,7 +231,7 @@ def automata(benchmark: DataFrame, window: int, part_words: int) -> DataFrame:
     return written(dealt.groupBy("part").applyInArrow(build, "part int, words long, flat binary"), "automata")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_words: int = PART_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_words: int = PART_WORDS, pass_words: int = PASS_WORDS, then: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_words`` (word numbers from 0) and ``hit_items``.
 
     A window is ``window`` consecutive words of an item, or a whole item of
@@ -242,7 +242,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     benchmark hits nothing. The automata of up to ``pass_words`` words are sent
     to the executors at once; more take further passes, each written before the
     next begins. Words are matched by their bytes. The three names replace
-    columns of ``docs``.
+    columns of ``docs``. ``then`` is applied to the rows in the tasks of the last
+    pass, so that no second Python worker stands beside each, and leaves the
+    other columns.
     """
     spark = docs.sparkSession
     built = automata(benchmark, window, part_words)
@@ -261,8 +263,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         out = written(out, "matched") if k else out
         flats = [bytes(r["flat"]) for r in built.where(F.col("part").isin(parts)).select("flat").collect()]
         sent = spark.sparkContext.broadcast(flats)
+        last = then if k == len(passes) - 1 else None
 
-        def apply(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def apply(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             matchers = [Matcher(pickle.loads(f)) for f in sent.value]
             for batch in batches:
                 n, where, which = [], batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist()
@@ -271,9 +274,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     if hit:
                         where[i], which[i] = sorted({*where[i], *hit}), sorted({*which[i], *items})
                 arrays = [*batch.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(where, pa.list_(pa.int32())), pa.array(which, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+                found = pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+                yield from last(found) if last else [found]
 
-        out = out.mapInArrow(apply, out.schema)
+        out = out.mapInArrow(apply, out.select(*kept).schema if last else out.schema)
     return out
 
 
@@ -300,21 +304,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     # other names, so that none clashes with the columns added
     names = [c if i == at else f"column_{i}" for i, c in enumerate(given)]
     plain = docs.toDF(*names)
-    found = find_contamination(plain, benchmark, window).where(F.size("hit_words") <= F.col("n_words") * max_coverage)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in tv.slices(batch.column(at)):
-                part = batch.slice(a, b - a)
-                hits = part.column(len(names) + 1).to_pylist()
-                if any(hits):
-                    texts = [without_words(t.as_py(), hit) if hit else t.as_py() for t, hit in zip(part.column(at), hits, strict=True)]
-                    columns = list(part.columns)
-                    columns[at] = pa.array(texts, part.schema.field(at).type)
-                    part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-                yield part.select(names)
-
-    return found.mapInArrow(cut, plain.schema).toDF(*given)
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, b in tv.slices(batch.column(at)):
+            part = batch.slice(a, b - a)
+            words, hits = (part.column(len(names) + k).to_pylist() for k in range(2))
+            keep = [len(hit) <= n * max_coverage for n, hit in zip(words, hits, strict=True)]
+            columns = list(part.columns[: len(names)])
+            if any(hits):
+                texts = [without_words(t.as_py(), hit) if hit and stays else t.as_py() for t, hit, stays in zip(part.column(at), hits, keep, strict=True)]
+                columns[at] = pa.array(texts, part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return find_contamination(plain, benchmark, window, then=cut).toDF(*given)
 
 
 def without_words(text: str, hit: list[int]) -> str:

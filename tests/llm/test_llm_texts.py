@@ -157,5 +157,14 @@ def test_contamination(spark):
     assert 2 not in clean and clean[4] == texts[4] and clean[0] is None
 
 
+def test_passages_are_found_and_cut_by_one_python_worker_a_task(spark):
+    words = [f"w{i}" for i in range(15)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", " ".join(["x"] * 12 + words), " ".join(["x"] * 15 + words), " ".join(words + ["x"] * 14), "short"])], "n_words long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    clean = contamination.decontaminate(docs, bench)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.n_words: r.text for r in clean.collect()} == {0: None, 1: "", 3: "x " * 15, 5: "short"}
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
